@@ -22,8 +22,9 @@ SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+def rounded(df: DataFrame, digits: int = 6, **per_col: int) -> DataFrame:
+    """Round every double column (``per_col`` overrides the digits by name)."""
+    return df.select(*[F.round(F.col(f.name), per_col.get(f.name, digits)).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -184,3 +185,173 @@ SELECT s.model, s.bin,
        CAST(COALESCE(cnt, 0) AS BIGINT) AS count
 FROM spine s LEFT JOIN agg a ON s.model = a.model AND s.bin = a.bin""")(
     lambda spark, sf: rounded(M.reliability_table(_preds(spark, sf))))
+
+
+# ---------------------------------------------------------------- cost
+
+COSTS = C.CostMatrix(cost_fn=50000.0, cost_fp=5000.0)
+_COST_SQL = (f"(CAST(fn AS DOUBLE) * {COSTS.cost_fn} + CAST(fp AS DOUBLE) * {COSTS.cost_fp}"
+             f" - CAST(tp AS DOUBLE) * {COSTS.cost_tp} - CAST(tn AS DOUBLE) * {COSTS.cost_tn})")
+
+register("cost_curve", f"""WITH {base()}, {grid_cte('grid', 0.0, 1.0, 200)},{_grid_cells('grid')}
+SELECT model, grid_idx, {r6('threshold', 'threshold')}, tp, fp, fn, tn, {r6(_COST_SQL, 'expected_cost')},
+       {r6(f'{_COST_SQL} / GREATEST(CAST(tp + fn AS DOUBLE) * {COSTS.cost_fn}, 1.0)', 'normalised_cost')}
+FROM gc""")(lambda spark, sf: rounded(C.cost_curve(_preds(spark, sf), COSTS)))
+
+
+def _decision_cols(prefix: str) -> str:
+    tot = f"(CAST(fp AS DOUBLE) * {COSTS.cost_fp} + CAST(fn AS DOUBLE) * {COSTS.cost_fn})"
+    return ", ".join([
+        r6("threshold", f"{prefix}_threshold"), f"tp AS {prefix}_tp", f"fp AS {prefix}_fp",
+        f"fn AS {prefix}_fn", f"tn AS {prefix}_tn", r6(_ratio("tp", "tp + fp"), f"{prefix}_precision"),
+        r6(_ratio("tp", "tp + fn"), f"{prefix}_recall"), r6(_ratio("2.0 * tp", "2.0 * tp + fp + fn"), f"{prefix}_f1"),
+        r6(tot, f"{prefix}_total_cost"), r6(f"CAST(fn AS DOUBLE) * {COSTS.cost_fn}", f"{prefix}_cost_fn_contribution"),
+        r6(f"CAST(fp AS DOUBLE) * {COSTS.cost_fp}", f"{prefix}_cost_fp_contribution"), f"{tot} AS {prefix}_raw"])
+
+
+register("cost_comparison", f"""WITH {base()}, {grid_cte('g1', 0.01, 0.99, 200)}, {grid_cte('g2', 0.0, 1.0, 200)},
+{_grid_cells('g1')},
+c1 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {_ratio('2.0 * tp', '2.0 * tp + fp + fn')} DESC, grid_idx) AS rn FROM gc),
+gcost AS (SELECT p.model, g.grid_idx, g.threshold,
+          CAST(SUM(CASE WHEN p.y_true = 1 AND p.y_score >= g.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+          CAST(SUM(CASE WHEN p.y_true = 0 AND p.y_score >= g.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+          CAST(SUM(CASE WHEN p.y_true = 1 AND p.y_score < g.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+          CAST(SUM(CASE WHEN p.y_true = 0 AND p.y_score < g.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tn
+       FROM preds p, g2 g GROUP BY p.model, g.grid_idx, g.threshold),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {_COST_SQL}, grid_idx) AS rn FROM gcost),
+a AS (SELECT model, {_decision_cols('f1')} FROM c1 WHERE rn = 1),
+b AS (SELECT model, {_decision_cols('cost')} FROM c2 WHERE rn = 1)
+SELECT a.* EXCLUDE (f1_raw), b.* EXCLUDE (model, cost_raw),
+       {r6('f1_raw - cost_raw', 'cost_saving')},
+       {r6('100.0 * (f1_raw - cost_raw) / GREATEST(f1_raw, 1.0)', 'cost_saving_pct')}
+FROM a JOIN b ON a.model = b.model""")(lambda spark, sf: rounded(C.cost_threshold_comparison(_preds(spark, sf), COSTS)))
+
+register("cost_optimal_threshold", f"""WITH {base()}, {grid_cte('grid', 0.0, 1.0, 200)},{_grid_cells('grid')},
+c AS (SELECT model, threshold, {_COST_SQL} AS cost,
+        row_number() OVER (PARTITION BY model ORDER BY {_COST_SQL}, grid_idx) AS rn FROM gc)
+SELECT model, {r6('threshold', 'threshold')}, {r6('cost', 'min_cost')} FROM c WHERE rn = 1""")(
+    lambda spark, sf: rounded(C.cost_optimal_threshold(C.cost_curve(_preds(spark, sf), COSTS))))
+
+register("theoretical_threshold", f"""WITH {base()},
+pv AS (SELECT model, avg(CAST(y_true AS DOUBLE)) AS prevalence FROM preds GROUP BY model)
+SELECT model, {r6('prevalence', 'prevalence')},
+  {r6(f'CASE WHEN prevalence > 0 AND prevalence < 1 THEN {COSTS.cost_fp} * prevalence / ({COSTS.cost_fp} * prevalence + {COSTS.cost_fn} * (1 - prevalence)) END', 'theoretical_threshold')},
+  {r6(f'{COSTS.cost_fp} / ({COSTS.cost_fp} + {COSTS.cost_fn})', 'bayes_threshold')},
+  CASE WHEN prevalence > 0 AND prevalence < 1 THEN 'ok' ELSE 'prevalence outside (0,1)' END AS status
+FROM pv""")(lambda spark, sf: rounded(C.theoretical_threshold(_preds(spark, sf), COSTS)))
+
+
+# ---------------------------------------------------------------- distributions
+
+register("score_distribution", f"""WITH {base()}
+SELECT model, y_true AS y_class, count(*) AS n, {r6('avg(y_score)', 'mean')}, {r6('stddev_pop(y_score)', 'std')},
+       {r6('quantile_cont(y_score, 0.5)', 'median')}, {r6('quantile_cont(y_score, 0.25)', 'q25')},
+       {r6('quantile_cont(y_score, 0.75)', 'q75')}
+FROM preds GROUP BY model, y_true""")(lambda spark, sf: rounded(M.score_distribution(_preds(spark, sf))))
+
+
+def _edge_cte(name: str, n_edges: int) -> str:
+    return f"{name}(i, e) AS (VALUES {', '.join(f'({i}, CAST({v!r} AS DOUBLE))' for i, v in enumerate(__import__('numpy').linspace(0, 1, n_edges).tolist()))})"
+
+
+register("class_separation", f"""WITH {base()}, {_edge_cte('edges', 51)},
+binned AS (SELECT p.model, p.y_true,
+             CASE WHEN p.y_score = 1.0 THEN 49 ELSE (SELECT max(i) FROM edges WHERE e <= p.y_score) END AS bin
+           FROM preds p WHERE p.y_score >= 0 AND p.y_score <= 1),
+cnt AS (SELECT model, bin, SUM(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS cp,
+               SUM(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS cn FROM binned GROUP BY model, bin),
+inr AS (SELECT model, SUM(cp) AS ip, SUM(cn) AS inn FROM cnt GROUP BY model),
+spine AS (SELECT m.model, r.i AS bin FROM (SELECT DISTINCT model FROM preds) m, range(50) r(i)),
+dens AS (SELECT s.model, COALESCE(c.cp, 0) / (i.ip * 0.02) + 1e-10 AS dp,
+                COALESCE(c.cn, 0) / (i.inn * 0.02) + 1e-10 AS dn, i.ip, i.inn
+         FROM spine s LEFT JOIN cnt c ON s.model = c.model AND s.bin = c.bin JOIN inr i ON s.model = i.model),
+norm AS (SELECT model, dp / SUM(dp) OVER (PARTITION BY model) AS p, dn / SUM(dn) OVER (PARTITION BY model) AS q,
+                ip, inn FROM dens),
+kl AS (SELECT model, CASE WHEN max(ip) > 0 AND max(inn) > 0 THEN SUM(p * ln(p / q)) END AS kl FROM norm GROUP BY model),
+tot AS (SELECT model, count(*) FILTER (WHERE y_true = 1) AS n_positive, count(*) FILTER (WHERE y_true = 0) AS n_negative
+        FROM preds GROUP BY model)
+SELECT t.model, n_positive, n_negative,
+       {r6('CAST(n_negative AS DOUBLE) / GREATEST(n_positive, 1)', 'class_imbalance_ratio')},
+       {r6('kl', 'kl_divergence_pos_neg')}
+FROM tot t LEFT JOIN kl ON t.model = kl.model""")(lambda spark, sf: rounded(M.class_separation(_preds(spark, sf))))
+
+register("score_histogram", f"""WITH {base()}, {_edge_cte('edges', 40)},
+binned AS (SELECT p.model, p.y_true AS y_class,
+             CASE WHEN p.y_score = 1.0 THEN 38 ELSE (SELECT max(i) FROM edges WHERE e <= p.y_score) END AS bin
+           FROM preds p WHERE p.y_score >= 0 AND p.y_score <= 1),
+cnt AS (SELECT model, y_class, bin, count(*) AS c FROM binned GROUP BY ALL),
+tot AS (SELECT model, y_class, SUM(c) AS t FROM cnt GROUP BY ALL),
+spine AS (SELECT t.model, t.y_class, t.t, CAST(r.i AS INTEGER) AS bin FROM tot t, range(39) r(i))
+SELECT s.model, s.y_class, s.bin, {r6('(SELECT e FROM edges WHERE i = s.bin)', 'bin_left')},
+       CAST(COALESCE(c.c, 0) AS BIGINT) AS count,
+       {r6('COALESCE(c.c, 0) / (s.t * ((SELECT e FROM edges WHERE i = 1) - (SELECT e FROM edges WHERE i = 0)))', 'density')}
+FROM spine s LEFT JOIN cnt c ON s.model = c.model AND s.y_class = c.y_class AND s.bin = c.bin""")(
+    lambda spark, sf: rounded(M.score_histogram(_preds(spark, sf))))
+
+
+# ---------------------------------------------------------------- ranking
+
+_Z975 = C.normal_quantile(0.975)
+
+register("delong_ci", f"""WITH {base()},
+dist AS (SELECT model, y_score AS s, SUM(y_true) AS pos, SUM(1 - y_true) AS neg FROM preds GROUP BY model, y_score),
+cum AS (SELECT model, s, pos, neg,
+          COALESCE(SUM(neg) OVER (PARTITION BY model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+          COALESCE(SUM(pos) OVER (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_above,
+          SUM(pos) OVER (PARTITION BY model) AS P, SUM(neg) OVER (PARTITION BY model) AS N FROM dist),
+rowv AS (SELECT p.model, p.y_true, c.P, c.N,
+           CASE WHEN p.y_true = 1 THEN (c.neg_below + 0.5 * c.neg) / c.N ELSE (c.pos_above + 0.5 * c.pos) / c.P END AS v
+         FROM preds p JOIN cum c ON p.model = c.model AND p.y_score = c.s),
+agg AS (SELECT model, max(P) AS P, max(N) AS N, avg(v) FILTER (WHERE y_true = 1) AS auc,
+          COALESCE(var_samp(v) FILTER (WHERE y_true = 1), 0) AS s10, COALESCE(var_samp(v) FILTER (WHERE y_true = 0), 0) AS s01
+        FROM rowv GROUP BY model),
+fin AS (SELECT model, CASE WHEN P > 0 AND N > 0 THEN auc END AS auc,
+          CASE WHEN P > 0 AND N > 0 THEN s10 / P + s01 / N END AS variance FROM agg)
+SELECT model, {r6('auc', 'auc')}, {r6('variance', 'variance', 12)}, {r6('sqrt(GREATEST(variance, 0))', 'std_error')},
+       {r6(f'GREATEST(0.0, auc - {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'lower')},
+       {r6(f'LEAST(1.0, auc + {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'upper')},
+       CASE WHEN auc IS NULL THEN 'single class' ELSE 'ok' END AS status
+FROM fin""")(lambda spark, sf: rounded(C.delong(C.score_table(_preds(spark, sf))), variance=12))
+
+_CUM_DESC = """cd AS (SELECT model, s, pos, neg,
+    SUM(pos) OVER (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cpos,
+    SUM(neg) OVER (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg,
+    SUM(pos) OVER (PARTITION BY model) AS P, SUM(neg) OVER (PARTITION BY model) AS N
+  FROM (SELECT model, y_score AS s, SUM(y_true) AS pos, SUM(1 - y_true) AS neg FROM preds GROUP BY model, y_score))"""
+
+register("roc_curve", f"""WITH {base()}, {_CUM_DESC}
+SELECT model, {r6('s', 'threshold')}, {r6(_ratio('cneg', 'N'), 'fpr')}, {r6(_ratio('cpos', 'P'), 'tpr')} FROM cd""")(
+    lambda spark, sf: rounded(C.roc_curve(C.score_table(_preds(spark, sf)))))
+
+register("pr_curve", f"""WITH {base()}, {_CUM_DESC}
+SELECT model, {r6('s', 'threshold')}, {r6('CAST(cpos AS DOUBLE) / (cpos + cneg)', 'precision')},
+       {r6(_ratio('cpos', 'P'), 'recall')} FROM cd""")(
+    lambda spark, sf: rounded(C.pr_curve(C.score_table(_preds(spark, sf)))))
+
+
+# ---------------------------------------------------------------- errors & comparison
+
+def _desc_sql(mask: str, name: str) -> str:
+    v = f"CASE WHEN {mask} THEN y_score END"
+    return ", ".join([f"count({v}) AS {name}_n", r6(f"COALESCE(avg({v}), 0.0)", f"{name}_mean"),
+                      r6(f"COALESCE(stddev_pop({v}), 0.0)", f"{name}_std"),
+                      r6(f"COALESCE(min({v}), 0.0)", f"{name}_min"), r6(f"COALESCE(max({v}), 0.0)", f"{name}_max")])
+
+
+_FP = "(y_true = 0 AND y_score >= CAST(0.5 AS DOUBLE))"
+_FN = "(y_true = 1 AND y_score < CAST(0.5 AS DOUBLE))"
+
+register("error_summary", f"""WITH {base()}
+SELECT model, count(*) FILTER (WHERE {_FP}) AS n_fp, count(*) FILTER (WHERE {_FN}) AS n_fn,
+  {r6(f'CAST(count(*) FILTER (WHERE {_FN}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 1), 1)', 'fn_rate_overall')},
+  {r6(f'CAST(count(*) FILTER (WHERE {_FP}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 0), 1)', 'fp_rate_overall')},
+  {_desc_sql(_FP, 'fp_score')}, {_desc_sql(_FN, 'fn_score')}
+FROM preds GROUP BY model""")(lambda spark, sf: rounded(M.error_summary(_preds(spark, sf))))
+
+register("comparison_table", f"""WITH {base()},
+cells AS (SELECT model, {_CELLS} FROM preds GROUP BY model),{_RANK_SQL},
+m AS (SELECT c.model, {_metric_sql()}, {r6('roc_auc', 'roc_auc')}, {r6('pr_auc', 'pr_auc')}
+      FROM cells c JOIN rk ON c.model = rk.model)
+SELECT model, f1, precision, recall, roc_auc, pr_auc, mcc,
+       CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank FROM m""")(
+    lambda spark, sf: rounded(M.comparison_table(M.classification_metrics(_preds(spark, sf)))))
