@@ -355,3 +355,110 @@ m AS (SELECT c.model, {_metric_sql()}, {r6('roc_auc', 'roc_auc')}, {r6('pr_auc',
 SELECT model, f1, precision, recall, roc_auc, pr_auc, mcc,
        CAST(row_number() OVER (ORDER BY f1 DESC, model) AS INTEGER) AS rank FROM m""")(
     lambda spark, sf: rounded(M.comparison_table(M.classification_metrics(_preds(spark, sf)))))
+
+
+# ---------------------------------------------------------------- segments
+
+from ..operators import inference as I  # noqa: E402
+from ..operators import segments as G  # noqa: E402
+from ..functions.special import chi2_df1_sf_sql  # noqa: E402
+
+
+def _joined(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    return G.join_metadata(fx.predictions(lab), fx.window_metadata(lab))
+
+
+_JOINED = "joined AS (SELECT p.model, p.y_true, p.y_score, m.* EXCLUDE (machine_id, end_timestep), p.machine_id, p.end_timestep FROM preds p JOIN meta m ON p.machine_id = m.machine_id AND p.end_timestep = m.end_timestep)"
+
+
+def _group_rate_cols():
+    return f"""n_windows, n_positives, n_negatives, tp, fp, fn, tn,
+  {r6(_ratio('fn', 'n_positives'), 'fn_rate')}, {r6(_ratio('fp', 'n_negatives'), 'fp_rate')},
+  {r6(_ratio('tp', 'tp + fp'), 'precision')}, {r6(_ratio('tp', 'tp + fn'), 'recall')},
+  {r6(f"CASE WHEN {_ratio('tp', 'tp + fp')} + {_ratio('tp', 'tp + fn')} > 0 THEN 2 * {_ratio('tp', 'tp + fp')} * {_ratio('tp', 'tp + fn')} / ({_ratio('tp', 'tp + fp')} + {_ratio('tp', 'tp + fn')}) ELSE 0.0 END", 'f1')}"""
+
+
+_GROUP_AGG = """count(*) AS n_windows, count(*) FILTER (WHERE y_true = 1) AS n_positives,
+  count(*) FILTER (WHERE y_true = 0) AS n_negatives,
+  count(*) FILTER (WHERE y_true = 1 AND y_score >= CAST(0.5 AS DOUBLE)) AS tp,
+  count(*) FILTER (WHERE y_true = 0 AND y_score >= CAST(0.5 AS DOUBLE)) AS fp,
+  count(*) FILTER (WHERE y_true = 1 AND y_score < CAST(0.5 AS DOUBLE)) AS fn,
+  count(*) FILTER (WHERE y_true = 0 AND y_score < CAST(0.5 AS DOUBLE)) AS tn"""
+
+_BY_GROUP = f"""{_JOINED},
+bg AS (SELECT model, 'machine_type' AS group_by, machine_type AS group_value, {_GROUP_AGG} FROM joined GROUP BY model, machine_type
+       UNION ALL
+       SELECT model, 'degradation_stage', degradation_stage, {_GROUP_AGG} FROM joined GROUP BY model, degradation_stage),
+bgr AS (SELECT model, group_by, group_value, {_group_rate_cols()} FROM bg)"""
+
+register("error_by_group", f"""WITH {base()}, {_BY_GROUP}
+SELECT * FROM bgr""")(lambda spark, sf: rounded(G.error_by_group(_joined(spark, sf))))
+
+register("error_by_proximity", f"""WITH {base()}, {_JOINED},
+b AS (SELECT model, y_true, y_score,
+        CASE WHEN timesteps_to_failure IS NULL THEN 7 WHEN timesteps_to_failure < 5 THEN 0
+             WHEN timesteps_to_failure < 10 THEN 1 WHEN timesteps_to_failure < 20 THEN 2
+             WHEN timesteps_to_failure < 30 THEN 3 WHEN timesteps_to_failure < 60 THEN 4
+             WHEN timesteps_to_failure < 100 THEN 5 ELSE 6 END AS bucket_order FROM joined),
+lab(bucket_order, bucket) AS (VALUES (0, '0–4'), (1, '5–9'), (2, '10–19'), (3, '20–29'), (4, '30–59'),
+                                     (5, '60–99'), (6, '≥100'), (7, 'no failure in window'))
+SELECT model, CAST(b.bucket_order AS INTEGER) AS bucket_order, bucket, count(*) AS n_windows,
+       count(*) FILTER (WHERE y_true = 1) AS n_positives,
+       {r6(_ratio('count(*) FILTER (WHERE y_true = 1 AND y_score < CAST(0.5 AS DOUBLE))', 'count(*) FILTER (WHERE y_true = 1)'), 'fn_rate')},
+       {r6(_ratio('count(*) FILTER (WHERE y_true = 0 AND y_score >= CAST(0.5 AS DOUBLE))', 'count(*) FILTER (WHERE y_true = 0)'), 'fp_rate')}
+FROM b JOIN lab ON b.bucket_order = lab.bucket_order GROUP BY model, b.bucket_order, bucket""")(
+    lambda spark, sf: rounded(G.error_by_proximity(_joined(spark, sf))))
+
+register("worst_groups", f"""WITH {base()}, {_BY_GROUP},
+l AS (SELECT model, group_by, group_value, 'fn_rate' AS metric, fn_rate AS value FROM bgr
+      UNION ALL SELECT model, group_by, group_value, 'fp_rate', fp_rate FROM bgr),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, group_by, metric ORDER BY value DESC, group_value) AS rn FROM l)
+SELECT model, group_by, metric, group_value, value FROM r WHERE rn = 1""")(
+    lambda spark, sf: rounded(G.worst_groups(rounded(G.error_by_group(_joined(spark, sf))))))
+
+register("best_model", f"""WITH {base()},
+cells AS (SELECT model, {_CELLS} FROM preds GROUP BY model),
+m AS (SELECT model, {r6(_ratio('2.0 * tp', '2.0 * tp + fp + fn'), 'f1')} FROM cells)
+SELECT 'f1' AS metric, model, f1 AS value FROM m ORDER BY f1 DESC, model LIMIT 1""")(
+    lambda spark, sf: rounded(G.best_model(rounded(M.classification_metrics(_preds(spark, sf))))))
+
+
+# ---------------------------------------------------------------- inference
+
+_PAIRS = """wide AS (SELECT machine_id, end_timestep, max(y_true) AS y,
+    max(CASE WHEN model = 'a' THEN y_score END) AS sa, max(CASE WHEN model = 'b' THEN y_score END) AS sb,
+    max(CASE WHEN model = 'c' THEN y_score END) AS sc FROM preds GROUP BY machine_id, end_timestep),
+ok AS (SELECT (CAST(sa >= 0.5 AS INTEGER) = y) AS oa, (CAST(sb >= 0.5 AS INTEGER) = y) AS ob,
+              (CAST(sc >= 0.5 AS INTEGER) = y) AS oc FROM wide),
+pairs AS (
+  SELECT 'a' AS model_a, 'b' AS model_b, count(*) FILTER (WHERE oa AND NOT ob) AS b, count(*) FILTER (WHERE NOT oa AND ob) AS c FROM ok
+  UNION ALL SELECT 'a', 'c', count(*) FILTER (WHERE oa AND NOT oc), count(*) FILTER (WHERE NOT oa AND oc) FROM ok
+  UNION ALL SELECT 'b', 'c', count(*) FILTER (WHERE ob AND NOT oc), count(*) FILTER (WHERE NOT ob AND oc) FROM ok),
+mc AS (SELECT model_a, model_b, b, c,
+         CASE WHEN b + c > 0 THEN power(abs(b - c) - 1.0, 2) / (b + c) ELSE 0.0 END AS statistic FROM pairs),
+mcp AS (SELECT *, CASE WHEN b + c > 0 THEN """ + chi2_df1_sf_sql("statistic") + """ ELSE 1.0 END AS p_value FROM mc),
+mci AS (SELECT *, CASE WHEN b + c = 0 THEN 'Models agree on all samples — test not informative.'
+                       WHEN p_value < 0.01 THEN 'Highly significant difference (p < 0.01).'
+                       WHEN p_value < 0.05 THEN 'Significant difference (p < 0.05).'
+                       ELSE 'No significant difference (p ≥ 0.05). Cannot reject H0.' END AS interpretation FROM mcp)"""
+
+register("mcnemar", f"""WITH {base()}, {_PAIRS}
+SELECT model_a, model_b, b, c, {r6('statistic', 'statistic')}, {r6('p_value', 'p_value')}, interpretation FROM mci""")(
+    lambda spark, sf: rounded(I.mcnemar(_preds(spark, sf))))
+
+_DL = SQL["delong_ci"].split("\nSELECT model, ")[0]
+
+register("model_comparison", f"""{_DL},
+dl AS (SELECT model, {r6('auc', 'auc')}, {r6(f'GREATEST(0.0, auc - {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'lower')},
+       {r6(f'LEAST(1.0, auc + {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'upper')} FROM fin), {_PAIRS}
+SELECT m.model_a, m.model_b, m.b, m.c, {r6('m.statistic', 'statistic')}, {r6('m.p_value', 'p_value')}, m.interpretation,
+       x.auc AS auc_a, x.lower AS auc_a_lower, x.upper AS auc_a_upper,
+       y.auc AS auc_b, y.lower AS auc_b_lower, y.upper AS auc_b_upper
+FROM mci m JOIN dl x ON m.model_a = x.model JOIN dl y ON m.model_b = y.model""")(
+    lambda spark, sf: rounded(I.compare_models(_preds(spark, sf))))
+
+# Resampling -- rows-only check (hash draws are Spark's own)
+register("bootstrap_ci")(lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=500)))
+register("permutation_test")(lambda spark, sf: rounded(
+    I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=1000)))
