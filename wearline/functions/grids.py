@@ -23,28 +23,39 @@ def _lit_array(values: list[float]) -> Column:
 
 
 def count_le(x: Column, edges: list[float]) -> Column:
-    """Number of literal ``edges`` that are <= x (edges ascending, evenly spaced).
-
-    An arithmetic guess k0 is off by at most one from the true count c (the
-    edges are the rounded values ``i*h + e0``); one comparison on each side
-    against the literal values makes it exact:
-    c = k0 + [edges[k0] <= x] - [edges[k0-1] > x].
-    """
+    """Number of literal ``edges`` that are <= x (edges ascending, evenly spaced)."""
     g = len(edges)
     if g == 0:
         return F.lit(0)
-    arr = _lit_array(edges)
     e0 = float(edges[0])
     h = (float(edges[-1]) - e0) / (g - 1) if g > 1 else 1.0
-    if h <= 0:
-        h = 1.0
-    guess = F.floor((x - F.lit(e0)) / F.lit(h)).cast("long") + 1
+    return count_le_array(x, _lit_array(edges), F.lit(e0), F.lit(h if h > 0 else 1.0), g)
+
+
+def count_le_array(x: Column, arr: Column, e0: Column, h: Column, g: int) -> Column:
+    """Number of entries of the ascending, evenly spaced array ``arr`` (g
+    entries, first e0, spacing h) that are <= x.
+
+    An arithmetic guess k0 is off by at most one from the true count c (the
+    edges are the rounded values ``i*h + e0``); one comparison on each side
+    against the actual edge values makes it exact:
+    c = k0 + [arr[k0] <= x] - [arr[k0-1] > x].
+    """
+    guess = F.floor((x - e0) / h).cast("long") + 1
     k0 = F.least(F.greatest(guess, F.lit(0)), F.lit(g)).cast("int")
     up = F.when((k0 < g) & (F.element_at(arr, F.least(k0 + 1, F.lit(g))) <= x), 1).otherwise(0)
     down = F.when((k0 > 0) & (F.element_at(arr, F.greatest(k0, F.lit(1))) > x), 1).otherwise(0)
     return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(k0 + up - down)
 
 
+def linspace_array(lo: Column, hi: Column, num: int) -> Column:
+    """Per-row ``np.linspace(lo, hi, num)`` as an array column (same IEEE steps:
+    i*step + lo, last = hi)."""
+    step = (hi - lo) / F.lit(float(num - 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(num - 1)),
+                       lambda i: F.when(i == num - 1, hi).otherwise(i.cast("double") * step + lo))
+
+
 def histogram_bin(x: Column, edges: list[float]) -> Column:
     """NumPy ``histogram`` bin: [e_i, e_i+1), the last bin closed; NULL outside."""
     n_bins = len(edges) - 1

@@ -462,3 +462,122 @@ FROM mci m JOIN dl x ON m.model_a = x.model JOIN dl y ON m.model_b = y.model""")
 register("bootstrap_ci")(lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=500)))
 register("permutation_test")(lambda spark, sf: rounded(
     I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=1000)))
+
+
+# ---------------------------------------------------------------- readings
+
+from ..operators import quality as Q  # noqa: E402
+from ..operators import drift as D  # noqa: E402
+from ..operators import readings_ops as R  # noqa: E402
+from ..sources.tables import ORDERKEY_BLOCK, SENSORS, read_table  # noqa: E402
+
+register("dataset_summary", f"""WITH {base()}
+SELECT count(DISTINCT machine_id) AS engines, count(*) AS n_rows,
+       {r6('(SELECT avg(mt) FROM (SELECT max(timestep) AS mt FROM labeled GROUP BY machine_id))', 'avg_life')},
+       max(rul) AS max_rul, {r6('avg(CAST(failure_imminent AS DOUBLE))', 'positive_rate')}
+FROM labeled""")(lambda spark, sf: rounded(R.dataset_summary(fx.labeled_readings(spark, sf))))
+
+register("machine_types", f"""WITH {base()}
+SELECT machine_type, count(DISTINCT machine_id) AS n_machines, count(*) AS n_rows FROM labeled GROUP BY machine_type""")(
+    lambda spark, sf: R.machine_type_distribution(fx.labeled_readings(spark, sf)))
+
+register("near_constant_sensors", f"""WITH {base()},
+l AS (SELECT 'quantity' AS sensor, quantity AS v FROM readings UNION ALL SELECT 'price', price FROM readings
+      UNION ALL SELECT 'discount', discount FROM readings UNION ALL SELECT 'tax', tax FROM readings)
+SELECT sensor, {r6('stddev_pop(v)', 'std')}, {r6('min(v)', 'min')}, {r6('max(v)', 'max')},
+       stddev_pop(v) <= 1e-06 AS near_constant FROM l GROUP BY sensor""")(
+    lambda spark, sf: rounded(R.near_constant_sensors(fx.labeled_readings(spark, sf), SENSORS)))
+
+
+# ---------------------------------------------------------------- quality
+
+_DMG = """dmg AS (SELECT machine_id, timestep, l_orderkey, l_linenumber,
+    CASE WHEN l_orderkey % 10 = 1 THEN NULL ELSE quantity END AS quantity,
+    CASE WHEN l_orderkey % 20 = 5 THEN -100.0 ELSE price END AS price,
+    CASE WHEN l_orderkey % 50 = 7 THEN CAST('NaN' AS DOUBLE) ELSE discount END AS discount, tax,
+    CASE WHEN l_orderkey % 97 = 3 THEN 2 ELSE failure_imminent END AS failure_imminent FROM labeled)"""
+
+
+def _quality_sql():
+    parts = []
+    for c in SENSORS:
+        k = f"count(*) FILTER (WHERE {c} IS NULL OR isnan({c}))"
+        frac = f"CAST({k} AS DOUBLE) / count(*)"
+        parts.append(f"SELECT 'nan' AS \"check\", '{c}' AS \"column\", CASE WHEN {frac} > 0.05 THEN 'error' WHEN {k} > 0 THEN 'warning' ELSE 'ok' END AS severity, CAST({k} AS BIGINT) AS n_bad, {r6(frac, 'fraction')} FROM dmg")
+    for c, (lo, hi) in Q.READINGS_SCHEMA.value_ranges.items():
+        valid = f"NOT ({c} IS NULL OR isnan({c}))"
+        k = f"count(*) FILTER (WHERE {valid} AND ({c} < {lo!r} OR {c} > {hi!r}))"
+        v = f"count(*) FILTER (WHERE {valid})"
+        frac = f"(CASE WHEN {v} > 0 THEN CAST({k} AS DOUBLE) / {v} ELSE 0.0 END)"
+        parts.append(f"SELECT 'range', '{c}', CASE WHEN {frac} > 0.01 THEN 'error' WHEN {k} > 0 THEN 'warning' ELSE 'ok' END, CAST({k} AS BIGINT), {r6(frac, 'fraction')} FROM dmg")
+    k = "count(DISTINCT CASE WHEN failure_imminent NOT IN (0, 1) THEN failure_imminent END)"
+    parts.append(f"SELECT 'target_binary', 'failure_imminent', CASE WHEN {k} > 0 THEN 'error' ELSE 'ok' END, CAST({k} AS BIGINT), CAST(NULL AS DOUBLE) FROM dmg")
+    parts.append("""SELECT 'monotone_timestep', 'timestep', CASE WHEN count(DISTINCT machine_id) > 0 THEN 'warning' ELSE 'ok' END,
+        CAST(count(DISTINCT machine_id) AS BIGINT), CAST(NULL AS DOUBLE)
+      FROM (SELECT machine_id, timestep, lag(timestep) OVER (PARTITION BY machine_id ORDER BY l_orderkey, l_linenumber) AS pt FROM dmg)
+      WHERE timestep < pt""")
+    return "\nUNION ALL ".join(parts)
+
+
+register("quality_report", f"""WITH {base()}, {_DMG}
+{_quality_sql()}""")(lambda spark, sf: rounded(Q.validate(
+    fx.damaged_readings(spark, sf), Q.READINGS_SCHEMA, ingest_cols=["l_orderkey", "l_linenumber"],
+    ingest_chunk=F.col("l_orderkey") / F.lit(ORDERKEY_BLOCK))))
+
+
+def _route_sql():
+    conds = []
+    for c, (lo, hi) in Q.READINGS_SCHEMA.value_ranges.items():
+        conds.append(f"WHEN {c} IS NULL OR isnan({c}) THEN 'missing:{c}'")
+        conds.append(f"WHEN {c} < {lo!r} OR {c} > {hi!r} THEN 'range:{c}'")
+    return "CASE " + " ".join(conds) + " END"
+
+
+register("row_routing", f"""WITH {base()}, {_DMG}
+SELECT {_route_sql()} AS reject_reason, count(*) AS n_rows FROM dmg GROUP BY 1""")(
+    lambda spark, sf: Q.route_rows(fx.damaged_readings(spark, sf), Q.READINGS_SCHEMA.value_ranges)
+    .groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n_rows")))
+
+register("prepare_guard", f"""WITH {base()}
+SELECT count(*) AS n_rows, CAST({' + '.join(f'count(*) FILTER (WHERE {c} IS NULL OR isnan({c}))' for c in SENSORS)} AS BIGINT) AS n_missing
+FROM labeled""")(lambda spark, sf: Q.require_clean(fx.labeled_readings(spark, sf), SENSORS, "failure_imminent"))
+
+
+# ---------------------------------------------------------------- drift
+
+def _drift_sql(src: str, cond_ref: str, cond_cur: str, sensors: list[str]) -> str:
+    longs = " UNION ALL ".join(
+        f"SELECT '{c}' AS sensor, CAST({c} AS DOUBLE) AS value, CASE WHEN {cond_ref} THEN 'ref' WHEN {cond_cur} THEN 'cur' END AS side FROM {src}"
+        for c in sensors)
+    return f"""lv AS (SELECT * FROM ({longs}) WHERE side IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+rng AS (SELECT sensor, min(value) AS lo, max(value) AS hi FROM lv GROUP BY sensor),
+edges AS (SELECT sensor, i, CASE WHEN i = 10 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 10.0) + lo END AS e
+          FROM rng, range(11) r(i)),
+binned AS (SELECT l.sensor, l.side, CASE WHEN l.value = r.hi THEN 9
+             ELSE (SELECT max(i) FROM edges e WHERE e.sensor = l.sensor AND e.e <= l.value) END AS bin
+           FROM lv l JOIN rng r ON l.sensor = r.sensor),
+cnt AS (SELECT sensor, bin, count(*) FILTER (WHERE side = 'ref') AS hr, count(*) FILTER (WHERE side = 'cur') AS hc
+        FROM binned GROUP BY sensor, bin),
+st AS (SELECT sensor, count(*) FILTER (WHERE side = 'ref') AS n_ref, count(*) FILTER (WHERE side = 'cur') AS n_cur,
+          avg(value) FILTER (WHERE side = 'ref') AS reference_mean, avg(value) FILTER (WHERE side = 'cur') AS current_mean,
+          stddev_pop(value) FILTER (WHERE side = 'ref') AS reference_std, stddev_pop(value) FILTER (WHERE side = 'cur') AS current_std
+       FROM lv GROUP BY sensor),
+sp AS (SELECT r.sensor, r.lo, r.hi, CAST(x.i AS INTEGER) AS bin FROM rng r, range(10) x(i)),
+fr AS (SELECT sp.sensor, sp.lo, sp.hi, (COALESCE(c.hr, 0) + 1e-06) / (st.n_ref + 1e-06 * 10) AS rf,
+              (COALESCE(c.hc, 0) + 1e-06) / (st.n_cur + 1e-06 * 10) AS cf
+       FROM sp LEFT JOIN cnt c ON sp.sensor = c.sensor AND sp.bin = c.bin JOIN st ON sp.sensor = st.sensor),
+ps AS (SELECT sensor, CASE WHEN max(lo) = max(hi) THEN 0.0 ELSE SUM((cf - rf) * ln(cf / rf)) END AS psi FROM fr GROUP BY sensor)
+SELECT ps.sensor, {r6('psi', 'psi')},
+       CASE WHEN psi > 0.25 THEN 'CRITICAL' WHEN psi > 0.1 THEN 'WARNING' ELSE 'OK' END AS status,
+       {r6('reference_mean', 'reference_mean')}, {r6('current_mean', 'current_mean')},
+       {r6('reference_std', 'reference_std')}, {r6('current_std', 'current_std')}
+FROM ps JOIN st ON ps.sensor = st.sensor"""
+
+
+register("drift_readings", f"""WITH {base()}, {_drift_sql('readings', "l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'", SENSORS)}""")(
+    lambda spark, sf: rounded(R.drift_by_cutoff(fx.labeled_readings(spark, sf), "l_shipdate", "1998-01-01", SENSORS)))
+
+register("drift_events", f"""WITH {_drift_sql('events', "ts < TIMESTAMP '2024-01-16 00:00:00'", "ts >= TIMESTAMP '2024-01-16 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00'", ['value'])}""")(
+    lambda spark, sf: rounded(R.drift_by_cutoff(
+        read_table(spark, sf, "events").where(F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz")),
+        "ts", "2024-01-16", ["value"])))

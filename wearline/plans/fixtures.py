@@ -83,18 +83,18 @@ def load_predictions(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> D
     return predictions(labeled_readings(spark, sf_dir, p), p)
 
 
-def damaged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality input: deterministic damage on the readings.
+def damaged_readings(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
+    """Quality input: labelled readings with deterministic damage.
 
-    ``l_orderkey % 10 = 1`` -> quantity NULL, ``l_orderkey % 20 = 5`` -> price -100,
-    ``l_orderkey % 50 = 7`` -> discount NaN.
+    ``l_orderkey % 10 = 1`` -> quantity NULL, ``% 20 = 5`` -> price -100,
+    ``% 50 = 7`` -> discount NaN, ``% 97 = 3`` -> failure_imminent 2.
     """
-    r = readings(spark, sf_dir)
-    return (r.withColumn("quantity", F.when(F.col("l_orderkey") % 10 == 1, F.lit(None).cast("double"))
-                         .otherwise(F.col("quantity")))
-             .withColumn("price", F.when(F.col("l_orderkey") % 20 == 5, F.lit(-100.0)).otherwise(F.col("price")))
-             .withColumn("discount", F.when(F.col("l_orderkey") % 50 == 7, F.lit(float("nan")))
-                         .otherwise(F.col("discount"))))
+    r = labeled_readings(spark, sf_dir, p)
+    k = F.col("l_orderkey")
+    return (r.withColumn("quantity", F.when(k % 10 == 1, F.lit(None).cast("double")).otherwise(F.col("quantity")))
+             .withColumn("price", F.when(k % 20 == 5, F.lit(-100.0)).otherwise(F.col("price")))
+             .withColumn("discount", F.when(k % 50 == 7, F.lit(float("nan"))).otherwise(F.col("discount")))
+             .withColumn("failure_imminent", F.when(k % 97 == 3, F.lit(2)).otherwise(F.col("failure_imminent"))))
 
 
 SENSOR_COLS = list(SENSORS)
