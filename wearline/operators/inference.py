@@ -145,7 +145,7 @@ def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, thres
     reps = F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("rep")
     e = preds.select(*g, *KEY, "y_true", "y_score", reps)
     u = uniform_hash(*[F.col(c) for c in g], *[F.col(k) for k in KEY], F.col("rep"), F.lit(seed))
-    w = e.withColumn("w", poisson_inverse(u, F.lit(1.0), kmax=12)).where(F.col("w") > 0)
+    w = e.withColumn("w", poisson_inverse(u, 1.0)).where(F.col("w") > 0)
     keys = [*g, "rep"]
     p = decision(F.col("y_score"), threshold)
     y = F.col("y_true")

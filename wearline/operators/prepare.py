@@ -116,6 +116,18 @@ def scaler_params(df: DataFrame, columns: list[str], kind: str = "standard",
     return out
 
 
+def scaler_table(df: DataFrame, columns: list[str], kind: str = "standard",
+                 exact: bool = True) -> DataFrame:
+    """Fitted parameters as rows (kind, sensor, center, scale), lazily; zero scale -> 1."""
+    one = scaler_params(df, columns, kind, exact)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("sensor"), F.col(f"{c}__center").alias("center"),
+                                        F.col(f"{c}__scale").alias("scale")) for c in columns]))
+    t = one.select(rows.alias("r")).select("r.*")
+    return t.select(F.lit(kind).alias("kind"), "sensor", F.coalesce("center", F.lit(0.0)).alias("center"),
+                    F.when(F.col("scale").isNull() | (F.col("scale") == 0), F.lit(1.0))
+                     .otherwise(F.col("scale")).alias("scale"))
+
+
 def fit_scaler(df: DataFrame, columns: list[str], kind: str = "standard",
                exact: bool = True) -> FittedScaler:
     """F2/F3/F4 fit: standard (ddof 0, sigma 0 -> 1), min-max (range 0 -> 1), robust (IQR 0 -> 1)."""
@@ -252,9 +264,9 @@ def poisson_resample(df: DataFrame, key_cols: list[str], label_col: str = "label
     uniform and the Poisson inverse CDF, so reruns give the same sample.
     """
     w = pos_weight(df, label_col).first()
-    lam = F.when(F.col(label_col) == 1, F.lit(w["weight_pos"] or 0.0)).otherwise(F.lit(w["weight_neg"] or 0.0))
     u = uniform_hash(*[F.col(c) for c in key_cols], F.lit(seed))
-    k = poisson_inverse(u, lam)
+    k = F.when(F.col(label_col) == 1, poisson_inverse(u, w["weight_pos"] or 0.0)).otherwise(
+        poisson_inverse(u, w["weight_neg"] or 0.0))
     return df.withColumn("__k", k).where(F.col("__k") > 0) \
              .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
 
@@ -265,21 +277,26 @@ def uniform_hash(*cols: Column) -> Column:
     return (F.abs(h % F.lit(1 << 53))).cast("double") / float(1 << 53)
 
 
-def poisson_inverse(u: Column, lam: Column, kmax: int = 30) -> Column:
-    """Smallest k with P(X <= k) > u for X ~ Poisson(lam) (lam <= ~10)."""
-    # cumulative probabilities via the recurrence p_k = p_{k-1} * lam / k
-    k = F.lit(kmax)
-    p = F.exp(-lam)
-    cum = p
-    terms = []
-    for i in range(kmax):
-        terms.append((cum, i))
-        p = p * lam / float(i + 1)
-        cum = cum + p
-    expr = F.lit(kmax)
-    for cum_i, i in reversed(terms):
-        expr = F.when(u < cum_i, F.lit(i)).otherwise(expr)
-    return expr
+def poisson_cdf(lam: float, kmax: int | None = None) -> list[float]:
+    """P(X <= k) for k = 0..kmax, X ~ Poisson(lam) (driver-side constants)."""
+    import math
+    kmax = kmax or int(lam + 12 * math.sqrt(lam + 1) + 12)
+    p, cum, out = math.exp(-lam), 0.0, []
+    for k in range(kmax + 1):
+        cum += p
+        out.append(min(cum, 1.0))
+        p = p * lam / (k + 1)
+    return out
+
+
+def poisson_inverse(u: Column, lam: float) -> Column:
+    """Smallest k with P(X <= k) > u for X ~ Poisson(lam): one flat CASE over
+    literal CDF values (stays in generated code)."""
+    cdf = poisson_cdf(float(lam))
+    expr = None
+    for k, c in enumerate(cdf):
+        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
+    return expr.otherwise(F.lit(len(cdf)))
 
 
 def window_size_study(readings: DataFrame, splits: DataFrame, sizes=(10, 25, 50, 100),
@@ -296,3 +313,11 @@ def window_size_study(readings: DataFrame, splits: DataFrame, sizes=(10, 25, 50,
     return (e.groupBy(F.col("c.T").alias("window_size"), F.col("c.S").alias("step_size"), "split")
              .agg(F.count(F.lit(1)).alias("n_windows"),
                   F.sum(F.col(label_col)).alias("n_positive")))
+
+
+def sample_windows(windows: DataFrame, n: int = 500, seed: int = 42,
+                   key=("machine_id", "end_timestep")) -> DataFrame:
+    """T5: deterministic sample of at most ``n`` windows without replacement
+    (order by md5 of the key; a distributed top-n, never more than n rows per task)."""
+    h = F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    return windows.orderBy(h, *key).limit(n).select(*key)

@@ -581,3 +581,189 @@ register("drift_events", f"""WITH {_drift_sql('events', "ts < TIMESTAMP '2024-01
     lambda spark, sf: rounded(R.drift_by_cutoff(
         read_table(spark, sf, "events").where(F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz")),
         "ts", "2024-01-16", ["value"])))
+
+
+# ---------------------------------------------------------------- preparation
+
+from ..operators import labels as L  # noqa: E402
+from ..operators import prepare as P  # noqa: E402
+from ..sources.tables import event_readings  # noqa: E402
+
+_SPLIT = """ids AS (SELECT DISTINCT machine_id FROM readings),
+rk AS (SELECT machine_id, row_number() OVER (ORDER BY md5(CAST(machine_id AS VARCHAR) || '-42'), machine_id) - 1 AS r,
+              count(*) OVER () AS n FROM ids),
+nt AS (SELECT max(n) AS n, GREATEST(1, CAST(FLOOR(max(n) * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS n_test FROM rk),
+nv AS (SELECT n, n_test, GREATEST(1, CAST(FLOOR((n - n_test) * CAST(0.1 AS DOUBLE)) AS BIGINT)) AS n_val FROM nt),
+splits AS (SELECT machine_id, CASE WHEN r < n_test THEN 'test' WHEN r < n_test + n_val THEN 'val' ELSE 'train' END AS split
+           FROM rk, nv)"""
+
+
+def _splits(spark, sf):
+    return P.split_machines(fx.labeled_readings(spark, sf))
+
+
+register("machine_split", f"""WITH {base()}, {_SPLIT}
+SELECT machine_id, split FROM splits""")(lambda spark, sf: _splits(spark, sf))
+
+register("split_overlap", f"""WITH {base()}, {_SPLIT}
+SELECT a.machine_id, a.split AS split_a, b.split AS split_b FROM splits a JOIN splits b
+  ON a.machine_id = b.machine_id AND a.split < b.split""")(lambda spark, sf: P.split_overlap(_splits(spark, sf)))
+
+
+def _train(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    return P.attach_split(lab, P.split_machines(lab)).where(F.col("split") == "train")
+
+
+def _scaler_sql():
+    parts = []
+    for c in SENSORS:
+        parts.append(f"SELECT 'standard' AS kind, '{c}' AS sensor, avg({c}) AS center, stddev_pop({c}) AS scale FROM tr")
+        parts.append(f"SELECT 'minmax', '{c}', min({c}), max({c}) - min({c}) FROM tr")
+        parts.append(f"SELECT 'robust', '{c}', quantile_cont({c}, 0.5), quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM tr")
+    return " UNION ALL ".join(parts)
+
+
+register("scaler_params", f"""WITH {base()}, {_SPLIT},
+tr AS (SELECT l.* FROM labeled l JOIN splits s ON l.machine_id = s.machine_id WHERE s.split = 'train'),
+p AS ({_scaler_sql()})
+SELECT kind, sensor, {r6('COALESCE(center, 0.0)', 'center')},
+       {r6('CASE WHEN scale IS NULL OR scale = 0 THEN 1.0 ELSE scale END', 'scale')} FROM p""")(
+    lambda spark, sf: rounded(P.scaler_table(_train(spark, sf), SENSORS, "standard")
+                              .unionByName(P.scaler_table(_train(spark, sf), SENSORS, "minmax"))
+                              .unionByName(P.scaler_table(_train(spark, sf), SENSORS, "robust"))))
+
+
+def _scaled_test(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    sp = P.split_machines(lab)
+    j = P.attach_split(lab, sp)
+    scaler = P.fit_scaler(j.where(F.col("split") == "train"), SENSORS, "standard")
+    out = P.apply_scaler(j.where(F.col("split") == "test"), scaler)
+    return rounded(out.select("machine_id", "timestep", *SENSORS))
+
+
+register("scaled_test_readings", f"""WITH {base()}, {_SPLIT},
+j AS (SELECT l.*, s.split FROM labeled l JOIN splits s ON l.machine_id = s.machine_id),
+pr AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}' for c in SENSORS)}
+       FROM j WHERE split = 'train')
+SELECT machine_id, timestep, {', '.join(r6(f'({c} - m_{c}) / s_{c}', c) for c in SENSORS)}
+FROM j, pr WHERE split = 'test'""")(_scaled_test)
+
+
+def _window_checks(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    w = P.sliding_windows(lab, SENSORS, 50, 10)
+    nf = len(SENSORS)
+    qty = F.aggregate(F.sequence(F.lit(0), F.lit(49)), F.lit(0.0),
+                      lambda acc, t: acc + F.element_at("features", t * nf + 1) * (t + 1).cast("double"))
+    return rounded(w.select("machine_id", "end_timestep", "label", F.size("features").alias("n_values"),
+                            F.element_at("features", 1).alias("first_value"),
+                            F.element_at("features", -1).alias("last_value"), qty.alias("qty_weighted")))
+
+
+register("window_features", f"""WITH {base()}
+SELECT e.machine_id, e.timestep AS end_timestep, e.failure_imminent AS label, CAST(count(*) * 4 AS INTEGER) AS n_values,
+       {r6('arg_min(l.quantity, l.timestep)', 'first_value')}, {r6('max(e.tax)', 'last_value')},
+       {r6('SUM(l.quantity * (l.timestep - (e.timestep - 49) + 1))', 'qty_weighted')}
+FROM ends e JOIN labeled l ON l.machine_id = e.machine_id AND l.timestep BETWEEN e.timestep - 49 AND e.timestep
+GROUP BY e.machine_id, e.timestep, e.failure_imminent""")(_window_checks)
+
+
+def _split_stats(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    ends = P.window_end_rows(lab, 50, 10).select("machine_id", F.col("failure_imminent").alias("label"))
+    w = P.attach_split(ends, P.split_machines(lab))
+    st = P.split_stats(w)
+    pw = w.groupBy("split").agg(F.sum("label").alias("n_positive"),
+                                F.when(F.sum("label") > 0, (F.count(F.lit(1)) - F.sum("label")) / F.sum("label"))
+                                .otherwise(F.lit(1.0)).alias("pos_weight"))
+    return rounded(st.join(pw, "split"))
+
+
+register("split_window_stats", f"""WITH {base()}, {_SPLIT},
+w AS (SELECT s.split, e.failure_imminent AS label FROM ends e JOIN splits s ON e.machine_id = s.machine_id)
+SELECT split, count(*) AS n_windows, {r6('avg(CAST(label AS DOUBLE))', 'pos_rate')}, CAST(sum(label) AS BIGINT) AS n_positive,
+       {r6('CASE WHEN sum(label) > 0 THEN CAST(count(*) - sum(label) AS DOUBLE) / sum(label) ELSE 1.0 END', 'pos_weight')}
+FROM w GROUP BY split""")(_split_stats)
+
+
+def _study_sql():
+    parts = []
+    for t in (10, 25, 50, 100):
+        s = max(1, t // 5)
+        parts.append(f"SELECT {t} AS window_size, {s} AS step_size, s.split, l.failure_imminent FROM labeled l JOIN splits s "
+                     f"ON l.machine_id = s.machine_id WHERE l.timestep >= {t - 1} AND (l.timestep - {t - 1}) % {s} = 0")
+    return " UNION ALL ".join(parts)
+
+
+register("window_size_study", f"""WITH {base()}, {_SPLIT}, x AS ({_study_sql()})
+SELECT window_size, step_size, split, count(*) AS n_windows, CAST(sum(failure_imminent) AS BIGINT) AS n_positive
+FROM x GROUP BY ALL""")(lambda spark, sf: P.window_size_study(
+    fx.labeled_readings(spark, sf), _splits(spark, sf)).select(
+        "window_size", "step_size", "split", "n_windows", F.col("n_positive").cast("long").alias("n_positive")))
+
+
+def _last_window(spark, sf):
+    ev = event_readings(spark, sf)
+    w = P.last_n_window(ev, ["value"], 64)
+    return rounded(w.select("machine_id", "n_used", F.size("features").alias("n_values"),
+                            F.element_at("features", 1).alias("first_value"),
+                            F.element_at("features", -1).alias("last_value"),
+                            F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("value_sum")))
+
+
+register("last_window", """WITH ev AS (SELECT user_id AS machine_id, value,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rd, count(*) OVER (PARTITION BY user_id) AS n
+  FROM events),
+t AS (SELECT * FROM ev WHERE rd <= 64)
+SELECT machine_id, CAST(LEAST(max(n), 64) AS INTEGER) AS n_used, 64 AS n_values,
+       """ + r6("arg_max(value, rd)", "first_value") + """, """ + r6("arg_min(value, rd)", "last_value") + """,
+       """ + r6("SUM(value) + (64 - count(*)) * arg_min(value, rd)", "value_sum") + """
+FROM t GROUP BY machine_id""")(_last_window)
+
+
+register("event_horizon_labels", f"""WITH {base()}
+SELECT l.machine_id, l.timestep, CASE WHEN f.failure_t IS NOT NULL AND l.timestep BETWEEN f.failure_t - 30 AND f.failure_t
+                                 THEN 1 ELSE 0 END AS failure_imminent_event
+FROM labeled l LEFT JOIN fails f ON l.machine_id = f.machine_id""")(
+    lambda spark, sf: L.add_event_horizon_labels(fx.labeled_readings(spark, sf), 30)
+    .select("machine_id", "timestep", "failure_imminent_event"))
+
+
+register("forward_fill", f"""WITH {base()}, {_DMG}
+SELECT machine_id, timestep,
+  {r6('last_value(quantity IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'quantity')},
+  {r6("last_value(CASE WHEN isnan(discount) THEN NULL ELSE discount END IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 'discount')}
+FROM dmg""")(lambda spark, sf: rounded(L.forward_fill(fx.damaged_readings(spark, sf), ["quantity", "discount"])
+                                       .select("machine_id", "timestep", "quantity", "discount")))
+
+register("lag_coupling", f"""WITH {base()},
+x AS (SELECT machine_id, price, lag(quantity) OVER (PARTITION BY machine_id ORDER BY timestep) AS lq FROM labeled)
+SELECT machine_id, {r6('corr(price, lq)', 'lag_corr')}, count(lq) AS n_pairs FROM x GROUP BY machine_id""")(
+    lambda spark, sf: rounded(L.lag_coupling(fx.labeled_readings(spark, sf), "quantity", "price")))
+
+
+def _resample(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    ends = P.window_end_rows(lab, 50, 10).select("machine_id", F.col("timestep").alias("end_timestep"),
+                                                  F.col("failure_imminent").alias("label"))
+    r = P.poisson_resample(ends, ["machine_id", "end_timestep"])
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+register("balanced_resample")(_resample)
+
+
+def _sample(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    ends = P.window_end_rows(lab, 50, 10).select("machine_id", F.col("timestep").alias("end_timestep"))
+    test = P.attach_split(ends, P.split_machines(lab)).where(F.col("split") == "test")
+    return P.sample_windows(test, 500, seed=42)
+
+
+register("window_sample", f"""WITH {base()}, {_SPLIT}
+SELECT e.machine_id, e.timestep AS end_timestep FROM ends e JOIN splits s ON e.machine_id = s.machine_id
+WHERE s.split = 'test'
+ORDER BY md5(CAST(e.machine_id AS VARCHAR) || '-' || CAST(e.timestep AS VARCHAR) || '-42'), e.machine_id, e.timestep
+LIMIT 500""")(_sample)

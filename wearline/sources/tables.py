@@ -64,3 +64,13 @@ def readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS)
         "machine_id", "timestep", *SENSORS, "machine_type", "l_orderkey", "l_linenumber",
         "l_shipdate", (F.col("__n_rows") - 1).alias("max_timestep"),
         (F.col("__rf") & (order_key == F.col("__fail_key"))).cast("int").alias("failure_event"))
+
+
+def event_readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+    """Stream-style readings from ``events``: machine = user, one sensor ``value``,
+    timestep = position in (ts, event_id) order (skew-safe numbering by day)."""
+    ev = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("machine_id"), "event_id", "ts", "event_type", "value")
+    return number_within_key(ev, "machine_id", ["ts", "event_id"],
+                             chunk_exprs=[F.datediff(F.to_date("ts"), F.lit("1970-01-01"))],
+                             pos_col="timestep", total_col=None, hot_rows=hot_rows)
