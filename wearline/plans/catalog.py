@@ -767,3 +767,111 @@ SELECT e.machine_id, e.timestep AS end_timestep FROM ends e JOIN splits s ON e.m
 WHERE s.split = 'test'
 ORDER BY md5(CAST(e.machine_id AS VARCHAR) || '-' || CAST(e.timestep AS VARCHAR) || '-42'), e.machine_id, e.timestep
 LIMIT 500""")(_sample)
+
+
+# ---------------------------------------------------------------- models (M1-M13) -- rows-only
+
+from ..operators import importance as IMP  # noqa: E402
+from ..operators import models as ML  # noqa: E402
+
+
+def model_windows(spark, sf, p: fx.Params = fx.DEFAULT, kind: str = "standard"):
+    """split -> scaler fit on train rows -> applied to all rows -> windows with split."""
+    lab = fx.labeled_readings(spark, sf, p).persist()
+    sp = P.split_machines(lab, p.test_size, p.val_size, p.seed).persist()
+    j = P.attach_split(lab, sp)
+    scaler = P.fit_scaler(j.where(F.col("split") == "train"), SENSORS, kind)
+    w = P.sliding_windows(P.apply_scaler(j, scaler), SENSORS, p.window_size, p.step_size)
+    # several actions follow (standardiser, weights, training passes): keep the
+    # windows in executor memory/disk; a lost block is recomputed from lineage
+    return P.attach_split(w, sp).persist(), scaler
+
+
+def _fit(spark, sf, which="lr"):
+    w, scaler = model_windows(spark, sf)
+    train = w.where(F.col("split") == "train")
+    fitted = {"lr": ML.fit_logistic, "rf": ML.fit_random_forest, "mlp": ML.fit_mlp}[which](train)
+    return fitted, w, scaler
+
+
+def _test_preds(which):
+    def run(spark, sf):
+        fitted, w, _ = _fit(spark, sf, which)
+        return rounded(fitted.score(w.where(F.col("split") == "test")))
+    return run
+
+
+register("lr_predictions")(_test_preds("lr"))
+register("rf_predictions")(_test_preds("rf"))
+register("mlp_predictions")(_test_preds("mlp"))
+
+
+def _calibrators(spark, sf):
+    fitted, w, _ = _fit(spark, sf, "lr")
+    return rounded(ML.compare_calibrators(fitted.score(w.where(F.col("split") == "val")),
+                                          fitted.score(w.where(F.col("split") == "test"))))
+
+
+register("calibrator_comparison")(_calibrators)
+
+
+def _intrinsic(spark, sf):
+    fitted, _, _ = _fit(spark, sf, "lr")
+    return rounded(ML.intrinsic_importance(fitted, 50, len(SENSORS), SENSORS))
+
+
+def _rollup(spark, sf):
+    fitted, _, _ = _fit(spark, sf, "rf")
+    return rounded(ML.sensor_rollup(ML.intrinsic_importance(fitted, 50, len(SENSORS), SENSORS)))
+
+
+register("intrinsic_importance")(_intrinsic)
+register("sensor_importance_rollup")(_rollup)
+
+
+def _perm(kind):
+    def run(spark, sf):
+        fitted, w, _ = _fit(spark, sf, "lr")
+        test = w.where(F.col("split") == "test")
+        if kind == "sensor":
+            return rounded(IMP.sensor_permutation_importance(fitted, test, SENSORS))
+        if kind == "temporal":
+            return rounded(IMP.temporal_permutation_importance(fitted, test, 50, len(SENSORS)))
+        if kind == "sensitivity":
+            return rounded(IMP.sensitivity_map(fitted, test, 50, SENSORS))
+        return rounded(IMP.all_importances(fitted, test, 50, SENSORS))
+    return run
+
+
+register("sensor_permutation_importance")(_perm("sensor"))
+register("temporal_permutation_importance")(_perm("temporal"))
+register("sensitivity_map")(_perm("sensitivity"))
+register("all_importances")(_perm("all"))
+
+
+def _hpo(spark, sf):
+    w, _ = model_windows(spark, sf)
+    return rounded(ML.hyperparameter_search(w.where(F.col("split") != "test")))
+
+
+register("hyperparameter_search")(_hpo)
+
+
+def _batch(spark, sf):
+    """One request per test machine -- its last 40 (even id) or 60 (odd id)
+    raw readings; threshold 1.5 (rejected) when machine_id % 7 = 0."""
+    fitted, _, scaler = _fit(spark, sf, "lr")
+    lab = fx.labeled_readings(spark, sf)
+    test = P.attach_split(lab, P.split_machines(lab)).where(F.col("split") == "test")
+    keep = F.when(F.col("machine_id") % 2 == 0, F.lit(40)).otherwise(F.lit(60))
+    tail = test.where(F.col("timestep") > F.col("max_timestep") - keep)
+    req = tail.groupBy("machine_id").agg(F.array_sort(F.collect_list(F.struct(
+        "timestep", F.array(*[F.col(c) for c in SENSORS]).alias("r")))).alias("seq"))
+    req = req.select(F.col("machine_id").alias("request_id"),
+                     F.transform("seq", lambda x: x["r"]).alias("readings"),
+                     F.when(F.col("machine_id") % 7 == 0, F.lit(1.5)).otherwise(F.lit(0.5)).alias("threshold"))
+    bounds = [Q.READINGS_SCHEMA.value_ranges[c] for c in SENSORS]
+    return ML.score_requests(req, fitted, 50, len(SENSORS), bounds, scaler)
+
+
+register("batch_scoring")(_batch)
