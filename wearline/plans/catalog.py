@@ -875,3 +875,59 @@ def _batch(spark, sf):
 
 
 register("batch_scoring")(_batch)
+
+
+# ---------------------------------------------------------------- streams: batch twins
+
+from ..streaming import live as X  # noqa: E402
+
+
+def _stream_windows(spark, sf):
+    w = X.live_windows_batch(event_readings(spark, sf), 10, 5)
+    return rounded(w.select("machine_id", "end_seq", F.size("values").alias("n_values"),
+                            F.element_at("values", 1).alias("first_value"),
+                            F.element_at("values", -1).alias("last_value"),
+                            F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("value_sum")))
+
+
+register("stream_windows_batch", """WITH ev AS (SELECT user_id AS machine_id, value,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+w AS (SELECT machine_id, pos, value,
+    first_value(value) OVER (PARTITION BY machine_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS fv,
+    sum(value) OVER (PARTITION BY machine_id ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS sv FROM ev)
+SELECT machine_id, pos AS end_seq, 10 AS n_values, """ + r6("fv", "first_value") + ", " + r6("value", "last_value")
+         + ", " + r6("sv", "value_sum") + """ FROM w WHERE pos >= 9 AND (pos - 9) % 5 = 0""")(_stream_windows)
+
+
+def _daily_drift(spark, sf):
+    ev = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ref = ev.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    edges = X.training_edges(ref)
+    hist = X.windowed_histogram(ev, edges, watermark=None)
+    out = X.psi_against(hist, X.reference_histogram(ref, edges), 10)
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n", "psi", "status"))
+
+
+register("daily_drift", """WITH ref AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00'),
+rng AS (SELECT min(value) AS lo, max(value) AS hi FROM ref),
+edges AS (SELECT i, CASE WHEN i = 10 THEN hi ELSE CAST(i AS DOUBLE) * ((hi - lo) / 10.0) + lo END AS e FROM rng, range(11) r(i)),
+cl AS (SELECT e.ts, LEAST(GREATEST(e.value, rng.lo), rng.hi) AS v, rng.hi FROM events e, rng WHERE e.value IS NOT NULL AND NOT isnan(e.value)),
+b AS (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CASE WHEN v = hi THEN 9 ELSE (SELECT max(i) FROM edges WHERE e <= v) END AS bin,
+             ts < TIMESTAMP '2024-01-16 00:00:00' AS is_ref FROM cl),
+rh AS (SELECT bin, count(*) AS rh FROM b WHERE is_ref GROUP BY bin),
+rt AS (SELECT count(*) AS rn FROM b WHERE is_ref),
+h AS (SELECT day, bin, count(*) AS n FROM b GROUP BY day, bin),
+t AS (SELECT day, count(*) AS nt FROM b GROUP BY day),
+sp AS (SELECT t.day, t.nt, CAST(r.i AS INTEGER) AS bin FROM t, range(10) r(i)),
+x AS (SELECT sp.day, sp.nt, (COALESCE(h.n, 0) + 1e-06) / (sp.nt + 1e-06 * 10) AS c,
+             (COALESCE(rh.rh, 0) + 1e-06) / ((SELECT rn FROM rt) + 1e-06 * 10) AS r
+      FROM sp LEFT JOIN h ON sp.day = h.day AND sp.bin = h.bin LEFT JOIN rh ON sp.bin = rh.bin),
+p AS (SELECT day, max(nt) AS n, SUM((c - r) * ln(c / r)) AS psi FROM x GROUP BY day)
+SELECT day, n, """ + r6("psi", "psi") + """, CASE WHEN psi > 0.25 THEN 'CRITICAL' WHEN psi > 0.1 THEN 'WARNING' ELSE 'OK' END AS status FROM p""")(
+    _daily_drift)
+
+register("event_routing", """SELECT event_type, CASE WHEN value IS NULL OR isnan(value) THEN 'missing:value'
+    WHEN value < 0.0 OR value > 100.0 THEN 'range:value' WHEN user_id IS NULL THEN 'missing:user_id' END AS reject_reason,
+    count(*) AS n_rows FROM events GROUP BY ALL""")(
+    lambda spark, sf: X.route_events(read_table(spark, sf, "events")).groupBy("event_type", "reject_reason")
+    .agg(F.count(F.lit(1)).alias("n_rows")))
