@@ -25,7 +25,8 @@ def erfc_sql(z: str) -> str:
     for c in reversed(ERFC_COEFFS[:-1]):
         poly = f"({c!r} + {t} * {poly})"
     pos = f"({t} * exp(-({z}) * ({z}) + {poly}))"
-    return f"(CASE WHEN ({z}) >= 0 THEN {pos} ELSE 2.0 - {pos} END)"
+    # the fit overshoots 1 by ~3e-8 at z = 0: clamp to the function's range
+    return f"(CASE WHEN ({z}) >= 0 THEN LEAST(1.0, {pos}) ELSE 2.0 - LEAST(1.0, {pos}) END)"
 
 
 def chi2_df1_sf_sql(x: str) -> str:
@@ -40,7 +41,7 @@ def chi2_df1_sf(x: Column) -> Column:
     poly = F.lit(ERFC_COEFFS[-1])
     for c in reversed(ERFC_COEFFS[:-1]):
         poly = F.lit(c) + t * poly
-    return t * F.exp(-z * z + poly)
+    return F.least(F.lit(1.0), t * F.exp(-z * z + poly))
 
 
 def chi2_df1_sf_exact(x: float) -> float:

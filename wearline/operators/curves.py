@@ -104,17 +104,18 @@ def delong(table: DataFrame, group_cols=("model",), confidence: float = 0.95) ->
     """
     g = list(group_cols)
     z = normal_quantile((1 + confidence) / 2)
-    v10 = (F.col("N") - F.col("cum_neg") + 0.5 * F.col("neg")) / F.col("N")
-    v01 = (F.col("cum_pos") - 0.5 * F.col("pos")) / F.col("P")
+    # try_divide: a single-class group (N or P = 0) yields NULL, not an error
+    v10 = F.try_divide(F.col("N") - F.col("cum_neg") + 0.5 * F.col("neg"), F.col("N"))
+    v01 = F.try_divide(F.col("cum_pos") - 0.5 * F.col("pos"), F.col("P"))
     agg = table.groupBy(*g).agg(
         F.first("P").alias("P"), F.first("N").alias("N"),
         F.sum(F.col("pos") * v10).alias("s1"), F.sum(F.col("pos") * v10 * v10).alias("s2"),
         F.sum(F.col("neg") * v01).alias("t1"), F.sum(F.col("neg") * v01 * v01).alias("t2"))
     ok = (F.col("P") > 0) & (F.col("N") > 0)
-    auc = F.col("s1") / F.col("P")
+    auc = F.try_divide(F.col("s1"), F.col("P"))
     s10 = F.when(F.col("P") > 1, (F.col("s2") - F.col("s1") * F.col("s1") / F.col("P")) / (F.col("P") - 1)).otherwise(0.0)
     s01 = F.when(F.col("N") > 1, (F.col("t2") - F.col("t1") * F.col("t1") / F.col("N")) / (F.col("N") - 1)).otherwise(0.0)
-    var = s10 / F.col("P") + s01 / F.col("N")
+    var = F.try_divide(s10, F.col("P")) + F.try_divide(s01, F.col("N"))
     out = agg.select(*g, F.when(ok, auc).alias("auc"), F.when(ok, var).alias("variance"))
     se = F.sqrt(F.greatest(F.col("variance"), F.lit(0.0)))
     return out.select(*g, "auc", "variance", se.alias("std_error"),
