@@ -30,12 +30,14 @@ EVENTS_SCHEMA = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def event_stream(spark, path: str, max_files: int | None = None) -> DataFrame:
-    """Events as a file stream; ``ts`` cast to TIMESTAMP (watermarks reject NTZ)."""
-    r = spark.readStream.schema(EVENTS_SCHEMA)
+def event_stream(spark, directory: str, glob: str = "events*.parquet",
+                 max_files: int | None = None) -> DataFrame:
+    """Events files of a directory as a stream; ``ts`` cast to TIMESTAMP
+    (watermarks reject TIMESTAMP_NTZ; the session time zone is UTC)."""
+    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    s = r.parquet(path)
+    s = r.parquet(directory)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -49,7 +51,7 @@ WINDOW_STATE = T.StructType([
     T.StructField("ts", T.ArrayType(T.TimestampType()))])
 
 
-def _window_fn(window_size: int, step_size: int):
+def _window_fn(window_size: int, step_size: int, timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
             state.remove()
@@ -58,7 +60,7 @@ def _window_fn(window_size: int, step_size: int):
         if state.exists:
             seq, vals, tss = state.get
             vals, tss = list(vals), list(tss)
-        batch = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+        batch = pd.concat([p for p in pdfs if len(p)]).sort_values(["ts", "event_id"])
         out = []
         for v, t in zip(batch["value"].tolist(), batch["ts"].tolist()):
             seq += 1
@@ -70,18 +72,25 @@ def _window_fn(window_size: int, step_size: int):
             if seq >= window_size - 1 and (seq - (window_size - 1)) % step_size == 0:
                 out.append((int(key[0]), seq, t, list(vals)))
         state.update((seq, vals, tss))
-        state.setTimeoutDuration(3_600_000)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=["machine_id", "end_seq", "end_ts", "values"])
     return fn
 
 
-def live_windows(events: DataFrame, window_size: int, step_size: int) -> DataFrame:
-    """Per machine, a window of the last T values every S readings."""
+def live_windows(events: DataFrame, window_size: int, step_size: int,
+                 idle_timeout_ms: int | None = None) -> DataFrame:
+    """Per machine, a window of the last T values every S readings.
+
+    ``idle_timeout_ms`` drops the buffer of a machine silent that long
+    (processing-time timeout, for long-running queries; an ``availableNow``
+    run must leave it off, or the query keeps running no-data batches).
+    """
     ev = events.select(F.col("user_id").alias("machine_id"), "event_id", "ts", "value")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     return ev.groupBy("machine_id").applyInPandasWithState(
-        _window_fn(window_size, step_size), WINDOW_OUT, WINDOW_STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        _window_fn(window_size, step_size, idle_timeout_ms), WINDOW_OUT, WINDOW_STATE, "append", timeout)
 
 
 def live_windows_batch(event_readings: DataFrame, window_size: int, step_size: int) -> DataFrame:
