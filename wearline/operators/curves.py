@@ -131,18 +131,19 @@ SWEEP_GRID = (0.01, 0.99, 100)     # threshold_analysis default
 COST_GRID = (0.0, 1.0, 200)        # expected cost curve
 
 
-def threshold_confusion(preds: DataFrame, grid: list[float], group_cols=("model",),
-                        score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """Confusion cells at every grid threshold, decision ``score >= t`` (inclusive).
-
-    Output: group cols, grid_idx, threshold, tp, fp, fn, tn.
-    """
-    g = list(group_cols)
-    k = count_le(F.col(score), grid)
-    per_k = preds.groupBy(*g, k.alias("k")).agg(
+def _per_k(preds: DataFrame, grids: dict[str, list[float]], group_cols, score: str, label: str) -> DataFrame:
+    """ONE pass: rows collapse to (group, k_grid1, k_grid2, ...) counts. Every
+    k is a monotone function of the score, so the result has at most
+    sum(G)+1 rows per group whatever the data size."""
+    ks = [count_le(F.col(score), grid).alias(f"k_{name}") for name, grid in grids.items()]
+    return preds.groupBy(*group_cols, *ks).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
-    per_g = per_k.groupBy(*g).agg(F.collect_list(F.struct("k", "pos", "neg")).alias("e"),
+
+
+def _confusion_from_k(per_k: DataFrame, name: str, grid: list[float], group_cols) -> DataFrame:
+    g = list(group_cols)
+    per_g = per_k.groupBy(*g).agg(F.collect_list(F.struct(F.col(f"k_{name}").alias("k"), "pos", "neg")).alias("e"),
                                   F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     thr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(grid)])
     ex = per_g.select(*g, "e", "P", "N", F.explode(thr).alias("g"))
@@ -155,6 +156,22 @@ def threshold_confusion(preds: DataFrame, grid: list[float], group_cols=("model"
                      (F.col("P") - above("pos")).alias("fn"), (F.col("N") - above("neg")).alias("tn"))
 
 
+def threshold_confusions(preds: DataFrame, grids: dict[str, list[float]], group_cols=("model",),
+                         score: str = SCORE, label: str = LABEL) -> dict[str, DataFrame]:
+    """Confusion cells on several grids from a single scan of ``preds``."""
+    per_k = _per_k(preds, grids, list(group_cols), score, label)
+    return {name: _confusion_from_k(per_k, name, grid, group_cols) for name, grid in grids.items()}
+
+
+def threshold_confusion(preds: DataFrame, grid: list[float], group_cols=("model",),
+                        score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """Confusion cells at every grid threshold, decision ``score >= t`` (inclusive).
+
+    Output: group cols, grid_idx, threshold, tp, fp, fn, tn.
+    """
+    return threshold_confusions(preds, {"g": grid}, group_cols, score, label)["g"]
+
+
 def prf(tp: Column, fp: Column, fn: Column):
     precision = _safe_div(tp, tp + fp)
     recall = _safe_div(tp, tp + fn)
@@ -190,13 +207,21 @@ def optimal_threshold(preds: DataFrame, metric: str = "f1", beta: float = 1.0,
 
     Starting point (0.5, -1.0) is kept when no grid value beats -1.
     """
-    metric_col = _metric_on_cells(metric, beta)  # raises for unknown metric names
+    return optimal_thresholds(preds, [(metric, beta)], group_cols, n_steps, **kw)
+
+
+def optimal_thresholds(preds: DataFrame, metrics=(("f1", 1.0), ("fbeta", 2.0), ("j_stat", 1.0)),
+                       group_cols=("model",), n_steps: int = 200, **kw) -> DataFrame:
+    """A6 for several metrics from ONE confusion table (one scan of ``preds``)."""
+    cols = [_metric_on_cells(m, b) for m, b in metrics]  # raises for unknown metric names
     c = threshold_confusion(preds, linspace(0.01, 0.99, n_steps), group_cols, **kw)
-    s = c.select(*group_cols, "grid_idx", "threshold", metric_col.alias("score"))
-    best = s.groupBy(*group_cols).agg(
-        F.max(F.struct(F.col("score"), (-F.col("grid_idx")).alias("neg_idx"), F.col("threshold"))).alias("b"))
+    s = c.select(*group_cols, "grid_idx", "threshold", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), col.alias("score")) for (m, _), col in zip(metrics, cols)])).alias("x"))
+    best = s.groupBy(*group_cols, F.col("x.metric").alias("metric")).agg(
+        F.max(F.struct(F.col("x.score").alias("score"), (-F.col("grid_idx")).alias("neg_idx"),
+                       F.col("threshold"))).alias("b"))
     beat = F.col("b.score") > -1.0
-    return best.select(*group_cols, F.lit(metric).alias("metric"),
+    return best.select(*group_cols, "metric",
                        F.when(beat, F.col("b.threshold")).otherwise(F.lit(0.5)).alias("threshold"),
                        F.when(beat, F.col("b.score")).otherwise(F.lit(-1.0)).alias("score"))
 
@@ -215,7 +240,11 @@ class CostMatrix:
 
 def cost_curve(preds: DataFrame, costs: CostMatrix, n_steps: int = 200, group_cols=("model",), **kw) -> DataFrame:
     """cost = fn*Cfn + fp*Cfp - tp*Ctp - tn*Ctn on linspace(0,1,n); normalised by max(P*Cfn, 1)."""
-    c = threshold_confusion(preds, linspace(0.0, 1.0, n_steps), group_cols, **kw)
+    return _cost_columns(threshold_confusion(preds, linspace(0.0, 1.0, n_steps), group_cols, **kw),
+                         costs, group_cols)
+
+
+def _cost_columns(c: DataFrame, costs: CostMatrix, group_cols) -> DataFrame:
     cost = (F.col("fn") * costs.cost_fn + F.col("fp") * costs.cost_fp
             - F.col("tp") * costs.cost_tp - F.col("tn") * costs.cost_tn)
     worst = F.greatest((F.col("tp") + F.col("fn")) * costs.cost_fn, F.lit(1.0))
@@ -234,13 +263,14 @@ def cost_optimal_threshold(curve: DataFrame, group_cols=("model",)) -> DataFrame
 def cost_threshold_comparison(preds: DataFrame, costs: CostMatrix, group_cols=("model",), **kw) -> DataFrame:
     """F1-optimal vs cost-optimal decision (total cost ignores Ctp/Ctn)."""
     g = list(group_cols)
-    f1_grid = linspace(*F1_GRID[:2], F1_GRID[2])
-    f1c = threshold_confusion(preds, f1_grid, g, **kw)
+    both = threshold_confusions(preds, {"f1": linspace(*F1_GRID[:2], F1_GRID[2]),
+                                        "cost": linspace(*COST_GRID[:2], COST_GRID[2])}, g, **kw)
+    f1c = both["f1"]
     _, _, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     f1best = (f1c.withColumn("f1", f1).groupBy(*g)
                  .agg(F.max(F.struct(F.col("f1"), (-F.col("grid_idx")).alias("ni"), "threshold",
                                      "tp", "fp", "fn", "tn")).alias("a")))
-    cc = cost_curve(preds, costs, group_cols=g, **kw)
+    cc = _cost_columns(both["cost"], costs, g)
     cbest = cc.groupBy(*g).agg(F.min(F.struct("expected_cost", "grid_idx", "threshold",
                                                "tp", "fp", "fn", "tn")).alias("b"))
     j = f1best.join(cbest, g)

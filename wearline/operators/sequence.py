@@ -39,12 +39,18 @@ def number_within_key(df: DataFrame, key: str, order_cols: Sequence[str | Column
                       total_col: str | None = "n_rows",
                       extra_chunk_aggs: dict[str, Column] | None = None,
                       extra_key_aggs: dict[str, Column] | None = None,
-                      hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+                      hot_rows: int = DEFAULT_HOT_ROWS,
+                      key_table: DataFrame | None = None) -> DataFrame:
     """Attach a 0-based position (ordered by ``order_cols``) within ``key``.
 
     ``extra_chunk_aggs`` are aggregated per (key, chunk) and then combined per
     key by ``extra_key_aggs`` (name -> aggregate over the chunk table), which
     gives per-key facts (e.g. the last failure's sort key) in the same pass.
+
+    ``key_table`` (key + attributes, one row per key) is inner-joined to the
+    small offsets table, so per-key attributes reach every row through the
+    (key, chunk) join that happens anyway -- keys absent from it drop out,
+    exactly as an inner join of the input would.
     """
     chunk_names = [f"__chunk{i}" for i in range(len(chunk_exprs))]
     hot = F.broadcast(hot_keys(df, key, hot_rows))
@@ -66,8 +72,30 @@ def number_within_key(df: DataFrame, key: str, order_cols: Sequence[str | Column
         *([F.sum("__n").over(whole).alias(total_col)] if total_col else []),
         *[agg.over(whole).alias(name) for name, agg in (extra_key_aggs or {}).items()],
     )
-    joined = tagged.join(offsets, [key, *chunk_names], "inner")
+    if key_table is not None:
+        offsets = offsets.join(key_table, key)
+    # shuffle join on (key, chunk): the chunk-local window below reuses this
+    # partitioning, and the fact table is never broadcast (its size estimate
+    # can fall under the threshold on small inputs).
+    joined = tagged.join(offsets.hint("shuffle_merge"), [key, *chunk_names], "inner")
     local = Window.partitionBy(key, *chunk_names).orderBy(*order_cols)
     out = joined.withColumn(pos_col, (F.row_number().over(local) - 1 + F.col("__off")).cast("long"))
     return out.drop("__off", *chunk_names)
 
+
+
+def order_code(parts: list[tuple[Column, int]]) -> Column:
+    """Pack non-negative integer sort columns into one order-preserving long.
+
+    ``parts`` = [(column, bits), ...] most significant first (total <= 63
+    bits). A value outside its bit range raises instead of mis-ordering.
+    Used where a max over a composite key must stay in a hash aggregate.
+    """
+    if sum(b for _, b in parts) > 63:
+        raise ValueError("order code exceeds 63 bits")
+    code, ok = F.lit(0).cast("long"), F.lit(True)
+    for col, bits in parts:
+        c = col.cast("long")
+        ok = ok & (c >= 0) & (c < F.lit(1 << bits))
+        code = code * F.lit(1 << bits) + c
+    return F.when(ok | col.isNull(), code).otherwise(F.raise_error(F.lit("order code out of range")).cast("long"))

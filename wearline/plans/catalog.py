@@ -147,10 +147,7 @@ best AS (SELECT model, metric, threshold, score,
            row_number() OVER (PARTITION BY model, metric ORDER BY score DESC, grid_idx) AS rn FROM sc)
 SELECT model, metric, {r6('CASE WHEN score > -1.0 THEN threshold ELSE 0.5 END', 'threshold')},
        {r6('CASE WHEN score > -1.0 THEN score ELSE -1.0 END', 'score')}
-FROM best WHERE rn = 1""")(lambda spark, sf: rounded(
-    C.optimal_threshold(_preds(spark, sf), "f1")
-    .unionByName(C.optimal_threshold(_preds(spark, sf), "fbeta", beta=2.0))
-    .unionByName(C.optimal_threshold(_preds(spark, sf), "j_stat"))))
+FROM best WHERE rn = 1""")(lambda spark, sf: rounded(C.optimal_thresholds(_preds(spark, sf))))
 
 
 register("calibration_scores", f"""WITH {base()},

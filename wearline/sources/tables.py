@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import DEFAULT_HOT_ROWS, number_within_key
+from ..operators.sequence import DEFAULT_HOT_ROWS, number_within_key, order_code
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -41,29 +41,32 @@ def readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS)
     Columns: machine_id, timestep, sensors (quantity, price, discount, tax),
     machine_type, ingest keys (l_orderkey, l_linenumber), l_shipdate,
     max_timestep (per machine) and failure_event (last 'R'/'F' row).
-    The supplier side is left to the planner (AQE broadcasts it only when
-    its measured size is under the threshold; otherwise it is a shuffle join
-    on the machine key).
+
+    Plan: line items are numbered on their own (the fact table is shuffled
+    once, on (machine, chunk)); the machine type joins the small per-chunk
+    offsets table, never the fact table. The last failure per machine is a
+    max over a packed order code (day | order key | line number), which
+    stays in a hash aggregate.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("machine_id"), "l_orderkey", "l_linenumber", "l_shipdate",
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("__rf"))
-    li = li.join(machine_types(spark, sf_dir), "machine_id")
-    order_key = F.struct("l_shipdate", "l_orderkey", "l_linenumber")
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1900-01-01"))
+    code = order_code([(day, 17), (F.col("l_orderkey"), 42), (F.col("l_linenumber"), 4)])
     numbered = number_within_key(
-        li, "machine_id", ["l_shipdate", "l_orderkey", "l_linenumber"],
+        li.withColumn("__code", code), "machine_id", ["l_shipdate", "l_orderkey", "l_linenumber"],
         chunk_exprs=[F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01")),
                      F.col("l_orderkey") / F.lit(ORDERKEY_BLOCK)],
         pos_col="timestep", total_col="__n_rows",
-        extra_chunk_aggs={"__last_rf": F.max(F.when(F.col("__rf"), order_key))},
-        extra_key_aggs={"__fail_key": F.max("__last_rf")},
-        hot_rows=hot_rows)
+        extra_chunk_aggs={"__last_rf": F.max(F.when(F.col("__rf"), F.col("__code")))},
+        extra_key_aggs={"__fail_code": F.max("__last_rf")},
+        hot_rows=hot_rows, key_table=machine_types(spark, sf_dir))
     return numbered.select(
         "machine_id", "timestep", *SENSORS, "machine_type", "l_orderkey", "l_linenumber",
         "l_shipdate", (F.col("__n_rows") - 1).alias("max_timestep"),
-        (F.col("__rf") & (order_key == F.col("__fail_key"))).cast("int").alias("failure_event"))
+        (F.col("__rf") & (F.col("__code") == F.col("__fail_code"))).cast("int").alias("failure_event"))
 
 
 def event_readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
