@@ -145,13 +145,14 @@ def _confusion_from_k(per_k: DataFrame, name: str, grid: list[float], group_cols
     g = list(group_cols)
     per_g = per_k.groupBy(*g).agg(F.collect_list(F.struct(F.col(f"k_{name}").alias("k"), "pos", "neg")).alias("e"),
                                   F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    thr = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(grid)])
-    ex = per_g.select(*g, "e", "P", "N", F.explode(thr).alias("g"))
+    # one array literal for the grid, indexed by an exploded sequence
+    ex = per_g.select(*g, "e", "P", "N", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("gi"))
+    ex = ex.withColumn("gt", F.element_at(F.lit([float(t) for t in grid]), F.col("gi") + 1))
 
     def above(field):
-        return F.aggregate(F.filter("e", lambda x: x["k"] > F.col("g.i")), F.lit(0).cast("long"),
+        return F.aggregate(F.filter("e", lambda x: x["k"] > F.col("gi")), F.lit(0).cast("long"),
                            lambda acc, x: acc + x[field])
-    return ex.select(*g, F.col("g.i").alias("grid_idx"), F.col("g.t").alias("threshold"),
+    return ex.select(*g, F.col("gi").alias("grid_idx"), F.col("gt").alias("threshold"),
                      above("pos").alias("tp"), above("neg").alias("fp"),
                      (F.col("P") - above("pos")).alias("fn"), (F.col("N") - above("neg")).alias("tn"))
 

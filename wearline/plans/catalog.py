@@ -774,7 +774,7 @@ from ..operators import models as ML  # noqa: E402
 
 def model_windows(spark, sf, p: fx.Params = fx.DEFAULT, kind: str = "standard"):
     """split -> scaler fit on train rows -> applied to all rows -> windows with split."""
-    lab = fx.labeled_readings(spark, sf, p).persist()
+    lab = fx.labeled_readings(spark, sf, p)
     sp = P.split_machines(lab, p.test_size, p.val_size, p.seed).persist()
     j = P.attach_split(lab, sp)
     scaler = P.fit_scaler(j.where(F.col("split") == "train"), SENSORS, kind)

@@ -33,8 +33,22 @@ class Params:
 DEFAULT = Params()
 
 
+_SHARED: dict = {}
+
+
 def labeled_readings(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
-    return L.add_run_to_failure_labels(readings(spark, sf_dir), p.horizon, p.clip_rul)
+    """Labelled readings, persisted once per (session, folder, parameters).
+
+    Every plan starts here, so the derived table is kept in executor
+    memory/disk (MEMORY_AND_DISK); a block lost with an executor is
+    recomputed from lineage.
+    """
+    key = (id(spark.sparkContext._jsc), sf_dir.rstrip("/"), p)
+    df = _SHARED.get(key)
+    if df is None:
+        df = L.add_run_to_failure_labels(readings(spark, sf_dir), p.horizon, p.clip_rul).persist()
+        _SHARED[key] = df
+    return df
 
 
 def window_metadata(labeled: DataFrame, p: Params = DEFAULT) -> DataFrame:
