@@ -94,6 +94,21 @@ def compare_models(preds: DataFrame, threshold=0.5, model_col: str = "model",
     return mc.join(da, "model_a").join(db, "model_b")
 
 
+def compare_models_full(preds: DataFrame, threshold=0.5, n_permutations: int = 1000, seed: int = 42,
+                        model_col: str = "model") -> DataFrame:
+    """A21 as the reference runs it: McNemar + DeLong of both models + the AUC
+    permutation test, for every pair (a < b)."""
+    base = compare_models(preds, threshold, model_col)
+    models = model_names(preds, model_col)
+    perm = None
+    for a, b in combinations(models, 2):
+        p = permutation_test(preds, a, b, n_permutations, seed, model_col).select(
+            "model_a", "model_b", F.col("p_value").alias("auc_permutation_p"),
+            F.col("observed_diff").alias("auc_observed_diff"))
+        perm = p if perm is None else perm.unionByName(p)
+    return base.join(perm, ["model_a", "model_b"])
+
+
 def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutations: int = 1000,
                      seed: int = 42, model_col: str = "model", n_buckets: int = 1024) -> DataFrame:
     """Paired permutation test of the ROC-AUC difference.

@@ -259,3 +259,14 @@ def _between(x: Column, bounds: list[tuple[float, float]], i: Column) -> Column:
     lo = F.element_at(F.lit([float(b[0]) for b in bounds]), i + 1)
     hi = F.element_at(F.lit([float(b[1]) for b in bounds]), i + 1)
     return (x >= lo) & (x <= hi)
+
+
+def pos_weight_study(train: DataFrame, test: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """logistic model without class weights vs balanced weights
+    (pos_weight 1 vs n_neg/n_pos); point and ranking metrics per variant."""
+    from .metrics import classification_metrics
+    scored = None
+    for name, balanced in (("unweighted", False), ("balanced", True)):
+        s = fit_logistic(train, balanced=balanced).score(test).withColumn("variant", F.lit(name))
+        scored = s if scored is None else scored.unionByName(s)
+    return classification_metrics(scored, threshold, group_cols=("variant",))

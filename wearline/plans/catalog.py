@@ -897,8 +897,9 @@ SELECT machine_id, pos AS end_seq, 10 AS n_values, """ + r6("fv", "first_value")
 
 
 def _daily_drift(spark, sf):
-    ev = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    ref = ev.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    # batch twin: days on the naive (TIMESTAMP_NTZ) clock -- independent of the session zone
+    ev = read_table(spark, sf, "events")
+    ref = ev.where(F.col("ts") < F.lit("2024-01-16 00:00:00").cast("timestamp_ntz"))
     edges = X.training_edges(ref)
     hist = X.windowed_histogram(ev, edges, watermark=None)
     out = X.psi_against(hist, X.reference_histogram(ref, edges), 10)
@@ -928,3 +929,12 @@ register("event_routing", """SELECT event_type, CASE WHEN value IS NULL OR isnan
     count(*) AS n_rows FROM events GROUP BY ALL""")(
     lambda spark, sf: X.route_events(read_table(spark, sf, "events")).groupBy("event_type", "reject_reason")
     .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def _pos_weight_study(spark, sf):
+    w, _ = model_windows(spark, sf)
+    return rounded(ML.pos_weight_study(w.where(F.col("split") == "train"), w.where(F.col("split") == "test")))
+
+
+register("pos_weight_study")(_pos_weight_study)
+register("model_comparison_full")(lambda spark, sf: rounded(I.compare_models_full(_preds(spark, sf), n_permutations=1000)))
