@@ -80,3 +80,13 @@ def test_readings_csv_sink_and_reader(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == r.count()
     assert back.where(F.col("machine_type") == "ASIA").count() == r.where(F.col("machine_type") == "ASIA").count()
+
+
+def test_drift_alerts_foreach_batch(spark, tmp_path):
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ref = ev.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    q = X.drift_alerts(X.event_stream(spark, SF), ref, str(tmp_path / "alerts"), str(tmp_path / "ck4"))
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "alerts"))
+    assert out.count() > 0 and out.where("psi < 0").count() == 0
+    assert set(r.status for r in out.collect()) <= {"OK", "WARNING", "CRITICAL"}

@@ -37,26 +37,24 @@ def drift_report(reference: DataFrame, current: DataFrame, sensors: list[str], n
     """
     shared = [c for c in sensors if c in reference.columns and c in current.columns]
     both = long_values(reference, shared, "ref").unionByName(long_values(current, shared, "cur"))
-    rng = both.groupBy("sensor").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    v, ref, cur = F.col("value"), F.col("side") == "ref", F.col("side") == "cur"
+    # pass 1: range and per-side statistics together (one row per sensor)
+    stats = both.groupBy("sensor").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
+        F.count_if(ref).alias("n_ref"), F.count_if(cur).alias("n_cur"),
+        F.avg(F.when(ref, v)).alias("reference_mean"), F.avg(F.when(cur, v)).alias("current_mean"),
+        F.stddev_pop(F.when(ref, v)).alias("reference_std"), F.stddev_pop(F.when(cur, v)).alias("current_std"))
     edges = linspace_array(F.col("lo"), F.col("hi"), n_bins + 1)
-    rng = rng.select("sensor", "lo", "hi", edges.alias("edges"),
-                     ((F.col("hi") - F.col("lo")) / F.lit(float(n_bins))).alias("h"))
+    rng = stats.select("sensor", "lo", "hi", edges.alias("edges"),
+                       ((F.col("hi") - F.col("lo")) / F.lit(float(n_bins))).alias("h"))
+    # pass 2: histogram against the per-sensor edges (the range table is one row per sensor)
     j = both.join(F.broadcast(rng), "sensor")
-    c = count_le_array(F.col("value"), F.col("edges"), F.col("lo"),
+    c = count_le_array(v, F.col("edges"), F.col("lo"),
                        F.when(F.col("h") > 0, F.col("h")).otherwise(F.lit(1.0)), n_bins + 1)
-    b = F.when(F.col("value") == F.col("hi"), F.lit(n_bins - 1)).otherwise(c - 1)
-    counts = j.groupBy("sensor", "side", b.alias("bin")).agg(F.count(F.lit(1)).alias("h"))
-    stats = both.groupBy("sensor").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "cur").alias("n_cur"),
-        F.avg(F.when(F.col("side") == "ref", F.col("value"))).alias("reference_mean"),
-        F.avg(F.when(F.col("side") == "cur", F.col("value"))).alias("current_mean"),
-        F.stddev_pop(F.when(F.col("side") == "ref", F.col("value"))).alias("reference_std"),
-        F.stddev_pop(F.when(F.col("side") == "cur", F.col("value"))).alias("current_std"))
-    wide = counts.groupBy("sensor", "bin").agg(
-        F.sum(F.when(F.col("side") == "ref", F.col("h")).otherwise(0)).alias("hr"),
-        F.sum(F.when(F.col("side") == "cur", F.col("h")).otherwise(0)).alias("hc"))
-    spine = rng.select("sensor", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    s = spine.join(wide, ["sensor", "bin"], "left").join(stats, "sensor")
+    b = F.when(v == F.col("hi"), F.lit(n_bins - 1)).otherwise(c - 1)
+    wide = j.groupBy("sensor", b.alias("bin")).agg(F.count_if(ref).alias("hr"), F.count_if(cur).alias("hc"))
+    spine = stats.select("sensor", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    s = spine.join(wide, ["sensor", "bin"], "left").join(stats.drop("lo", "hi"), "sensor")
     r = (F.coalesce("hr", F.lit(0)) + eps) / (F.col("n_ref") + eps * n_bins)
     cu = (F.coalesce("hc", F.lit(0)) + eps) / (F.col("n_cur") + eps * n_bins)
     psi = s.groupBy("sensor").agg(

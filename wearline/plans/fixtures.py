@@ -43,11 +43,12 @@ def labeled_readings(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> D
     memory/disk (MEMORY_AND_DISK); a block lost with an executor is
     recomputed from lineage.
     """
-    key = (id(spark.sparkContext._jsc), sf_dir.rstrip("/"), p)
-    df = _SHARED.get(key)
-    if df is None:
-        df = L.add_run_to_failure_labels(readings(spark, sf_dir), p.horizon, p.clip_rul).persist()
-        _SHARED[key] = df
+    key = (sf_dir.rstrip("/"), p)
+    hit = _SHARED.get(key)
+    if hit is not None and hit[0] is spark.sparkContext._jsc:   # same live context only
+        return hit[1]
+    df = L.add_run_to_failure_labels(readings(spark, sf_dir), p.horizon, p.clip_rul).persist()
+    _SHARED[key] = (spark.sparkContext._jsc, df)
     return df
 
 

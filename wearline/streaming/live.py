@@ -160,3 +160,24 @@ def run_available_now(df: DataFrame, sink_name: str, checkpoint: str, mode: str
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def drift_alerts(events: DataFrame, reference: DataFrame, out_path: str, checkpoint: str,
+                 window: str = "1 day", watermark: str = "1 day", n_bins: int = 10,
+                 available_now: bool = True):
+    """X2 end to end: windowed histograms on fixed training edges (state bounded by
+    the watermark); each micro-batch's closed windows get their PSI against the
+    training histogram in ``foreachBatch`` and are appended to ``out_path``."""
+    edges = training_edges(reference, n_bins=n_bins)
+    ref_hist = reference_histogram(reference, edges)
+    hist = windowed_histogram(events, edges, window, watermark)
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        psi_against(batch, ref_hist, n_bins).withColumn("epoch", F.lit(epoch_id)) \
+            .write.mode("append").parquet(out_path)
+
+    w = hist.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
