@@ -224,7 +224,7 @@ def last_n_window(df: DataFrame, feature_cols: list[str], window_size: int,
                                   F.first("__n").alias("n_readings"))
     vals = F.transform(F.col("seq"), lambda r: r["v"])
     pad = F.array_repeat(F.element_at(vals, -1), F.greatest(F.lit(T) - F.size(vals), F.lit(0)))
-    return g.select(MACHINE, F.least(F.col("n_readings"), F.lit(T)).alias("n_used"),
+    return g.select(MACHINE, F.least(F.col("n_readings"), F.lit(T)).cast("int").alias("n_used"),
                     F.flatten(F.concat(vals, pad)).alias("features"))
 
 
