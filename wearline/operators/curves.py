@@ -36,20 +36,36 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 # ---------------------------------------------------------------- cumulative score table
 
+def score_buckets(d: DataFrame, n_buckets: int, col: str = "score", out: str = "__b") -> DataFrame:
+    """Order-preserving equi-depth bucket of each distinct score.
+
+    Boundaries are approximate quantiles of the *distinct* scores (one small
+    action), so every bucket holds about 1/n_buckets of them whatever the
+    score distribution; ``Bucketizer`` applies them with a JVM binary search.
+    """
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = d.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    splits = [float("-inf")] + sorted({float(x) for x in bounds if x == x}) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol=col, outputCol="__bf", handleInvalid="keep").transform(d)
+    return b.withColumn(out, F.col("__bf").cast("int")).drop("__bf")
+
+
 def score_table(preds: DataFrame, group_cols=("model",), score: str = SCORE,
-                label: str = LABEL, n_buckets: int = 1024, weight: str | None = None) -> DataFrame:
+                label: str = LABEL, n_buckets: int = 256, weight: str | None = None) -> DataFrame:
     """Distinct (group, score) with pos, neg, cum_pos/cum_neg (# with score >= s), P, N.
 
-    ``weight`` (optional column) counts each row that many times.
+    ``weight`` (optional column) counts each row that many times. Running
+    sums are computed per equi-depth score bucket plus a prefix offset from
+    the small bucket-total table, so no task holds more than about
+    1/n_buckets of a group's distinct scores.
     """
     g = list(group_cols)
     w = F.col(weight) if weight else F.lit(1).cast("long")
     d = preds.groupBy(*g, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(F.col(label) == 0, w).otherwise(F.lit(0))).alias("neg"))
-    b = F.least(F.greatest(F.floor(F.col("score") * n_buckets), F.lit(0)),
-                F.lit(n_buckets - 1)).cast("int")
-    d = d.withColumn("__b", b)
+    d = score_buckets(d, n_buckets)
     totals = d.groupBy(*g, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     above = Window.partitionBy(*g).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)

@@ -110,7 +110,7 @@ def compare_models_full(preds: DataFrame, threshold=0.5, n_permutations: int = 1
 
 
 def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutations: int = 1000,
-                     seed: int = 42, model_col: str = "model", n_buckets: int = 1024) -> DataFrame:
+                     seed: int = 42, model_col: str = "model", n_buckets: int = 256) -> DataFrame:
     """Paired permutation test of the ROC-AUC difference.
 
     Replicate r swaps the two models' scores on a window when a hash bit of
@@ -149,7 +149,7 @@ BOOT_METRICS = ("accuracy", "precision", "recall", "f1", "specificity", "balance
 
 
 def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, threshold=0.5,
-                 seed: int = 42, group_cols=("model",), n_buckets: int = 1024) -> DataFrame:
+                 seed: int = 42, group_cols=("model",), n_buckets: int = 256) -> DataFrame:
     """Poisson(1) bootstrap of every float metric; single-class replicates skipped.
 
     Output per (group, metric): mean, std (ddof 0), lower/upper percentiles
@@ -184,7 +184,7 @@ def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, thres
                      F.count(F.lit(1)).alias("n_replicates")))
 
 
-def weighted_score_table(w: DataFrame, group_cols, n_buckets: int = 1024) -> DataFrame:
+def weighted_score_table(w: DataFrame, group_cols, n_buckets: int = 256) -> DataFrame:
     """``score_table`` on weighted rows: pos = sum(w*y), neg = sum(w*(1-y))."""
     expanded = w.select(*group_cols, "y_score", (F.col("w") * F.col("y_true")).alias("__pw"),
                         (F.col("w") * (1 - F.col("y_true"))).alias("__nw"))
