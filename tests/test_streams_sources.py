@@ -90,3 +90,16 @@ def test_drift_alerts_foreach_batch(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "alerts"))
     assert out.count() > 0 and out.where("psi < 0").count() == 0
     assert set(r.status for r in out.collect()) <= {"OK", "WARNING", "CRITICAL"}
+
+
+def test_live_scores_equal_batch_scores(spark, tmp_path):
+    from wearline.operators import models as ML
+    bw = X.live_windows_batch(tables.event_readings(spark, SF), 10, 5)
+    train = bw.select("machine_id", F.col("end_seq").alias("end_timestep"), F.col("values").alias("features"),
+                      (F.element_at("values", -1) > 50).cast("int").alias("label"))
+    fitted = ML.fit_logistic(train)
+    want = {(r.machine_id, r.end_timestep): r.y_score for r in fitted.score(train).collect()}
+    X.run_available_now(X.live_scores(X.event_stream(spark, SF), fitted, 10, 5), "x1_scores", str(tmp_path / "ck5"))
+    got = {(r.machine_id, r.end_timestep): r.y_score for r in spark.table("x1_scores").collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -181,3 +181,15 @@ def drift_alerts(events: DataFrame, reference: DataFrame, out_path: str, checkpo
     w = hist.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def live_scores(events: DataFrame, fitted, window_size: int, step_size: int,
+                idle_timeout_ms: int | None = None) -> DataFrame:
+    """X1 scoring: every S readings a machine's last T values go through a fitted
+    window classifier (``operators.models.FittedClassifier``; a JVM transform,
+    valid on a streaming DataFrame). Output: model, machine_id, end_timestep,
+    end_ts, y_true (0: unknown online), y_score."""
+    w = live_windows(events, window_size, step_size, idle_timeout_ms)
+    feats = w.select("machine_id", F.col("end_seq").alias("end_timestep"), "end_ts",
+                     F.col("values").alias("features"), F.lit(0).alias("label"))
+    return fitted.score(feats, keep=["end_ts"])
