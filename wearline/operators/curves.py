@@ -36,7 +36,8 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 # ---------------------------------------------------------------- cumulative score table
 
-def score_buckets(d: DataFrame, n_buckets: int, col: str = "score", out: str = "__b") -> DataFrame:
+def score_buckets(d: DataFrame, n_buckets: int, col: str = "score", out: str = "__b",
+                  bounds_source: DataFrame | None = None) -> DataFrame:
     """Order-preserving equi-depth bucket of each distinct score.
 
     Boundaries are approximate quantiles of the *distinct* scores (one small
@@ -45,12 +46,23 @@ def score_buckets(d: DataFrame, n_buckets: int, col: str = "score", out: str = "
     """
     from pyspark.ml.feature import Bucketizer
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = d.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    src = bounds_source if bounds_source is not None else d
+    bounds = src.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
     splits = [float("-inf")] + sorted({float(x) for x in bounds if x == x}) + [float("inf")]
     b = Bucketizer(splits=splits, inputCol=col, outputCol="__bf", handleInvalid="keep").transform(d)
     return b.withColumn(out, F.col("__bf").cast("int")).drop("__bf")
 
 
+def distinct_score_counts(preds: DataFrame, group_cols=("model",), score: str = SCORE,
+                          label: str = LABEL, weight: str | None = None) -> DataFrame:
+    """(group, score, pos, neg): rows collapsed to distinct scores (``weight``
+    counts a row that many times)."""
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    return preds.groupBy(*group_cols, F.col(score).alias("score")).agg(
+        F.sum(F.when(F.col(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
+        F.sum(F.when(F.col(label) == 0, w).otherwise(F.lit(0))).alias("neg"))
+
+
 def score_table(preds: DataFrame, group_cols=("model",), score: str = SCORE,
                 label: str = LABEL, n_buckets: int = 256, weight: str | None = None) -> DataFrame:
     """Distinct (group, score) with pos, neg, cum_pos/cum_neg (# with score >= s), P, N.
@@ -60,12 +72,17 @@ def score_table(preds: DataFrame, group_cols=("model",), score: str = SCORE,
     the small bucket-total table, so no task holds more than about
     1/n_buckets of a group's distinct scores.
     """
+    return cumulative_table(distinct_score_counts(preds, group_cols, score, label, weight),
+                            group_cols, n_buckets)
+
+
+def cumulative_table(d: DataFrame, group_cols=("model",), n_buckets: int = 256,
+                     bounds_source: DataFrame | None = None) -> DataFrame:
+    """Running pos/neg sums over descending score on a distinct-score table ``d``
+    (group, score, pos, neg). ``bounds_source`` (a ``score`` column) may supply
+    the bucket boundaries when it has the same score support but fewer rows."""
     g = list(group_cols)
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    d = preds.groupBy(*g, F.col(score).alias("score")).agg(
-        F.sum(F.when(F.col(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
-        F.sum(F.when(F.col(label) == 0, w).otherwise(F.lit(0))).alias("neg"))
-    d = score_buckets(d, n_buckets)
+    d = score_buckets(d, n_buckets, bounds_source=bounds_source)
     totals = d.groupBy(*g, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
     above = Window.partitionBy(*g).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)

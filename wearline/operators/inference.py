@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_df1_sf
-from .curves import delong, ranking_metrics, score_table
+from .curves import cumulative_table, delong, distinct_score_counts, ranking_metrics, score_table
 from .metrics import decision, metrics_from_cells
 from .prepare import poisson_inverse, uniform_hash
 
@@ -129,7 +129,9 @@ def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutation
         F.struct(F.lit("a").alias("side"), sa.alias("y_score")),
         F.struct(F.lit("b").alias("side"), sb.alias("y_score")))).alias("x")).select(
         "rep", "y_true", "x.side", "x.y_score")
-    auc = ranking_metrics(score_table(long, ("rep", "side"), n_buckets=n_buckets), ("rep", "side"))
+    support = preds.select(F.col("y_score").alias("score"))
+    auc = ranking_metrics(cumulative_table(distinct_score_counts(long, ("rep", "side")), ("rep", "side"),
+                                           n_buckets, bounds_source=support), ("rep", "side"))
     per_rep = auc.groupBy("rep").agg(
         F.abs(F.max(F.when(F.col("side") == "a", F.col("roc_auc"))) -
               F.max(F.when(F.col("side") == "b", F.col("roc_auc")))).alias("d"))
@@ -162,17 +164,22 @@ def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, thres
     u = uniform_hash(*[F.col(c) for c in g], *[F.col(k) for k in KEY], F.col("rep"), F.lit(seed))
     w = e.withColumn("w", poisson_inverse(u, 1.0)).where(F.col("w") > 0)
     keys = [*g, "rep"]
-    p = decision(F.col("y_score"), threshold)
-    y = F.col("y_true")
-    cells = w.groupBy(*keys).agg(
-        F.sum(F.when((y == 1) & (p == 1), F.col("w")).otherwise(0)).alias("tp"),
-        F.sum(F.when((y == 0) & (p == 1), F.col("w")).otherwise(0)).alias("fp"),
-        F.sum(F.when((y == 1) & (p == 0), F.col("w")).otherwise(0)).alias("fn"),
-        F.sum(F.when((y == 0) & (p == 0), F.col("w")).otherwise(0)).alias("tn"))
+    # ONE pass over the (row, replicate) draws: weighted counts per distinct score;
+    # both the confusion cells and the ranking table are read from it
+    d = distinct_score_counts(w, keys, weight="w")
+    t = F.lit(float(threshold))
+    ge = F.col("score") >= t
+    cells = d.groupBy(*keys).agg(
+        F.sum(F.when(ge, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(ge, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~ge, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~ge, F.col("neg")).otherwise(0)).alias("tn"))
     m = metrics_from_cells(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
     pm = cells.select(*keys, ((F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)).alias("ok"),
                       *[v.alias(k) for k, v in m.items()])
-    rk = ranking_metrics(weighted_score_table(w, keys, n_buckets), keys)
+    # every replicate draws from the same scores: bucket bounds from the original rows
+    support = preds.select(F.col("y_score").alias("score"))
+    rk = ranking_metrics(cumulative_table(d, keys, n_buckets, bounds_source=support), keys)
     per_rep = pm.join(rk, keys).where("ok")
     long = per_rep.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in BOOT_METRICS])).alias("x"))
@@ -182,14 +189,3 @@ def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, thres
                      F.percentile("x.value", alpha / 2).alias("lower"),
                      F.percentile("x.value", 1 - alpha / 2).alias("upper"),
                      F.count(F.lit(1)).alias("n_replicates")))
-
-
-def weighted_score_table(w: DataFrame, group_cols, n_buckets: int = 256) -> DataFrame:
-    """``score_table`` on weighted rows: pos = sum(w*y), neg = sum(w*(1-y))."""
-    expanded = w.select(*group_cols, "y_score", (F.col("w") * F.col("y_true")).alias("__pw"),
-                        (F.col("w") * (1 - F.col("y_true"))).alias("__nw"))
-    # score_table counts labels; feed it pre-weighted rows via two synthetic labels
-    pos = expanded.select(*group_cols, "y_score", F.lit(1).alias("y_true"), F.col("__pw").alias("__c"))
-    neg = expanded.select(*group_cols, "y_score", F.lit(0).alias("y_true"), F.col("__nw").alias("__c"))
-    both = pos.unionByName(neg).where(F.col("__c") > 0)
-    return score_table(both, group_cols, n_buckets=n_buckets, weight="__c")
