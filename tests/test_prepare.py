@@ -111,3 +111,15 @@ def test_psi_identical_constant_and_shifted(spark):
     assert D.drift_report(c, c, ["x"]).first().psi == 0.0
     # symmetric formula
     assert D.drift_report(b, a, ["x"]).first().psi == pytest.approx(shifted.psi)
+
+
+def test_api_reading_bounds_open_and_closed(spark):
+    cols = "temperature double, vibration double, pressure double, rpm double, current double"
+    rows = [(80.0, 0.6, 5.8, 1790.0, 12.5),      # accepted
+            (0.0, 0.6, 5.8, 1790.0, 12.5),       # temperature must be > 0
+            (80.0, 0.0, 0.0, 0.0, 0.0),          # zeros allowed for the others
+            (80.0, 0.6, 5.8, 10000.0, 12.5),     # rpm must be < 10000
+            (-5.0, 0.6, 5.8, 1790.0, 12.5),      # negative temperature
+            (80.0, None, 5.8, 1790.0, 12.5)]     # missing field
+    got = [r.reject_reason for r in Q.route_api_readings(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [None, "range:temperature", None, "range:rpm", "range:temperature", "missing:vibration"]

@@ -43,6 +43,23 @@ READINGS_SCHEMA = SensorSchema(
     required_columns=["machine_id", "timestep"])
 
 
+# Per-reading bounds of an inference request, as
+# (low, high, low inclusive, high inclusive).
+API_READING_BOUNDS = {
+    "temperature": (0.0, 500.0, False, False),
+    "vibration": (0.0, 100.0, True, False),
+    "pressure": (0.0, 50.0, True, False),
+    "rpm": (0.0, 10000.0, True, False),
+    "current": (0.0, 100.0, True, False),
+}
+
+
+def route_api_readings(df: DataFrame) -> DataFrame:
+    """P3 with the request bounds: reject_reason per reading row."""
+    return route_rows(df, {c: (lo, hi) for c, (lo, hi, _, _) in API_READING_BOUNDS.items()},
+                      closed={c: (li, hi_) for c, (_, _, li, hi_) in API_READING_BOUNDS.items()})
+
+
 def missing(c: str) -> Column:
     """NULL or NaN."""
     return F.col(c).isNull() | F.isnan(F.col(c))
