@@ -171,3 +171,9 @@ def test_kl_and_distribution(spark):
     assert d[1]["median"] == pytest.approx(float(np.median(s[y == 1])))
     assert d[0]["q25"] == pytest.approx(float(np.percentile(s[y == 0], 25)))
     assert d[0]["std"] == pytest.approx(float(np.std(s[y == 0])))
+
+
+def test_score_distribution_empty_class_zeros(spark):
+    rows = {r.y_class: r for r in M.score_distribution(preds_df(spark, [1, 1], [.2, .4])).collect()}
+    assert rows[0]["n"] == 0 and rows[0]["mean"] == 0.0 and rows[0]["median"] == 0.0
+    assert rows[1]["n"] == 2 and rows[1]["median"] == pytest.approx(0.3)

@@ -115,11 +115,18 @@ def score_distribution(preds: DataFrame, group_cols=("model",), score: str = SCO
     """
     q = (F.percentile(F.col(score), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
          else F.percentile_approx(F.col(score), [0.25, 0.5, 0.75], 10000))
-    agg = preds.groupBy(*group_cols, F.col(label).alias("y_class")).agg(
+    g = list(group_cols)
+    agg = preds.groupBy(*g, F.col(label).alias("y_class")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
         q.alias("q"))
-    return agg.select(*group_cols, "y_class", "n", "mean", "std", F.col("q")[1].alias("median"),
-                      F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"))
+    # both classes always reported; an empty class gets zeros (as the reference)
+    spine = preds.select(*g).distinct().select(*g, F.explode(F.array(F.lit(0), F.lit(1))).alias("y_class"))
+    j = spine.join(agg, [*g, "y_class"], "left")
+    z = F.lit(0.0)
+    return j.select(*g, "y_class", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+                    F.coalesce("mean", z).alias("mean"), F.coalesce("std", z).alias("std"),
+                    F.coalesce(F.col("q")[1], z).alias("median"), F.coalesce(F.col("q")[0], z).alias("q25"),
+                    F.coalesce(F.col("q")[2], z).alias("q75"))
 
 
 def class_separation(preds: DataFrame, n_bins: int = 50, group_cols=("model",),
