@@ -220,3 +220,19 @@ def tidy_metrics(metrics: DataFrame, model_col: str = "model") -> DataFrame:
     vals = [c for c, t in metrics.dtypes if c != model_col and t in ("double", "bigint", "int", "float")]
     return metrics.select(model_col, *[F.col(c).cast("double").alias(c) for c in vals]) \
                   .unpivot([model_col], vals, "metric", "value")
+
+
+def metrics_at_selected_threshold(preds: DataFrame, splits: DataFrame, metric: str = "f1",
+                                  select_on: str = "val", evaluate_on: str = "test",
+                                  model_col: str = "model") -> DataFrame:
+    """Pick each model's threshold on ``select_on`` machines (A6, first maximum),
+    then report A2 on ``evaluate_on`` machines at that threshold. With
+    select_on='test' this is the reference's (optimistic) protocol.
+    The threshold table has one row per model."""
+    from .curves import optimal_thresholds
+    p = preds.join(splits, "machine_id")
+    thr = optimal_thresholds(p.where(F.col("split") == select_on), [(metric, 1.0)], (model_col,)) \
+        .select(model_col, F.col("threshold").alias("selected_threshold"))
+    ev = p.where(F.col("split") == evaluate_on).join(thr, model_col)
+    out = classification_metrics(ev, F.col("selected_threshold"), (model_col,))
+    return out.join(thr, model_col)

@@ -938,3 +938,44 @@ def _pos_weight_study(spark, sf):
 
 register("pos_weight_study")(_pos_weight_study)
 register("model_comparison_full")(lambda spark, sf: rounded(I.compare_models_full(_preds(spark, sf), n_permutations=1000)))
+
+
+def _val_threshold(spark, sf):
+    lab = fx.labeled_readings(spark, sf)
+    return rounded(M.metrics_at_selected_threshold(fx.predictions(lab), P.split_machines(lab)))
+
+
+def _val_threshold_sql():
+    f1 = _ratio("2.0 * tp", "2.0 * tp + fp + fn")
+    return f"""WITH {base()}, {_SPLIT}, {grid_cte('grid', 0.01, 0.99, 200)},
+vp AS (SELECT p.* FROM preds p JOIN splits s ON p.machine_id = s.machine_id WHERE s.split = 'val'),
+vc AS (SELECT p.model, g.grid_idx, g.threshold,
+          SUM(CASE WHEN p.y_true = 1 AND p.y_score >= g.threshold THEN 1 ELSE 0 END) AS tp,
+          SUM(CASE WHEN p.y_true = 0 AND p.y_score >= g.threshold THEN 1 ELSE 0 END) AS fp,
+          SUM(CASE WHEN p.y_true = 1 AND p.y_score < g.threshold THEN 1 ELSE 0 END) AS fn
+       FROM vp p, grid g GROUP BY ALL),
+vb AS (SELECT model, threshold, {f1} AS s, row_number() OVER (PARTITION BY model ORDER BY {f1} DESC, grid_idx) AS rn FROM vc),
+thr AS (SELECT model, CASE WHEN s > -1.0 THEN threshold ELSE 0.5 END AS t FROM vb WHERE rn = 1),
+tp_ AS (SELECT p.*, thr.t FROM preds p JOIN splits s ON p.machine_id = s.machine_id JOIN thr ON p.model = thr.model
+        WHERE s.split = 'test'),
+cells AS (SELECT model, max(t) AS t,
+    CAST(SUM(CASE WHEN y_true = 1 AND y_score >= t THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+    CAST(SUM(CASE WHEN y_true = 0 AND y_score >= t THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+    CAST(SUM(CASE WHEN y_true = 1 AND y_score < t THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+    CAST(SUM(CASE WHEN y_true = 0 AND y_score < t THEN 1 ELSE 0 END) AS BIGINT) AS tn FROM tp_ GROUP BY model),
+dist AS (SELECT model, y_score AS s, CAST(SUM(y_true) AS DOUBLE) AS pos, CAST(SUM(1 - y_true) AS DOUBLE) AS neg
+         FROM tp_ GROUP BY model, y_score),
+cum AS (SELECT model, s, pos, neg,
+          COALESCE(SUM(neg) OVER (PARTITION BY model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+          SUM(pos) OVER (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cpos,
+          SUM(neg) OVER (PARTITION BY model ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg,
+          SUM(pos) OVER (PARTITION BY model) AS P, SUM(neg) OVER (PARTITION BY model) AS N FROM dist),
+rkm AS (SELECT model,
+         CASE WHEN max(P) > 0 AND max(N) > 0 THEN SUM(pos * (neg_below + 0.5 * neg)) / (max(P) * max(N)) END AS roc_auc,
+         CASE WHEN max(P) > 0 THEN SUM(pos * cpos / (cpos + cneg)) / max(P) END AS pr_auc FROM cum GROUP BY model)
+SELECT c.model, tp, fp, fn, tn, {_metric_sql()}, {r6('roc_auc', 'roc_auc')}, {r6('pr_auc', 'pr_auc')},
+       {r6('c.t', 'selected_threshold')}
+FROM cells c JOIN rkm ON c.model = rkm.model"""
+
+
+register("metrics_at_val_threshold", _val_threshold_sql())(_val_threshold)
