@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import read
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op4_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+w AS (SELECT doc_id, u.i AS i, u.x AS x FROM (SELECT doc_id, unnest(list_transform(w, lambda x, i: {'i': i, 'x': x})) AS u FROM d)),
+g AS (SELECT doc_id, i, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS s,
+             count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS n FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(s)) AS c FROM g WHERE n = 35) WHERE c > 1),
+c AS (SELECT w.doc_id, w.i, w.x,
+             max(CASE WHEN r.i IS NOT NULL THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.i = w.i),
+k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
