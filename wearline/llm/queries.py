@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import read
+from .simhash import simhash_groups
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -57,6 +58,12 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+@register
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_groups(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
