@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import read
+from .embedding_dedup import embedding_groups
 from .simhash import simhash_groups
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -35,6 +36,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(read(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL
+      AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM e
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.vec_id = c.vec_id"""
+
+
 @register
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"))
