@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_decode
 from .common import read
 from .embedding_dedup import embedding_groups
+from .language_id import identify
 from .simhash import simhash_groups
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -80,6 +81,11 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed,
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
 
 
+@register
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
 @register
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_groups(read(spark, sf_dir, "documents"))
