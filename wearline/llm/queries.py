@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import read
 from .embedding_dedup import embedding_groups
 from .language_id import identify
+from .secrets import scan_secrets
 from .simhash import simhash_groups
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -97,6 +98,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+@register
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(read(spark, sf_dir, "documents"))
+
+    def spelled(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(spelled(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"))
+
+
 @register
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
