@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .bpe_codec import encode_decode
 from .common import read
 from .embedding_dedup import embedding_groups
+from .html_extract import extract_pages
 from .language_id import identify
 from .secrets import scan_secrets
 from .simhash import simhash_groups
@@ -38,6 +39,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 @register
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
