@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules as rules
 from .bpe_codec import encode_decode
 from .common import read
 from .embedding_dedup import embedding_groups
@@ -44,6 +45,46 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
 
 
+@register
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality(read(spark, sf_dir, "documents")).drop("clean_text")
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _any(phrases: tuple[str, ...], form: str) -> str:
+    return "(" + " OR ".join(form.format(sql_text(p)) for p in phrases) + ")"
+
+
+SQL["op2_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM t),
+r AS (SELECT doc_id, count(DISTINCT i + k.k) AS n_repeat_words FROM g, range(3) k(k) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM
+      (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
+m AS (SELECT doc_id, x, lower(t) AS low, right(t, 1) AS last,
+             len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS n FROM l WHERE t <> ''),
+f AS (SELECT doc_id, x, n,
+        (NOT contains({sql_text(rules.TERMINAL)}, last) AND n < {rules.SHORT_LINE})
+        OR (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 10 > length(x)
+        OR length(x) - length(replace(x, '!', '')) > n
+        OR length(x) - length(regexp_replace(x, '[|»›•]', '', 'g')) >= 2
+        OR (NOT contains({sql_text(rules.TERMINAL)}, last) AND n <= {rules.NAV_LINE} AND {_any(rules.NAVIGATION, "starts_with(low, {})")})
+        OR {_any(rules.BOILERPLATE, "contains(low, {})")} AS fails FROM m),
+s AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines, coalesce(sum(n) FILTER (fails), 0) AS n_lost_words FROM f GROUP BY doc_id),
+o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(s.n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+             CAST(coalesce(s.n_lost_words, 0) AS BIGINT) AS n_lost_words
+      FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost_words <= 0.5 * n_words AS kept FROM o"""
+
+
 @register
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(read(spark, sf_dir, "embeddings"))
