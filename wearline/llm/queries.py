@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from . import quality_rules as rules
 from .bpe_codec import encode_decode
 from .common import read
@@ -145,6 +146,57 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+#: Tempering exponents of the production mix, and the share of tokens to keep.
+MIX_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
+MIX_RATE = 0.5
+
+
+@register
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents"), MIX_TARGETS, MIX_RATE)
+    return out.withColumn("probability", F.round("probability", 6))
+
+
+def mixing_sql() -> str:
+    """The raking rounds as a chain of common table expressions."""
+    topic = "CASE " + " ".join(
+        f"WHEN {' OR '.join(f'contains(text, {sql_text(p)})' for p in ps)} THEN {sql_text(t)}" for t, ps in mixing.TOPICS
+    ) + f" ELSE {sql_text(mixing.OTHER)} END"
+    steps, at = [], "c0"
+    for i in range(mixing.ROUNDS):
+        for d in mixing.DIMS:
+            new = f"c{i}_{d}"
+            steps.append(f"{new} AS (SELECT * REPLACE (weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {at})")
+            at = new
+    shares = ", ".join(f"m_{d}.t AS t_{d}" for d in mixing.DIMS)
+    joins = " ".join(f"JOIN m_{d} ON m_{d}.{d} = cells.{d}" for d in mixing.DIMS)
+    margins = ", ".join(
+        f"r_{d} AS (SELECT {d}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {MIX_TARGETS[d]}) AS raw FROM cells GROUP BY {d}), "
+        f"m_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS t FROM r_{d})" for d in mixing.DIMS)
+    return rf"""
+WITH d AS (SELECT doc_id, source AS s0, lang AS l0, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, {topic} AS topic,
+                  CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
+           FROM documents),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+{margins},
+c0 AS (SELECT cells.*, tokens / sum(tokens) OVER () AS weight, {shares} FROM cells {joins}),
+{", ".join(steps)},
+q AS (SELECT *, sum(tokens) OVER () AS total, weight * sum(tokens) OVER () / tokens AS ratio FROM {at}),
+o AS (SELECT *, row_number() OVER w AS pos,
+             ({MIX_RATE} * total - coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(tokens * ratio) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+      FROM q WINDOW w AS (ORDER BY ratio DESC, source, lang, topic)),
+k AS (SELECT min(pos) AS pos, arg_min(scale, pos) AS scale FROM o WHERE scale * ratio <= 1),
+p AS (SELECT source, lang, topic, CASE WHEN k.pos IS NULL OR o.pos < k.pos THEN 1.0 ELSE k.scale * ratio END AS probability FROM o, k)
+SELECT d.doc_id, d.s0 AS source, d.l0 AS lang, d.topic, d.n_tokens, round(coalesce(p.probability, 0.0), 6) AS probability,
+       CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0
+           < coalesce(p.probability, 0.0) AS kept
+FROM d LEFT JOIN p ON p.source = d.source AND p.lang = d.lang AND p.topic = d.topic"""
+
+
+SQL["op8_mixing"] = mixing_sql()
+
+
 @register
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(read(spark, sf_dir, "documents"))
