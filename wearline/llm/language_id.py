@@ -130,7 +130,8 @@ def infer(counts: np.ndarray, log_prob: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id",
             text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Adds lang_pred and score to (doc_id[, text]); ``keep`` carries all input columns."""
+    """(doc_id, lang_pred, score); ``keep`` carries all input columns instead of
+    the id (columns already named lang_pred or score are replaced)."""
     langs, log_prob = model
 
     def run(cols: dict) -> dict:
@@ -148,7 +149,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "d
         out = {f"in_{i}": cols[f"in_{i}"] for i in range(len(carried))}
         return out | {"lang_pred": pred.tolist(), "score": score}
 
-    carried = df.columns if keep else [id_col]
+    carried = [c for c in df.columns if c not in ("lang_pred", "score")] if keep else [id_col]
     src = df.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").alias("text"))
     fields = ", ".join(f"in_{i} {src.schema[f'in_{i}'].dataType.simpleString()}" for i in range(len(carried)))
     out = map_rows(src, run, f"{fields}, lang_pred string, score double")

@@ -148,5 +148,7 @@ def sample(df: DataFrame, targets: Mapping[str, float | Mapping[str, float]], ra
            text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The kept rows of ``df`` with all their columns."""
     table = sampling_table(df, targets, rate, text_col, source_col, lang_col)
-    out = with_probability(df.select("*", *keys_of(df, text_col, source_col, lang_col)), table)
-    return out.where(draw_of(F.col(f"`{id_col}`")) < F.coalesce("__p", F.lit(0.0))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(df.columns)], draw_of(F.col(f"`{id_col}`")).alias("__draw"),
+                     *keys_of(df, text_col, source_col, lang_col))
+    out = with_probability(rows, table).where(F.col("__draw") < F.coalesce("__p", F.lit(0.0)))
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, stored
+from .common import map_rows, pick, slices, stored
 from .components import components
 
 #: Members of one block of a key group.
@@ -174,13 +174,40 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return met.mapInArrow(verify, "a long, b long")
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                   max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp long, component_id) of every row; see the module text."""
+def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, fp, root, component_id): root is the least fingerprint of the component."""
     docs = stored(fingerprints(df, id_col, text_col, shingle))
     classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, max_bits))
     member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return docs.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                   max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp long, component_id) of every row; see the module text."""
+    return grouped(df, id_col, text_col, shingle, max_bits).drop("root")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each component with all columns of ``df``: that of the least id
+    (null where the component has no id; of repeated ids the least fingerprint)."""
+    rows = grouped(df, id_col, text_col, shingle, max_bits)
+    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.min(F.struct("fp", "doc_id")).alias("s")).select(F.col("s.fp").alias("stay_fp"), F.col("s.doc_id").alias("stay_id"))
+    names = df.columns
+    src = df.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    at, key = f"in_{names.index(text_col)}", f"in_{names.index(id_col)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at, 16 << 20):
+                fp = np.array([fingerprint(t, shingle) for t in part.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+                yield part.append_column("fp", pa.array(fp))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
+    marked = src.mapInArrow(run, f"{fields}, fp long")
+    kept = marked.join(stay, (marked["fp"] == stay["stay_fp"]) & marked[key].eqNullSafe(stay["stay_id"]))
+    return kept.dropDuplicates(["fp", key]).select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])
