@@ -46,6 +46,7 @@ promotion cookie cookies consent gdpr notice notices alert popup modal overlay n
 signin login register sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot
 header masthead topbar toolbar skip comment comments commentlist disqus reply replies respond discussion share sharing
 social related recommended recommendations widget widgets search form hidden""".split())
+COMMENT_NAMES = frozenset("comment comments reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 # -----------------------------------------------
 
@@ -132,7 +133,7 @@ class Page:
     def _kind(name: str, attrs: str) -> int:
         if name in JUNK_TAGS:
             return 1
-        if not attrs or name in ("html", "body", *ARTICLE):
+        if not attrs or name in ("html", "body"):
             return 0
         for key, value in ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -140,8 +141,13 @@ class Page:
                 return 1
             if key == "role" and value in JUNK_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
                 return 1
-            if key in ("class", "id") and not JUNK_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-                return 2
+            if key in ("class", "id"):
+                names = re.split(r"[\s_-]+", value)
+                if name in ARTICLE:  # an article is junk only as a reader's comment
+                    if not COMMENT_NAMES.isdisjoint(names):
+                        return 1
+                elif not JUNK_NAMES.isdisjoint(names):
+                    return 2
         return 0
 
     def main_text(self) -> str:
