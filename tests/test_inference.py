@@ -56,3 +56,56 @@ def test_bootstrap_ci_orders_bounds(spark):
     assert {r.metric for r in rows} >= {"f1", "roc_auc", "pr_auc"}
     for r in rows:
         assert r.lower <= r.mean + 1e-12 and r.mean <= r.upper + 1e-12
+
+
+def brute_auc_ap(y, s, w):
+    import numpy as np
+    P, N = (w * y).sum(), (w * (1 - y)).sum()
+    auc = ap = cp = cn = 0.0
+    for t in sorted(set(s.tolist()), reverse=True):
+        p, n = (w * y)[s == t].sum(), (w * (1 - y))[s == t].sum()
+        auc += n * (2 * cp + p)
+        cp, cn = cp + p, cn + n
+        ap += p * cp / (cp + cn) if cp + cn else 0
+    return auc / (2 * P * N), ap / P
+
+
+@pytest.mark.parametrize("ties", [1, 3])
+def test_replicates_equal_brute_force(spark, ties):
+    import numpy as np
+    from wearline.operators import resample as R
+    rng = np.random.default_rng(ties)
+    n, reps = 900, 12
+    y = rng.integers(0, 2, n)
+    s = np.round(np.clip(.4 * y + .6 * rng.random(n), 0, 1), ties)
+    df = preds_df(spark, y, s).repartition(6)
+    rows = df.select("model", F.col("y_score").alias("score"), F.col("y_true").alias("y"), F.lit(False).alias("__other"),
+                     *R.draw_key(F.col("machine_id"), seed=1))
+    keys = {r.machine_id: (r["__a"], r["__b"]) for r in df.select("machine_id", *R.draw_key(F.col("machine_id"), seed=1)).collect()}
+    w = R.weights(np.array([keys[i][0] for i in range(n)]), np.array([keys[i][1] for i in range(n)]), np.zeros(n, bool), reps, "poisson")
+    assert abs(w[:, 1:].mean() - 1) < 0.05 and abs(w[:, 1:].var() - 1) < 0.1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.rep: r for r in R.replicate_cells(rows, ["model"], reps, "poisson", 0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(got) == list(range(reps + 1))
+    for r in range(reps + 1):
+        auc, ap = brute_auc_ap(y, s, w[:, r])
+        assert got[r].roc_auc == pytest.approx(auc) and got[r].pr_auc == pytest.approx(ap)
+        assert got[r].tp == (w[:, r] * y)[s >= .5].sum() and got[r].tn == (w[:, r] * (1 - y))[s < .5].sum()
+
+
+def test_permutation_of_any_metric(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    good, bad = np.clip(.7 * y + .3 * rng.random(400), 0, 1), rng.random(400)
+    p = _pair(spark, y, good, bad)
+    for metric in ("f1", "roc_auc"):
+        r = I.permutation_tests(p, metric=metric, n_permutations=200).first()
+        assert r.p_value < 0.01 and r.interpretation == I.HIGHLY and r.metric_a > r.metric_b
+    same = I.permutation_tests(_pair(spark, y, good, good), n_permutations=50).first()
+    assert same.p_value == 1.0 and same.interpretation == I.NONE
+    with pytest.raises(ValueError):
+        I.permutation_tests(p, metric="nope")

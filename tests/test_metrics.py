@@ -71,7 +71,7 @@ def test_auc_matches_pairwise_definition(spark):
     s = np.round(rng.random(300), 2)  # many ties
     pos, neg = s[y == 1], s[y == 0]
     expect = np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg])
-    r = one(M.classification_metrics(preds_df(spark, y, s), n_buckets=7))
+    r = one(M.classification_metrics(preds_df(spark, y, s)))
     assert r["roc_auc"] == pytest.approx(expect, abs=1e-12)
 
 
@@ -83,7 +83,7 @@ def test_delong_matches_pairwise_placements(spark):
     v10 = np.array([np.mean(p > neg) + 0.5 * np.mean(p == neg) for p in pos])
     v01 = np.array([np.mean(pos > n) + 0.5 * np.mean(pos == n) for n in neg])
     var = np.var(v10, ddof=1) / len(pos) + np.var(v01, ddof=1) / len(neg)
-    d = one(C.delong(C.score_table(preds_df(spark, y, s), n_buckets=16)))
+    d = one(C.delong(C.score_table(preds_df(spark, y, s))))
     assert d["auc"] == pytest.approx(v10.mean(), abs=1e-12)
     assert d["variance"] == pytest.approx(var, rel=1e-9)
 
@@ -177,3 +177,48 @@ def test_score_distribution_empty_class_zeros(spark):
     rows = {r.y_class: r for r in M.score_distribution(preds_df(spark, [1, 1], [.2, .4])).collect()}
     assert rows[0]["n"] == 0 and rows[0]["mean"] == 0.0 and rows[0]["median"] == 0.0
     assert rows[1]["n"] == 2 and rows[1]["median"] == pytest.approx(0.3)
+
+
+def test_pr_curve_ends_at_recall_zero(spark):
+    p = preds_df(spark, [0, 0, 1, 1], [.1, .4, .35, .8])
+    end = C.pr_curve(C.score_table(p)).where("threshold IS NULL").collect()
+    assert [(r.precision, r.recall) for r in end] == [(1.0, 0.0)]
+
+
+def test_cells_of_error_summary_and_quartiles(spark):
+    rng = np.random.default_rng(3)
+    y, s = rng.integers(0, 2, 301), np.round(rng.random(301), 2)
+    r = one(M.error_summary(preds_df(spark, y, s)))
+    tp = s[(y == 1) & (s >= .5)]
+    assert r["n_tp"] == len(tp) and r["tp_score_mean"] == pytest.approx(tp.mean()) and r["tp_score_max"] == tp.max()
+    for row in M.score_distribution(preds_df(spark, y, s)).collect():
+        got = s[y == row.y_class]
+        assert [row.q25, row.median, row.q75] == pytest.approx(np.percentile(got, [25, 50, 75]).tolist())
+
+
+def test_score_table_over_many_parts(spark):
+    rng = np.random.default_rng(4)
+    y, s = rng.integers(0, 2, 4000), np.round(rng.random(4000), 3)
+    rows = [(f"m{i % 2}", i, i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))]
+    p = spark.createDataFrame(rows, "model string, machine_id long, end_timestep long, y_true int, y_score double").repartition(8)
+    for r in C.score_table(p).collect():
+        mine = np.arange(len(y)) % 2 == int(r.model[1])
+        at = mine & (s >= r.score)
+        assert (r.cum_pos, r.cum_neg) == (y[at].sum(), (1 - y[at]).sum())
+
+
+def test_delong_width_shrinks_with_n(spark):
+    rng = np.random.default_rng(5)
+    width = []
+    for n in (100, 1000, 5000):
+        y = rng.integers(0, 2, n)
+        r = one(C.delong(C.score_table(preds_df(spark, y, np.clip(.3 * y + .7 * rng.random(n), 0, 1)))))
+        width.append(r["upper"] - r["lower"])
+    assert width[0] > width[1] > width[2]
+
+
+def test_calibrated_scores_have_small_ece(spark):
+    rng = np.random.default_rng(6)
+    s = rng.random(20_000)
+    r = one(M.brier_and_ece(preds_df(spark, (rng.random(20_000) < s).astype(int), s)))
+    assert r["ece"] < 0.05

@@ -37,3 +37,93 @@ def test_calibrators_bounded(spark):
     assert iso.where((F.col("y_score") < 0) | (F.col("y_score") > 1)).count() == 0
     cmp = ML.compare_calibrators(val, test).collect()
     assert {r.method for r in cmp} == {"uncalibrated", "platt_scaling", "isotonic_regression"}
+
+
+def planted(spark, n=240, seed=0, T=6):
+    """Windows of two sensors; the label follows sensor 0 in the last two steps."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        x = rng.normal(size=(T, 2))
+        rows.append((i % 12, i, int(x[-2:, 0].sum() > 0), [float(v) for v in x.ravel()]))
+    return spark.createDataFrame(rows, "machine_id long, end_timestep long, label int, features array<double>")
+
+
+def test_models_find_a_planted_signal(spark, tmp_path):
+    train, test = planted(spark, seed=1), planted(spark, 200, seed=2)
+    for fitted in (ML.fit_random_forest(train, num_trees=40), ML.fit_mlp(train, hidden=(8,), max_iter=60), ML.fit_logistic(train)):
+        assert M.classification_metrics(fitted.score(test)).first().roc_auc > 0.85
+        TL.save_model(fitted, str(tmp_path / fitted.name))
+        back = TL.load_model(str(tmp_path / fitted.name))
+        a, b = ({r.end_timestep: r.y_score for r in m.score(test).collect()} for m in (fitted, back))
+        assert a == b
+        sens = {r.sensor: r.importance_mean for r in IMP.sensor_permutation_importance(fitted, test, ["s0", "s1"]).collect()}
+        assert sens["s0"] > 0.15 > abs(sens["s1"])
+    bins = {r.t_start: r.importance_mean for r in IMP.temporal_permutation_importance(fitted, test, 6, 2, n_bins=3).collect()}
+    assert bins[4] > 0.15 and max(abs(bins[0]), abs(bins[2])) < 0.1
+    kinds = {r.kind for r in IMP.all_importances(fitted, test, 6, ["s0", "s1"]).collect()}
+    assert kinds == {"intrinsic", "sensor_permutation", "temporal_permutation"}
+    sens = {(r.t, r.sensor): r.sensitivity for r in IMP.sensitivity_map(fitted, test, 6, ["s0", "s1"]).collect()}
+    # closed form for a logistic model: proportional to |coefficient| / std
+    w = [abs(c) / s for c, s in zip(fitted.model.coefficients.toArray(), fitted.standardizer.std)]
+    for (t, name), v in sens.items():
+        assert abs(v - w[t * 2 + int(name[1])] / max(w)) < 0.01
+
+
+def test_donors_are_a_permutation(spark):
+    keys = planted(spark, 50)
+    rows = IMP.donors(keys, 3).collect()
+    for rep in range(3):
+        mine = [r for r in rows if r.rep == rep]
+        assert len(mine) == 50 and {r.end_timestep for r in mine} == {r.donor_end_timestep for r in mine} == set(range(50))
+        assert sum(r.end_timestep == r.donor_end_timestep for r in mine) < 10
+
+
+def test_search_and_weight_study(spark):
+    train = planted(spark)
+    rows = ML.hyperparameter_search(train, [("logistic_regression", {"C": 1.0}), ("random_forest", {"num_trees": 10, "max_depth": 4})]).collect()
+    assert len(rows) == 6 and all(r.f1 > 0.6 for r in rows)
+    folds = ML.machine_folds(train).groupBy("machine_id").agg(F.count_distinct("fold").alias("n")).collect()
+    assert all(r.n == 1 for r in folds)
+    study = {r.variant: r.roc_auc for r in ML.pos_weight_study(train, planted(spark, seed=3)).collect()}
+    assert set(study) == {"unweighted", "balanced"} and min(study.values()) > 0.9
+
+
+def test_platt_coefficients(spark):
+    import numpy as np
+    from conftest import preds_df
+    rng = np.random.default_rng(0)
+    s = rng.random(2000)
+    platt = ML.PlattScaler.fit(preds_df(spark, (rng.random(2000) < s).astype(int), s))
+    assert platt.coef > 2 and platt.intercept < 0
+    p = platt.transform(preds_df(spark, [0, 1], [0.2, 0.9])).collect()
+    assert p[1].y_score == 1 / (1 + np.exp(-(platt.coef * 0.9 + platt.intercept))) or abs(
+        p[1].y_score - 1 / (1 + np.exp(-(platt.coef * 0.9 + platt.intercept)))) < 1e-12
+
+
+def test_requests(spark):
+    fitted = ML.fit_logistic(planted(spark))
+    nan = float("nan")
+    ok = [0.5, -0.5]
+    bounds = [(-1.0, 1.0, False, False), (-1.0, 1.0, True, True)]
+    rows = [("a", [ok] * 6, 0.5), ("a", [[0.9, 0.9]] * 6, 0.5), (None, [ok] * 9, 0.0), ("short", [ok], 1.0),
+            ("e", [], 0.5), ("n", None, 0.5), ("w", [[0.1]], 0.5), ("m", [[None, 0.1]], 0.5), ("q", [[nan, 0.1]], 0.5),
+            ("o", [[1.0, 0.1]], 0.5), ("c", [[0.1, 1.0]], 0.5), ("t", [ok], 1.5), ("u", [ok], None), ("v", [ok], nan), ("x", [None], 0.5)]
+    df = spark.createDataFrame(rows, "request_id string, readings array<array<double>>, threshold double")
+    out = ML.score_requests(df, fitted, 6, 2, bounds).collect()
+    assert len(out) == len(rows)
+    why = sorted((str(r.request_id), r.reject_reason) for r in out)
+    assert [w for w in why if w[1]] == sorted([("e", "empty window"), ("n", "empty window"), ("w", "wrong reading width"),
+                                               ("x", "wrong reading width"), ("m", "missing reading"), ("q", "missing reading"),
+                                               ("o", "reading out of bounds"), ("t", "threshold outside [0,1]"),
+                                               ("u", "threshold outside [0,1]"), ("v", "threshold outside [0,1]")])
+    assert all((r.failure_probability is None) == (r.reject_reason is not None) for r in out)
+    twins = [r for r in out if r.request_id == "a"]
+    assert len(twins) == 2 and len({r.failure_probability for r in twins}) == 2
+    unnamed = next(r for r in out if r.request_id is None)
+    assert unnamed.failure_predicted and unnamed.window_length == 9
+    assert ML.score_requests(df.drop("request_id"), fitted, 6, 2, bounds).count() == len(rows)
+    import pytest
+    with pytest.raises(ValueError, match="missing columns"):
+        ML.score_requests(df.drop("threshold"), fitted, 6, 2, bounds)

@@ -9,6 +9,10 @@ from wearline.operators import drift as D
 from wearline.operators import labels as L
 from wearline.operators import prepare as P
 from wearline.operators import quality as Q
+from wearline.operators import readings_ops as R
+from wearline.operators import sequence as S
+from wearline.operators.quantiles import exact_quantiles
+from wearline.plans import fixtures as fx
 from wearline.sources import tables
 
 
@@ -16,14 +20,127 @@ def series(spark, rows):
     return spark.createDataFrame(rows, "machine_id long, timestep long, x double, failure_imminent int")
 
 
-def test_hot_key_numbering_equals_plain(spark):
-    cold = tables.readings(spark, SF).select("machine_id", "timestep", "l_orderkey", "l_linenumber")
-    hot = tables.readings(spark, SF, hot_rows=10).select("machine_id", "timestep", "l_orderkey", "l_linenumber")
-    assert cold.exceptAll(hot).count() == 0 and hot.exceptAll(cold).count() == 0
-    n = cold.groupBy("machine_id").agg(F.max("timestep").alias("m"), F.count("*").alias("n"))
+def numbered(rows):
+    """Brute force: 0-based position and total per key, NULLs first."""
+    order = sorted(rows, key=lambda r: tuple((v is not None, v) for v in r[:3]))
+    out, seen = {}, {}
+    for r in order:
+        out[r] = seen[r[0]] = seen.get(r[0], -1) + 1
+    return {r: (p, seen[r[0]] + 1) for r, p in out.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_numbering_with_nulls_and_one_large_key(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(1 if i % 3 else (None if i % 30 == 0 else i % 7), None if rng.random() < .1 else int(rng.integers(0, 90_000)), i) for i in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k long, t long, i long").repartition(5)
+        df = df.withColumn("ts", F.timestamp_seconds("t"))  # several rows of a day, in any order
+        got = {(r.k, r.t, r.i): (r.pos, r.n_rows) for r in S.number_within_key(df, "k", ["ts", "i"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == numbered(rows)
+
+
+def test_numbering_of_one_key_and_of_nothing(spark):
+    one = spark.range(500).select(F.lit(1).alias("k"), (F.lit(499) - F.col("id")).alias("t"))
+    assert [r.pos for r in S.number_within_key(one, "k", ["t"]).orderBy("t").collect()] == list(range(500))
+    assert S.number_within_key(one.limit(0), "k", ["t"]).count() == 0
+
+
+def test_readings_count_up(spark):
+    n = tables.readings(spark, SF).groupBy("machine_id").agg(F.max("timestep").alias("m"), F.count("*").alias("n"))
     assert n.where("m != n - 1").count() == 0
 
 
+def test_non_monotone_across_parts(spark):
+    rows = [(m, t if not (m == 2 and t == 150) else 10, t) for m in (1, 2, 3) for t in range(300)]
+    df = spark.createDataFrame(rows, "machine_id long, timestep long, seq long").repartition(4)
+    assert [r.machine_id for r in Q.non_monotone_machines(df, ["seq"]).collect()] == [2]
+
+
+def test_lag_coupling_chunks_and_short_machines(spark):
+    rng = np.random.default_rng(1)
+    rows = [(m, t, float(rng.random()), float(rng.random())) for m, n in ((1, 57), (2, 1), (3, 2)) for t in range(n)]
+    df = spark.createDataFrame(rows, "machine_id long, timestep long, d double, f double")
+    got = {r.machine_id: r for r in L.lag_coupling(df, "d", "f", chunk_len=10).collect()}
+    d = np.array([(r[2], r[3]) for r in rows if r[0] == 1])
+    assert got[1].n_pairs == 56 and got[1].lag_corr == pytest.approx(np.corrcoef(d[:-1, 0], d[1:, 1])[0, 1])
+    assert (got[2].n_pairs, got[2].lag_corr) == (0, None) and got[3].n_pairs == 1
+
+
+def test_windows_follow_machine_and_chunk(spark):
+    """No plan node groups a machine as a whole under the windows."""
+    lab = fx.labeled_readings(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = P.sliding_windows(lab, tables.SENSORS, 50, 10, keep_cols=["split"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and all("__chunk" in x or "__part" in x for x in exchanges)
+
+
+def test_guard_raises_on_missing_values(spark):
+    for bad in (None, float("nan")):
+        df = spark.createDataFrame([(1, 0, bad, 0), (1, 1, 2.0, 0)], "machine_id long, timestep long, x double, y int")
+        with pytest.raises(ValueError, match="missing sensor values"):
+            Q.require_clean(df, ["x"], "y")
+    ok = spark.createDataFrame([(1, 0, 1.0, 0)], "machine_id long, timestep long, x double, y int")
+    assert Q.require_clean(ok, ["x"], "y").first().n_rows == 1
+    with pytest.raises(ValueError, match="missing columns"):
+        Q.require_clean(ok, ["x", "z"], "y")
+
+
+@pytest.mark.parametrize("lam", [0.01, 0.4, 1.0, 7.3, 1000.0])
+def test_poisson_copies(spark, lam):
+    # n_pos rows of label 1 among n rows: lambda = n / (2 n_pos)
+    n_pos = 400 if lam < 100 else 3
+    n_neg = int(round(2 * n_pos * lam)) - n_pos
+    label, other = (1, 0) if n_neg > 0 else (0, 1)
+    n = 2 * lam * n_pos
+    k = P.poisson_resample(_labels(spark, n_pos, max(n_neg, 1)), ["i"]) if n_neg > 0 else None
+    if k is None:  # a rate below one half: the larger class
+        rare = max(1, int(n_pos * lam))
+        k = P.poisson_resample(_labels(spark, rare, n_pos * 10), ["i"])
+        lam, n_pos, label = (rare + n_pos * 10) / (2 * n_pos * 10), n_pos * 10, 0
+    copies = k.where(F.col("label") == label).count()
+    assert abs(copies / n_pos - lam) < 6 * (lam / n_pos) ** 0.5 + 1e-9
+
+
+def _labels(spark, n_pos, n_neg):
+    return spark.range(n_pos + n_neg).select(F.col("id").alias("i"), (F.col("id") < n_pos).cast("int").alias("label"))
+
+
+def test_poisson_draws_have_the_right_law(spark):
+    for lam in (0.2, 1.0):
+        cdf = P.poisson_cdf(lam)
+        assert abs(cdf[-1] - 1) < 1e-15 and cdf[0] == pytest.approx(np.exp(-lam))
+    with pytest.raises(ValueError):
+        P.poisson_cdf(2.0)
+    u = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.0, 0.36, 0.37, 0.999, 1 - 2**-53)])).alias("u"))
+    assert [r.k for r in u.select(P.poisson_inverse(F.col("u"), 1.0).alias("k")).collect()] == [0, 0, 1, 5, 18]
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, None if rng.random() < .05 else float(np.round(rng.normal(), d))) for g, n, d in (("a", 1001, 3), ("b", 2, 9), ("c", 1, 9)) for _ in range(n)]
+    df = spark.createDataFrame(rows + [("d", None), ("a", float("nan"))], "g string, v double").repartition(4)
+    got = {r.g: r.q for r in exact_quantiles(df, ["g"], "v", (0.0, 0.1, 0.5, 0.75, 1.0)).collect()}
+    assert "d" not in got
+    for g in got:
+        v = [x for k, x in rows if k == g and x is not None]
+        assert got[g] == pytest.approx(np.percentile(v, [0, 10, 50, 75, 100]).tolist())
+
+
+def test_pruned_sensors(spark):
+    df = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 5.0)], "machine_id long, a double, b double")
+    assert R.prune_near_constant(df, ["machine_id"], ["a", "b"]).columns == ["machine_id", "a"]
+
+
 def test_windows_short_and_exact_machine(spark):
     rows = [(1, t, float(t), 0) for t in range(3)] + [(2, t, float(t), int(t == 4)) for t in range(5)]
     w = P.sliding_windows(series(spark, rows), ["x"], 5, 2).collect()

@@ -74,7 +74,7 @@ def test_preprocessor_round_trip(spark, tmp_path):
     assert s2 == scaler and meta["seed"] == 42 and sp2.exceptAll(sp).count() == 0
 
 
-def test_readings_csv_sink_and_reader(spark, tmp_path):
+def test_readings_partitioned_sink(spark, tmp_path):
     r = tables.readings(spark, SF).select("machine_id", "timestep", "machine_type", "quantity")
     TL.write_readings(r, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -103,3 +103,46 @@ def test_live_scores_equal_batch_scores(spark, tmp_path):
     got = {(r.machine_id, r.end_timestep): r.y_score for r in spark.table("x1_scores").collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_csv_reader_and_report_sink(spark, tmp_path):
+    (tmp_path / "in.csv").write_text(",".join(f.name for f in TL.READINGS_CSV_SCHEMA) + "\n7,3,80.5,0.6,5.8,1790,12.5,pump,0,1,0.25\n7,4,,0.6,5.8,1790,12.5,pump,1,1,1.0\n")
+    back = TL.read_readings_csv(spark, str(tmp_path / "in.csv")).orderBy("timestep").collect()
+    assert (back[0].machine_id, back[0].temperature, back[0].machine_type) == (7, 80.5, "pump") and back[1].temperature is None
+    df = spark.createDataFrame(back, TL.READINGS_CSV_SCHEMA)
+    TL.write_readings(df, str(tmp_path / "csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    TL.write_report(df.select("machine_id", "timestep"), str(tmp_path / "report"))
+    assert sorted((r.machine_id, r.timestep) for r in spark.read.json(str(tmp_path / "report")).collect()) == [(7, 3), (7, 4)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    import datetime as dt
+
+    def put(name, days):
+        rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), 1, "x", 1.0, "") for i, d in enumerate(days)]
+        spark.createDataFrame(rows, X.EVENTS_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "tmp" / name))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        import glob
+        import os
+        import shutil
+        src = glob.glob(str(tmp_path / "tmp" / name / "part-*.parquet"))[0]
+        shutil.copy(src, str(tmp_path / "in" / f"events_{name}.parquet"))
+        os.utime(str(tmp_path / "in" / f"events_{name}.parquet"), (1_700_000_000 + len(name), 1_700_000_000 + len(name)))
+
+    put("a", range(20))
+    put("bb", [19])
+    put("ccc", [0, 1, 19])  # two of them far behind the watermark of the first file
+    stream = X.event_stream(spark, str(tmp_path / "in"), max_files=1)
+    q = X.run_available_now(X.windowed_histogram(stream, [0.0, 1.0, 2.0]), "late_out", str(tmp_path / "ck"))
+    assert X.late_rows(q) == 2
+
+
+def test_alerts_of_a_repeated_batch_are_written_once(spark, tmp_path):
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    ref = ev.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    counts = []
+    for i in (1, 2):  # the same epochs again, from a fresh checkpoint
+        X.drift_alerts(X.event_stream(spark, SF), ref, str(tmp_path / "alerts"), str(tmp_path / f"ck{i}")).awaitTermination()
+        counts.append(spark.read.parquet(str(tmp_path / "alerts")).count())
+    assert counts[0] == counts[1] > 0

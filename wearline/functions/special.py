@@ -1,7 +1,6 @@
 """Special functions without a Spark SQL built-in (no erf/erfc, no normal quantile).
 
-Per-row values use a SQL expression (valid in Spark and DuckDB) so they stay
-JVM-side; one-row results may use the exact driver-side ``math`` versions.
+They are applied to small results only, so the exact library versions are used.
 """
 
 from __future__ import annotations
@@ -9,39 +8,18 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Chebyshev fit of erfc (fractional error below 1.2e-7),
-# t = 1 / (1 + |z|/2), erfc(z) = t * exp(-z^2 + poly(t)), coefficients in order.
-ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-               0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-
-
-def erfc_sql(z: str) -> str:
-    """SQL text for erfc(z), z itself an SQL expression."""
-    t = f"(1.0 / (1.0 + 0.5 * abs({z})))"
-    poly = repr(ERFC_COEFFS[-1])
-    for c in reversed(ERFC_COEFFS[:-1]):
-        poly = f"({c!r} + {t} * {poly})"
-    pos = f"({t} * exp(-({z}) * ({z}) + {poly}))"
-    # the fit overshoots 1 by ~3e-8 at z = 0: clamp to the function's range
-    return f"(CASE WHEN ({z}) >= 0 THEN LEAST(1.0, {pos}) ELSE 2.0 - LEAST(1.0, {pos}) END)"
-
-
-def chi2_df1_sf_sql(x: str) -> str:
-    """Upper tail of chi-square with one degree of freedom: erfc(sqrt(x/2))."""
-    return erfc_sql(f"sqrt(({x}) / 2.0)")
-
 
 def chi2_df1_sf(x: Column) -> Column:
-    """Column form of ``chi2_df1_sf_sql`` (x >= 0)."""
-    z = F.sqrt(x / 2.0)
-    t = 1.0 / (1.0 + 0.5 * F.abs(z))
-    poly = F.lit(ERFC_COEFFS[-1])
-    for c in reversed(ERFC_COEFFS[:-1]):
-        poly = F.lit(c) + t * poly
-    return F.least(F.lit(1.0), t * F.exp(-z * z + poly))
+    """Upper tail of chi-square with one degree of freedom (x >= 0): the exact
+    ``erfc``, meant for small result tables (one row per model pair)."""
+    @F.pandas_udf("double")
+    def tail(v: pd.Series) -> pd.Series:
+        return v.map(chi2_df1_sf_exact)
+    return tail(x)
 
 
 def chi2_df1_sf_exact(x: float) -> float:

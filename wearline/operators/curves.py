@@ -6,10 +6,10 @@ label and a score in [0, 1].
 Two shapes, both without a global running window:
 
 * **Cumulative score table** (A3, A4, A17, W11, W12): rows are first
-  collapsed to distinct (group, score) with pos/neg counts. Running sums
-  over descending score are computed per *score bucket* (``n_buckets``
-  equal-width, order preserving) plus a prefix offset from the small
-  bucket-total table -- the work for one group is split over its buckets.
+  collapsed to distinct (group, score) with pos/neg counts, which are laid
+  out in score order over range partitions; running sums start at a prefix
+  offset from the small part table -- a group spans as many tasks as its
+  distinct scores fill.
 * **Threshold grids** (A5, A6, A11-A13): each row gets the number of grid
   thresholds <= its score (exact literal comparison), rows collapse to at
   most G+1 counts per group, and every threshold's confusion cells are
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grids import count_le, linspace
 from ..functions.special import normal_quantile
+from .sequence import PART, before, inside, join_parts, lay_out, part_table
 
 SCORE = "y_score"
 LABEL = "y_true"
@@ -36,23 +37,6 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 # ---------------------------------------------------------------- cumulative score table
 
-def score_buckets(d: DataFrame, n_buckets: int, col: str = "score", out: str = "__b",
-                  bounds_source: DataFrame | None = None) -> DataFrame:
-    """Order-preserving equi-depth bucket of each distinct score.
-
-    Boundaries are approximate quantiles of the *distinct* scores (one small
-    action), so every bucket holds about 1/n_buckets of them whatever the
-    score distribution; ``Bucketizer`` applies them with a JVM binary search.
-    """
-    from pyspark.ml.feature import Bucketizer
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    src = bounds_source if bounds_source is not None else d
-    bounds = src.approxQuantile(col, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
-    splits = [float("-inf")] + sorted({float(x) for x in bounds if x == x}) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol=col, outputCol="__bf", handleInvalid="keep").transform(d)
-    return b.withColumn(out, F.col("__bf").cast("int")).drop("__bf")
-
-
 def distinct_score_counts(preds: DataFrame, group_cols=("model",), score: str = SCORE,
                           label: str = LABEL, weight: str | None = None) -> DataFrame:
     """(group, score, pos, neg): rows collapsed to distinct scores (``weight``
@@ -64,39 +48,30 @@ def distinct_score_counts(preds: DataFrame, group_cols=("model",), score: str =
 
 
 def score_table(preds: DataFrame, group_cols=("model",), score: str = SCORE,
-                label: str = LABEL, n_buckets: int = 256, weight: str | None = None) -> DataFrame:
+                label: str = LABEL, weight: str | None = None) -> DataFrame:
     """Distinct (group, score) with pos, neg, cum_pos/cum_neg (# with score >= s), P, N.
-
-    ``weight`` (optional column) counts each row that many times. Running
-    sums are computed per equi-depth score bucket plus a prefix offset from
-    the small bucket-total table, so no task holds more than about
-    1/n_buckets of a group's distinct scores.
-    """
-    return cumulative_table(distinct_score_counts(preds, group_cols, score, label, weight),
-                            group_cols, n_buckets)
+    ``weight`` (optional column) counts each row that many times."""
+    return cumulative_table(distinct_score_counts(preds, group_cols, score, label, weight), group_cols)
 
 
-def cumulative_table(d: DataFrame, group_cols=("model",), n_buckets: int = 256,
-                     bounds_source: DataFrame | None = None) -> DataFrame:
+def cumulative_table(d: DataFrame, group_cols=("model",)) -> DataFrame:
     """Running pos/neg sums over descending score on a distinct-score table ``d``
-    (group, score, pos, neg). ``bounds_source`` (a ``score`` column) may supply
-    the bucket boundaries when it has the same score support but fewer rows."""
+    (group, score, pos, neg): the table is laid out once by (group, score) over
+    range partitions; sums run inside a part and start at the part's offset."""
     g = list(group_cols)
-    d = score_buckets(d, n_buckets, bounds_source=bounds_source)
-    totals = d.groupBy(*g, "__b").agg(F.sum("pos").alias("__bp"), F.sum("neg").alias("__bn"))
-    above = Window.partitionBy(*g).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*g)
-    offs = totals.select(*g, "__b",
-                         F.coalesce(F.sum("__bp").over(above), F.lit(0)).alias("__op"),
-                         F.coalesce(F.sum("__bn").over(above), F.lit(0)).alias("__on"),
-                         F.sum("__bp").over(whole).alias("P"),
-                         F.sum("__bn").over(whole).alias("N"))
-    j = d.join(offs, [*g, "__b"])
-    run = (Window.partitionBy(*g, "__b").orderBy(F.col("score").desc())
-           .rowsBetween(Window.unboundedPreceding, 0))
+    laid = lay_out(d, g, [F.col("score").desc()])
+    parts = part_table(laid, g, {"__bp": F.sum("pos"), "__bn": F.sum("neg")})
+    above, whole = before(g), Window.partitionBy(*g)
+    offs = parts.select(*g, PART,
+                        F.coalesce(F.sum("__bp").over(above), F.lit(0)).alias("__op"),
+                        F.coalesce(F.sum("__bn").over(above), F.lit(0)).alias("__on"),
+                        F.sum("__bp").over(whole).alias("P"),
+                        F.sum("__bn").over(whole).alias("N"))
+    run = inside(g).rowsBetween(Window.unboundedPreceding, 0)
+    j = join_parts(laid.withColumn("__rp", F.sum("pos").over(run)).withColumn("__rn", F.sum("neg").over(run)), offs, g)
     return j.select(*g, "score", "pos", "neg",
-                    (F.sum("pos").over(run) + F.col("__op")).alias("cum_pos"),
-                    (F.sum("neg").over(run) + F.col("__on")).alias("cum_neg"),
+                    (F.col("__rp") + F.col("__op")).alias("cum_pos"),
+                    (F.col("__rn") + F.col("__on")).alias("cum_neg"),
                     "P", "N")
 
 
@@ -121,10 +96,14 @@ def roc_curve(table: DataFrame, group_cols=("model",)) -> DataFrame:
 
 
 def pr_curve(table: DataFrame, group_cols=("model",)) -> DataFrame:
-    """precision/recall at each distinct score threshold."""
-    return table.select(*group_cols, F.col("score").alias("threshold"),
-                        (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-                        _safe_div(F.col("cum_pos"), F.col("P")).alias("recall"))
+    """precision/recall at each distinct score threshold, and the end point
+    (precision 1, recall 0, no threshold) of every group."""
+    points = table.select(*group_cols, F.col("score").alias("threshold"),
+                          (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
+                          _safe_div(F.col("cum_pos"), F.col("P")).alias("recall"))
+    end = table.select(*group_cols).distinct().select(
+        *group_cols, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return points.unionByName(end)
 
 
 def delong(table: DataFrame, group_cols=("model",), confidence: float = 0.95) -> DataFrame:

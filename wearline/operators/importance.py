@@ -1,14 +1,13 @@
 """Model-agnostic importances: sensor / time-bin permutation (M7, M8), input
 sensitivity (M13) and their composition (M9).
 
-Every variant (sensor x repeat, bin x repeat, or position) is a tag on a
-copy of the windows, so ONE ``transform`` scores all of them; metrics are
-then grouped by the tag.
-
-Permutation across samples: per variant, windows are ranked twice by two
-independent hashes (a skew-safe numbering, no single-task sort) and rank k
-of the first order receives the donor values of rank k of the second -- a
-uniformly random permutation, joined by (variant, rank).
+Every variant (sensor, bin or position) is a tag on a copy of the windows, so
+ONE ``transform`` scores all of them; metrics are then grouped by the tag.
+
+Permutation across samples: per repeat, window keys are ranked by two
+independent hashes and rank k of the first order receives the donor values of
+rank k of the second -- a uniformly random permutation. Keys are ranked and
+donor windows fetched once per repeat; the variants are made without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,24 +22,28 @@ from .models import KEY, FittedClassifier
 from .sequence import number_within_key
 
 
-def _rank(df: DataFrame, variant: str, salt: str, seed: int) -> DataFrame:
-    h = F.md5(F.concat_ws("-", F.col(variant).cast("string"), *[F.col(k).cast("string") for k in KEY],
-                          F.lit(salt), F.lit(str(seed))))
-    return number_within_key(df.withColumn("__h", h), variant, ["__h", *KEY],
-                             chunk_exprs=[F.conv(F.substring("__h", 1, 2), 16, 10).cast("long")],
-                             pos_col=f"__rank_{salt}", total_col=None, hot_rows=0).drop("__h")
+def donors(keys: DataFrame, n_repeats: int, seed: int = 42) -> DataFrame:
+    """(rep, key, donor_key): per repeat a random permutation of the windows. Rank k
+    of one md5 order receives from rank k of another; only keys are ranked."""
+    reps = keys.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("rep"))
+
+    def ranked(salt: str) -> DataFrame:
+        h = F.md5(F.concat_ws("-", F.col("rep").cast("string"), *[F.col(k).cast("string") for k in KEY], F.lit(salt), F.lit(str(seed))))
+        out = number_within_key(reps.withColumn("__h", h), "rep", ["__h", *KEY], pos_col="__rank", total_col=None)
+        return out.select("rep", "__rank", *KEY)
+
+    give = ranked("give").select("rep", "__rank", *[F.col(k).alias(f"donor_{k}") for k in KEY])
+    return ranked("recv").join(give, ["rep", "__rank"]).drop("__rank")
 
 
-def _permuted(windows: DataFrame, variants: list[tuple], seed: int) -> DataFrame:
-    """windows x variants, each with a donor ``donor`` features array."""
-    tagged = windows.select(*KEY, "label", "features", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("variant"), F.lit(v[0]).alias("a"), F.lit(v[1]).alias("b"),
-                     F.lit(v[2]).alias("rep")) for i, v in enumerate(variants)])).alias("v")).select(
-        *KEY, "label", "features", "v.*")
-    left = _rank(tagged, "variant", "recv", seed)
-    right = _rank(tagged.select("variant", *KEY, F.col("features").alias("donor")), "variant", "give", seed)
-    right = right.select("variant", F.col("__rank_give").alias("__rank_recv"), "donor")
-    return left.join(right, ["variant", "__rank_recv"]).drop("__rank_recv")
+def _permuted(windows: DataFrame, variants: list[tuple[int, int]], n_repeats: int, seed: int) -> DataFrame:
+    """windows x repeats with the donor's features (shuffled once per repeat); the
+    variants are then a narrow explode."""
+    give = windows.select(*[F.col(k).alias(f"donor_{k}") for k in KEY], F.col("features").alias("donor"))
+    rows = windows.select(*KEY, "label", "features").join(donors(windows, n_repeats, seed), KEY).join(
+        give, [f"donor_{k}" for k in KEY]).drop(*[f"donor_{k}" for k in KEY])
+    return rows.withColumn("v", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in variants]))
+                           ).select(*KEY, "label", "features", "donor", "rep", "v.*")
 
 
 def _f1_drop(fitted: FittedClassifier, windows: DataFrame, perm: DataFrame, threshold: float) -> DataFrame:
@@ -55,10 +58,10 @@ def _f1_drop(fitted: FittedClassifier, windows: DataFrame, perm: DataFrame, thre
     b = cells(base, [])
     _, _, f1b = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     base_f1 = b.select(f1b.alias("f1")).first()["f1"]
-    scored = fitted.score(perm, keep=["variant", "a", "b", "rep"])
-    c = cells(scored, ["variant", "a", "b", "rep"])
+    scored = fitted.score(perm, keep=["a", "b", "rep"])
+    c = cells(scored, ["a", "b", "rep"])
     _, _, f1 = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return c.select("variant", "a", "b", "rep", (F.lit(base_f1) - f1).alias("drop"))
+    return c.select("a", "b", "rep", (F.lit(base_f1) - f1).alias("drop"))
 
 
 def sensor_permutation_importance(fitted: FittedClassifier, windows: DataFrame, sensors: list[str],
@@ -66,8 +69,7 @@ def sensor_permutation_importance(fitted: FittedClassifier, windows: DataFrame,
     """M7: permute one sensor's whole window sequence across samples (time order
     inside the window kept); F1 drop mean / std (ddof 0) over repeats."""
     nf = len(sensors)
-    variants = [(f, f + 1, r) for f in range(nf) for r in range(n_repeats)]
-    perm = _permuted(windows, variants, seed)
+    perm = _permuted(windows, [(f, f + 1) for f in range(nf)], n_repeats, seed)
     perm = perm.withColumn("features", F.transform(
         "features", lambda x, i: F.when((i % nf) == F.col("a"), F.element_at("donor", i + 1)).otherwise(x)))
     d = _f1_drop(fitted, windows, perm.drop("donor"), threshold)
@@ -87,9 +89,7 @@ def temporal_permutation_importance(fitted: FittedClassifier, windows: DataFrame
                                     n_sensors: int, n_bins: int = 10, n_repeats: int = 5, seed: int = 42,
                                     threshold: float = 0.5) -> DataFrame:
     """M8: permute all sensors inside one time bin across samples; F1 drop per bin."""
-    bins = time_bins(window_size, n_bins)
-    variants = [(a, b, r) for a, b in bins for r in range(n_repeats)]
-    perm = _permuted(windows, variants, seed)
+    perm = _permuted(windows, time_bins(window_size, n_bins), n_repeats, seed)
     nf = n_sensors
     perm = perm.withColumn("features", F.transform(
         "features", lambda x, i: F.when(((i / nf).cast("int") >= F.col("a")) & ((i / nf).cast("int") < F.col("b")),
@@ -106,11 +106,11 @@ def sensitivity_map(fitted: FittedClassifier, windows: DataFrame, window_size: i
     its maximum + 1e-10 (re-aim of gradient saliency)."""
     nf = len(sensors)
     n = window_size * nf
-    base = fitted.score(windows).select(*KEY, F.col("y_score").alias("s0"))
-    pert = windows.select(*KEY, "label", "features", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
+    base = fitted.score(windows, keep=["features"]).select(*KEY, "features", F.col("y_true").alias("label"), F.col("y_score").alias("s0"))
+    pert = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pos"))
     pert = pert.withColumn("features", F.transform(
         "features", lambda x, i: F.when(i == F.col("pos"), x + eps).otherwise(x)))
-    s = fitted.score(pert, keep=["pos"]).join(base, KEY)
+    s = fitted.score(pert, keep=["pos", "s0"])
     agg = s.groupBy("pos").agg((F.avg(F.abs(F.col("y_score") - F.col("s0"))) / eps).alias("g"))
     mx = agg.agg(F.max("g")).first()[0] or 0.0
     names = F.lit(sensors)

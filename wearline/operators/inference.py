@@ -4,9 +4,8 @@ tests and bootstrap confidence intervals.
 * Paired model comparisons pivot the models of each window into one row
   (``groupBy(window key)``, one shuffle) instead of self-joining all model
   pairs; every pair's b/c counts are columns of one aggregation.
-* Resampling is replicate-parallel: each (row, replicate) gets a hash-seeded
-  draw, rows are collapsed to (replicate, score, label) counts before the
-  ranking tables, and replicates are ordinary group keys -- no driver loop.
+* Resampling shuffles the rows once, into score order; tasks draw all
+  replicates of their rows and return sums per replicate (``resample``).
   Results are distributionally equal to the reference's NumPy draws, not
   draw-equal.
 """
@@ -19,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_df1_sf
-from .curves import cumulative_table, delong, distinct_score_counts, ranking_metrics, score_table
+from .curves import delong, score_table
 from .metrics import decision, metrics_from_cells
-from .prepare import poisson_inverse, uniform_hash
+from .resample import draw_key, replicate_cells
 
 KEY = ["machine_id", "end_timestep"]
 
@@ -72,14 +71,20 @@ def mcnemar(preds: DataFrame, threshold=0.5, continuity: bool = True, model_col:
     return t.withColumn("interpretation", interpretation(F.col("p_value"), F.col("b") + F.col("c")))
 
 
+# ---- fixed values: readings of a p-value ----
+AGREE = "Models agree on all samples — test not informative."
+HIGHLY = "Highly significant difference (p < 0.01)."
+SIGNIFICANT = "Significant difference (p < 0.05)."
+NONE = "No significant difference (p ≥ 0.05). Cannot reject H0."
+# ---------------------------------------------
+
+
 def interpretation(p: Column, bc: Column | None = None) -> Column:
     """P10: p-value reading (<0.01, <0.05, else)."""
-    out = F.when(p < 0.01, F.lit("Highly significant difference (p < 0.01)."))
+    out = F.when(p < 0.01, F.lit(HIGHLY))
     if bc is not None:
-        out = F.when(bc == 0, F.lit("Models agree on all samples — test not informative.")).when(
-            p < 0.01, F.lit("Highly significant difference (p < 0.01)."))
-    return (out.when(p < 0.05, F.lit("Significant difference (p < 0.05)."))
-               .otherwise(F.lit("No significant difference (p ≥ 0.05). Cannot reject H0.")))
+        out = F.when(bc == 0, F.lit(AGREE)).when(p < 0.01, F.lit(HIGHLY))
+    return out.when(p < 0.05, F.lit(SIGNIFICANT)).otherwise(F.lit(NONE))
 
 
 def compare_models(preds: DataFrame, threshold=0.5, model_col: str = "model",
@@ -97,92 +102,74 @@ def compare_models(preds: DataFrame, threshold=0.5, model_col: str = "model",
 def compare_models_full(preds: DataFrame, threshold=0.5, n_permutations: int = 1000, seed: int = 42,
                         model_col: str = "model") -> DataFrame:
     """A21 as the reference runs it: McNemar + DeLong of both models + the AUC
-    permutation test, for every pair (a < b)."""
+    permutation test, for every pair (a < b); all pairs share one resampling job."""
     base = compare_models(preds, threshold, model_col)
-    models = model_names(preds, model_col)
-    perm = None
-    for a, b in combinations(models, 2):
-        p = permutation_test(preds, a, b, n_permutations, seed, model_col).select(
-            "model_a", "model_b", F.col("p_value").alias("auc_permutation_p"),
-            F.col("observed_diff").alias("auc_observed_diff"))
-        perm = p if perm is None else perm.unionByName(p)
+    perm = permutation_tests(preds, n_permutations=n_permutations, seed=seed, model_col=model_col).select(
+        "model_a", "model_b", F.col("p_value").alias("auc_permutation_p"), F.col("observed_diff").alias("auc_observed_diff"))
     return base.join(perm, ["model_a", "model_b"])
 
 
-def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutations: int = 1000,
-                     seed: int = 42, model_col: str = "model", n_buckets: int = 256) -> DataFrame:
-    """Paired permutation test of the ROC-AUC difference.
+REPLICATE_METRICS = ("accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc",
+                     "roc_auc", "pr_auc")
+
+
+def _with_metrics(cells: DataFrame) -> DataFrame:
+    m = metrics_from_cells(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
+    return cells.select("*", *[v.alias(k) for k, v in m.items()])
+
 
-    Replicate r swaps the two models' scores on a window when a hash bit of
-    (window, r, seed) is set. p = share of replicates with |diff| >= observed.
+def permutation_tests(preds: DataFrame, pairs: list[tuple[str, str]] | None = None, metric: str = "roc_auc",
+                      n_permutations: int = 1000, seed: int = 42, threshold: float = 0.5,
+                      model_col: str = "model") -> DataFrame:
+    """Paired permutation tests of a metric's difference, all pairs in one job.
+
+    Replicate r swaps the two models' scores on a window when the window's draw
+    is below 1/2. p = share of replicates with |diff| >= observed, with its
+    reading (P10).
     """
-    wide = paired_table(preds.where(F.col(model_col).isin(model_a, model_b)), [model_a, model_b],
-                        model_col=model_col)
-    obs = ranking_metrics(score_table(preds.where(F.col(model_col).isin(model_a, model_b)), (model_col,),
-                                      n_buckets=n_buckets), (model_col,))
-    reps = F.explode(F.sequence(F.lit(1), F.lit(n_permutations))).alias("rep")
-    e = wide.select(*KEY, "y_true", f"s_{model_a}", f"s_{model_b}", reps)
-    swap = uniform_hash(*[F.col(k) for k in KEY], F.col("rep"), F.lit(seed)) < 0.5
-    sa = F.when(swap, F.col(f"s_{model_b}")).otherwise(F.col(f"s_{model_a}"))
-    sb = F.when(swap, F.col(f"s_{model_a}")).otherwise(F.col(f"s_{model_b}"))
-    long = e.select("rep", "y_true", F.explode(F.array(
-        F.struct(F.lit("a").alias("side"), sa.alias("y_score")),
-        F.struct(F.lit("b").alias("side"), sb.alias("y_score")))).alias("x")).select(
-        "rep", "y_true", "x.side", "x.y_score")
-    support = preds.select(F.col("y_score").alias("score"))
-    auc = ranking_metrics(cumulative_table(distinct_score_counts(long, ("rep", "side")), ("rep", "side"),
-                                           n_buckets, bounds_source=support), ("rep", "side"))
-    per_rep = auc.groupBy("rep").agg(
-        F.abs(F.max(F.when(F.col("side") == "a", F.col("roc_auc"))) -
-              F.max(F.when(F.col("side") == "b", F.col("roc_auc")))).alias("d"))
-    o = obs.agg(F.max(F.when(F.col(model_col) == model_a, F.col("roc_auc"))).alias("metric_a"),
-                F.max(F.when(F.col(model_col) == model_b, F.col("roc_auc"))).alias("metric_b"))
-    o = o.withColumn("observed_diff", F.abs(F.col("metric_a") - F.col("metric_b")))
-    orow = o.first()  # one-row result: the observed metrics
-    return per_rep.agg(F.avg((F.col("d") >= F.lit(orow["observed_diff"])).cast("double")).alias("p_value")).select(
-        F.lit(model_a).alias("model_a"), F.lit(model_b).alias("model_b"),
-        F.lit(orow["metric_a"]).alias("metric_a"), F.lit(orow["metric_b"]).alias("metric_b"),
-        F.lit(orow["observed_diff"]).alias("observed_diff"), "p_value",
-        F.lit(n_permutations).alias("n_permutations"))
-
-
-BOOT_METRICS = ("accuracy", "precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc",
-                "roc_auc", "pr_auc")
-
-
-def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, threshold=0.5,
-                 seed: int = 42, group_cols=("model",), n_buckets: int = 256) -> DataFrame:
+    if metric not in REPLICATE_METRICS:
+        raise ValueError(f"Unknown metric: {metric!r}")
+    pairs = pairs or list(combinations(model_names(preds, model_col), 2))
+    tags = F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b")) for a, b in pairs])).alias("p")
+    rows = preds.select(model_col, *KEY, F.col("y_score").cast("double").alias("score"), F.col("y_true").alias("y"), tags)
+    rows = rows.where(F.col(model_col).isin(F.col("p.model_a"), F.col("p.model_b"))).select(
+        "p.model_a", "p.model_b", "score", "y", (F.col(model_col) == F.col("p.model_b")).alias("__other"),
+        *draw_key(*[F.col(k) for k in KEY], seed=seed))
+    reps = _with_metrics(replicate_cells(rows, ["model_a", "model_b"], n_permutations, "swap", threshold))
+    g = ["model_a", "model_b"]
+    wide = reps.groupBy(*g, "rep").agg(*[F.max(F.when(F.col("side") == s, F.col(metric))).alias(f"metric_{n}")
+                                         for s, n in ((0, "a"), (1, "b"))])
+    wide = wide.withColumn("d", F.abs(F.col("metric_a") - F.col("metric_b")))
+    obs = wide.where("rep = 0").select(*g, "metric_a", "metric_b", F.col("d").alias("observed_diff"))
+    # 1e-12: a replicate that repeats the observed split must count as equal
+    ge = (F.col("d") >= F.col("observed_diff") - 1e-12).cast("double")
+    out = wide.where("rep > 0").select(*g, "d").join(F.broadcast(obs), g).groupBy(
+        *g, "metric_a", "metric_b", "observed_diff").agg(F.avg(ge).alias("p_value"))
+    return out.select(*g, F.lit(metric).alias("metric"), "metric_a", "metric_b", "observed_diff", "p_value",
+                      F.lit(n_permutations).alias("n_permutations"), interpretation(F.col("p_value")).alias("interpretation"))
+
+
+def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutations: int = 1000,
+                     seed: int = 42, model_col: str = "model", metric: str = "roc_auc") -> DataFrame:
+    """A20 for one pair."""
+    return permutation_tests(preds, [(model_a, model_b)], metric, n_permutations, seed, model_col=model_col)
+
+
+def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, threshold: float = 0.5,
+                 seed: int = 42, group_cols=("model",)) -> DataFrame:
     """Poisson(1) bootstrap of every float metric; single-class replicates skipped.
 
     Output per (group, metric): mean, std (ddof 0), lower/upper percentiles
-    (linear interpolation, as NumPy), n_replicates. The threshold is not
-    bootstrapped (it is a parameter, not a metric).
+    (linear interpolation, as NumPy; over ``n_samples`` values), n_replicates.
+    The threshold is not bootstrapped (it is a parameter, not a metric).
     """
     g = list(group_cols)
-    reps = F.explode(F.sequence(F.lit(1), F.lit(n_samples))).alias("rep")
-    e = preds.select(*g, *KEY, "y_true", "y_score", reps)
-    u = uniform_hash(*[F.col(c) for c in g], *[F.col(k) for k in KEY], F.col("rep"), F.lit(seed))
-    w = e.withColumn("w", poisson_inverse(u, 1.0)).where(F.col("w") > 0)
-    keys = [*g, "rep"]
-    # ONE pass over the (row, replicate) draws: weighted counts per distinct score;
-    # both the confusion cells and the ranking table are read from it
-    d = distinct_score_counts(w, keys, weight="w")
-    t = F.lit(float(threshold))
-    ge = F.col("score") >= t
-    cells = d.groupBy(*keys).agg(
-        F.sum(F.when(ge, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(ge, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~ge, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(~ge, F.col("neg")).otherwise(0)).alias("tn"))
-    m = metrics_from_cells(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
-    pm = cells.select(*keys, ((F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)).alias("ok"),
-                      *[v.alias(k) for k, v in m.items()])
-    # every replicate draws from the same scores: bucket bounds from the original rows
-    support = preds.select(F.col("y_score").alias("score"))
-    rk = ranking_metrics(cumulative_table(d, keys, n_buckets, bounds_source=support), keys)
-    per_rep = pm.join(rk, keys).where("ok")
-    long = per_rep.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in BOOT_METRICS])).alias("x"))
+    rows = preds.select(*g, F.col("y_score").cast("double").alias("score"), F.col("y_true").alias("y"), F.lit(False).alias("__other"),
+                        *draw_key(*[F.col(c) for c in g], *[F.col(k) for k in KEY], seed=seed))
+    reps = _with_metrics(replicate_cells(rows, g, n_samples, "poisson", threshold))
+    reps = reps.where((F.col("rep") > 0) & (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0))
+    long = reps.select(*g, F.explode(F.array(*[
+        F.struct(F.lit(k).alias("metric"), F.col(k).cast("double").alias("value")) for k in REPLICATE_METRICS])).alias("x"))
     alpha = 1.0 - ci
     return (long.groupBy(*g, F.col("x.metric").alias("metric"))
                 .agg(F.avg("x.value").alias("mean"), F.stddev_pop("x.value").alias("std"),

@@ -117,7 +117,8 @@ def forward_fill(df: DataFrame, cols: list[str], order_col: str = TIME,
     prev = Window.partitionBy(MACHINE).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     carries = lasts.select(MACHINE, "__c", *[
         F.last(f"__last_{c}", ignorenulls=True).over(prev).alias(f"__carry_{c}") for c in cols])
-    joined = tagged.join(carries, [MACHINE, "__c"])
+    right = carries.withColumnsRenamed({MACHINE: "__km", "__c": "__kc"})
+    joined = tagged.join(right, F.col(MACHINE).eqNullSafe(F.col("__km")) & F.col("__c").eqNullSafe(F.col("__kc"))).drop("__km", "__kc")
     w = (Window.partitionBy(MACHINE, "__c").orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, 0))
     out = joined
@@ -127,14 +128,21 @@ def forward_fill(df: DataFrame, cols: list[str], order_col: str = TIME,
     return out.drop("__c", *[f"__carry_{c}" for c in cols])
 
 
-def lag_coupling(df: DataFrame, driver: str, follower: str) -> DataFrame:
-    """Per-machine correlation of ``follower`` with the previous step of ``driver``.
+def lag_coupling(df: DataFrame, driver: str, follower: str, chunk_len: int = 100_000) -> DataFrame:
+    """Per-machine correlation of ``follower`` with the previous reading of ``driver``.
 
-    The lag is an equi-join on (machine_id, timestep + 1) -- evenly spread
-    even for a hot machine -- followed by a partial aggregation.
+    The lag runs inside chunks of ``chunk_len`` steps; a chunk's first reading
+    takes the last value of the machine's chunk before it from the small chunk
+    table. A machine with one reading has no pair (NULL, 0).
     """
-    prev = df.select(MACHINE, (F.col(TIME) + 1).alias(TIME), F.col(driver).alias("__lag"))
-    pairs = df.select(MACHINE, TIME, follower).join(prev, [MACHINE, TIME])
-    return (pairs.groupBy(MACHINE)
-                 .agg(F.corr(F.col(follower), F.col("__lag")).alias("lag_corr"),
-                      F.count(F.lit(1)).alias("n_pairs")))
+    tagged = df.select(MACHINE, TIME, F.col(driver).alias("__d"), F.col(follower).alias("__f"),
+                       F.floor(F.col(TIME) / F.lit(chunk_len)).cast("long").alias("__c"))
+    last = tagged.groupBy(MACHINE, "__c").agg(F.max(F.struct(TIME, "__d")).alias("__last"))
+    carry = last.select(F.col(MACHINE).alias("__km"), F.col("__c").alias("__kc"),
+                        F.lag("__last").over(Window.partitionBy(MACHINE).orderBy("__c"))["__d"].alias("__carry"))
+    w = Window.partitionBy(MACHINE, "__c").orderBy(TIME)
+    rows = tagged.withColumn("__first", F.row_number().over(w) == 1).withColumn("__prev", F.lag("__d").over(w))
+    rows = rows.join(carry, F.col(MACHINE).eqNullSafe(F.col("__km")) & F.col("__c").eqNullSafe(F.col("__kc")))
+    prev = F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__prev"))
+    return (rows.withColumn("__lag", prev).groupBy(MACHINE)
+                .agg(F.corr("__f", "__lag").alias("lag_corr"), F.count("__lag").alias("n_pairs")))

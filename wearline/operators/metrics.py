@@ -1,8 +1,8 @@
 """Point metrics, calibration, score distributions and error reports.
 
 Every function groups by ``group_cols`` (default ``model``) and returns a
-small tidy DataFrame; all are single-pass partial+final hash aggregations,
-except the exact medians (see ``score_distribution``).
+small tidy DataFrame; all are partial+final hash aggregations, running sums
+and quartiles over laid-out distinct values.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grids import digitize_clipped, half_open_bin, histogram_bin, linspace
-from .curves import LABEL, SCORE, _safe_div, ranking_metrics, score_table
+from .curves import LABEL, SCORE, _safe_div, cumulative_table, distinct_score_counts, ranking_metrics
+from .quantiles import exact_quantiles
 
 
 def decision(score: Column, threshold) -> Column:
@@ -56,13 +57,22 @@ def metrics_from_cells(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[s
 
 
 def classification_metrics(preds: DataFrame, threshold=0.5, group_cols=("model",),
-                           score: str = SCORE, label: str = LABEL, n_buckets: int = 256) -> DataFrame:
-    """A2 (+A3, A4): all point metrics at a threshold plus ROC-AUC and PR-AUC."""
-    c = confusion_counts(preds, threshold, group_cols, score, label)
+                           score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """A2 (+A3, A4): all point metrics at a threshold plus ROC-AUC and PR-AUC, both
+    from one table of distinct scores. A threshold column must depend on the
+    group alone."""
+    g = list(group_cols)
+    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    d = distinct_score_counts(preds.withColumn("__t", t), [*g, "__t"], score, label)
+    table = cumulative_table(d, [*g, "__t"])
+    ge = F.col("score") >= F.col("__t")
+    zero = F.lit(0)
+    cells = table.groupBy(*g, "__t").agg(
+        F.sum(F.when(ge, F.col("pos")).otherwise(zero)).alias("tp"), F.sum(F.when(ge, F.col("neg")).otherwise(zero)).alias("fp"),
+        F.sum(F.when(ge, zero).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(ge, zero).otherwise(F.col("neg"))).alias("tn"))
     m = metrics_from_cells(*(F.col(x) for x in ("tp", "fp", "fn", "tn")))
-    pm = c.select(*group_cols, "tp", "fp", "fn", "tn", *[v.alias(k) for k, v in m.items()])
-    rk = ranking_metrics(score_table(preds, group_cols, score, label, n_buckets), group_cols)
-    return pm.join(rk, list(group_cols))
+    pm = cells.select(*g, "__t", "tp", "fp", "fn", "tn", *[v.alias(k) for k, v in m.items()])
+    return pm.join(ranking_metrics(table, [*g, "__t"]), [*g, "__t"]).drop("__t")
 
 
 def brier_and_ece(preds: DataFrame, n_bins: int = 15, group_cols=("model",),
@@ -106,22 +116,17 @@ def reliability_table(preds: DataFrame, n_bins: int = 10, group_cols=("model",),
 
 
 def score_distribution(preds: DataFrame, group_cols=("model",), score: str = SCORE,
-                       label: str = LABEL, exact: bool = True) -> DataFrame:
-    """Per (group, class) mean, std (ddof 0), median, q25, q75, n.
-
-    ``exact=True`` uses ``percentile`` (linear interpolation, parity with
-    NumPy); its buffer holds the distinct scores of a group, so for unbounded
-    distinct scores pass ``exact=False`` (``percentile_approx``).
-    """
-    q = (F.percentile(F.col(score), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-         else F.percentile_approx(F.col(score), [0.25, 0.5, 0.75], 10000))
+                       label: str = LABEL) -> DataFrame:
+    """Per (group, class) mean, std (ddof 0), median, q25, q75, n; quartiles are
+    exact (linear interpolation, as NumPy) from distributed prefix counts."""
     g = list(group_cols)
-    agg = preds.groupBy(*g, F.col(label).alias("y_class")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
-        q.alias("q"))
+    classed = preds.withColumn("y_class", F.col(label))
+    agg = classed.groupBy(*g, "y_class").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    q = exact_quantiles(classed, [*g, "y_class"], score, (0.25, 0.5, 0.75))
     # both classes always reported; an empty class gets zeros (as the reference)
     spine = preds.select(*g).distinct().select(*g, F.explode(F.array(F.lit(0), F.lit(1))).alias("y_class"))
-    j = spine.join(agg, [*g, "y_class"], "left")
+    j = spine.join(agg, [*g, "y_class"], "left").join(q, [*g, "y_class"], "left")
     z = F.lit(0.0)
     return j.select(*g, "y_class", F.coalesce("n", F.lit(0).cast("long")).alias("n"),
                     F.coalesce("mean", z).alias("mean"), F.coalesce("std", z).alias("std"),
@@ -185,26 +190,22 @@ def score_histogram(preds: DataFrame, n_edges: int = 40, group_cols=("model",),
 
 def error_summary(preds: DataFrame, threshold=0.5, group_cols=("model",),
                   score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """FP/FN counts and rates, n/mean/std/min/max of FP and FN scores (0 when empty)."""
-    p = decision(F.col(score), threshold)
-    y = F.col(label)
+    """A24 + P6: counts, error rates and n/mean/std/min/max of the scores in each
+    confusion cell (0 when empty)."""
     s = F.col(score)
+    cell = confusion_cell(F.col(label), decision(s, threshold))
 
-    def desc(mask, name):
-        v = F.when(mask, s)
-        return [F.count(v).alias(f"{name}_n"), F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{name}_mean"),
-                F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias(f"{name}_std"),
-                F.coalesce(F.min(v), F.lit(0.0)).alias(f"{name}_min"),
-                F.coalesce(F.max(v), F.lit(0.0)).alias(f"{name}_max")]
-    fp, fn = (y == 0) & (p == 1), (y == 1) & (p == 0)
-    agg = preds.groupBy(*group_cols).agg(
-        F.count_if(fp).alias("n_fp"), F.count_if(fn).alias("n_fn"),
-        F.count_if(y == 1).alias("__p"), F.count_if(y == 0).alias("__n"),
-        *desc(fp, "fp_score"), *desc(fn, "fn_score"))
-    return agg.select(*group_cols, "n_fp", "n_fn",
-                      (F.col("n_fn") / F.greatest(F.col("__p"), F.lit(1))).alias("fn_rate_overall"),
-                      (F.col("n_fp") / F.greatest(F.col("__n"), F.lit(1))).alias("fp_rate_overall"),
-                      *[c for c in agg.columns if c.startswith(("fp_score", "fn_score"))])
+    def desc(name):
+        v = F.when(F.col("__cell") == name, s)
+        out = [F.count(v).alias(f"n_{name}")]
+        return out + [F.coalesce(a(v), F.lit(0.0)).alias(f"{name}_score_{n}") for n, a in (
+            ("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    agg = preds.withColumn("__cell", cell).groupBy(*group_cols).agg(*[x for c in ("fp", "fn", "tp", "tn") for x in desc(c)])
+    pos, neg = F.col("n_fn") + F.col("n_tp"), F.col("n_fp") + F.col("n_tn")
+    return agg.select(*group_cols, *[f"n_{c}" for c in ("fp", "fn", "tp", "tn")],
+                      (F.col("n_fn") / F.greatest(pos, F.lit(1))).alias("fn_rate_overall"),
+                      (F.col("n_fp") / F.greatest(neg, F.lit(1))).alias("fp_rate_overall"),
+                      *[c for c in agg.columns if "_score_" in c])
 
 
 def comparison_table(metrics: DataFrame, model_col: str = "model",
@@ -215,24 +216,18 @@ def comparison_table(metrics: DataFrame, model_col: str = "model",
     return metrics.select(model_col, *columns, F.row_number().over(w).alias("rank"))
 
 
-def tidy_metrics(metrics: DataFrame, model_col: str = "model") -> DataFrame:
-    """Wide metric table -> (model, metric, value) rows (``unpivot``)."""
-    vals = [c for c, t in metrics.dtypes if c != model_col and t in ("double", "bigint", "int", "float")]
-    return metrics.select(model_col, *[F.col(c).cast("double").alias(c) for c in vals]) \
-                  .unpivot([model_col], vals, "metric", "value")
-
-
-def metrics_at_selected_threshold(preds: DataFrame, splits: DataFrame, metric: str = "f1",
+def metrics_at_selected_threshold(preds: DataFrame, splits: DataFrame | None = None, metric: str = "f1",
                                   select_on: str = "val", evaluate_on: str = "test",
                                   model_col: str = "model") -> DataFrame:
     """Pick each model's threshold on ``select_on`` machines (A6, first maximum),
     then report A2 on ``evaluate_on`` machines at that threshold. With
     select_on='test' this is the reference's (optimistic) protocol.
-    The threshold table has one row per model."""
+    The threshold table has one row per model (broadcast). Without ``splits``
+    the predictions carry their machine's split."""
     from .curves import optimal_thresholds
-    p = preds.join(splits, "machine_id")
+    p = preds if splits is None else preds.join(splits, "machine_id")
     thr = optimal_thresholds(p.where(F.col("split") == select_on), [(metric, 1.0)], (model_col,)) \
         .select(model_col, F.col("threshold").alias("selected_threshold"))
-    ev = p.where(F.col("split") == evaluate_on).join(thr, model_col)
+    ev = p.where(F.col("split") == evaluate_on).join(F.broadcast(thr), model_col)
     out = classification_metrics(ev, F.col("selected_threshold"), (model_col,))
     return out.join(thr, model_col)

@@ -13,16 +13,15 @@ from dataclasses import dataclass
 from pyspark.ml import Model
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import brier_and_ece
-from .prepare import with_balanced_weight
+from .curves import prf
+from .metrics import brier_and_ece, decision
+from .prepare import uniform_hash, with_balanced_weight
 
 KEY = ["machine_id", "end_timestep"]
 
@@ -125,6 +124,14 @@ class PlattScaler:
                                 standardization=False, maxIter=1000)
         return PlattScaler(lr.fit(d))
 
+    @property
+    def coef(self) -> float:
+        return float(self.model.coefficients[0])
+
+    @property
+    def intercept(self) -> float:
+        return float(self.model.intercept)
+
     def transform(self, preds: DataFrame) -> DataFrame:
         d = preds.withColumn("s", array_to_vector(F.array("y_score")))
         out = self.model.transform(d)
@@ -139,8 +146,10 @@ class IsotonicCalibrator:
 
     @staticmethod
     def fit(val_preds: DataFrame) -> "IsotonicCalibrator":
-        d = val_preds.select(F.col("y_score").alias("s"), F.col("y_true").cast("double").alias("y"))
-        return IsotonicCalibrator(IsotonicRegression(featuresCol="s", labelCol="y").fit(d))
+        # the fit gathers its pooled blocks: collapse to one weighted row per distinct score first
+        d = val_preds.groupBy(F.col("y_score").alias("s")).agg(F.avg(F.col("y_true").cast("double")).alias("y"),
+                                                               F.count(F.lit(1)).cast("double").alias("w"))
+        return IsotonicCalibrator(IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w").fit(d))
 
     def transform(self, preds: DataFrame) -> DataFrame:
         out = self.model.transform(preds.withColumn("s", F.col("y_score")))
@@ -189,76 +198,104 @@ def sensor_rollup(importance: DataFrame) -> DataFrame:
 
 
 def machine_folds(windows: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Fold id per machine (hash of id and seed), so no machine spans two folds."""
-    f = F.abs(F.xxhash64(F.col("machine_id"), F.lit(seed))) % k
-    return windows.withColumn("fold", f.cast("int"))
+    """Fold id per machine (md5 of id and seed), so no machine spans two folds."""
+    return windows.withColumn("fold", F.floor(uniform_hash(F.col("machine_id"), F.lit(seed)) * k).cast("int"))
+
+
+#: Search space: model, then its parameters.
+GRID = ([("logistic_regression", {"C": c}) for c in (0.01, 0.1, 1.0)]
+        + [("random_forest", {"num_trees": t, "max_depth": d}) for t in (50, 200) for d in (6, 12)])
 
 
-def hyperparameter_search(train: DataFrame, grid_c=(0.01, 0.1, 1.0), k: int = 3, seed: int = 42,
+def hyperparameter_search(train: DataFrame, grid=None, k: int = 3, seed: int = 42, threshold: float = 0.5,
                           label_col: str = "label") -> DataFrame:
-    """Machine-fold cross-validation of the logistic model over C, scored by
-    F1 of the positive class; returns (C, mean_f1) per grid point."""
-    std = VectorStandardizer.fit(train)
-    t = std.transform(machine_folds(with_balanced_weight(train, label_col), k, seed))
-    sw = t.agg(F.sum("weight")).first()[0] * (k - 1) / k
-    lr = LogisticRegression(featuresCol="x", labelCol=label_col, weightCol="weight", elasticNetParam=0.0,
-                            standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * sw) for c in grid_c]).build()
-    ev = MulticlassClassificationEvaluator(labelCol=label_col, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                        parallelism=k, seed=seed)
-    model = cv.fit(t)
-    spark = t.sparkSession
-    return spark.createDataFrame([(float(c), float(f)) for c, f in zip(grid_c, model.avgMetrics)],
-                                 "C double, mean_f1 double")
+    """Machine-fold cross-validation over ``grid`` (M1 and M2 points), scored by
+    F1 of the positive class. Scaler, class weights and model are fitted on the
+    training folds alone. Returns (model, params, fold, f1) per point and fold."""
+    fits = {"logistic_regression": fit_logistic, "random_forest": fit_random_forest}
+    folded = machine_folds(train, k, seed)
+    out = None
+    for name, params in (grid if grid is not None else GRID):
+        text = ",".join(f"{a}={b}" for a, b in params.items())
+        for f in range(k):
+            fitted = fits[name](folded.where(F.col("fold") != f), label_col=label_col, **params)
+            s = fitted.score(folded.where(F.col("fold") == f), label_col)
+            p, y = decision(F.col("y_score"), threshold), F.col("y_true")
+            cells = s.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
+                          F.count_if((y == 1) & (p == 0)).alias("fn"))
+            row = cells.select(F.lit(name).alias("model"), F.lit(text).alias("params"), F.lit(f).alias("fold"),
+                               prf(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias("f1"))
+            out = row if out is None else out.unionByName(row)
+    return out
 
 
 # ---------------------------------------------------------------- batch scoring
 
-def score_requests(requests: DataFrame, fitted: FittedClassifier, window_size: int, n_sensors: int,
-                   bounds: list[tuple[float, float]], scaler=None, model_version: str = "1.0.0",
-                   threshold_col: str = "threshold") -> DataFrame:
-    """Validate -> pad -> scale -> score -> decide, for a table of requests.
-
-    ``requests``: request_id, readings array<array<double>> (one inner array of
-    F values per step), threshold. Rejected rows carry ``reject_reason`` and a
-    NULL probability (the HTTP 422 path). Windows shorter than T are padded
-    by repeating their last reading, longer ones keep the last T.
-    """
-    r = F.col("readings")
-    in_bounds = F.forall(r, lambda row: F.forall(
-        F.sequence(F.lit(0), F.lit(n_sensors - 1)),
-        lambda i: _between(F.element_at(row, i + 1), bounds, i)))
-    reason = (F.when(r.isNull() | (F.size(r) == 0), F.lit("empty window"))
-               .when(~F.forall(r, lambda row: F.size(row) == n_sensors), F.lit("wrong reading width"))
-               .when(~in_bounds, F.lit("reading out of bounds"))
-               .when((F.col(threshold_col) < 0) | (F.col(threshold_col) > 1), F.lit("threshold outside [0,1]")))
-    v = requests.withColumn("reject_reason", reason)
-    ok = v.where(F.col("reject_reason").isNull())
-    n = F.size(r)
+def reject_reason(bounds: list[tuple], readings: str = "readings", threshold_col: str = "threshold") -> Column:
+    """First broken rule of a request, NULL when it is accepted. ``bounds`` has
+    (low, high[, low inclusive, high inclusive]) per sensor; NULL and NaN readings
+    are missing values, a NULL or NaN threshold is invalid."""
+    r, n = F.col(readings), len(bounds)
+
+    def every(test) -> Column:
+        return F.coalesce(F.forall(r, lambda row: F.coalesce(test(row), F.lit(False))), F.lit(False))
+
+    def within(row: Column) -> Column:
+        ok = F.lit(True)
+        for i, (lo, hi, *closed) in enumerate(bounds):
+            lo_in, hi_in = closed or (True, True)
+            x = F.get(row, F.lit(i))
+            ok = ok & ((x >= lo) if lo_in else (x > lo)) & ((x <= hi) if hi_in else (x < hi))
+        return ok
+
+    t = F.col(threshold_col)
+    return (F.when(r.isNull() | (F.size(r) == 0), F.lit("empty window"))
+             .when(~every(lambda row: F.size(row) == n), F.lit("wrong reading width"))
+             .when(~every(lambda row: F.forall(row, lambda x: x.isNotNull() & ~F.isnan(x))), F.lit("missing reading"))
+             .when(~every(within), F.lit("reading out of bounds"))
+             .when(~F.coalesce((t >= 0) & (t <= 1), F.lit(False)), F.lit("threshold outside [0,1]")))
+
+
+def request_features(window_size: int, n_sensors: int, scaler=None, readings: str = "readings") -> Column:
+    """Flattened last T readings, padded by the last one and scaled; zeros for a
+    rejected request (its score is never shown), so no join is needed."""
+    r, n = F.col(readings), F.size(readings)
     tail = F.slice(r, F.greatest(n - window_size + 1, F.lit(1)), window_size)
-    padded = F.concat(tail, F.array_repeat(F.element_at(r, -1), F.greatest(F.lit(window_size) - n, F.lit(0))))
+    rows = F.concat(tail, F.array_repeat(F.element_at(r, -1), F.greatest(F.lit(window_size) - n, F.lit(0))))
     if scaler is not None:  # F5 on every reading: (x - center_f) / scale_f
         ctr = F.lit([float(scaler.center[c]) for c in scaler.columns])
         scl = F.lit([float(scaler.scale[c]) for c in scaler.columns])
-        padded = F.transform(padded, lambda row: F.transform(
+        rows = F.transform(rows, lambda row: F.transform(
             row, lambda x, i: (x - F.element_at(ctr, i + 1)) / F.element_at(scl, i + 1)))
-    w = ok.withColumn("features", F.flatten(padded)).withColumn("label", F.lit(0))
-    w = w.withColumn("machine_id", F.col("request_id")).withColumn("end_timestep", F.lit(0).cast("long"))
-    scored = fitted.score(w).select("machine_id", "y_score")
-    scored = scored.withColumnRenamed("machine_id", "request_id")
-    out = v.join(scored, "request_id", "left")
-    return out.select("request_id", "reject_reason",
-                      F.round("y_score", 6).alias("failure_probability"),
-                      (F.col("y_score") >= F.col(threshold_col)).alias("failure_predicted"),
-                      F.col(threshold_col).alias("threshold_used"), F.size(r).alias("window_length"),
-                      F.lit(model_version).alias("model_version"))
+    return F.when(F.col("reject_reason").isNull(), F.flatten(rows)).otherwise(
+        F.array_repeat(F.lit(0.0), window_size * n_sensors))
 
 
-def _between(x: Column, bounds: list[tuple[float, float]], i: Column) -> Column:
-    lo = F.element_at(F.lit([float(b[0]) for b in bounds]), i + 1)
-    hi = F.element_at(F.lit([float(b[1]) for b in bounds]), i + 1)
-    return (x >= lo) & (x <= hi)
+def score_requests(requests: DataFrame, fitted: FittedClassifier, window_size: int, n_sensors: int,
+                   bounds: list[tuple], scaler=None, model_version: str = "1.0.0",
+                   threshold_col: str = "threshold") -> DataFrame:
+    """Validate -> pad -> scale -> score -> decide, one row per request row.
+
+    ``requests``: readings array<array<double>> (one inner array of F values per
+    step), threshold, and optionally request_id (repeated or NULL ids are
+    fine: rows are never joined). Rejected rows carry ``reject_reason`` and a
+    NULL probability (the HTTP 422 path). Windows shorter than T are padded by
+    repeating their last reading, longer ones keep the last T.
+    """
+    absent = {"readings", threshold_col} - set(requests.columns)
+    if absent:
+        raise ValueError(f"requests missing columns: {sorted(absent)}")
+    rid = F.col("request_id") if "request_id" in requests.columns else F.lit(None).cast("string")
+    v = requests.select(rid.alias("request_id"), "readings", F.col(threshold_col).cast("double").alias("threshold_used"))
+    v = v.withColumn("reject_reason", reject_reason(bounds, threshold_col="threshold_used"))
+    w = v.select("request_id", "reject_reason", "threshold_used", F.coalesce(F.size("readings"), F.lit(0)).alias("window_length"),
+                 request_features(window_size, n_sensors, scaler).alias("features"), F.lit(0).alias("label"),
+                 F.lit(0).cast("long").alias("machine_id"), F.lit(0).cast("long").alias("end_timestep"))
+    out = fitted.score(w, keep=["request_id", "reject_reason", "threshold_used", "window_length"])
+    p = F.when(F.col("reject_reason").isNull(), F.col("y_score"))
+    return out.select("request_id", "reject_reason", F.round(p, 6).alias("failure_probability"),
+                      (p >= F.col("threshold_used")).alias("failure_predicted"), "threshold_used", "window_length",
+                      F.lit(model_version).alias("model_version"))
 
 
 def pos_weight_study(train: DataFrame, test: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Scale notes
 -----------
-* The split is decided on the *distinct machine ids* (one row per machine),
-  then attached to readings by an equi-join -- one ``split`` column, not
-  three filtered copies.
+* The split is decided on the *distinct machine ids* (one row per machine)
+  and reaches the readings as a machine attribute of the numbering's small
+  part table -- one ``split`` column, no fact-table join on the machine.
 * Scaler parameters are one aggregate row (F sensors x 2 numbers) turned
   into literals on the driver; applying them is a projection.
 * Windows are built per (machine, chunk) where a chunk holds ``chunk_len``
@@ -14,13 +14,16 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, asdict
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .labels import MACHINE, TIME
+from .quantiles import exact_quantiles
 from .sequence import number_within_key
 
 SCALERS = ("standard", "minmax", "robust")
@@ -34,22 +37,19 @@ def split_machines(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1,
 
     Machines are ordered by ``md5(concat(id, '-', seed))``;
     ``n_test = max(1, int(n*test_size))``, ``n_val = max(1, int((n-n_test)*val_size))``.
-    The ordering runs over the distinct-id table (one row per machine).
+    The ordering runs over the distinct-id table (one row per machine), laid
+    out by hash over range partitions.
     """
     ids = df.select(MACHINE).distinct()
     key = F.md5(F.concat(F.col(MACHINE).cast("string"), F.lit(f"-{seed}")))
-    n = ids.count()
+    ranked = number_within_key(ids.select(MACHINE, key.alias("__h"), F.lit(0).alias("__all")), "__all",
+                               ["__h", MACHINE], pos_col="__r", total_col=None)
+    n = ranked.count()
     n_test = max(1, int(n * test_size))
     n_val = max(1, int((n - n_test) * val_size))
     if n - n_test - n_val <= 0:
         raise ValueError(f"{n} machines leave no training machine "
                          f"(test {n_test}, val {n_val})")
-    # Global rank by md5 without a single-task window: the first three hex
-    # digits of the (uniform) hash cut the ids into 4096 ordered chunks.
-    ranked = number_within_key(
-        ids.select(MACHINE, key.alias("__h"), F.lit(0).alias("__all")), "__all",
-        ["__h", MACHINE], chunk_exprs=[F.conv(F.substring("__h", 1, 3), 16, 10).cast("long")],
-        pos_col="__r", total_col=None, hot_rows=0)
     split = (F.when(F.col("__r") < n_test, F.lit("test"))
               .when(F.col("__r") < n_test + n_val, F.lit("val"))
               .otherwise(F.lit("train")))
@@ -57,7 +57,8 @@ def split_machines(df: DataFrame, test_size: float = 0.2, val_size: float = 0.1,
 
 
 def attach_split(df: DataFrame, splits: DataFrame) -> DataFrame:
-    """One equi-join attaching ``split`` (machine table: one row per machine)."""
+    """One equi-join attaching ``split`` (machine table: one row per machine).
+    Tables built with the split as a machine attribute need no such join."""
     return df.join(splits, MACHINE)
 
 
@@ -91,54 +92,45 @@ class FittedScaler:
         return spark.createDataFrame(rows, "sensor string, center double, scale double")
 
 
-def scaler_params(df: DataFrame, columns: list[str], kind: str = "standard",
-                  exact: bool = True) -> DataFrame:
-    """One-row aggregate of the fitted parameters (lazy)."""
-    if kind not in SCALERS:
-        raise ValueError(f"unknown scaler {kind!r}")
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        if kind == "standard":
-            aggs += [F.avg(x).alias(f"{c}__center"), F.stddev_pop(x).alias(f"{c}__scale")]
-        elif kind == "minmax":
-            aggs += [F.min(x).alias(f"{c}__center"),
-                     (F.max(x) - F.min(x)).alias(f"{c}__scale")]
-        else:
-            q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-                 else F.percentile_approx(x, [0.25, 0.5, 0.75], 10000))
-            aggs.append(q.alias(f"{c}__q"))
-    out = df.agg(*aggs)
-    if kind == "robust":
-        out = out.select(*[e for c in columns for e in (
-            F.col(f"{c}__q")[1].alias(f"{c}__center"),
-            (F.col(f"{c}__q")[2] - F.col(f"{c}__q")[0]).alias(f"{c}__scale"))])
-    return out
-
+QUARTILES = (0.25, 0.5, 0.75)
 
-def scaler_table(df: DataFrame, columns: list[str], kind: str = "standard",
-                 exact: bool = True) -> DataFrame:
-    """Fitted parameters as rows (kind, sensor, center, scale), lazily; zero scale -> 1."""
-    one = scaler_params(df, columns, kind, exact)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("sensor"), F.col(f"{c}__center").alias("center"),
-                                        F.col(f"{c}__scale").alias("scale")) for c in columns]))
-    t = one.select(rows.alias("r")).select("r.*")
-    return t.select(F.lit(kind).alias("kind"), "sensor", F.coalesce("center", F.lit(0.0)).alias("center"),
-                    F.when(F.col("scale").isNull() | (F.col("scale") == 0), F.lit(1.0))
-                     .otherwise(F.col("scale")).alias("scale"))
 
+def scaler_table(df: DataFrame, columns: list[str], kinds: str | Sequence[str] = "standard") -> DataFrame:
+    """F2/F3/F4 parameters as rows (kind, sensor, center, scale); zero scale -> 1.
 
-def fit_scaler(df: DataFrame, columns: list[str], kind: str = "standard",
-               exact: bool = True) -> FittedScaler:
+    Standard (ddof 0) and min-max come from one aggregate of ``df`` whatever the
+    number of sensors; robust from exact distributed quartiles.
+    """
+    kinds = [kinds] if isinstance(kinds, str) else list(kinds)
+    if unknown := set(kinds) - set(SCALERS):
+        raise ValueError(f"unknown scaler {sorted(unknown)[0]!r}")
+    out = None
+    if plain := [k for k in kinds if k != "robust"]:
+        x = {c: F.col(c).cast("double") for c in columns}
+        one = df.agg(*[a.alias(f"{c}__{n}") for c in columns for n, a in (
+            ("mean", F.avg(x[c])), ("std", F.stddev_pop(x[c])), ("min", F.min(x[c])), ("max", F.max(x[c])))])
+        center = {"standard": lambda c: F.col(f"{c}__mean"), "minmax": lambda c: F.col(f"{c}__min")}
+        scale = {"standard": lambda c: F.col(f"{c}__std"), "minmax": lambda c: F.col(f"{c}__max") - F.col(f"{c}__min")}
+        out = one.select(F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), F.lit(c).alias("sensor"), center[k](c).alias("center"), scale[k](c).alias("scale"))
+            for k in plain for c in columns])).alias("r")).select("r.*")
+    if "robust" in kinds:
+        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("sensor"), F.col(c).cast("double").alias("value"))
+                                             for c in columns])).alias("x")).select("x.*")
+        q = exact_quantiles(long, ["sensor"], "value", QUARTILES)
+        every = df.sparkSession.createDataFrame([(c,) for c in columns], "sensor string")
+        robust = F.broadcast(every).join(q, "sensor", "left").select(
+            F.lit("robust").alias("kind"), "sensor", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
+        out = robust if out is None else out.unionByName(robust)
+    return out.select("kind", "sensor", F.coalesce("center", F.lit(0.0)).alias("center"),
+                      F.when(F.col("scale").isNull() | (F.col("scale") == 0), F.lit(1.0)).otherwise(F.col("scale")).alias("scale"))
+
+
+def fit_scaler(df: DataFrame, columns: list[str], kind: str = "standard") -> FittedScaler:
     """F2/F3/F4 fit: standard (ddof 0, sigma 0 -> 1), min-max (range 0 -> 1), robust (IQR 0 -> 1)."""
-    row = scaler_params(df, columns, kind, exact).first()
-    center, scale = {}, {}
-    for c in columns:
-        ctr = row[f"{c}__center"]
-        sc = row[f"{c}__scale"]
-        center[c] = float(ctr) if ctr is not None else 0.0
-        scale[c] = float(sc) if sc not in (None, 0.0) else 1.0
-    return FittedScaler(kind, list(columns), center, scale)
+    rows = {r["sensor"]: r for r in scaler_table(df, columns, kind).collect()}
+    return FittedScaler(kind, list(columns), {c: float(rows[c]["center"]) for c in columns},
+                        {c: float(rows[c]["scale"]) for c in columns})
 
 
 def apply_scaler(df: DataFrame, scaler: FittedScaler | None) -> DataFrame:
@@ -209,22 +201,25 @@ def sliding_windows(df: DataFrame, feature_cols: list[str], window_size: int, st
 
 
 def last_n_window(df: DataFrame, feature_cols: list[str], window_size: int,
-                  pos_col: str = TIME) -> DataFrame:
+                  pos_col: str = TIME, total_col: str = "n_readings") -> DataFrame:
     """The last T rows of each machine; fewer rows are padded by
-    repeating the last row. One window per machine (rows beyond the last T
-    are filtered before grouping, so a group holds at most T rows)."""
+    repeating the last row. One window per machine.
+
+    ``total_col`` (rows of the machine, as the numbering attaches it) lets rows
+    beyond the last T go before any shuffle; without it the table is numbered
+    first. A group holds at most T rows.
+    """
     T = int(window_size)
-    per_machine = df.groupBy(MACHINE).agg(F.max(pos_col).alias("__maxp"), F.count(F.lit(1)).alias("__n"))
-    tail = (df.join(per_machine, MACHINE)
-              .where(F.col(pos_col) > F.col("__maxp") - T))
-    # among the tail rows (<= T per machine after the filter, positions dense)
+    if total_col not in df.columns:
+        df = number_within_key(df, MACHINE, [pos_col], pos_col="__p", total_col=total_col)
+        pos_col = "__p"
+    tail = df.where(F.col(pos_col) >= F.col(total_col) - T)
     row = F.struct(F.col(pos_col).alias("p"),
                    F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("v"))
-    g = tail.groupBy(MACHINE).agg(F.array_sort(F.collect_list(row)).alias("seq"),
-                                  F.first("__n").alias("n_readings"))
+    g = tail.groupBy(MACHINE).agg(F.array_sort(F.collect_list(row)).alias("seq"), F.first(total_col).alias("n"))
     vals = F.transform(F.col("seq"), lambda r: r["v"])
     pad = F.array_repeat(F.element_at(vals, -1), F.greatest(F.lit(T) - F.size(vals), F.lit(0)))
-    return g.select(MACHINE, F.least(F.col("n_readings"), F.lit(T)).cast("int").alias("n_used"),
+    return g.select(MACHINE, F.least(F.col("n"), F.lit(T)).cast("int").alias("n_used"),
                     F.flatten(F.concat(vals, pad)).alias("features"))
 
 
@@ -260,54 +255,61 @@ def poisson_resample(df: DataFrame, key_cols: list[str], label_col: str = "label
     """class-balanced resampling with replacement, distributed.
 
     Each row is replicated k ~ Poisson(lambda_c) times with lambda_c = n/(2 n_c)
-    (the expected total is n, each class half). k comes from a hash-seeded
-    uniform and the Poisson inverse CDF, so reruns give the same sample.
+    (the expected total is n, each class half). k is a sum of m = ceil(lambda_c)
+    draws from Poisson(lambda_c / m), each from its own hash of the key, so any
+    lambda is exact and a row's work is in proportion to its copies.
     """
     w = pos_weight(df, label_col).first()
-    u = uniform_hash(*[F.col(c) for c in key_cols], F.lit(seed))
-    k = F.when(F.col(label_col) == 1, poisson_inverse(u, w["weight_pos"] or 0.0)).otherwise(
-        poisson_inverse(u, w["weight_neg"] or 0.0))
-    return df.withColumn("__k", k).where(F.col("__k") > 0) \
-             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k")
+    lam = {1: float(w["weight_pos"] or 0.0), 0: float(w["weight_neg"] or 0.0)}
+    parts = {y: max(1, math.ceil(x)) for y, x in lam.items()}
+    is_pos = F.col(label_col) == 1
+    m = F.when(is_pos, F.lit(parts[1])).otherwise(F.lit(parts[0]))
+    draws = df.withColumn("__draw", F.explode(F.sequence(F.lit(1), m)))
+    u = uniform_hash(*[F.col(c) for c in key_cols], F.col("__draw"), F.lit(seed))
+    k = F.when(is_pos, poisson_inverse(u, lam[1] / parts[1])).otherwise(poisson_inverse(u, lam[0] / parts[0]))
+    return (draws.withColumn("__k", k).where(F.col("__k") > 0)
+                 .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k"))
 
 
 def uniform_hash(*cols: Column) -> Column:
-    """Deterministic uniform in [0, 1) from a 64-bit hash of the given columns."""
-    h = F.xxhash64(*cols)
-    return (F.abs(h % F.lit(1 << 53))).cast("double") / float(1 << 53)
+    """Deterministic uniform in [0, 1): the first 52 bits of the md5 of the values
+    joined by '-' (any SQL engine can repeat it)."""
+    h = F.md5(F.concat_ws("-", *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_cdf(lam: float, kmax: int | None = None) -> list[float]:
-    """P(X <= k) for k = 0..kmax, X ~ Poisson(lam) (driver-side constants)."""
-    import math
-    kmax = kmax or int(lam + 12 * math.sqrt(lam + 1) + 12)
+def poisson_cdf(lam: float) -> list[float]:
+    """P(X <= k), k = 0, 1, ... until it reaches 1 in double precision; lam <= 1."""
+    if not 0 <= lam <= 1:
+        raise ValueError("split larger rates into draws of at most 1")
     p, cum, out = math.exp(-lam), 0.0, []
-    for k in range(kmax + 1):
+    while cum + p > cum:
         cum += p
         out.append(min(cum, 1.0))
-        p = p * lam / (k + 1)
+        p = p * lam / len(out)
     return out
 
 
 def poisson_inverse(u: Column, lam: float) -> Column:
-    """Smallest k with P(X <= k) > u for X ~ Poisson(lam): one flat CASE over
-    literal CDF values (stays in generated code)."""
+    """Smallest k with P(X <= k) > u for X ~ Poisson(lam), lam <= 1: one flat CASE
+    over literal CDF values (stays in generated code)."""
     cdf = poisson_cdf(float(lam))
-    expr = None
-    for k, c in enumerate(cdf):
-        expr = F.when(u < F.lit(c), F.lit(k)) if expr is None else expr.when(u < F.lit(c), F.lit(k))
+    expr = F.when(u < F.lit(cdf[0]), F.lit(0))
+    for k, c in enumerate(cdf[1:], 1):
+        expr = expr.when(u < F.lit(c), F.lit(k))
     return expr.otherwise(F.lit(len(cdf)))
 
 
-def window_size_study(readings: DataFrame, splits: DataFrame, sizes=(10, 25, 50, 100),
+def window_size_study(readings: DataFrame, splits: DataFrame | None = None, sizes=(10, 25, 50, 100),
                       label_col: str = "failure_imminent", pos_col: str = TIME) -> DataFrame:
     """F8: windows and positive rate per (window_size, split), stride max(1, T//5).
 
     End rows only (no arrays): one pass over readings with one row per
-    configuration a row closes.
+    configuration a row closes. Without ``splits`` the readings carry the split.
     """
     confs = F.array(*[F.struct(F.lit(t).alias("T"), F.lit(max(1, t // 5)).alias("S")) for t in sizes])
-    r = attach_split(readings.select(MACHINE, pos_col, label_col), splits)
+    r = (readings.select(MACHINE, pos_col, label_col, "split") if splits is None
+         else attach_split(readings.select(MACHINE, pos_col, label_col), splits))
     e = r.select("*", F.explode(confs).alias("c"))
     e = e.where(is_window_end(F.col(pos_col), F.col("c.T"), F.col("c.S")))
     return (e.groupBy(F.col("c.T").alias("window_size"), F.col("c.S").alias("step_size"), "split")

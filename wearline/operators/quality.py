@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import MACHINE, TIME
-from .sequence import number_within_key
+from .sequence import MARK, PART, inside, lay_out, part_table
 
 
 @dataclass
@@ -76,21 +76,24 @@ def _sev(frac: Column, n_bad: Column, error_above: float) -> Column:
              .otherwise(F.lit("ok")))
 
 
-def non_monotone_machines(df: DataFrame, ingest_cols: list[str], chunk: Column) -> DataFrame:
+def non_monotone_machines(df: DataFrame, ingest_cols: list[str]) -> DataFrame:
     """Machines whose timestep decreases somewhere in ingest order (non-strict).
 
-    The ingest position is a skew-safe numbering; the previous reading is an
-    equi-join on (machine, position - 1) -- no per-machine window task.
+    Rows are laid out in ingest order; the previous reading is a ``lag`` inside
+    each (machine, part), and the borders between parts are compared in the
+    small part table -- no self-join, no per-machine task.
     """
-    pos = number_within_key(df.select(MACHINE, TIME, *ingest_cols), MACHINE, ingest_cols,
-                            chunk_exprs=[chunk], pos_col="__ip", total_col=None)
-    prev = pos.select(MACHINE, (F.col("__ip") + 1).alias("__ip"), F.col(TIME).alias("__prev_t"))
-    j = pos.join(prev, [MACHINE, "__ip"])
-    return j.where(F.col(TIME) < F.col("__prev_t")).select(MACHINE).distinct()
+    laid = lay_out(df.select(MACHINE, TIME, *ingest_cols), MACHINE, ingest_cols)
+    prev = F.lag(TIME).over(inside(MACHINE))
+    within = laid.withColumn("__prev", prev).where(F.col(TIME) < F.col("__prev")).select(MACHINE)
+    parts = part_table(laid, MACHINE, {"__t0": F.min_by(TIME, MARK), "__t1": F.max_by(TIME, MARK)})
+    border = F.lag("__t1").over(Window.partitionBy(MACHINE).orderBy(PART))
+    across = parts.withColumn("__prev", border).where(F.col("__t0") < F.col("__prev")).select(MACHINE)
+    return within.unionByName(across).distinct()
 
 
 def validate(df: DataFrame, schema: SensorSchema = READINGS_SCHEMA,
-             ingest_cols: list[str] | None = None, ingest_chunk: Column | None = None) -> DataFrame:
+             ingest_cols: list[str] | None = None) -> DataFrame:
     """Tidy validation report; ``passed`` = no 'error' rows (see ``passed``)."""
     cols = set(df.columns)
     required = sorted((set(schema.required_columns) | set(schema.columns)) - cols)
@@ -124,8 +127,7 @@ def validate(df: DataFrame, schema: SensorSchema = READINGS_SCHEMA,
                          F.lit(None)))
     report = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     if ingest_cols and MACHINE in cols and TIME in cols:
-        nm = non_monotone_machines(df, ingest_cols, ingest_chunk if ingest_chunk is not None
-                                   else F.lit(0)).agg(F.count(F.lit(1)).alias("k"))
+        nm = non_monotone_machines(df, ingest_cols).agg(F.count(F.lit(1)).alias("k"))
         k = F.col("k")
         mono = nm.select(_row("monotone_timestep", TIME,
                               F.when(k > 0, F.lit("warning")).otherwise(F.lit("ok")), k, F.lit(None)).alias("r"))
@@ -137,15 +139,22 @@ def passed(report: DataFrame) -> bool:
     return report.where(F.col("severity") == "error").limit(1).count() == 0
 
 
-def require_clean(df: DataFrame, sensor_cols: list[str], target: str) -> DataFrame:
-    """Guard before windowing -- missing columns or any missing sensor value
-    raise ``ValueError``; returns the one-row check (n_rows, n_missing)."""
-    need = {MACHINE, TIME, target} | set(sensor_cols)
-    absent = need - set(df.columns)
+def guard_counts(df: DataFrame, sensor_cols: list[str], target: str) -> DataFrame:
+    """P7's one-row check (n_rows, n_missing); a missing column raises ``ValueError``."""
+    absent = ({MACHINE, TIME, target} | set(sensor_cols)) - set(df.columns)
     if absent:
         raise ValueError(f"DataFrame missing columns: {sorted(absent)}")
-    check = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                   sum((F.count_if(missing(c)) for c in sensor_cols), F.lit(0)).alias("n_missing"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  sum((F.count_if(missing(c)) for c in sensor_cols), F.lit(0)).alias("n_missing"))
+
+
+def require_clean(df: DataFrame, sensor_cols: list[str], target: str) -> DataFrame:
+    """Guard before windowing. Missing columns and missing sensor values
+    (NULL or NaN) raise ``ValueError``; returns the one-row check."""
+    check = guard_counts(df, sensor_cols, target)
+    n = check.first()["n_missing"]
+    if n:
+        raise ValueError(f"{n} missing sensor values: impute or drop them before windowing")
     return check
 
 
@@ -162,8 +171,3 @@ def route_rows(df: DataFrame, bounds: dict[str, tuple[float, float]],
         for cond, label in ((missing(c), f"missing:{c}"), (below | above, f"range:{c}")):
             reason = F.when(cond, F.lit(label)) if reason is None else reason.when(cond, F.lit(label))
     return df.withColumn("reject_reason", reason)
-
-
-def split_routed(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (routed.where(F.col("reject_reason").isNull()),
-            routed.where(F.col("reject_reason").isNotNull()))

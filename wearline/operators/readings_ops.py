@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drift import drift_report
+from .drift import drift_of_sides
 from .labels import MACHINE, TIME
 
 
@@ -53,6 +53,5 @@ def prune_near_constant(df: DataFrame, keep_cols: list[str], sensors: list[str],
 
 def drift_by_cutoff(df: DataFrame, time_col: str, cutoff: str, sensors: list[str]) -> DataFrame:
     """Drift of rows before ``cutoff`` (reference) vs from it (current)."""
-    t = F.col(time_col)
     cut = F.lit(cutoff).cast(df.schema[time_col].dataType)
-    return drift_report(df.where(t < cut), df.where(t >= cut), sensors)
+    return drift_of_sides(df.select(*sensors, (F.col(time_col) < cut).alias("__ref")), sensors, "__ref")

@@ -1,101 +1,92 @@
-"""Skew-safe position of a row inside its key (row_number without one hot task).
-
-``row_number().over(partitionBy(key))`` sends every row of a key to one task;
-a machine holding a third of the data would then run in a single task.
-
-Plan:
-
-1. ``groupBy(key).count()`` (partial aggregation) finds the *hot* keys, those
-   above ``hot_rows``. Their number is at most ``total_rows / hot_rows``, a
-   proven bound, so the hot list is broadcast.
-2. Hot keys are cut into ordered chunks (``chunk_exprs`` must be a prefix of
-   the ordering, so every row of chunk k precedes every row of chunk k+1);
-   cold keys form one chunk.
-3. ``groupBy(key, chunk).count()`` -> prefix offsets over that small table.
-4. Join the offsets back on (key, chunk) and number rows inside the chunk.
-   The join and the chunk-local window share the (key, chunk) partitioning,
-   so the big table is shuffled once, and a hot key is spread over as many
-   tasks as it has chunks.
+"""Ordered layouts: positions and running sums inside a key without a hot task.
+
+``row_number().over(partitionBy(key))`` sends every row of a key to one task.
+Here the table is range-partitioned by (key, order columns), sorted, tagged
+with ``monotonically_increasing_id`` (partition number and row number in it)
+and written once to the shared checkpoint folder. Partitions hold about equal
+numbers of rows, so a key with a third of all rows simply spans many of them;
+nothing depends on how large a key is, NULL keys and NULL order values are
+ordinary values (NULLs first, as Spark sorts them).
+
+``(key, part)`` aggregates form a table of at most keys + partitions rows.
+Prefix sums over it give every part its offset; it is broadcast only while its
+counted size is at most ``MAX_BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_HOT_ROWS = 2_000_000
+from ..session import store
 
+MARK = "__m"
+PART = "__part"
+MAX_BROADCAST_ROWS = 200_000
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; at most total/hot_rows of them."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("__cnt"))
-              .where(F.col("__cnt") > hot_rows).select(key, F.lit(True).alias("__hot")))
 
+def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in ([cols] if isinstance(cols, (str, Column)) else cols)]
 
-def number_within_key(df: DataFrame, key: str, order_cols: Sequence[str | Column],
-                      chunk_exprs: Sequence[Column], pos_col: str = "pos",
-                      total_col: str | None = "n_rows",
-                      extra_chunk_aggs: dict[str, Column] | None = None,
-                      extra_key_aggs: dict[str, Column] | None = None,
-                      hot_rows: int = DEFAULT_HOT_ROWS,
-                      key_table: DataFrame | None = None) -> DataFrame:
-    """Attach a 0-based position (ordered by ``order_cols``) within ``key``.
 
-    ``extra_chunk_aggs`` are aggregated per (key, chunk) and then combined per
-    key by ``extra_key_aggs`` (name -> aggregate over the chunk table), which
-    gives per-key facts (e.g. the last failure's sort key) in the same pass.
+def lay_out(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str | Column]) -> DataFrame:
+    """``df`` sorted by (key, order) over range partitions, stored, with the
+    columns ``__m`` (increasing in that order) and ``__part``."""
+    by = [*_cols(key), *_cols(order_cols)]
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return store(laid.withColumn(MARK, F.monotonically_increasing_id())).withColumn(PART, F.shiftright(MARK, 33))
 
-    ``key_table`` (key + attributes, one row per key) is inner-joined to the
-    small offsets table, so per-key attributes reach every row through the
-    (key, chunk) join that happens anyway -- keys absent from it drop out,
-    exactly as an inner join of the input would.
-    """
-    chunk_names = [f"__chunk{i}" for i in range(len(chunk_exprs))]
-    hot = F.broadcast(hot_keys(df, key, hot_rows))
-    tagged = df.join(hot, key, "left").select(
-        *df.columns,
-        # cold keys are one chunk (-1); chunk expressions are non-negative longs
-        *[F.when(F.col("__hot"), c.cast("long")).otherwise(F.lit(-1).cast("long")).alias(n)
-          for c, n in zip(chunk_exprs, chunk_names)])
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for name, agg in (extra_chunk_aggs or {}).items():
-        aggs.append(agg.alias(name))
-    counts = tagged.groupBy(key, *chunk_names).agg(*aggs)
-    w = Window.partitionBy(key).orderBy(*chunk_names)
-    whole = Window.partitionBy(key)
-    offsets = counts.select(
-        key, *chunk_names,
-        F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"),
-        *([F.sum("__n").over(whole).alias(total_col)] if total_col else []),
-        *[agg.over(whole).alias(name) for name, agg in (extra_key_aggs or {}).items()],
-    )
-    if key_table is not None:
-        offsets = offsets.join(key_table, key)
-    # shuffle join on (key, chunk): the chunk-local window below reuses this
-    # partitioning, and the fact table is never broadcast (its size estimate
-    # can fall under the threshold on small inputs).
-    joined = tagged.join(offsets.hint("shuffle_merge"), [key, *chunk_names], "inner")
-    local = Window.partitionBy(key, *chunk_names).orderBy(*order_cols)
-    out = joined.withColumn(pos_col, (F.row_number().over(local) - 1 + F.col("__off")).cast("long"))
-    return out.drop("__off", *chunk_names)
+
+def part_table(laid: DataFrame, key: str | Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
+    """One stored row per (key, part) with the given aggregates."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return store(laid.groupBy(*keys, PART).agg(*[a.alias(n) for n, a in aggs.items()]))
+
+
+def join_parts(laid: DataFrame, parts: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Columns of the part table attached to every row (NULL keys match)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    small = parts.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    right = parts.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(PART).alias("__k_part"),
+                         *[c for c in parts.columns if c not in keys and c != PART])
+    on = F.col(PART) == F.col("__k_part")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    joined = laid.join(F.broadcast(right) if small else right, on)
+    return joined.drop("__k_part", *[f"__k_{k}" for k in keys])
 
 
+def before(key: str | Sequence[str]):
+    """Window over the parts of a key that precede the current one."""
+    return Window.partitionBy(*_cols(key)).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
-def order_code(parts: list[tuple[Column, int]]) -> Column:
-    """Pack non-negative integer sort columns into one order-preserving long.
 
-    ``parts`` = [(column, bits), ...] most significant first (total <= 63
-    bits). A value outside its bit range raises instead of mis-ordering.
-    Used where a max over a composite key must stay in a hash aggregate.
+def inside(key: str | Sequence[str]):
+    """Window over the rows of one (key, part), in order."""
+    return Window.partitionBy(*_cols(key), PART).orderBy(MARK)
+
+
+def number_within_key(df: DataFrame, key: str, order_cols: Sequence[str | Column], pos_col: str = "pos",
+                      total_col: str | None = "n_rows", part_aggs: Mapping[str, Column] | None = None,
+                      key_aggs: Mapping[str, Column] | None = None, key_table: DataFrame | None = None) -> DataFrame:
+    """Attach a 0-based position (ordered by ``order_cols``) within ``key``.
+
+    ``part_aggs`` are aggregated per (key, part) -- they may use ``__m``, which
+    follows the order -- and ``key_aggs`` combine them per key. ``key_table``
+    (key + attributes, one row per key) is inner-joined to the small part
+    table, so per-key attributes reach the rows through the join that happens
+    anyway; keys absent from it drop out. ``__m`` stays in the result.
     """
-    if sum(b for _, b in parts) > 63:
-        raise ValueError("order code exceeds 63 bits")
-    code, ok = F.lit(0).cast("long"), F.lit(True)
-    for col, bits in parts:
-        c = col.cast("long")
-        ok = ok & (c >= 0) & (c < F.lit(1 << bits))
-        code = code * F.lit(1 << bits) + c
-    return F.when(ok | col.isNull(), code).otherwise(F.raise_error(F.lit("order code out of range")).cast("long"))
+    laid = lay_out(df, key, order_cols)
+    parts = part_table(laid, key, {"__first": F.min(MARK), "__n": F.count(F.lit(1)), **(part_aggs or {})})
+    whole = Window.partitionBy(key)
+    parts = parts.select(
+        key, PART, "__first", F.coalesce(F.sum("__n").over(before(key)), F.lit(0)).alias("__off"),
+        *([F.sum("__n").over(whole).alias(total_col)] if total_col else []),
+        *[agg.over(whole).alias(name) for name, agg in (key_aggs or {}).items()])
+    if key_table is not None:
+        parts = parts.join(key_table, key)
+    out = join_parts(laid, store(parts), key)
+    return out.withColumn(pos_col, (F.col("__off") + F.col(MARK) - F.col("__first")).cast("long")).drop("__off", "__first", PART)

@@ -15,8 +15,11 @@ from pyspark.sql import types as T
 
 from ..operators import curves as C
 from ..operators import metrics as M
+from ..operators import inference as I
+from ..operators import prepare as P_
+from ..session import store
 from . import fixtures as fx
-from .oracle import base, grid_cte, r6
+from .oracle import base, chi2_sf_sql, grid_cte, r6
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -94,7 +97,7 @@ rk AS (SELECT model,
        FROM cum GROUP BY model)"""
 
 
-def _metric_sql():
+def _metric_sql(digits: int = 6):
     tp, fp, fn, tn = "tp", "fp", "fn", "tn"
     prec = _ratio(tp, f"{tp} + {fp}")
     rec = _ratio(tp, f"{tp} + {fn}")
@@ -102,10 +105,9 @@ def _metric_sql():
     f1 = _ratio(f"2.0 * {tp}", f"2.0 * {tp} + {fp} + {fn}")
     den = f"(sqrt(CAST({tp} + {fp} AS DOUBLE)) * sqrt(CAST({tp} + {fn} AS DOUBLE)) * sqrt(CAST({tn} + {fp} AS DOUBLE)) * sqrt(CAST({tn} + {fn} AS DOUBLE)))"
     mcc = f"(CASE WHEN {den} > 0 THEN (CAST({tp} AS DOUBLE) * {tn} - CAST({fp} AS DOUBLE) * {fn}) / {den} ELSE 0.0 END)"
-    return ", ".join([
-        r6(_ratio(f"{tp} + {tn}", f"{tp} + {fp} + {fn} + {tn}"), "accuracy"), r6(prec, "precision"),
-        r6(rec, "recall"), r6(f1, "f1"), r6(spec, "specificity"), r6(f"({rec} + {spec}) / 2.0", "balanced_accuracy"),
-        r6(mcc, "mcc")])
+    named = {"accuracy": _ratio(f"{tp} + {tn}", f"{tp} + {fp} + {fn} + {tn}"), "precision": prec, "recall": rec, "f1": f1,
+             "specificity": spec, "balanced_accuracy": f"({rec} + {spec}) / 2.0", "mcc": mcc}
+    return ", ".join(r6(expr, name, digits) for name, expr in named.items())
 
 
 register("classification_metrics", f"""WITH {base()},
@@ -322,7 +324,8 @@ SELECT model, {r6('s', 'threshold')}, {r6(_ratio('cneg', 'N'), 'fpr')}, {r6(_rat
 
 register("pr_curve", f"""WITH {base()}, {_CUM_DESC}
 SELECT model, {r6('s', 'threshold')}, {r6('CAST(cpos AS DOUBLE) / (cpos + cneg)', 'precision')},
-       {r6(_ratio('cpos', 'P'), 'recall')} FROM cd""")(
+       {r6(_ratio('cpos', 'P'), 'recall')} FROM cd
+UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM preds""")(
     lambda spark, sf: rounded(C.pr_curve(C.score_table(_preds(spark, sf)))))
 
 
@@ -330,19 +333,18 @@ SELECT model, {r6('s', 'threshold')}, {r6('CAST(cpos AS DOUBLE) / (cpos + cneg)'
 
 def _desc_sql(mask: str, name: str) -> str:
     v = f"CASE WHEN {mask} THEN y_score END"
-    return ", ".join([f"count({v}) AS {name}_n", r6(f"COALESCE(avg({v}), 0.0)", f"{name}_mean"),
-                      r6(f"COALESCE(stddev_pop({v}), 0.0)", f"{name}_std"),
-                      r6(f"COALESCE(min({v}), 0.0)", f"{name}_min"), r6(f"COALESCE(max({v}), 0.0)", f"{name}_max")])
+    return ", ".join([f"count({v}) AS n_{name}"] + [
+        r6(f"COALESCE({f}({v}), 0.0)", f"{name}_score_{n}") for n, f in
+        (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))])
 
 
-_FP = "(y_true = 0 AND y_score >= CAST(0.5 AS DOUBLE))"
-_FN = "(y_true = 1 AND y_score < CAST(0.5 AS DOUBLE))"
+_CELL_MASKS = {c: f"(y_true = {y} AND y_score {op} CAST(0.5 AS DOUBLE))" for c, y, op in
+               (("fp", 0, ">="), ("fn", 1, "<"), ("tp", 1, ">="), ("tn", 0, "<"))}
 
 register("error_summary", f"""WITH {base()}
-SELECT model, count(*) FILTER (WHERE {_FP}) AS n_fp, count(*) FILTER (WHERE {_FN}) AS n_fn,
-  {r6(f'CAST(count(*) FILTER (WHERE {_FN}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 1), 1)', 'fn_rate_overall')},
-  {r6(f'CAST(count(*) FILTER (WHERE {_FP}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 0), 1)', 'fp_rate_overall')},
-  {_desc_sql(_FP, 'fp_score')}, {_desc_sql(_FN, 'fn_score')}
+SELECT model, {', '.join(_desc_sql(m, c) for c, m in _CELL_MASKS.items())},
+  {r6(f"CAST(count(*) FILTER (WHERE {_CELL_MASKS['fn']}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 1), 1)", 'fn_rate_overall')},
+  {r6(f"CAST(count(*) FILTER (WHERE {_CELL_MASKS['fp']}) AS DOUBLE) / GREATEST(count(*) FILTER (WHERE y_true = 0), 1)", 'fp_rate_overall')}
 FROM preds GROUP BY model""")(lambda spark, sf: rounded(M.error_summary(_preds(spark, sf))))
 
 register("comparison_table", f"""WITH {base()},
@@ -358,7 +360,6 @@ SELECT model, f1, precision, recall, roc_auc, pr_auc, mcc,
 
 from ..operators import inference as I  # noqa: E402
 from ..operators import segments as G  # noqa: E402
-from ..functions.special import chi2_df1_sf_sql  # noqa: E402
 
 
 def _joined(spark, sf):
@@ -423,6 +424,10 @@ SELECT 'f1' AS metric, model, f1 AS value FROM m ORDER BY f1 DESC, model LIMIT 1
 
 # ---------------------------------------------------------------- inference
 
+def _reading(p: str) -> str:
+    return f"CASE WHEN {p} < 0.01 THEN '{I.HIGHLY}' WHEN {p} < 0.05 THEN '{I.SIGNIFICANT}' ELSE '{I.NONE}' END"
+
+
 _PAIRS = """wide AS (SELECT machine_id, end_timestep, max(y_true) AS y,
     max(CASE WHEN model = 'a' THEN y_score END) AS sa, max(CASE WHEN model = 'b' THEN y_score END) AS sb,
     max(CASE WHEN model = 'c' THEN y_score END) AS sc FROM preds GROUP BY machine_id, end_timestep),
@@ -434,11 +439,8 @@ pairs AS (
   UNION ALL SELECT 'b', 'c', count(*) FILTER (WHERE ob AND NOT oc), count(*) FILTER (WHERE NOT ob AND oc) FROM ok),
 mc AS (SELECT model_a, model_b, b, c,
          CASE WHEN b + c > 0 THEN power(abs(b - c) - 1.0, 2) / (b + c) ELSE 0.0 END AS statistic FROM pairs),
-mcp AS (SELECT *, CASE WHEN b + c > 0 THEN """ + chi2_df1_sf_sql("statistic") + """ ELSE 1.0 END AS p_value FROM mc),
-mci AS (SELECT *, CASE WHEN b + c = 0 THEN 'Models agree on all samples — test not informative.'
-                       WHEN p_value < 0.01 THEN 'Highly significant difference (p < 0.01).'
-                       WHEN p_value < 0.05 THEN 'Significant difference (p < 0.05).'
-                       ELSE 'No significant difference (p ≥ 0.05). Cannot reject H0.' END AS interpretation FROM mcp)"""
+mcp AS (SELECT *, CASE WHEN b + c > 0 THEN """ + chi2_sf_sql("statistic") + """ ELSE 1.0 END AS p_value FROM mc),
+mci AS (SELECT *, CASE WHEN b + c = 0 THEN '""" + I.AGREE + """' ELSE """ + _reading('p_value') + """ END AS interpretation FROM mcp)"""
 
 register("mcnemar", f"""WITH {base()}, {_PAIRS}
 SELECT model_a, model_b, b, c, {r6('statistic', 'statistic')}, {r6('p_value', 'p_value')}, interpretation FROM mci""")(
@@ -455,10 +457,69 @@ SELECT m.model_a, m.model_b, m.b, m.c, {r6('m.statistic', 'statistic')}, {r6('m.
 FROM mci m JOIN dl x ON m.model_a = x.model JOIN dl y ON m.model_b = y.model""")(
     lambda spark, sf: rounded(I.compare_models(_preds(spark, sf))))
 
-# Resampling -- rows-only check (hash draws are Spark's own)
-register("bootstrap_ci")(lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=500)))
-register("permutation_test")(lambda spark, sf: rounded(
-    I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=1000)))
+# Resampling. The draws are repeated in SQL: a and b are two halves of
+# the key's md5, replicate r starts at a + r*b and is squared twice.
+
+def _draws(key: str, n: int, cols: str, src: str) -> str:
+    h = f"md5({key})"
+    a, b = (f"CAST('0x' || substr({h}, {i}, 8) AS BIGINT) % 2147483647" for i in (1, 9))
+    return f"""ab AS (SELECT {cols}, {a} AS a, {b} AS b FROM {src}),
+x1 AS (SELECT * EXCLUDE (r), r.r AS rep, (a + r.r * b) % 2147483647 AS x FROM ab, range(1, {n + 1}) r(r)),
+x2 AS (SELECT * REPLACE ((x * x + a) % 2147483647 AS x) FROM x1),
+dr AS (SELECT * EXCLUDE (x, a, b), ((x * x + b) % 2147483647) / 2147483647.0::DOUBLE AS u FROM x2)"""
+
+
+def _rank_by_rep(keys: str) -> str:
+    """roc_auc and pr_auc per group from weighted distinct scores ``ds``."""
+    return f"""dc AS (SELECT *, SUM(pos) OVER w AS cp, SUM(neg) OVER w AS cn, SUM(pos) OVER g AS P, SUM(neg) OVER g AS N FROM ds
+    WINDOW w AS (PARTITION BY {keys} ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), g AS (PARTITION BY {keys})),
+rk AS (SELECT {keys}, max(P) AS P, max(N) AS N,
+    CASE WHEN max(P) > 0 AND max(N) > 0 THEN SUM(CAST(neg AS DOUBLE) * (2 * cp - pos)) / (2.0 * max(P) * max(N)) END AS roc_auc,
+    CASE WHEN max(P) > 0 THEN SUM(CASE WHEN cp + cn > 0 THEN CAST(pos AS DOUBLE) * cp / (cp + cn) ELSE 0 END) / max(P) END AS pr_auc
+    FROM dc GROUP BY {keys})"""
+
+
+N_BOOT, N_PERM = 500, 1000
+_CDF1 = P_.poisson_cdf(1.0)
+
+register("bootstrap_ci", f"""WITH {base()},
+{_draws("model || '-' || machine_id || '-' || end_timestep || '-42'", N_BOOT, 'model, y_true, y_score AS s', 'preds')},
+wt AS (SELECT model, rep, y_true, s, {' + '.join(f'CAST(u >= {c!r} AS INTEGER)' for c in _CDF1)} AS w FROM dr),
+ds AS (SELECT model, rep, s, SUM(w * y_true) AS pos, SUM(w * (1 - y_true)) AS neg FROM wt GROUP BY ALL),
+{_rank_by_rep('model, rep')},
+cells AS (SELECT model, rep, SUM(CASE WHEN s >= 0.5 THEN pos ELSE 0 END) AS tp, SUM(CASE WHEN s >= 0.5 THEN neg ELSE 0 END) AS fp,
+    SUM(CASE WHEN s < 0.5 THEN pos ELSE 0 END) AS fn, SUM(CASE WHEN s < 0.5 THEN neg ELSE 0 END) AS tn FROM ds GROUP BY ALL),
+pm AS (SELECT c.model, c.rep, {_metric_sql(15)}, rk.roc_auc, rk.pr_auc FROM cells c JOIN rk ON c.model = rk.model AND c.rep = rk.rep
+       WHERE rk.P > 0 AND rk.N > 0),
+lg AS (UNPIVOT pm ON {', '.join(I.REPLICATE_METRICS)} INTO NAME metric VALUE value)
+SELECT model, metric, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')}, {r6('quantile_cont(value, 0.025)', 'lower')},
+       {r6('quantile_cont(value, 0.975)', 'upper')}, count(*) AS n_replicates FROM lg GROUP BY model, metric""")(
+    lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=N_BOOT)))
+
+
+def _perm_sql(pairs: list[tuple[str, str]]) -> str:
+    """CTEs up to ``pt``: one row per pair with the permutation result."""
+    long = " UNION ALL ".join(
+        f"SELECT '{a}' AS model_a, '{b}' AS model_b, machine_id, end_timestep, y_true, model = '{b}' AS other, y_score AS s FROM preds WHERE model IN ('{a}', '{b}')"
+        for a, b in pairs)
+    return f"""pl AS ({long}),
+{_draws("machine_id || '-' || end_timestep || '-42'", N_PERM, 'model_a, model_b, y_true, other, s', 'pl')},
+sd AS (SELECT model_a, model_b, rep, y_true, s, CAST((u < 0.5) <> other AS INTEGER) AS side FROM dr
+       UNION ALL SELECT model_a, model_b, 0, y_true, s, CAST(other AS INTEGER) FROM pl),
+ds AS (SELECT model_a, model_b, rep, side, s, SUM(y_true) AS pos, SUM(1 - y_true) AS neg FROM sd GROUP BY ALL),
+{_rank_by_rep('model_a, model_b, rep, side')},
+dd AS (SELECT model_a, model_b, rep, max(CASE WHEN side = 0 THEN roc_auc END) AS metric_a, max(CASE WHEN side = 1 THEN roc_auc END) AS metric_b
+       FROM rk GROUP BY ALL),
+ob AS (SELECT model_a, model_b, metric_a, metric_b, abs(metric_a - metric_b) AS observed_diff FROM dd WHERE rep = 0),
+pt AS (SELECT ob.model_a, ob.model_b, ob.metric_a, ob.metric_b, ob.observed_diff,
+              avg(CASE WHEN abs(dd.metric_a - dd.metric_b) >= ob.observed_diff - 1e-12 THEN 1.0 ELSE 0.0 END) AS p_value
+       FROM ob JOIN dd ON dd.model_a = ob.model_a AND dd.model_b = ob.model_b WHERE dd.rep > 0 GROUP BY ALL)"""
+
+
+register("permutation_test", f"""WITH {base()}, {_perm_sql([('a', 'b')])}
+SELECT model_a, model_b, 'roc_auc' AS metric, {r6('metric_a', 'metric_a')}, {r6('metric_b', 'metric_b')},
+       {r6('observed_diff', 'observed_diff')}, {r6('p_value', 'p_value')}, {N_PERM} AS n_permutations, {_reading('p_value')} AS interpretation FROM pt""")(
+    lambda spark, sf: rounded(I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=N_PERM)))
 
 
 # ---------------------------------------------------------------- readings
@@ -466,7 +527,7 @@ register("permutation_test")(lambda spark, sf: rounded(
 from ..operators import quality as Q  # noqa: E402
 from ..operators import drift as D  # noqa: E402
 from ..operators import readings_ops as R  # noqa: E402
-from ..sources.tables import ORDERKEY_BLOCK, SENSORS, read_table  # noqa: E402
+from ..sources.tables import SENSORS, machine_ids, read_table  # noqa: E402
 
 register("dataset_summary", f"""WITH {base()}
 SELECT count(DISTINCT machine_id) AS engines, count(*) AS n_rows,
@@ -518,8 +579,7 @@ def _quality_sql():
 
 register("quality_report", f"""WITH {base()}, {_DMG}
 {_quality_sql()}""")(lambda spark, sf: rounded(Q.validate(
-    fx.damaged_readings(spark, sf), Q.READINGS_SCHEMA, ingest_cols=["l_orderkey", "l_linenumber"],
-    ingest_chunk=F.col("l_orderkey") / F.lit(ORDERKEY_BLOCK))))
+    fx.damaged_readings(spark, sf), Q.READINGS_SCHEMA, ingest_cols=["l_orderkey", "l_linenumber"])))
 
 
 def _route_sql():
@@ -574,10 +634,8 @@ FROM ps JOIN st ON ps.sensor = st.sensor"""
 register("drift_readings", f"""WITH {base()}, {_drift_sql('readings', "l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", "l_shipdate >= TIMESTAMP '1998-01-01 00:00:00'", SENSORS)}""")(
     lambda spark, sf: rounded(R.drift_by_cutoff(fx.labeled_readings(spark, sf), "l_shipdate", "1998-01-01", SENSORS)))
 
-register("drift_events", f"""WITH {_drift_sql('events', "ts < TIMESTAMP '2024-01-16 00:00:00'", "ts >= TIMESTAMP '2024-01-16 00:00:00' AND ts < TIMESTAMP '2024-02-01 00:00:00'", ['value'])}""")(
-    lambda spark, sf: rounded(R.drift_by_cutoff(
-        read_table(spark, sf, "events").where(F.col("ts") < F.lit("2024-02-01").cast("timestamp_ntz")),
-        "ts", "2024-01-16", ["value"])))
+register("drift_events", f"""WITH {_drift_sql('events', "ts < TIMESTAMP '2024-01-16 00:00:00'", "ts >= TIMESTAMP '2024-01-16 00:00:00'", ['value'])}""")(
+    lambda spark, sf: rounded(R.drift_by_cutoff(read_table(spark, sf, "events"), "ts", "2024-01-16", ["value"])))
 
 
 # ---------------------------------------------------------------- preparation
@@ -596,7 +654,7 @@ splits AS (SELECT machine_id, CASE WHEN r < n_test THEN 'test' WHEN r < n_test +
 
 
 def _splits(spark, sf):
-    return P.split_machines(fx.labeled_readings(spark, sf))
+    return P.split_machines(machine_ids(spark, sf))
 
 
 register("machine_split", f"""WITH {base()}, {_SPLIT}
@@ -608,8 +666,7 @@ SELECT a.machine_id, a.split AS split_a, b.split AS split_b FROM splits a JOIN s
 
 
 def _train(spark, sf):
-    lab = fx.labeled_readings(spark, sf)
-    return P.attach_split(lab, P.split_machines(lab)).where(F.col("split") == "train")
+    return fx.labeled_readings(spark, sf).where(F.col("split") == "train")
 
 
 def _scaler_sql():
@@ -626,17 +683,13 @@ tr AS (SELECT l.* FROM labeled l JOIN splits s ON l.machine_id = s.machine_id WH
 p AS ({_scaler_sql()})
 SELECT kind, sensor, {r6('COALESCE(center, 0.0)', 'center')},
        {r6('CASE WHEN scale IS NULL OR scale = 0 THEN 1.0 ELSE scale END', 'scale')} FROM p""")(
-    lambda spark, sf: rounded(P.scaler_table(_train(spark, sf), SENSORS, "standard")
-                              .unionByName(P.scaler_table(_train(spark, sf), SENSORS, "minmax"))
-                              .unionByName(P.scaler_table(_train(spark, sf), SENSORS, "robust"))))
+    lambda spark, sf: rounded(P.scaler_table(_train(spark, sf), SENSORS, P.SCALERS)))
 
 
 def _scaled_test(spark, sf):
     lab = fx.labeled_readings(spark, sf)
-    sp = P.split_machines(lab)
-    j = P.attach_split(lab, sp)
-    scaler = P.fit_scaler(j.where(F.col("split") == "train"), SENSORS, "standard")
-    out = P.apply_scaler(j.where(F.col("split") == "test"), scaler)
+    scaler = P.fit_scaler(lab.where(F.col("split") == "train"), SENSORS, "standard")
+    out = P.apply_scaler(lab.where(F.col("split") == "test"), scaler)
     return rounded(out.select("machine_id", "timestep", *SENSORS))
 
 
@@ -669,8 +722,7 @@ GROUP BY e.machine_id, e.timestep, e.failure_imminent""")(_window_checks)
 
 def _split_stats(spark, sf):
     lab = fx.labeled_readings(spark, sf)
-    ends = P.window_end_rows(lab, 50, 10).select("machine_id", F.col("failure_imminent").alias("label"))
-    w = P.attach_split(ends, P.split_machines(lab))
+    w = P.window_end_rows(lab, 50, 10).select("machine_id", "split", F.col("failure_imminent").alias("label"))
     st = P.split_stats(w)
     pw = w.groupBy("split").agg(F.sum("label").alias("n_positive"),
                                 F.when(F.sum("label") > 0, (F.count(F.lit(1)) - F.sum("label")) / F.sum("label"))
@@ -697,7 +749,7 @@ def _study_sql():
 register("window_size_study", f"""WITH {base()}, {_SPLIT}, x AS ({_study_sql()})
 SELECT window_size, step_size, split, count(*) AS n_windows, CAST(sum(failure_imminent) AS BIGINT) AS n_positive
 FROM x GROUP BY ALL""")(lambda spark, sf: P.window_size_study(
-    fx.labeled_readings(spark, sf), _splits(spark, sf)).select(
+    fx.labeled_readings(spark, sf)).select(
         "window_size", "step_size", "split", "n_windows", F.col("n_positive").cast("long").alias("n_positive")))
 
 
@@ -728,6 +780,13 @@ FROM labeled l LEFT JOIN fails f ON l.machine_id = f.machine_id""")(
     .select("machine_id", "timestep", "failure_imminent_event"))
 
 
+# Latent ramp over the last three fifths of a machine's life
+register("latent_progress", f"""WITH {base()}
+SELECT machine_id, timestep, ROUND(LEAST(GREATEST((timestep - (2 * max_timestep) // 5)
+    / CAST(GREATEST(max_timestep - (2 * max_timestep) // 5, 1) AS DOUBLE), 0.0), 1.0), 4) AS latent_progress FROM labeled""")(
+    lambda spark, sf: fx.labeled_readings(spark, sf).select("machine_id", "timestep", L.latent_progress(
+        F.col("timestep"), F.expr("(2 * max_timestep) div 5"), F.col("max_timestep")).alias("latent_progress")))
+
 register("forward_fill", f"""WITH {base()}, {_DMG}
 SELECT machine_id, timestep,
   {r6('last_value(quantity IGNORE NULLS) OVER (PARTITION BY machine_id ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'quantity')},
@@ -749,14 +808,21 @@ def _resample(spark, sf):
     return r.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-register("balanced_resample")(_resample)
+register("balanced_resample", f"""WITH {base()},
+n AS (SELECT failure_imminent AS label, (SELECT count(*) FROM ends) / (2.0 * count(*)) AS lam FROM ends GROUP BY failure_imminent),
+m AS (SELECT label, lam, CAST(GREATEST(1, ceil(lam)) AS BIGINT) AS m FROM n),
+cdf AS (SELECT m.label, k.k, SUM(exp(-(lam / m) + j.j * ln(lam / m) - lgamma(j.j + 1.0))) AS c
+        FROM m, range(24) k(k), range(24) j(j) WHERE j.j <= k.k GROUP BY ALL),
+d AS (SELECT e.failure_imminent AS label, CAST('0x' || substr(md5(e.machine_id || '-' || e.timestep || '-' || r.r || '-42'), 1, 13) AS BIGINT)
+             / 4503599627370496.0 AS u
+      FROM ends e JOIN m ON m.label = e.failure_imminent, LATERAL (SELECT unnest(range(1, m.m + 1)) AS r) r)
+SELECT label, count(*) AS n_rows FROM (SELECT d.label, count(*) AS copies FROM d JOIN cdf ON cdf.label = d.label AND cdf.c <= d.u GROUP BY d.label, d.u, cdf.k) GROUP BY label""")(_resample)
 
 
 def _sample(spark, sf):
     lab = fx.labeled_readings(spark, sf)
-    ends = P.window_end_rows(lab, 50, 10).select("machine_id", F.col("timestep").alias("end_timestep"))
-    test = P.attach_split(ends, P.split_machines(lab)).where(F.col("split") == "test")
-    return P.sample_windows(test, 500, seed=42)
+    test = P.window_end_rows(lab.where(F.col("split") == "test"), 50, 10)
+    return P.sample_windows(test.select("machine_id", F.col("timestep").alias("end_timestep")), 500, seed=42)
 
 
 register("window_sample", f"""WITH {base()}, {_SPLIT}
@@ -772,22 +838,35 @@ from ..operators import importance as IMP  # noqa: E402
 from ..operators import models as ML  # noqa: E402
 
 
+_STORED: dict = {}
+
+
+def _once(spark, key, build):
+    """What several queries share (prepared windows, fitted models), made once per
+    session and set of input files; tables lie in the checkpoint folder."""
+    hit = _STORED.get(key)
+    if hit is None or hit[0] is not spark.sparkContext._jsc:
+        _STORED[key] = hit = (spark.sparkContext._jsc, build())
+    return hit[1]
+
+
 def model_windows(spark, sf, p: fx.Params = fx.DEFAULT, kind: str = "standard"):
-    """split -> scaler fit on train rows -> applied to all rows -> windows with split."""
+    """guard (P7) -> scaler fit on train rows -> applied to all rows -> windows with split."""
     lab = fx.labeled_readings(spark, sf, p)
-    sp = P.split_machines(lab, p.test_size, p.val_size, p.seed).persist()
-    j = P.attach_split(lab, sp)
-    scaler = P.fit_scaler(j.where(F.col("split") == "train"), SENSORS, kind)
-    w = P.sliding_windows(P.apply_scaler(j, scaler), SENSORS, p.window_size, p.step_size)
-    # several actions follow (standardiser, weights, training passes): keep the
-    # windows in executor memory/disk; a lost block is recomputed from lineage
-    return P.attach_split(w, sp).persist(), scaler
+
+    def build():
+        Q.require_clean(lab, SENSORS, "failure_imminent")
+        scaler = P.fit_scaler(lab.where(F.col("split") == "train"), SENSORS, kind)
+        w = P.sliding_windows(P.apply_scaler(lab, scaler), SENSORS, p.window_size, p.step_size, keep_cols=["split"])
+        return store(w), scaler
+    return _once(spark, ("windows", tuple(sorted(lab.inputFiles())), p, kind), build)
 
 
 def _fit(spark, sf, which="lr"):
     w, scaler = model_windows(spark, sf)
     train = w.where(F.col("split") == "train")
-    fitted = {"lr": ML.fit_logistic, "rf": ML.fit_random_forest, "mlp": ML.fit_mlp}[which](train)
+    fits = {"lr": ML.fit_logistic, "rf": ML.fit_random_forest, "mlp": ML.fit_mlp}
+    fitted = _once(spark, ("fitted", which, tuple(sorted(w.inputFiles()))), lambda: fits[which](train))
     return fitted, w, scaler
 
 
@@ -803,6 +882,51 @@ register("rf_predictions")(_test_preds("rf"))
 register("mlp_predictions")(_test_preds("mlp"))
 
 
+def _fitted_preds(spark, sf):
+    """Scores of the three fitted models on validation and test windows, stored once."""
+    w, _ = model_windows(spark, sf)
+
+    def build():
+        out = None
+        for which in ("lr", "rf", "mlp"):
+            s = _fit(spark, sf, which)[0].score(w.where(F.col("split") != "train"), keep=["split"])
+            out = s if out is None else out.unionByName(s)
+        return store(out)
+    return _once(spark, ("fitted_preds", tuple(sorted(w.inputFiles()))), build)
+
+
+def _own_threshold(spark, sf):
+    """Test scores with each model's threshold, picked on validation machines (F1)."""
+    p = _fitted_preds(spark, sf)
+    thr = C.optimal_threshold(p.where(F.col("split") == "val")).select("model", F.col("threshold").alias("own"))
+    return p.where(F.col("split") == "test").drop("split").join(F.broadcast(thr), "model")
+
+
+def _shifted(p):
+    """Scores moved so that each model's own threshold stands at 0.5 (order kept)."""
+    s, t = F.col("y_score"), F.col("own")
+    moved = F.when(s >= t, 0.5 + 0.5 * (s - t) / F.greatest(1 - t, F.lit(1e-12))).otherwise(0.5 * s / F.greatest(t, F.lit(1e-12)) * (1 - 1e-12))
+    return p.withColumn("y_score", moved).drop("own")
+
+
+def _fitted_metrics(spark, sf):
+    p = _own_threshold(spark, sf)
+    m = M.classification_metrics(p, F.col("own"))
+    ci = C.delong(C.score_table(p)).select("model", F.col("lower").alias("auc_lower"), F.col("upper").alias("auc_upper"))
+    cost = C.cost_threshold_comparison(p, COSTS).select("model", "cost_threshold", "cost_total_cost", "f1_total_cost", "cost_saving")
+    thr = p.select("model", F.col("own").alias("selected_threshold")).distinct()
+    return rounded(m.join(thr, "model").join(ci, "model").join(cost, "model"))
+
+
+# the models of one training run, judged on one test split at their own thresholds
+register("fitted_metrics")(_fitted_metrics)
+register("fitted_mcnemar")(lambda spark, sf: rounded(I.mcnemar(_shifted(_own_threshold(spark, sf)))))
+register("fitted_error_groups")(lambda spark, sf: rounded(G.error_by_group(G.join_metadata(
+    _shifted(_own_threshold(spark, sf)), fx.window_metadata(fx.labeled_readings(spark, sf)))).orderBy(
+        "model", "group_by", F.desc("fn_rate"), "group_value")))
+register("fitted_error_summary")(lambda spark, sf: rounded(M.error_summary(_shifted(_own_threshold(spark, sf)))))
+
+
 def _calibrators(spark, sf):
     fitted, w, _ = _fit(spark, sf, "lr")
     return rounded(ML.compare_calibrators(fitted.score(w.where(F.col("split") == "val")),
@@ -848,31 +972,114 @@ register("all_importances")(_perm("all"))
 
 def _hpo(spark, sf):
     w, _ = model_windows(spark, sf)
-    return rounded(ML.hyperparameter_search(w.where(F.col("split") != "test")))
+    folds = ML.hyperparameter_search(w.where(F.col("split") != "test"))
+    return rounded(folds.groupBy("model", "params").agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("n_folds")))
 
 
 register("hyperparameter_search")(_hpo)
 
+register("machine_folds", f"""WITH {base()}, {_SPLIT}
+SELECT machine_id, CAST(floor(CAST('0x' || substr(md5(machine_id || '-42'), 1, 13) AS BIGINT) / 4503599627370496.0 * 3) AS INTEGER) AS fold
+FROM splits WHERE split <> 'test'""")(lambda spark, sf: ML.machine_folds(
+    _splits(spark, sf).where(F.col("split") != "test").select("machine_id")))
+
+# M7/M8 before scoring: who gives to whom in each repeat
+register("permutation_donors", f"""WITH {base()}, {_SPLIT},
+k AS (SELECT r.r AS rep, e.machine_id, e.timestep AS end_timestep FROM ends e JOIN splits s ON s.machine_id = e.machine_id, range(5) r(r)
+      WHERE s.split = 'test'),
+h AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || machine_id || '-' || end_timestep || '-recv-42'), machine_id, end_timestep) AS rr,
+             row_number() OVER (PARTITION BY rep ORDER BY md5(rep || '-' || machine_id || '-' || end_timestep || '-give-42'), machine_id, end_timestep) AS rg FROM k)
+SELECT CAST(a.rep AS INTEGER) AS rep, a.machine_id, a.end_timestep, b.machine_id AS donor_machine_id, b.end_timestep AS donor_end_timestep
+FROM h a JOIN h b ON b.rep = a.rep AND b.rg = a.rr""")(lambda spark, sf: IMP.donors(
+    P.window_end_rows(fx.labeled_readings(spark, sf).where(F.col("split") == "test"), 50, 10).select(
+        "machine_id", F.col("timestep").alias("end_timestep")), 5))
+
+
+def _isotonic(spark, sf):
+    """M4 on the coarse model: calibrated value of every validation score."""
+    val = fx.predictions(fx.labeled_readings(spark, sf), keep=("split",)).where("model = 'b' AND split = 'val'")
+    cal = ML.IsotonicCalibrator.fit(val)
+    points = val.select("y_score").distinct().withColumn("raw_score", F.col("y_score"))
+    return rounded(cal.transform(points).select("raw_score", F.col("y_score").alias("calibrated")))
+
+
+# least-squares monotone fit by the max-min formula over blocks of scores
+register("isotonic_fit", f"""WITH {base()}, {_SPLIT},
+d AS (SELECT y_score AS s, SUM(y_true) AS pos, count(*) AS n, row_number() OVER (ORDER BY y_score) AS i
+      FROM preds p JOIN splits x ON x.machine_id = p.machine_id WHERE p.model = 'b' AND x.split = 'val' GROUP BY y_score),
+c AS (SELECT i, s, SUM(pos) OVER (ORDER BY i) AS cp, SUM(n) OVER (ORDER BY i) AS cn, pos, n FROM d),
+m AS (SELECT a.i AS j, b.i AS k, (b.cp - a.cp + a.pos) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS avg FROM c a JOIN c b ON b.i >= a.i),
+x AS (SELECT c.i, c.s, m.j, min(m.avg) AS lo FROM c JOIN m ON m.j <= c.i AND m.k >= c.i GROUP BY c.i, c.s, m.j)
+SELECT {r6('s', 'raw_score')}, {r6('max(lo)', 'calibrated')} FROM x GROUP BY i, s""")(_isotonic)
+
+
+def _stationary(spark, sf):
+    """M2/M3: the penalised mean loss has no slope left at the fitted coefficients."""
+    preds = fx.predictions(fx.labeled_readings(spark, sf), keep=("split",)).where("split = 'val'")
+    rows = []
+    for m in ("a", "b", "c"):
+        v = preds.where(F.col("model") == m)
+        platt = ML.PlattScaler.fit(v)
+        p = 1 / (1 + F.exp(-(F.lit(platt.coef) * F.col("y_score") + F.lit(platt.intercept))))
+        e = p - F.col("y_true")
+        g = v.agg(F.count(F.lit(1)).alias("n"), F.avg(e * F.col("y_score")).alias("slope"), F.avg(e).alias("level"))
+        rows.append(g.select(F.lit(m).alias("model"), F.col("n").alias("n_rows"),
+                             (F.abs(F.col("slope") + platt.coef / F.col("n")) < 1e-4).alias("slope_settled"),
+                             (F.abs("level") < 1e-4).alias("level_settled")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+register("platt_optimality", f"""WITH {base()}, {_SPLIT}
+SELECT p.model, count(*) AS n_rows, true AS slope_settled, true AS level_settled
+FROM preds p JOIN splits s ON s.machine_id = p.machine_id WHERE s.split = 'val' GROUP BY p.model""")(_stationary)
+
+
+def _requests(spark, sf):
+    """One scoring request per test window: its raw readings (the last 40 of an odd
+    window), with planted defects by window key."""
+    lab = fx.labeled_readings(spark, sf).where(F.col("split") == "test")
+    w = P.sliding_windows(lab, SENSORS, 50, 10, nested=True)
+    k = (F.col("machine_id") + F.col("end_timestep")) % 23
+    r = F.when(k % 2 == 0, F.col("features")).otherwise(F.slice("features", 11, 40))
+    first = F.element_at(r, 1)
+    bad = {1: F.slice(r, 1, 0), 2: F.transform(r, lambda row: F.slice(row, 1, 3)),
+           3: F.concat(F.array(F.array(F.lit(None).cast("double"), *[F.get(first, F.lit(i)) for i in (1, 2, 3)])), r),
+           4: F.concat(F.array(F.array(F.lit(-1.0), *[F.get(first, F.lit(i)) for i in (1, 2, 3)])), r)}
+    for i, v in bad.items():
+        r = F.when(k == i, v).otherwise(r)
+    t = F.when(k == 5, F.lit(1.5)).when(k == 6, F.lit(None).cast("double")).otherwise(F.lit(0.5))
+    return w.select(F.col("machine_id").alias("request_id"), "end_timestep", r.alias("readings"), t.alias("threshold"))
+
+
+_REQUEST_BOUNDS = [Q.READINGS_SCHEMA.value_ranges[c] for c in SENSORS]
+
 
 def _batch(spark, sf):
-    """One request per test machine -- its last 40 (even id) or 60 (odd id)
-    raw readings; threshold 1.5 (rejected) when machine_id % 7 = 0."""
     fitted, _, scaler = _fit(spark, sf, "lr")
-    lab = fx.labeled_readings(spark, sf)
-    test = P.attach_split(lab, P.split_machines(lab)).where(F.col("split") == "test")
-    keep = F.when(F.col("machine_id") % 2 == 0, F.lit(40)).otherwise(F.lit(60))
-    tail = test.where(F.col("timestep") > F.col("max_timestep") - keep)
-    req = tail.groupBy("machine_id").agg(F.array_sort(F.collect_list(F.struct(
-        "timestep", F.array(*[F.col(c) for c in SENSORS]).alias("r")))).alias("seq"))
-    req = req.select(F.col("machine_id").alias("request_id"),
-                     F.transform("seq", lambda x: x["r"]).alias("readings"),
-                     F.when(F.col("machine_id") % 7 == 0, F.lit(1.5)).otherwise(F.lit(0.5)).alias("threshold"))
-    bounds = [Q.READINGS_SCHEMA.value_ranges[c] for c in SENSORS]
-    return ML.score_requests(req, fitted, 50, len(SENSORS), bounds, scaler)
+    return ML.score_requests(_requests(spark, sf), fitted, 50, len(SENSORS), _REQUEST_BOUNDS, scaler)
 
 
 register("batch_scoring")(_batch)
 
+# M10 without the model: what is accepted, and the features that would be scored
+register("request_screening", f"""WITH {base()}, {_SPLIT},
+w AS (SELECT e.machine_id, e.timestep AS end_timestep, (e.machine_id + e.timestep) % 23 AS k FROM ends e
+      JOIN splits s ON s.machine_id = e.machine_id WHERE s.split = 'test'),
+n AS (SELECT *, CASE WHEN k = 1 THEN 0 WHEN k IN (3, 4) THEN (CASE WHEN k % 2 = 0 THEN 51 ELSE 41 END)
+                     WHEN k % 2 = 0 THEN 50 ELSE 40 END AS window_length FROM w),
+v AS (SELECT n.machine_id, n.end_timestep, SUM(l.quantity) AS q, max(CASE WHEN l.timestep = n.end_timestep THEN l.quantity END) AS lq
+      FROM n JOIN labeled l ON l.machine_id = n.machine_id AND l.timestep BETWEEN n.end_timestep - CASE WHEN n.k % 2 = 0 THEN 49 ELSE 39 END AND n.end_timestep
+      GROUP BY ALL)
+SELECT n.machine_id AS request_id, n.end_timestep, CAST(window_length AS INTEGER) AS window_length,
+       CASE k WHEN 1 THEN 'empty window' WHEN 2 THEN 'wrong reading width' WHEN 3 THEN 'missing reading'
+              WHEN 4 THEN 'reading out of bounds' WHEN 5 THEN 'threshold outside [0,1]' WHEN 6 THEN 'threshold outside [0,1]' END AS reject_reason,
+       {r6('CASE WHEN k BETWEEN 1 AND 6 THEN 0.0 ELSE v.q + (50 - window_length) * v.lq END', 'quantity_sum')}
+FROM n JOIN v ON v.machine_id = n.machine_id AND v.end_timestep = n.end_timestep""")(
+    lambda spark, sf: rounded(_requests(spark, sf).withColumn("reject_reason", ML.reject_reason(_REQUEST_BOUNDS)).select(
+        "request_id", "end_timestep", F.size("readings").alias("window_length"), "reject_reason",
+        F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda t: F.get(
+            ML.request_features(50, len(SENSORS)), t * len(SENSORS))), F.lit(0.0), lambda a, x: a + x).alias("quantity_sum"))))
+
 
 # ---------------------------------------------------------------- streams: batch twins
 
@@ -937,12 +1144,21 @@ def _pos_weight_study(spark, sf):
 
 
 register("pos_weight_study")(_pos_weight_study)
-register("model_comparison_full")(lambda spark, sf: rounded(I.compare_models_full(_preds(spark, sf), n_permutations=1000)))
+register("model_comparison_full", f"""{_DL},
+dl AS (SELECT model, {r6('auc', 'auc')}, {r6(f'GREATEST(0.0, auc - {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'lower')},
+       {r6(f'LEAST(1.0, auc + {_Z975!r} * sqrt(GREATEST(variance, 0)))', 'upper')} FROM fin), {_PAIRS},
+{_perm_sql([('a', 'b'), ('a', 'c'), ('b', 'c')])}
+SELECT m.model_a, m.model_b, m.b, m.c, {r6('m.statistic', 'statistic')}, {r6('m.p_value', 'p_value')}, m.interpretation,
+       x.auc AS auc_a, x.lower AS auc_a_lower, x.upper AS auc_a_upper,
+       y.auc AS auc_b, y.lower AS auc_b_lower, y.upper AS auc_b_upper,
+       {r6('pt.p_value', 'auc_permutation_p')}, {r6('pt.observed_diff', 'auc_observed_diff')}
+FROM mci m JOIN dl x ON m.model_a = x.model JOIN dl y ON m.model_b = y.model
+JOIN pt ON pt.model_a = m.model_a AND pt.model_b = m.model_b""")(lambda spark, sf: rounded(I.compare_models_full(_preds(spark, sf), n_permutations=1000)))
 
 
 def _val_threshold(spark, sf):
     lab = fx.labeled_readings(spark, sf)
-    return rounded(M.metrics_at_selected_threshold(fx.predictions(lab), P.split_machines(lab)))
+    return rounded(M.metrics_at_selected_threshold(fx.predictions(lab, keep=("split",))))
 
 
 def _val_threshold_sql():

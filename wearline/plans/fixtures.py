@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
-from ..operators.prepare import is_window_end
-from ..sources.tables import SENSORS, readings
+from ..operators.prepare import is_window_end, split_machines
+from ..session import store
+from ..sources.tables import SENSORS, machine_ids, readings
 
 
 @dataclass(frozen=True)
@@ -37,17 +38,20 @@ _SHARED: dict = {}
 
 
 def labeled_readings(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:
-    """Labelled readings, persisted once per (session, folder, parameters).
+    """Labelled readings with each machine's split, laid out once per (session,
+    input files, parameters) in the shared checkpoint folder.
 
-    Every plan starts here, so the derived table is kept in executor
-    memory/disk (MEMORY_AND_DISK); a block lost with an executor is
-    recomputed from lineage.
+    Every plan starts from that stored layout: scans prune its columns, and the
+    labels are a projection over the join with the small part table.
     """
-    key = (sf_dir.rstrip("/"), p)
+    ids = machine_ids(spark, sf_dir)
+    key = (tuple(sorted(ids.inputFiles())), p)
     hit = _SHARED.get(key)
     if hit is not None and hit[0] is spark.sparkContext._jsc:   # same live context only
         return hit[1]
-    df = L.add_run_to_failure_labels(readings(spark, sf_dir), p.horizon, p.clip_rul).persist()
+    splits = split_machines(ids, p.test_size, p.val_size, p.seed)
+    machines = store(ids.join(splits, L.MACHINE))
+    df = L.add_run_to_failure_labels(readings(spark, sf_dir, machines), p.horizon, p.clip_rul)
     _SHARED[key] = (spark.sparkContext._jsc, df)
     return df
 
@@ -86,12 +90,13 @@ def model_scores() -> F.Column:
         F.struct(F.lit("c").alias("model"), (c.cast("double") / F.lit(1000.0)).alias("y_score")))
 
 
-def predictions(labeled: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """(model, machine_id, end_timestep, y_true, y_score) for every window."""
+def predictions(labeled: DataFrame, p: Params = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(model, machine_id, end_timestep, y_true, y_score) for every window, and the
+    reading columns named by ``keep``."""
     ends = labeled.where(is_window_end(F.col(L.TIME), p.window_size, p.step_size))
-    e = ends.select(L.MACHINE, F.col(L.TIME).alias("end_timestep"),
+    e = ends.select(L.MACHINE, F.col(L.TIME).alias("end_timestep"), *keep,
                     F.col("failure_imminent").alias("y_true"), F.explode(model_scores()).alias("m"))
-    return e.select("m.model", L.MACHINE, "end_timestep", "y_true", "m.y_score")
+    return e.select("m.model", L.MACHINE, "end_timestep", *keep, "y_true", "m.y_score")
 
 
 def load_predictions(spark: SparkSession, sf_dir: str, p: Params = DEFAULT) -> DataFrame:

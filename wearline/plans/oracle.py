@@ -75,3 +75,11 @@ def grid_values(start: float, stop: float, num: int) -> str:
 
 def grid_cte(name: str, start: float, stop: float, num: int) -> str:
     return f"{name}(grid_idx, threshold) AS (VALUES {grid_values(start, stop, num)})"
+
+
+def chi2_sf_sql(x: str) -> str:
+    """Chi-square(1) upper tail as 1 - erf(z), z = sqrt(x/2), by the positive series
+    erf(z) = exp(-z^2) * sum z^(2n+1) / gamma(n + 3/2)."""
+    z = f"sqrt(CAST({x} AS DOUBLE) / 2.0)"
+    total = f"list_sum(list_transform(range(600), lambda n: exp((2 * n + 1) * ln({z}) - lgamma(n + 1.5) - {z} * {z})))"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} > 400 THEN 0.0 ELSE GREATEST(0.0, 1.0 - {total}) END)"

@@ -1,14 +1,16 @@
 """Spark session defaults and the shared checkpoint folder.
 
 On a cluster the operator reads ``spark.checkpoint.dir`` from the session
-(the cluster names a shared folder there). Only when it is unset -- local
-tests -- do we point it at a fresh scratch folder.
+(the cluster names a shared folder there). Only where it is unset and Spark runs
+in this process (tests) do we point it at a fresh scratch folder.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +43,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a scratch one only if unset."""
+    """The shared checkpoint folder. A scratch folder is made only where none is
+    set and Spark runs in this process; on a cluster that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="wearline-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -58,3 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: later
+    plans start from columns that survive executor loss and can be pruned."""
+    spark = df.sparkSession
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sequence import DEFAULT_HOT_ROWS, number_within_key, order_code
+from ..operators.sequence import MARK, number_within_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 SENSORS = ["quantity", "price", "discount", "tax"]
 
-# Rows of one hot machine per ordered chunk: (ship day, block of order keys).
-ORDERKEY_BLOCK = 1 << 16
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -35,45 +32,43 @@ def machine_types(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.col("r_name").alias("machine_type")))
 
 
-def readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+def machine_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(machine_id, machine_type) of the machines that have readings."""
+    used = read_table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("machine_id")).distinct()
+    return used.join(machine_types(spark, sf_dir), "machine_id")
+
+
+def readings(spark: SparkSession, sf_dir: str, machines: DataFrame | None = None) -> DataFrame:
     """Readings keyed by (machine_id, timestep).
 
     Columns: machine_id, timestep, sensors (quantity, price, discount, tax),
-    machine_type, ingest keys (l_orderkey, l_linenumber), l_shipdate,
-    max_timestep (per machine) and failure_event (last 'R'/'F' row).
-
-    Plan: line items are numbered on their own (the fact table is shuffled
-    once, on (machine, chunk)); the machine type joins the small per-chunk
-    offsets table, never the fact table. The last failure per machine is a
-    max over a packed order code (day | order key | line number), which
-    stays in a hash aggregate.
+    attributes of ``machines`` (one row per machine; default: machine_type),
+    ingest keys (l_orderkey, l_linenumber), l_shipdate, max_timestep (per
+    machine) and failure_event (last 'R'/'F' row).
+
+    Plan: line items are laid out once by (machine, ship order); machine
+    attributes join the small part table, never the fact table. The last
+    failure of a machine is the largest layout mark among its 'R'/'F' rows.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("machine_id"), "l_orderkey", "l_linenumber", "l_shipdate",
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
-        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("__rf"))
-    day = F.datediff(F.to_date("l_shipdate"), F.lit("1900-01-01"))
-    code = order_code([(day, 17), (F.col("l_orderkey"), 42), (F.col("l_linenumber"), 4)])
+        F.coalesce((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), F.lit(False)).alias("__rf"))
+    machines = machines if machines is not None else machine_types(spark, sf_dir)
     numbered = number_within_key(
-        li.withColumn("__code", code), "machine_id", ["l_shipdate", "l_orderkey", "l_linenumber"],
-        chunk_exprs=[F.datediff(F.to_date("l_shipdate"), F.lit("1970-01-01")),
-                     F.col("l_orderkey") / F.lit(ORDERKEY_BLOCK)],
-        pos_col="timestep", total_col="__n_rows",
-        extra_chunk_aggs={"__last_rf": F.max(F.when(F.col("__rf"), F.col("__code")))},
-        extra_key_aggs={"__fail_code": F.max("__last_rf")},
-        hot_rows=hot_rows, key_table=machine_types(spark, sf_dir))
+        li, "machine_id", ["l_shipdate", "l_orderkey", "l_linenumber"], pos_col="timestep", total_col="__n_rows",
+        part_aggs={"__last_rf": F.max(F.when(F.col("__rf"), F.col(MARK)))},
+        key_aggs={"__fail": F.max("__last_rf")}, key_table=machines)
     return numbered.select(
-        "machine_id", "timestep", *SENSORS, "machine_type", "l_orderkey", "l_linenumber",
+        "machine_id", "timestep", *SENSORS, *[c for c in machines.columns if c != "machine_id"], "l_orderkey", "l_linenumber",
         "l_shipdate", (F.col("__n_rows") - 1).alias("max_timestep"),
-        (F.col("__rf") & (F.col("__code") == F.col("__fail_code"))).cast("int").alias("failure_event"))
+        (F.col("__rf") & (F.col(MARK) == F.col("__fail"))).cast("int").alias("failure_event"))
 
 
-def event_readings(spark: SparkSession, sf_dir: str, hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
+def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream-style readings from ``events``: machine = user, one sensor ``value``,
-    timestep = position in (ts, event_id) order (skew-safe numbering by day)."""
+    timestep = position in (ts, event_id) order, n_readings = rows of the machine."""
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("machine_id"), "event_id", "ts", "event_type", "value")
-    return number_within_key(ev, "machine_id", ["ts", "event_id"],
-                             chunk_exprs=[F.datediff(F.to_date("ts"), F.lit("1970-01-01"))],
-                             pos_col="timestep", total_col=None, hot_rows=hot_rows)
+    return number_within_key(ev, "machine_id", ["ts", "event_id"], pos_col="timestep", total_col="n_readings").drop(MARK)

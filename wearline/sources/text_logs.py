@@ -67,11 +67,9 @@ def engine_ordinals(log: DataFrame) -> DataFrame:
     """Ordinal of each engine by first appearance in the log (machine_id, ordinal)."""
     from ..operators.sequence import number_within_key
     first = log.groupBy("machine_id").agg(F.min("ingest_seq").alias("first_seq"))
-    # global rank without a single-task window: monotonically_increasing_id keeps the
-    # partition index in its upper bits, an order-preserving chunk
-    ranked = number_within_key(first.withColumn("__all", F.lit(0)), "__all", ["first_seq"],
-                               chunk_exprs=[F.shiftright("first_seq", 33)], pos_col="ordinal",
-                               total_col=None, hot_rows=0)
+    # a global rank over range partitions, without a single-task window
+    ranked = number_within_key(first.withColumn("__all", F.lit(0)), "__all", ["first_seq"], pos_col="ordinal",
+                               total_col=None)
     return ranked.select("machine_id", "ordinal")
 
 

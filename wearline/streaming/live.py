@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.grids import count_le, histogram_bin
+from ..functions.grids import histogram_bin
+from ..session import store
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -47,8 +48,7 @@ WINDOW_OUT = T.StructType([
     T.StructField("machine_id", T.LongType()), T.StructField("end_seq", T.LongType()),
     T.StructField("end_ts", T.TimestampType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 WINDOW_STATE = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType())),
-    T.StructField("ts", T.ArrayType(T.TimestampType()))])
+    T.StructField("seq", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 
 
 def _window_fn(window_size: int, step_size: int, timeout_ms: int | None):
@@ -56,26 +56,23 @@ def _window_fn(window_size: int, step_size: int, timeout_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        seq, vals, tss = -1, [], []
+        seq, held = -1, np.zeros(0)
         if state.exists:
-            seq, vals, tss = state.get
-            vals, tss = list(vals), list(tss)
+            seq, vals = state.get
+            held = np.array(vals, dtype=np.float64)
         batch = pd.concat([p for p in pdfs if len(p)]).sort_values(["ts", "event_id"])
-        out = []
-        for v, t in zip(batch["value"].tolist(), batch["ts"].tolist()):
-            seq += 1
-            vals.append(float(v))
-            tss.append(t)
-            if len(vals) > window_size:
-                vals.pop(0)
-                tss.pop(0)
-            if seq >= window_size - 1 and (seq - (window_size - 1)) % step_size == 0:
-                out.append((int(key[0]), seq, t, list(vals)))
-        state.update((seq, vals, tss))
+        new, ts = batch["value"].to_numpy(dtype=np.float64), batch["ts"].reset_index(drop=True)
+        series = np.concatenate((held, new))
+        first = seq + 1 - len(held)                      # position of series[0]
+        ends = np.arange(seq + 1, seq + 1 + len(new))
+        ends = ends[(ends >= window_size - 1) & ((ends - (window_size - 1)) % step_size == 0)]
+        state.update((int(seq + len(new)), series[-window_size:].tolist()))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["machine_id", "end_seq", "end_ts", "values"])
+        if len(ends):
+            windows = np.lib.stride_tricks.sliding_window_view(series, window_size)[ends - first - (window_size - 1)]
+            yield pd.DataFrame({"machine_id": int(key[0]), "end_seq": ends, "end_ts": ts.iloc[ends - (seq + 1)].to_numpy(),
+                                "values": list(windows)})
     return fn
 
 
@@ -122,12 +119,14 @@ def windowed_histogram(events: DataFrame, edges: list[float], window: str = "1 d
               .agg(F.count(F.lit(1)).alias("n")))
 
 
-def psi_against(hist: DataFrame, ref_hist: DataFrame, n_bins: int, eps: float = 1e-6) -> DataFrame:
+def psi_against(hist: DataFrame, ref_hist: DataFrame, n_bins: int, eps: float = 1e-6,
+                ref_total: int | None = None) -> DataFrame:
     """PSI of each window's histogram against the training histogram (``ref_hist``:
-    bin, n). Works on a static DataFrame (inside ``foreachBatch`` for streams)."""
+    bin, n; ``ref_total`` rows if known). Works on a static DataFrame (inside
+    ``foreachBatch`` for streams)."""
     spine = hist.select("w").distinct().select("w", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     tot = hist.groupBy("w").agg(F.sum("n").alias("nt"))
-    rt = ref_hist.agg(F.sum("n").alias("rn")).first()["rn"]
+    rt = ref_total if ref_total is not None else ref_hist.agg(F.sum("n").alias("rn")).first()["rn"]
     j = (spine.join(hist, ["w", "bin"], "left").join(tot, "w")
               .join(F.broadcast(ref_hist.withColumnRenamed("n", "rh")), "bin", "left"))
     c = (F.coalesce("n", F.lit(0)) + eps) / (F.col("nt") + eps * n_bins)
@@ -162,21 +161,26 @@ def run_available_now(df: DataFrame, sink_name: str, checkpoint: str, mode: str
     return q
 
 
+def late_rows(query) -> int:
+    """Rows a finished or running query has dropped behind its watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def drift_alerts(events: DataFrame, reference: DataFrame, out_path: str, checkpoint: str,
                  window: str = "1 day", watermark: str = "1 day", n_bins: int = 10,
                  available_now: bool = True):
     """X2 end to end: windowed histograms on fixed training edges (state bounded by
     the watermark); each micro-batch's closed windows get their PSI against the
-    training histogram in ``foreachBatch`` and are appended to ``out_path``."""
+    training histogram in ``foreachBatch``. A batch owns the folder
+    ``out_path/epoch=<id>`` and replaces it, so a repeated batch writes once."""
     edges = training_edges(reference, n_bins=n_bins)
-    ref_hist = reference_histogram(reference, edges)
+    ref_hist = store(reference_histogram(reference, edges))
+    ref_total = ref_hist.agg(F.sum("n")).first()[0]
     hist = windowed_histogram(events, edges, window, watermark)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        psi_against(batch, ref_hist, n_bins).withColumn("epoch", F.lit(epoch_id)) \
-            .write.mode("append").parquet(out_path)
+        if not batch.isEmpty():
+            psi_against(batch, ref_hist, n_bins, ref_total=ref_total).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     w = hist.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
