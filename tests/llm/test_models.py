@@ -18,6 +18,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 # ---------------------------------------------------------------- pages
+PARA_TEXT = "This is a paragraph of the article, with enough words, and commas, to count as prose."
+PARA = f"<p>{PARA_TEXT}</p>"
+
+
 def test_pages_of_the_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = QUERIES["op1_html_extract"](spark, SF).collect()
@@ -40,6 +44,13 @@ def test_pages_of_the_table(spark):
      "Long paragraph, with text, and words."),
     ("<article><div hidden>no</div><script>var t='</p>';</script><table><tr><td>c1<td>c2</table><pre>  a\n b </pre></article>", "c1\nc2\na b"),
     ("<article><p>one<p>two</article><article class='comment'><p>reader says, well, a lot, of, things</p></article>", "one\ntwo"),
+    (f"<div id=content><h1>T</h1><section class=s>{PARA * 3}</section><section class=s><p>Short one.</p></section></div>"
+     "<div class='sideBar'><ul><li><a href=1>x</a></ul></div>", "T\n" + "\n".join([PARA_TEXT] * 3) + "\nShort one."),
+    (f"<div class=topnav><a href=1>Home</a> <a>About</a></div><div id=main><h1>Title</h1><div class=body>{PARA * 2}</div>"
+     f"<div id='commentList'><div class='c'>{PARA * 4}</div></div></div><div class='siteFooter'>x, y, z, and a lot</div>",
+     "Title\n" + "\n".join([PARA_TEXT] * 2)),
+    (f"<main><h1>A</h1><p>Hi.</p></main><div class='cookieNotice'>{PARA * 3}</div>", "A\nHi."),
+    (f"<div class='widget content'>{PARA * 4}</div><div>x</div>", "\n".join([PARA_TEXT] * 4)),
     ("<p title=\"a>b\">x</p><!-- <p>no</p> --><a b='", "x"),
 ])
 def test_pages_by_hand(page, text):

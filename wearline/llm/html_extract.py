@@ -26,6 +26,9 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
                  r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+[^>]*)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
+CLASS = re.compile(r"""\bclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAME_BREAK = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+
 # ---- fixed values: element and name lists ----
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search
@@ -46,18 +49,26 @@ promotion cookie cookies consent gdpr notice notices alert popup modal overlay n
 signin login register sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot
 header masthead topbar toolbar skip comment comments commentlist disqus reply replies respond discussion share sharing
 social related recommended recommendations widget widgets search form hidden""".split())
+#: Starts and ends of run-together names ("navmenu", "sitefooter").
+JUNK_STEM = re.compile(r"^(advert|banner|breadcrumb|comment|cookie|disqus|footer|header|masthead|menu|nav|newsletter|pager|pagination|popup|"
+                       r"promo|share|sidebar|social|sponsor|subscrib|toolbar|widget)|"
+                       r"(adbox|adblock|footer|header|navbar|nav|menu|sidebar|comments?|banner|popup)$")
+#: Names that page wrappers bear as well.
+LAYOUT_NAMES = frozenset("widget widgets side sidebar header social share search related modal overlay login form hidden top".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 # -----------------------------------------------
 
 LEVELS = 5
+SENTENCE_END = ".!?…"
 
 
 class Page:
     """Block elements as parallel lists; text blocks in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.up, self.kind = ["#"], [-1], [0]  # kind: 1 junk by markup, 2 junk by name
+        self.tag, self.up, self.kind = ["#"], [-1], [0]  # kind: 1 junk by markup, 2 and 3 junk by name
+        self.style = [""]  # class names as written
         self.texts: list[tuple[int, str, int]] = []  # (element, text, characters in links)
         self._build(source)
 
@@ -106,6 +117,8 @@ class Page:
                         self.tag.append(name)
                         self.up.append(stack[-1])
                         self.kind.append(self._kind(name, m[3]))
+                        style = CLASS.search(m[3])
+                        self.style.append(style[1] if style else "")
                         stack.append(len(self.tag) - 1)
             elif name == "a":
                 links = 0
@@ -136,18 +149,19 @@ class Page:
         if not attrs or name in ("html", "body"):
             return 0
         for key, value in ATTR.findall(attrs):
-            key, value = key.lower(), value.strip("\"'").lower()
+            key, spelled = key.lower(), value.strip("\"'")
+            value = spelled.lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
                 return 1
             if key == "role" and value in JUNK_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
                 return 1
             if key in ("class", "id"):
-                names = re.split(r"[\s_-]+", value)
+                names = NAME_BREAK.sub(" ", spelled).lower().split()
                 if name in ARTICLE:  # an article is junk only as a reader's comment
                     if not COMMENT_NAMES.isdisjoint(names):
                         return 1
-                elif not JUNK_NAMES.isdisjoint(names):
-                    return 2
+                elif hits := [x for x in names if x in JUNK_NAMES or JUNK_STEM.search(x)]:
+                    return 2 if LAYOUT_NAMES.issuperset(hits) else 3
         return 0
 
     def main_text(self) -> str:
@@ -162,8 +176,8 @@ class Page:
         articles = self._sums([(i, 1) for i in range(1, n) if tag[i] in ARTICLE and not cut[i]])
         blocks = self._sums([(e, 1) for e, _, _ in texts if not cut[e]])
         for i in range(1, n):
-            most = not articles[0] and blocks[i] >= 3 and size[i] > 0.6 * size[0]
-            cut[i] = cut[i] or cut[up[i]] or self.kind[i] == 2 and not articles[i] and not most
+            most = not articles[0] and blocks[i] >= 3 and size[i] > (0.6 if self.kind[i] == 2 else 0.9) * size[0]
+            cut[i] = cut[i] or cut[up[i]] or self.kind[i] > 1 and not articles[i] and not most
         live = [(e, t, l) for e, t, l in texts if not cut[e]]
         if not live:
             return ""
@@ -186,11 +200,14 @@ class Page:
         if node > 0:
             best = node  # the article that holds the best container
         keep = {best}
+        last = {e: t[-1] for e, t, _ in live}
         if best > 0:
             least = max(3.0, 0.2 * score[best])
             for i in range(1, n):
                 if up[i] == up[best] and not cut[i] and size[i] and in_links[i] <= 0.25 * size[i]:
-                    if tag[i] in ARTICLE or tag[best] not in ARTICLE and (score[i] >= least or tag[i] == "p" and size[i] > 80):
+                    alike = tag[i] == tag[best] and self.style[i] and self.style[i] == self.style[best]
+                    prose = tag[i] == "p" and (size[i] > 80 or last.get(i, ' ') in SENTENCE_END) or tag[i] in ("h1", "h2", "h3")
+                    if tag[i] in ARTICLE or tag[best] not in ARTICLE and (score[i] >= least or alike or prose):
                         keep.add(i)
         inside = [False] * n
         for i in range(n):
