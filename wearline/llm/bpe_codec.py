@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -29,7 +30,9 @@ from .common import map_rows, pick
 #: A border about every so many characters (a power of two).
 CHUNK_CHARS = 256
 #: Chunks and words whose encodings a Python worker keeps.
-CACHE_CHUNKS, CACHE_WORDS = 50_000, 700_000
+CACHE_CHUNKS, CACHE_WORDS = 10_000, 250_000
+#: Bytes of text encoded at once; strings in one call of the library.
+SLICE_BYTES, CALL = 2 << 20, 64
 BASE = np.uint32(0x01000193)
 SPREAD = np.uint32(0x9E3779B1)
 STOP = re.compile("(?<=[a-z])(?=[.,])")
@@ -109,8 +112,9 @@ class ChunkCodec:
             self.words.update(zip(group, [raw[a:b] for a, b in zip(at, at[1:])]))
         self.words.update(zip(other, [np.array(e.ids, dtype="<u4").tobytes() for e in self._call(other)]))
 
-    def _call(self, texts: list[str]) -> list:
-        return self.lib.encode_batch_fast(texts, add_special_tokens=False)
+    def _call(self, texts: list[str]) -> Iterator:
+        for i in range(0, len(texts), CALL):
+            yield from self.lib.encode_batch_fast(texts[i:i + CALL], add_special_tokens=False)
 
     def decode(self, ids: bytes) -> bytes:
         """Decoded text of little-endian uint32 ids: their tokens joined by a space."""
@@ -148,4 +152,4 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id",
 
     src = pick(df, doc_id=id_col, text=text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return map_rows(src, run, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    return map_rows(src, run, f"doc_id {kind}, n_tokens long, ids binary, decoded string", SLICE_BYTES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,7 +51,20 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
+
+
+def released(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; at the end of a task the worker, which lives on
+    for the next one, hands free memory back to the system."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def slices(batch: pa.RecordBatch, text: str | None, limit_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, released, stored
 from .components import components
 from .simhash import forest
 
@@ -66,7 +66,7 @@ def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["at", "x"])
 
-    sums = classes.select("v").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    sums = classes.select("v").mapInArrow(released(run), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
     moments = np.zeros(dim * dim)
     for row in sums:
         moments[row["at"]] = row["x"]
@@ -86,7 +86,7 @@ def grid_sorted(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
                                                  names=[*batch.schema.names, *[f"c{i}" for i in range(n)]])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    celled = classes.mapInArrow(run, f"{fields}, " + ", ".join(f"c{i} int" for i in range(n)))
+    celled = classes.mapInArrow(released(run), f"{fields}, " + ", ".join(f"c{i} int" for i in range(n)))
     order = ["label", *[f"c{i}" for i in range(n)], "node"]
     return celled.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -125,7 +125,7 @@ def blocks(ordered: DataFrame, axes: np.ndarray) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield row(rest)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(released(run), schema)
 
 
 def apart(prefix_a: str, prefix_b: str):
@@ -265,4 +265,4 @@ def _found(classes: DataFrame, dim: int, cosine: float, eps: float) -> DataFrame
                     pa.array(nodes[root[moved]].tolist() + [None] * counts, pa.int64()),
                     pa.array([0] * links + more[some].tolist(), pa.int64())], schema=schema)
 
-    return met.mapInArrow(run, "a long, b long, n long")
+    return met.mapInArrow(released(run), "a long, b long, n long")

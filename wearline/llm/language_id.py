@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, slices
+from .common import map_rows, pick, released, slices
 
 N_GRAMS, SMOOTH, MAX_LANGS = 4096, 0.5, 500
 ROUNDS, PENALTY, SMALL = 12, 3.0, 0.03
@@ -79,7 +79,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()),
                                           pa.array(list(sums.values()), pa.list_(pa.int64()))], names=["lang", "counts"])
 
-    rows = (src.mapInArrow(run, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("gram", "n"))
+    rows = (src.mapInArrow(released(run), "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("gram", "n"))
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 0")
             .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("counts"))
             .limit(MAX_LANGS + 1).collect())

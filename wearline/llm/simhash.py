@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, slices, stored
+from .common import map_rows, pick, released, slices, stored
 from .components import components
 
 #: Members of one block of a key group.
@@ -171,7 +171,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[root[moved]], pa.int64())],
                                           schema=schema)
 
-    return met.mapInArrow(verify, "a long, b long")
+    return met.mapInArrow(released(verify), "a long, b long")
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
@@ -208,6 +208,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
                 yield part.append_column("fp", pa.array(fp))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
-    marked = src.mapInArrow(run, f"{fields}, fp long")
+    marked = src.mapInArrow(released(run), f"{fields}, fp long")
     kept = marked.join(stay, (marked["fp"] == stay["stay_fp"]) & marked[key].eqNullSafe(stay["stay_id"]))
     return kept.dropDuplicates(["fp", key]).select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])

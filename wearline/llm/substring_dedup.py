@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, stored
+from .common import pick, released, slices, stored
 
 #: Period -> a set whose differences give every residue (perfect difference sets).
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -86,7 +86,7 @@ def pack(df: DataFrame) -> DataFrame:
 
     from pyspark.sql.pandas.types import to_arrow_type
     id_type = [to_arrow_type(df.schema["doc_id"].dataType)]
-    return df.mapInArrow(run, f"chunk_id long, doc_ids array<{kind}>, n_words array<long>, body binary")
+    return df.mapInArrow(released(run), f"chunk_id long, doc_ids array<{kind}>, n_words array<long>, body binary")
 
 
 class Chunk:
@@ -220,7 +220,7 @@ def send(chunks: DataFrame, kind: int, window: int, buckets: int) -> DataFrame:
                     pa.array(used, pa.int32()), pa.array([high[a:b].tobytes() for a, b in spans], pa.binary()),
                     pa.array([low[a:b].tobytes() if kind else None for a, b in spans], pa.binary())], schema=schema)
 
-    return chunks.mapInArrow(run, "chunk_id long, kind int, bucket int, high binary, low binary")
+    return chunks.mapInArrow(released(run), "chunk_id long, kind int, bucket int, high binary, low binary")
 
 
 def answers_of(row: dict, kind: int) -> list[tuple[int, bytes]]:
@@ -274,4 +274,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [pa.array(v, type=f.type) for v, f in zip((row["doc_ids"], row["n_words"], removed, kept), schema)],
                     schema=schema)
 
-    return final.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return final.mapInArrow(released(run), f"doc_id {kind}, n_words long, n_removed long, kept string")
