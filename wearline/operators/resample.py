@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from ..session import store
 from .prepare import poisson_cdf
-from .sequence import MARK, PART, join_parts, lay_out
+from .sequence import MARK, PART, lay_out
 
 MODULUS = (1 << 31) - 1
 #: Elements of a draw matrix (rows x replicates) held at once.
-CELLS_AT_ONCE = 1 << 21
+CELLS_AT_ONCE = 1 << 20
+DRAWS_A_TASK = 1 << 28
 
 
 def draw_key(*cols: Column, seed: int) -> list[Column]:
@@ -53,10 +54,10 @@ def weights(a: np.ndarray, b: np.ndarray, other: np.ndarray, n: int, kind: str)
     columns of the first model's side, then n + 1 of the second's."""
     u = uniforms(a, b, n)
     if kind == "poisson":
-        w = np.searchsorted(np.array(poisson_cdf(1.0)), u, side="right")
-        return np.concatenate((np.ones((len(a), 1), dtype=np.int64), w), axis=1)
+        w = np.searchsorted(np.array(poisson_cdf(1.0)), u, side="right").astype(np.int32)
+        return np.concatenate((np.ones((len(a), 1), dtype=np.int32), w), axis=1)
     mine = np.concatenate((np.zeros((len(a), 1), dtype=bool), u < 0.5), axis=1) ^ other[:, None]
-    return np.concatenate((~mine, mine), axis=1).astype(np.int64)
+    return np.concatenate((~mine, mine), axis=1).astype(np.int32)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -84,7 +85,10 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
     g = list(group_cols)
     groups = store(preds.select(*g).distinct().withColumn("__g", F.monotonically_increasing_id()))
     rows = preds.join(F.broadcast(groups), g).select("__g", "score", "y", "__other", "__a", "__b")  # models or pairs
-    laid = lay_out(rows, "__g", [F.col("score").desc(), "__a"])
+    width = (n + 1) * (2 if kind == "swap" else 1)
+    # tasks are sized by draws, not by bytes
+    spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() * width // DRAWS_A_TASK)
+    laid = lay_out(rows, "__g", [F.col("score").desc(), "__a"], spread)
     names = ("pos", "neg", "tp", "fp")
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +117,14 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
         return F.transform(F.array_sort(F.collect_list(F.struct("col", name))), lambda x: x[name]).alias(name)
 
     parts = store(offsets.groupBy("__g", PART).agg(ordered("pos_above"), ordered("neg_above")))
-    # the last pass needs the rows of a part in order, in one place
-    joined = join_parts(laid, parts, "__g").repartition("__g", PART).sortWithinPartitions("__g", PART, MARK)
+    # the last pass needs the rows of a part in order, in one place, after one row with the part's offsets
+    nothing = F.lit(None).cast("array<long>")
+    lead = parts.select("__g", F.lit(None).cast("double").alias("score"), F.lit(0).alias("y"), F.lit(False).alias("__other"),
+                        *[F.lit(0).cast("long").alias(c) for c in ("__a", "__b")], F.lit(-1).cast("long").alias(MARK), PART,
+                        "pos_above", "neg_above")
+    body = laid.select("__g", "score", "y", "__other", "__a", "__b", MARK, PART,
+                       nothing.alias("pos_above"), nothing.alias("neg_above"))
+    joined = lead.unionByName(body).repartition(max(1, parts.count()), "__g", PART).sortWithinPartitions("__g", PART, MARK)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
@@ -130,6 +140,7 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
                     if now is not None:
                         yield done()
                     now = _Terms(*key, *[np.array(piece.column(c)[0].as_py(), dtype=np.float64) for c in ("pos_above", "neg_above")])
+                    piece = piece.slice(1)
                 for score, y, w in _blocks(piece, n, kind):
                     now.add(score, y, w)
         if now is not None:

@@ -31,11 +31,13 @@ def _cols(cols: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in ([cols] if isinstance(cols, (str, Column)) else cols)]
 
 
-def lay_out(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str | Column]) -> DataFrame:
+def lay_out(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str | Column],
+            partitions: int | None = None) -> DataFrame:
     """``df`` sorted by (key, order) over range partitions, stored, with the
-    columns ``__m`` (increasing in that order) and ``__part``."""
+    columns ``__m`` (increasing in that order) and ``__part``. ``partitions``
+    fixes their number where rows are few but costly."""
     by = [*_cols(key), *_cols(order_cols)]
-    laid = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    laid = (df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)).sortWithinPartitions(*by)
     return store(laid.withColumn(MARK, F.monotonically_increasing_id())).withColumn(PART, F.shiftright(MARK, 33))
 
 
