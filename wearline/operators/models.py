@@ -42,10 +42,12 @@ class VectorStandardizer:
         std = [(x ** 0.5) if x > 0 else 1.0 for x in var]
         return VectorStandardizer(mean, std)
 
-    def transform(self, windows: DataFrame, features: str = "features", out: str = "x") -> DataFrame:
+    def standardized(self, features: str = "features") -> Column:
         m, s = F.lit(self.mean), F.lit(self.std)
-        arr = F.transform(F.col(features), lambda x, i: (x - F.element_at(m, i + 1)) / F.element_at(s, i + 1))
-        return windows.withColumn(out, array_to_vector(arr))
+        return F.transform(F.col(features), lambda x, i: (x - F.element_at(m, i + 1)) / F.element_at(s, i + 1))
+
+    def transform(self, windows: DataFrame, features: str = "features", out: str = "x") -> DataFrame:
+        return windows.withColumn(out, array_to_vector(self.standardized(features)))
 
 
 def to_vector(windows: DataFrame, features: str = "features", out: str = "x") -> DataFrame:
@@ -70,6 +72,12 @@ class FittedClassifier:
                           F.col(label_col).cast("int").alias("y_true"), "y_score")
 
 
+    def score_inputs(self, df: DataFrame, inputs: str, out: str) -> DataFrame:
+        """Adds the score of rows whose ``inputs`` array is already standardised."""
+        return positive_probability(self.model.transform(df.withColumn("x", array_to_vector(inputs))), out=out).drop(
+            "x", "rawPrediction", "probability", "prediction")
+
+
 def fit_logistic(train: DataFrame, C: float = 1.0, balanced: bool = True, max_iter: int = 200,
                  label_col: str = "label") -> FittedClassifier:
     """M2: L2 logistic regression on standardised flattened windows.
