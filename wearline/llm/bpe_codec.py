@@ -29,7 +29,7 @@ from .common import map_rows, pick
 
 #: A border about every so many characters (a power of two).
 CHUNK_CHARS = 256
-#: Chunks and words whose encodings a Python worker keeps.
+#: Chunks and words whose encodings a Python worker keeps during a task.
 CACHE_CHUNKS, CACHE_WORDS = 10_000, 250_000
 #: Bytes of text encoded at once; strings in one call of the library.
 SLICE_BYTES, CALL = 2 << 20, 64
@@ -150,6 +150,10 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id",
         return {"doc_id": cols["doc_id"], "n_tokens": [len(g) // 4 for g in got],
                 "ids": got, "decoded": [codec(vocab_path).decode(g).decode() for g in got]}
 
+    def forget() -> None:
+        codec(vocab_path).words.clear()
+        codec(vocab_path).chunks.clear()
+
     src = pick(df, doc_id=id_col, text=text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return map_rows(src, run, f"doc_id {kind}, n_tokens long, ids binary, decoded string", SLICE_BYTES)
+    return map_rows(src, run, f"doc_id {kind}, n_tokens long, ids binary, decoded string", SLICE_BYTES, after=forget)

@@ -33,11 +33,13 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str,
-             limit_bytes: int = 16 << 20, text: str | None = "text") -> DataFrame:
+             limit_bytes: int = 16 << 20, text: str | None = "text",
+             after: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` over slices of a batch whose texts sum to ``limit_bytes``.
 
     ``fn`` takes and returns a dict of column lists (or numpy arrays); a slice
-    holds at least one row, so memory is bounded by the longest text.
+    holds at least one row, so memory is bounded by the longest text. ``after``
+    runs in the worker at the end of each task.
     """
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,15 +53,17 @@ def map_rows(df: DataFrame, fn: Callable[[dict], dict], schema: str,
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(released(run), schema)
+    return df.mapInArrow(released(run, after), schema)
 
 
-def released(run: Callable) -> Callable:
+def released(run: Callable, after: Callable[[], None] | None = None) -> Callable:
     """``run`` for ``mapInArrow``; at the end of a task the worker, which lives on
     for the next one, hands free memory back to the system."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        if after:
+            after()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # not every C library has it
             ctypes.CDLL(None).malloc_trim(0)
