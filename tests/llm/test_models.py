@@ -126,6 +126,27 @@ def test_embeddings(spark, monkeypatch, block, leaf):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (links, comp, i == comp)
 
 
+@pytest.mark.parametrize("lengths", [16, 1])
+def test_embeddings_of_mixed_lengths(spark, monkeypatch, lengths):
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 5)
+    rng = np.random.default_rng(9)
+    rows = []
+    for dim, many in ((8, 30), (3, 6), (12, 6), (1, 3)):
+        for _ in range(many):
+            v = rng.normal(size=dim)
+            label = int(rng.integers(2))
+            for _ in range(int(rng.choice([1, 2, 4]))):
+                rows.append((len(rows), [float(np.float32(x)) for x in v + rng.normal(size=dim) * 0.05 * rng.choice([0, 1])], label))
+    rows += [(len(rows), [1.0] * 65, 1), (len(rows) + 1, None, 1)]  # one over-long row
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r for r in embedding_dedup.embedding_groups(df).collect()}
+    want = brute_vectors(rows)
+    assert all(any(links and len(rows[i][1]) == dim for i, links, _ in want) for dim in (8, 3, 12))
+    for i, links, comp in want:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links, comp, i == comp)
+
+
 # ---------------------------------------------------------------- language
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"

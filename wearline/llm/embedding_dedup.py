@@ -11,13 +11,18 @@ provably further apart than eps (or share no label) is dropped, until block
 pairs remain. A task compares a block pair in double precision, again by
 recursive halving with box checks.
 
+Vectors of one length and label form a group; the sequence is sorted by group,
+so vectors of one length always meet, whatever other lengths the table holds.
+The ``LENGTHS`` most frequent lengths have principal axes; any others use their
+first components (the result is the same for all orthonormal axes).
+
 Equal vectors of a label are one class before the join (a frequent vector
 costs one row), and a task returns link counts per vector and a spanning
 forest, never pairs.
 
 Defined results: a vector that is null, zero, or holds null or non-finite
-components, has a null label, or fewer components than the longest usable
-vector links with nothing (n_links 0, its own component). A row with null vec_id is
+components, or has a null label links with nothing (n_links 0, its own
+component); vectors of different lengths never link. A row with null vec_id is
 kept, with null component. Repeated rows link like any equal vectors; an empty
 table gives no rows.
 """
@@ -28,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ from .simhash import forest
 
 #: Vectors of a block; parts of an interval; leading axes of the grid.
 BLOCK, PARTS, AXES = 1024, 8, 6
+#: Vector lengths with principal axes of their own.
+LENGTHS = 16
 #: A pair is compared whole below this many vectors a side.
 LEAF = 256
 
@@ -54,45 +62,67 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """Leading eigenvectors (dim, AXES) of the second moments of all vectors: each
-    task returns one dim x dim sum, Spark adds them, dim^2 numbers reach the driver."""
+def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, their unit vectors) for each length of a column of lists."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == dim)
+        yield dim, at, unit(matrix(column if len(at) == len(sizes) else column.take(pa.array(at))))
+
+
+def principal_axes(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Leading eigenvectors (dim, AXES) of the second moments of all vectors of each
+    of the most frequent lengths: each task returns one dim x dim sum a length,
+    Spark adds them, dim^2 numbers a length reach the driver."""
+    frequent = classes.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(LENGTHS).collect()
+    dims = [row["dim"] for row in frequent]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                u = unit(matrix(batch.column("v")))
-                total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], names=["at", "x"])
-
-    sums = classes.select("v").mapInArrow(released(run), "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
-    moments = np.zeros(dim * dim)
+                for dim, _, u in by_length(batch.column("v")):
+                    total[dim] = total.get(dim, 0) + u.T @ u
+        for dim, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(dim * dim, dim, np.int32)), pa.array(np.arange(dim * dim)),
+                                              pa.array(x.ravel())], names=["dim", "at", "x"])
+
+    sums = (classes.where(F.size("v").isin(dims)).select("v").mapInArrow(released(run), "dim int, at long, x double")
+            .groupBy("dim", "at").agg(F.sum("x").alias("x")).collect())
+    moments = {dim: np.zeros(dim * dim) for dim in dims}
     for row in sums:
-        moments[row["at"]] = row["x"]
-    return np.linalg.eigh(moments.reshape(dim, dim))[1][:, ::-1][:, :AXES]
+        moments[row["dim"]][row["at"]] = row["x"]
+    return {dim: np.linalg.eigh(m.reshape(dim, dim))[1][:, ::-1][:, :AXES] for dim, m in moments.items()}
+
+
+def placed(u: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Unit vectors of one length on the axes of that length, zeros up to ``AXES``."""
+    dim = u.shape[1]
+    at = u @ axes[dim] if dim in axes else u[:, :AXES]
+    return np.pad(at, ((0, 0), (0, AXES - at.shape[1])))
 
 
-def grid_sorted(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """Classes with their cell (label first), in epsilon grid order over partitions."""
-    n = axes.shape[1]
+def grid_sorted(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> DataFrame:
+    """Classes with their cell (group first), in epsilon grid order over partitions."""
+    names = [f"c{i}" for i in range(AXES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = unit(matrix(batch.column("v"))) @ axes
-                cells = [pa.array(np.floor(at[:, i] / eps).astype(np.int32)) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cells],
-                                                 names=[*batch.schema.names, *[f"c{i}" for i in range(n)]])
+                cells = np.empty((batch.num_rows, AXES), np.int32)
+                for _, rows, u in by_length(batch.column("v")):
+                    cells[rows] = np.floor(placed(u, axes) / eps)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, i]) for i in range(AXES)]],
+                                                 names=[*batch.schema.names, *names])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    celled = classes.mapInArrow(released(run), f"{fields}, " + ", ".join(f"c{i} int" for i in range(n)))
-    order = ["label", *[f"c{i}" for i in range(n)], "node"]
+    celled = classes.mapInArrow(released(run), f"{fields}, " + ", ".join(f"{c} int" for c in names))
+    order = ["label", *names, "node"]
     return celled.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def blocks(ordered: DataFrame, axes: np.ndarray) -> DataFrame:
-    """Consecutive vectors packed into blocks of one label with bounding boxes."""
+def blocks(ordered: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
+    """Consecutive vectors packed into blocks of one group with bounding boxes."""
     schema = "part int, seq int, label string, low array<double>, high array<double>, nodes array<long>, n array<long>, units binary"
     arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("label", pa.string()), ("low", pa.list_(pa.float64())),
                        ("high", pa.list_(pa.float64())), ("nodes", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
@@ -105,7 +135,7 @@ def blocks(ordered: DataFrame, axes: np.ndarray) -> DataFrame:
 
         def row(t: pa.Table) -> pa.RecordBatch:
             u = unit(matrix(t.column("v").combine_chunks()))
-            at = u @ axes
+            at = placed(u, axes)
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip((
                 part, seq, t.column("label")[0].as_py(), at.min(axis=0), at.max(axis=0),
                 t.column("node").to_numpy(), t.column("n").to_numpy(), u.tobytes()), arrow)], schema=arrow)
@@ -196,14 +226,15 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     src = pick(df, vec_id=id_col, v=vector_col, label=label_col).withColumn("label", F.col("label").cast("string"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     src = src.withColumn("usable", F.coalesce(F.col("label").isNotNull() & good, F.lit(False)))
-    dim = src.where("usable").agg(F.max(F.size("v"))).first()[0] or 0
-    usable = F.col("usable") & (F.size("v") == dim)
+    usable = F.col("usable")
     # one class per distinct vector of a label
     classes = (src.where(usable).groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
                .withColumn("node", F.monotonically_increasing_id()))
     classes = stored(classes)
-    if dim:
-        found = stored(_found(classes.select("label", "node", "n", "v"), dim, cosine, eps))
+    if not classes.isEmpty():
+        # the length, at fixed width, before the label: one group a length and label
+        group = F.concat(F.lpad(F.size("v").cast("string"), 10, "0"), F.lit(":"), "label").alias("label")
+        found = stored(_found(classes.select(group, "node", "n", "v"), cosine, eps))
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("more"))
         roots = components(found.where("b IS NOT NULL").select("a", "b"))
     else:
@@ -221,20 +252,17 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _found(classes: DataFrame, dim: int, cosine: float, eps: float) -> DataFrame:
+def _found(classes: DataFrame, cosine: float, eps: float) -> DataFrame:
     """(a, b, n): spanning links a-b between classes, and rows (a, null, n) with
     the number of vectors of other classes that a links with, in parts."""
-    axes = principal_axes(classes, dim)
-    n_axes = axes.shape[1]
+    axes = principal_axes(classes)
     packed = stored(blocks(grid_sorted(classes, axes, eps), axes))
     # number the blocks along the sequence: offsets from one count per partition
     offset = (packed.groupBy("part").agg(F.count("*").alias("size"))
               .withColumn("off", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
               .select("part", F.coalesce("off", F.lit(0)).alias("off")))
     table = packed.join(offset, "part").withColumn("no", F.col("off") + F.col("seq")).drop("part", "seq", "off")
-    pad = AXES - n_axes
-    boxes = stored(table.select("no", "label", *[F.concat(c, F.array_repeat(F.lit(0.0), pad)).alias(c) if pad else c
-                                                 for c in ("low", "high")]))
+    boxes = stored(table.select("no", "label", "low", "high"))
     pairs = block_pairs(boxes, boxes.count(), eps)
     sides = [table.select(F.col("no").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("nodes", "n", "units")]) for k in "ij"]
     met = pairs.join(sides[0], "i").join(sides[1], "j")
@@ -245,10 +273,10 @@ def _found(classes: DataFrame, dim: int, cosine: float, eps: float) -> DataFrame
             for k in range(batch.num_rows):
                 one = {f: batch.column(f)[k].as_py() for f in batch.schema.names}
                 same = one["i"] == one["j"]
-                a, b = (np.frombuffer(one[f"{s}_units"]).reshape(-1, dim) for s in "ij")
+                a, b = (np.frombuffer(one[f"{s}_units"]).reshape(len(one[f"{s}_nodes"]), -1) for s in "ij")
                 node_a, node_b = np.array(one["i_nodes"]), np.array(one["j_nodes"])
                 n_a, n_b = np.array(one["i_n"]), np.array(one["j_n"])
-                got = compare(a, b, a @ axes, b @ axes, same, cosine, eps)
+                got = compare(a, b, placed(a, axes), placed(b, axes), same, cosine, eps)
                 i = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)])
                 j = np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
                 if not len(i):
