@@ -256,6 +256,19 @@ def test_viterbi_and_whole_text_decoding():
         assert [near.get(w, 0) for w in words] == model.decode(secrets.chain_features(text, words, whole))
 
 
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_DOCS", 50)
+    rows = [(None if i % 3 else i, f"text {i} token={i:08d}") for i in range(900)] + [(7, "copy token=12345678")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in secrets.sampled(df).collect()]
+    assert len(got) == len(set(got)) == 50 and {i is None for i, _ in got} == {True, False}
+    seen = []
+    monkeypatch.setattr(secrets.Chain, "fit", lambda chains: seen.extend(chains))
+    secrets.fit(df)
+    assert len(seen) == 50
+    assert secrets.sampled(df.limit(0)).count() == 0
+
+
 def test_secret_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in QUERIES["op9_secret_scan"](spark, "/root/testdata/sf0.01").collect():
