@@ -61,6 +61,16 @@ def test_bpe_round_trip_equals_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_capitals_without_a_composed_form():
+    own = ChunkCodec(tokenizer_path(WORD_MODEL))
+    pairs = ["J\u030c", "T\u0308", "W\u030a", "Y\u030a", "H\u0331"]
+    for text in [*pairs, *pairs, "Za" + " ".join(pairs) + ". The END, Of it.", " ".join(["Word AND, word."] * 200 + pairs) * 3]:
+        ids = own.lib.encode(text, add_special_tokens=False).ids
+        got = own.encode([text])[0]
+        assert np.frombuffer(got, "<u4").tolist() == ids
+        assert own.decode(got).decode() == own.lib.decode(ids, skip_special_tokens=False)
+
+
 def test_chunks_are_shared():
     own = ChunkCodec(tokenizer_path(WORD_MODEL))
     rng = random.Random(3)

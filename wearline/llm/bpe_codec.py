@@ -86,10 +86,12 @@ class ChunkCodec:
 
     def units(self, piece: str) -> list[str]:
         """Stretches of a piece that the tokenizer never joins: cut at blanks and
-        between a letter and a full stop or comma; ASCII case is folded as the
-        tokenizer does itself (not where a special token might arise)."""
-        if "<|" not in piece:
-            piece = piece.encode().lower().decode()
+        between a letter and a full stop or comma; case is folded as the tokenizer
+        does itself where a piece is pure ASCII (not where a special token might
+        arise). Elsewhere the tokenizer composes first: a small letter may have a
+        composed form that its capital lacks."""
+        if piece.isascii() and "<|" not in piece:
+            piece = piece.lower()
         return STOP.sub(" ", piece.replace("\n", " ")).split(" ")
 
     def _learn(self, units: set[str]) -> None:
