@@ -57,6 +57,23 @@ def test_pages_by_hand(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p>", "Let x=2 be given."),
+    ("<p>a</p><object data='f.swf'><param name=n><p>Fallback text.</p></object><p>b</p>", "a\nFallback text.\nb"),
+    *[(f"<article><p>one</p><{t} class=x><p>two</p><p>three</p></article>", "one\ntwo\nthree")
+      for t in ("svg", "math", "object", "canvas", "noscript", "template")],
+    ("<article><p>one</p><svg><p>two</p><svg><text>icon</text></svg><p>three</p></article>", "one\ntwo\nthree"),
+    ("<article><p>o<svg><g><svg>in</svg></g>out</svg>ne</p><template><p>t<template>u</template>v</p></template><noscript>n</noscript>"
+     "<canvas>c</canvas><svg/><p>two</p></article>", "one\ntwo"),
+])
+def test_unseen_elements(page, text):
+    assert main_text(page) == text
+
+
+def test_many_unclosed_elements():
+    assert main_text("<p>a" + "<svg>" * 20_000 + "b</p>") == "ab"
+
+
 def test_deep_page():
     assert main_text("<div>" * 20_000 + "x") == "x"
 

@@ -33,7 +33,9 @@ NAME_BREAK = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search
 section select summary table tbody td textarea tfoot th thead title tr ul""".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template xmp svg math object canvas".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Left out with their content; without an end tag of its own only the tag goes.
+UNSEEN = frozenset("svg canvas noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes these open elements first (up to the nearest scope).
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -75,6 +77,7 @@ class Page:
     def _build(self, source: str) -> None:
         stack, links, run, at, end = [0], 0, [], 0, len(source)
         linked: list[tuple[bool, str]] = run
+        ends: dict[str, dict[int, int]] = {}
 
         def flush() -> None:
             if run:
@@ -105,6 +108,11 @@ class Page:
                     shut = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
                     at = shut.end() if shut else end
                     continue
+                if name in UNSEEN and not m[3].rstrip().endswith("/"):
+                    if name not in ends:
+                        ends[name] = self._ends(source, name)
+                    at = ends[name].get(m.start(), at)
+                    continue
                 if name == "br":
                     run.append((links > 0, " "))
                 elif name == "a":
@@ -131,6 +139,19 @@ class Page:
                         break
         flush()
 
+    @staticmethod
+    def _ends(source: str, name: str) -> dict[int, int]:
+        """Where the elements of a name end, by where they start; an end tag closes
+        the last one open, and those never closed are left out."""
+        found, opened = {}, []
+        for m in re.finditer(f"<(/?){name}(?=[\\s/>])([^>]*)>?", source, re.I):
+            if not m[1]:
+                if not m[2].rstrip().endswith("/"):
+                    opened.append(m.start())
+            elif opened:
+                found[opened.pop()] = m.end()
+        return found
+
     def _close(self, stack: list[int], name: str) -> None:
         """Implied end tags: a paragraph ends at any block; list items and cells at their next."""
         if self.tag[stack[-1]] == "p" or self.tag[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6") and name[0] == "h":
