@@ -127,3 +127,10 @@ def test_requests(spark):
     import pytest
     with pytest.raises(ValueError, match="missing columns"):
         ML.score_requests(df.drop("threshold"), fitted, 6, 2, bounds)
+
+
+def test_search_tries_the_default_forest():
+    import inspect
+    size = inspect.signature(ML.fit_random_forest).parameters["num_trees"].default
+    tried = [p for name, p in ML.GRID if name == "random_forest"]
+    assert {p["num_trees"] for p in tried} == {50, size} and len(ML.GRID) == 7
