@@ -1,12 +1,12 @@
-"""BPE encoding and decoding with content-defined chunk reuse.
-
-Chunk borders follow a rolling hash of the last eight characters, so a
-passage shared by documents is cut alike wherever it stands. A worker keeps
-the encodings of chunks and of the words inside them and encodes each once.
-A border may fall inside a word: the join is repaired by widening it to the
-nearest blank on both sides and encoding that stretch anew. There both
-neighbours agree with the encoding of the whole text, because the tokenizer's
-pre-tokens never hold a blank (checked when the vocabulary is loaded).
+"""BPE encoding and decoding with a word cache and content-defined chunks.
+
+Chunk borders follow a rolling hash of the last eight characters and are
+widened to the nearest blank on both sides. Chunks not in the cache are split
+at blanks into words, whose ids come from a word cache that encodes each word
+once; set side by side they are the ids of the whole text, because the
+tokenizer's pre-tokens never hold a blank (checked when the vocabulary is
+loaded). Both caches are bounded and emptied at the end of a task; the chunk
+cache is small, so it saves look-ups of nearby repeats only.
 
 Defined results: null text counts as empty (no ids, empty decoded text); any
 column may be null; repeated rows give repeated results; an empty table gives
