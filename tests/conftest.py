@@ -7,15 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from wearline.session import get_spark  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark("local[*]", shuffle_partitions=8)
     yield s
-
-
-def preds_df(spark, y, s, model="m"):
-    rows = [(model, i, i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, s))]
-    return spark.createDataFrame(rows, "model string, machine_id long, end_timestep long, y_true int, y_score double")

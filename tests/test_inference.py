@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import preds_df
+from testkit import preds_df
 from wearline.functions.special import chi2_df1_sf, chi2_df1_sf_exact
 from wearline.operators import inference as I
 

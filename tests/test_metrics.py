@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from conftest import preds_df
+from testkit import preds_df
 from wearline.functions.grids import linspace
 from wearline.operators import curves as C
 from wearline.operators import metrics as M

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF
+from testkit import SF
 from wearline.operators import importance as IMP
 from wearline.operators import metrics as M
 from wearline.operators import models as ML

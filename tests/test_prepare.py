@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from testkit import SF
 from wearline.operators import drift as D
 from wearline.operators import labels as L
 from wearline.operators import prepare as P

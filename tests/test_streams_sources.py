@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from testkit import SF
 from wearline.operators import prepare as P
 from wearline.sources import tables
 from wearline.sources import text_logs as TL
