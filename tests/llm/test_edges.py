@@ -75,5 +75,5 @@ def test_pipeline_edges(spark, odd_docs, no_docs):
 
 def test_registered():
     names = E.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert not any(m.startswith("pandas") for m in vars(sys.modules["wearline.llm.quality_rules"]))

@@ -11,15 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, sharding
 from . import quality_rules as rules
 from .bpe_codec import encode_decode
 from .common import read
 from .embedding_dedup import embedding_groups
+from .hard_negatives import hard_negatives
 from .html_extract import extract_pages
 from .language_id import identify
 from .secrets import scan_secrets
+from .sharding import shard_rows
 from .simhash import simhash_groups
+from .spelling_variants import spelling_variants
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 
@@ -218,3 +221,98 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(read(spark, sf_dir, "documents"), tokenizer_path(WORD_MODEL))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), anchor=F.col("vec_id") % 50 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL),
+e AS (SELECT vec_id, label, list_transform(x, lambda c: floor(256 * c)) AS q FROM v
+      WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS other_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * p.positive_score <= 100 * s.score
+     AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 3"""
+
+
+def crc32_sql(blob: str) -> str:
+    """The unsigned crc32 of a blob in DuckDB, byte by byte over its hex digits."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    data = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda b: CAST('0x' || b AS BIGINT))"
+    entries = "[" + ", ".join(map(str, table)) + "]::BIGINT[]"
+    return (f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, list_extract({entries}, CAST(xor(c & 255, b) AS INTEGER) + 1)), "
+            f"CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))")
+
+
+@register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+l AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM d GROUP BY ALL),
+h AS (SELECT r, c, {crc32_sql("encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)")} AS h FROM l WHERE length(r) >= 5),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2) ELSE r END AS word, c FROM h),
+n AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS k
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+p AS (SELECT a.word AS a, b.word AS b, b.n AS bn FROM x a JOIN x b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+      UNION SELECT x.word, n.word, n.n FROM x JOIN n ON n.word = x.k
+      UNION SELECT n.word, x.word, x.n FROM x JOIN n ON n.word = x.k),
+g AS (SELECT a, count(*) AS n_near, min(b) FILTER (bn = m) AS best, max(m) AS m
+      FROM (SELECT *, max(bn) OVER (PARTITION BY a) AS m FROM p) GROUP BY a),
+f AS (SELECT n.word, n.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.m >= 2 * n.n THEN g.best END AS form,
+             CASE WHEN g.m >= 2 * n.n THEN g.m END AS form_n FROM n LEFT JOIN g ON g.a = n.word),
+s(word, cur, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT s.word, f.form, s.step + 1 FROM s JOIN f ON f.word = s.cur WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN (SELECT word, arg_max(cur, step) AS root FROM s GROUP BY word) r ON r.word = f.word"""
+
+SHARDS, SHARD_SEED = 40, 42
+
+
+@register
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(read(spark, sf_dir, "documents"), SHARDS, SHARD_SEED).drop("row_no")
+
+
+def sharding_sql() -> str:
+    """Row numbers by doc_id, the rounds as chained aliases, walks by recursion."""
+    p = sharding.PRIME
+    steps, side = ["x // b AS l0, x % b AS r0"], ["a", "b"]
+    for i, (k1, k2) in enumerate(sharding.round_keys(SHARD_SEED)):
+        steps.append(f"(r{i} * {k1} + {k2}) % {p} AS u{i}, (u{i} * u{i} + r{i}) % {p} AS v{i}, (v{i} * v{i} + {k2}) % {p} AS w{i}, "
+                     f"r{i} AS l{i + 1}, (l{i} + w{i}) % {side[0]} AS r{i + 1}")
+        side.reverse()
+    end = sharding.ROUNDS
+    network = f"SELECT row_no, n, a, b, l{end} * b + r{end} AS x FROM (SELECT *, {', '.join(steps)} FROM {{}})"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS row_no,
+                            count(*) OVER () AS n FROM documents),
+z AS (SELECT row_no, n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a, (n + CAST(floor(sqrt(n - 1)) AS BIGINT)) // (CAST(floor(sqrt(n - 1)) AS BIGINT) + 1) AS b, row_no AS x FROM t),
+w AS ({network.format('z')}
+      UNION ALL ({network.format('(SELECT row_no, n, a, b, x FROM w WHERE x >= n)')})),
+o AS (SELECT row_no, x FROM w WHERE x < n)
+SELECT t.doc_id, CAST(octet_length(encode(t.text)) + {sharding.ROW_BYTES} AS BIGINT) AS size,
+       CASE WHEN t.text = '' THEN 0 ELSE {crc32_sql('encode(t.text)')} END AS text_crc32, '{sharding.LAW}' AS law,
+       CAST(o.x % {SHARDS} AS INTEGER) AS shard, CAST(o.x // {SHARDS} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM t JOIN o ON o.row_no = t.row_no"""
+
+
+SQL["op13_sharding"] = sharding_sql()
