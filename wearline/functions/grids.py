@@ -48,6 +48,18 @@ def count_le_array(x: Column, arr: Column, e0: Column, h: Column, g: int) -> Col
     return F.when(x.isNull(), F.lit(None).cast("int")).otherwise(k0 + up - down)
 
 
+def count_le_sorted(x: Column, edges: list[float]) -> Column:
+    """Number of literal ``edges`` (ascending, any spacing) that are <= x, as a
+    balanced tree of comparisons; for up to some hundred edges."""
+    def below(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x >= F.lit(float(edges[mid])), below(mid + 1, hi)).otherwise(below(lo, mid))
+
+    return below(0, len(edges))
+
+
 def linspace_array(lo: Column, hi: Column, num: int) -> Column:
     """Per-row ``np.linspace(lo, hi, num)`` as an array column (same IEEE steps:
     i*step + lo, last = hi)."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grids import digitize_clipped, half_open_bin, histogram_bin, linspace
 from .curves import LABEL, SCORE, _safe_div, cumulative_table, distinct_score_counts, ranking_metrics
-from .quantiles import exact_quantiles
+from .selection import select_quantiles
 
 
 def decision(score: Column, threshold) -> Column:
@@ -118,12 +118,12 @@ def reliability_table(preds: DataFrame, n_bins: int = 10, group_cols=("model",),
 def score_distribution(preds: DataFrame, group_cols=("model",), score: str = SCORE,
                        label: str = LABEL) -> DataFrame:
     """Per (group, class) mean, std (ddof 0), median, q25, q75, n; quartiles are
-    exact (linear interpolation, as NumPy) from distributed prefix counts."""
+    exact (linear interpolation, as NumPy) by selection on counts."""
     g = list(group_cols)
     classed = preds.withColumn("y_class", F.col(label))
     agg = classed.groupBy(*g, "y_class").agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
-    q = exact_quantiles(classed, [*g, "y_class"], score, (0.25, 0.5, 0.75))
+    q = select_quantiles(classed, [*g, "y_class"], [score], (0.25, 0.5, 0.75)).drop("sensor")
     # both classes always reported; an empty class gets zeros (as the reference)
     spine = preds.select(*g).distinct().select(*g, F.explode(F.array(F.lit(0), F.lit(1))).alias("y_class"))
     j = spine.join(agg, [*g, "y_class"], "left").join(q, [*g, "y_class"], "left")

@@ -14,12 +14,12 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .curves import prf
+from .isotonic import calibrated, fit_blocks
 from .metrics import brier_and_ece, decision
 from .prepare import uniform_hash, with_balanced_weight
 
@@ -148,21 +148,16 @@ class PlattScaler:
 
 @dataclass
 class IsotonicCalibrator:
-    """M4: isotonic fit of label on score; predictions lie in [0, 1] and scores
-    outside the fitted range take the boundary value (clip)."""
-    model: Model
+    """M4: isotonic fit of label on score (``blocks``: lo, hi, value, n); fitted values
+    lie in [0, 1], scores outside the fitted range take the nearest block's."""
+    blocks: DataFrame
 
     @staticmethod
     def fit(val_preds: DataFrame) -> "IsotonicCalibrator":
-        # the fit gathers its pooled blocks: collapse to one weighted row per distinct score first
-        d = val_preds.groupBy(F.col("y_score").alias("s")).agg(F.avg(F.col("y_true").cast("double")).alias("y"),
-                                                               F.count(F.lit(1)).cast("double").alias("w"))
-        return IsotonicCalibrator(IsotonicRegression(featuresCol="s", labelCol="y", weightCol="w").fit(d))
+        return IsotonicCalibrator(fit_blocks(val_preds))
 
     def transform(self, preds: DataFrame) -> DataFrame:
-        out = self.model.transform(preds.withColumn("s", F.col("y_score")))
-        clipped = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
-        return out.withColumn("y_score", clipped).select(*preds.columns)
+        return calibrated(preds, self.blocks)
 
 
 def compare_calibrators(val_preds: DataFrame, test_preds: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .labels import MACHINE, TIME
-from .quantiles import exact_quantiles
+from .selection import select_quantiles
 from .sequence import number_within_key
 
 SCALERS = ("standard", "minmax", "robust")
@@ -99,7 +99,7 @@ def scaler_table(df: DataFrame, columns: list[str], kinds: str | Sequence[str] =
     """F2/F3/F4 parameters as rows (kind, sensor, center, scale); zero scale -> 1.
 
     Standard (ddof 0) and min-max come from one aggregate of ``df`` whatever the
-    number of sensors; robust from exact distributed quartiles.
+    number of sensors; robust from exact quartiles by selection (four scans).
     """
     kinds = [kinds] if isinstance(kinds, str) else list(kinds)
     if unknown := set(kinds) - set(SCALERS):
@@ -115,9 +115,7 @@ def scaler_table(df: DataFrame, columns: list[str], kinds: str | Sequence[str] =
             F.struct(F.lit(k).alias("kind"), F.lit(c).alias("sensor"), center[k](c).alias("center"), scale[k](c).alias("scale"))
             for k in plain for c in columns])).alias("r")).select("r.*")
     if "robust" in kinds:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("sensor"), F.col(c).cast("double").alias("value"))
-                                             for c in columns])).alias("x")).select("x.*")
-        q = exact_quantiles(long, ["sensor"], "value", QUARTILES)
+        q = select_quantiles(df, [], columns, QUARTILES)
         every = df.sparkSession.createDataFrame([(c,) for c in columns], "sensor string")
         robust = F.broadcast(every).join(q, "sensor", "left").select(
             F.lit("robust").alias("kind"), "sensor", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale"))
