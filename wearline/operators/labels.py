@@ -64,19 +64,30 @@ def failure_times(df: DataFrame, event_col: str = "failure_event") -> DataFrame:
               .agg(F.min(TIME).alias("failure_t")))
 
 
-def add_event_horizon_labels(df: DataFrame, horizon: int = 30, event_col: str = "failure_event",
-                             out: str = "failure_imminent_event") -> DataFrame:
-    """W5 (event form): 1 on the H+1 steps [f-H, f] before each failure f, else 0.
+def next_event(df: DataFrame, event_col: str = "failure_event", out: str = "next_event", chunk_len: int = 100_000) -> DataFrame:
+    """Step of the machine's first event at or after each row, NULL if none follows.
 
-    Several failures per machine are allowed. Each failure step is expanded to
-    its H+1 covered steps and equi-joined on (machine_id, timestep): an exact
-    range join without a per-machine window.
+    Carried backwards: rows are cut into chunks of ``chunk_len`` steps; a window
+    over (machine, chunk) finds the first event at or after a row inside its
+    chunk, and a small table (one row a machine and chunk) holds the first event
+    of all later chunks. Any number of events per machine.
     """
-    covered = (df.where(F.col(event_col) == 1)
-                 .select(MACHINE, F.explode(F.sequence(F.col(TIME) - horizon, F.col(TIME))).alias(TIME))
-                 .distinct().withColumn(out, F.lit(1)))
-    return (df.join(covered, [MACHINE, TIME], "left")
-              .withColumn(out, F.coalesce(F.col(out), F.lit(0))))
+    step = F.when(F.col(event_col) == 1, F.col(TIME))
+    tagged = df.withColumn("__c", F.floor(F.col(TIME) / F.lit(chunk_len)).cast("long"))
+    firsts = tagged.groupBy(MACHINE, "__c").agg(F.min(step).alias("__first"))
+    later = Window.partitionBy(MACHINE).orderBy("__c").rowsBetween(1, Window.unboundedFollowing)
+    carry = firsts.select(F.col(MACHINE).alias("__km"), F.col("__c").alias("__kc"), F.min("__first").over(later).alias("__carry"))
+    rows = tagged.join(carry, F.col(MACHINE).eqNullSafe(F.col("__km")) & F.col("__c").eqNullSafe(F.col("__kc")))
+    ahead = Window.partitionBy(MACHINE, "__c").orderBy(TIME).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    return rows.withColumn(out, F.coalesce(F.min(step).over(ahead), F.col("__carry"))).drop("__c", "__km", "__kc", "__carry")
+
+
+def add_event_horizon_labels(df: DataFrame, horizon: int = 30, event_col: str = "failure_event",
+                             out: str = "failure_imminent_event") -> DataFrame:
+    """W5 (event form): 1 on the H+1 steps [f-H, f] before each failure f, else 0; the
+    first failure at or after a row decides, whatever the horizon."""
+    rows = next_event(df, event_col, "__next")
+    return rows.withColumn(out, F.coalesce((F.col("__next") - F.col(TIME) <= horizon).cast("int"), F.lit(0))).drop("__next")
 
 
 def steps_to_failure(t: Column, failure_t: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .labels import MACHINE, TIME
 from .selection import select_quantiles
-from .sequence import number_within_key
+from .sequence import MARK, number_within_key
 
 SCALERS = ("standard", "minmax", "robust")
 
@@ -269,6 +269,36 @@ def poisson_resample(df: DataFrame, key_cols: list[str], label_col: str = "label
                  .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k"))
 
 
+def balanced_draws(df: DataFrame, key_cols: list[str], label_col: str = "label", n: int | None = None, seed: int = 42) -> DataFrame:
+    """exactly ``n`` rows (default: as many as ``df`` has) drawn with replacement,
+    each draw a row of either class with probability 1/2, and any row of the
+    class alike (weights 1 / n_class). With one class all draws go to it.
+
+    Draw i has a uniform number from its own hash: the first half of [0, 1) is
+    the positive class, and the place inside the half is a position in the
+    class, whose rows are numbered by key over range partitions. Draws are
+    counted per (class, position) and joined to the rows on it, so the result
+    depends on keys and seed alone, not on partitions; a row travels once
+    whatever its copies. Columns of ``df`` and ``copy`` (from 1).
+    """
+    spark = df.sparkSession
+    y = (F.col(label_col) == 1).cast("int")
+    numbered = number_within_key(df.withColumn("__y", y), "__y", key_cols, pos_col="__at", total_col=None).drop(MARK)
+    sizes = {r["__y"]: r["n"] for r in df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n")).collect() if r["__y"] is not None}
+    total = sum(sizes.values())
+    if not total:
+        return numbered.drop("__y", "__at").withColumn("copy", F.lit(1)).where("false")
+    u = uniform_hash(F.lit("draw"), F.col("id"), F.lit(seed))
+    both = len(sizes) == 2
+    side = F.when(u < 0.5, F.lit(1)).otherwise(F.lit(0)) if both else F.lit(next(iter(sizes)))
+    inside = F.when(u < 0.5, 2 * u).otherwise(2 * u - 1) if both else u
+    m = F.when(side == 1, F.lit(sizes.get(1, 0))).otherwise(F.lit(sizes.get(0, 0)))
+    draws = spark.range(n if n is not None else total).select(side.alias("__y"), F.least(F.floor(inside * m), m - 1).cast("long").alias("__at"))
+    copies = draws.groupBy("__y", "__at").agg(F.count(F.lit(1)).cast("int").alias("__k"))
+    return (numbered.join(copies, ["__y", "__at"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+                    .drop("__y", "__at", "__k"))
+
+
 def uniform_hash(*cols: Column) -> Column:
     """Deterministic uniform in [0, 1): the first 52 bits of the md5 of the values
     joined by '-' (any SQL engine can repeat it)."""

@@ -694,7 +694,7 @@ def _scaled_test(spark, sf):
 
 
 register("scaled_test_readings", f"""WITH {base()}, {_SPLIT},
-j AS (SELECT l.*, s.split FROM labeled l JOIN splits s ON l.machine_id = s.machine_id),
+j AS MATERIALIZED (SELECT l.machine_id, l.timestep, {', '.join('l.' + c for c in SENSORS)}, s.split FROM labeled l JOIN splits s ON l.machine_id = s.machine_id),
 pr AS (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}' for c in SENSORS)}
        FROM j WHERE split = 'train')
 SELECT machine_id, timestep, {', '.join(r6(f'({c} - m_{c}) / s_{c}', c) for c in SENSORS)}
@@ -819,6 +819,24 @@ d AS (SELECT e.failure_imminent AS label, CAST('0x' || substr(md5(e.machine_id |
 SELECT label, count(*) AS n_rows FROM (SELECT d.label, count(*) AS copies FROM d JOIN cdf ON cdf.label = d.label AND cdf.c <= d.u GROUP BY d.label, d.u, cdf.k) GROUP BY label""")(_resample)
 
 
+def _draws_per_row(spark, sf):
+    ends = P.window_end_rows(fx.labeled_readings(spark, sf), 50, 10).select(
+        "machine_id", F.col("timestep").alias("end_timestep"), F.col("failure_imminent").alias("label"))
+    return P.balanced_draws(ends, ["machine_id", "end_timestep"]).groupBy("machine_id", "end_timestep", "label").agg(
+        F.count(F.lit(1)).alias("copies"))
+
+
+# F6 in full: who is drawn how often in exactly as many draws as there are windows
+register("balanced_draws", f"""WITH {base()},
+k AS (SELECT machine_id, timestep AS end_timestep, failure_imminent AS label,
+             row_number() OVER (PARTITION BY failure_imminent ORDER BY machine_id, timestep) - 1 AS pos,
+             count(*) OVER (PARTITION BY failure_imminent) AS m FROM ends),
+u AS (SELECT CAST('0x' || substr(md5('draw-' || r.i || '-42'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM range((SELECT count(*) FROM ends)) r(i)),
+d AS (SELECT CASE WHEN u < 0.5 THEN 1 ELSE 0 END AS label, CASE WHEN u < 0.5 THEN 2 * u ELSE 2 * u - 1 END AS v FROM u),
+p AS (SELECT d.label, CAST(LEAST(floor(d.v * c.m), c.m - 1) AS BIGINT) AS pos FROM d JOIN (SELECT label, max(m) AS m FROM k GROUP BY label) c ON c.label = d.label)
+SELECT k.machine_id, k.end_timestep, k.label, count(*) AS copies FROM p JOIN k ON k.label = p.label AND k.pos = p.pos GROUP BY ALL""")(_draws_per_row)
+
+
 def _sample(spark, sf):
     lab = fx.labeled_readings(spark, sf)
     test = P.window_end_rows(lab.where(F.col("split") == "test"), 50, 10)
@@ -832,6 +850,33 @@ ORDER BY md5(CAST(e.machine_id AS VARCHAR) || '-' || CAST(e.timestep AS VARCHAR)
 LIMIT 500""")(_sample)
 
 
+# ---------------------------------------------------------------- logs
+
+from ..sources import text_logs as TL  # noqa: E402
+from ..session import scratch  # noqa: E402
+
+_LOG_SENSORS = {"sensor_2": "quantity", "sensor_3": "price", "sensor_4": "discount", "sensor_7": "tax"}
+
+
+def _log_round_trip(spark, sf):
+    """Readings cut machine_id % 30 steps before their end, written as a text log with
+    the cut as RUL lines, read back and labelled from the truth."""
+    lab = fx.labeled_readings(spark, sf)
+    cut = F.col("machine_id") % 30
+    folder = scratch(spark, "log")
+    TL.write_sensor_log(lab.where(F.col("timestep") <= F.col("max_timestep") - cut), f"{folder}/train", _LOG_SENSORS)
+    TL.write_rul_file(lab.where(F.col("timestep") == F.col("max_timestep") - cut).select("machine_id", cut.alias("rul_at_last")), f"{folder}/rul")
+    log = TL.read_sensor_log(spark, f"{folder}/train").select("machine_id", "timestep", "ingest_seq", *TL.log_columns_for("FD001"))
+    truth = TL.attach_truth(log, TL.read_rul_file(spark, f"{folder}/rul"))
+    out = L.add_rul_from_truth(log, truth)
+    return rounded(out.select("machine_id", "timestep", "rul", *[F.col(k).alias(v) for k, v in _LOG_SENSORS.items()]))
+
+
+register("log_round_trip", f"""WITH {base()}
+SELECT machine_id, timestep, CAST(max_timestep - timestep AS BIGINT) AS rul, {', '.join(r6(c, c) for c in SENSORS)}
+FROM labeled WHERE timestep <= max_timestep - machine_id % 30""")(_log_round_trip)
+
+
 # ---------------------------------------------------------------- models (M1-M13) -- rows-only
 
 from ..operators import importance as IMP  # noqa: E402

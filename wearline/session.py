@@ -65,10 +65,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new name for a folder in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: later
     plans start from columns that survive executor loss and can be pruned."""
     spark = df.sparkSession
-    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    at = scratch(spark, "stored")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)

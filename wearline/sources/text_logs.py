@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,43 +34,69 @@ def log_columns_for(subset: str, sensor_indices: list[int] | None = None,
     return (["op_setting_1", "op_setting_2"] if ops else []) + sensors
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, ingest_seq): the non-blank lines of a file or folder. ``ingest_seq``
+    <file, block, row> orders them as the files in the order of their paths, line
+    by line: ``file`` numbers the paths, ``block`` is the byte at which a task's
+    piece of the file starts, ``row`` counts inside the task. How Spark packs
+    files into tasks (largest first) plays no part in it."""
+    text = spark.read.text(path)
+    files = spark.createDataFrame([(i, p) for i, p in enumerate(sorted(text.inputFiles()))], "file int, path string")
+    rows = text.select("value", F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                       F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    return (rows.where(F.length(F.trim("value")) > 0).join(F.broadcast(files), "path")
+            .select("value", F.struct("file", "block", "row").alias("ingest_seq")))
+
+
 def read_sensor_log(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace-delimited headerless log -> typed readings.
+    """Whitespace-delimited headerless log (a file or a folder of files in the
+    order of their paths) -> typed readings.
 
     Runs of spaces break the CSV reader, so lines are split on ``\\s+``;
     trailing empty fields are dropped by ``trim``. ``machine_id`` = unit,
-    ``timestep`` = cycle, ``ingest_seq`` keeps the file order (increasing
-    within a file) for order-dependent checks.
+    ``timestep`` = cycle, ``ingest_seq`` keeps the order of the lines.
     """
-    raw = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parts = F.split(F.trim(F.col("value")), r"\s+")
     cols = []
     for i, name in enumerate(LOG_COLUMNS):
         typ = "long" if i < 2 else "double"
         cols.append(F.element_at(parts, i + 1).cast(typ).alias(name))
-    df = raw.select(*cols, F.monotonically_increasing_id().alias("ingest_seq"))
+    df = _lines(spark, path).select(*cols, "ingest_seq")
     return df.withColumnRenamed("unit_number", "machine_id").withColumnRenamed("time_in_cycles", "timestep")
 
 
-def read_rul_file(spark: SparkSession, path: str) -> DataFrame:
-    """One integer per line; line i belongs to the i-th engine of the log.
+def _ordinals(df: DataFrame, order: str) -> DataFrame:
+    """``df`` with its 0-based ``ordinal`` in an order (range partitions, no single task)."""
+    from ..operators.sequence import MARK, number_within_key
+    ranked = number_within_key(df.withColumn("__all", F.lit(0)), "__all", [order], pos_col="ordinal", total_col=None)
+    return ranked.drop("__all", MARK)
 
-    The file has one line per engine (small); its ordinal comes from
-    ``zipWithIndex`` (exact line order, computed per partition).
-    """
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    rdd = lines.rdd.zipWithIndex().map(lambda p: (int(p[1]), int(p[0][0].strip())))
-    return spark.createDataFrame(rdd, "ordinal long, rul_at_last long")
+
+def read_rul_file(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, rul_at_last): one integer per line; line i belongs to the i-th engine of the log."""
+    lines = _lines(spark, path).select(F.trim("value").cast("long").alias("rul_at_last"), "ingest_seq")
+    return _ordinals(lines, "ingest_seq").select("ordinal", "rul_at_last")
 
 
 def engine_ordinals(log: DataFrame) -> DataFrame:
     """Ordinal of each engine by first appearance in the log (machine_id, ordinal)."""
-    from ..operators.sequence import number_within_key
     first = log.groupBy("machine_id").agg(F.min("ingest_seq").alias("first_seq"))
-    # a global rank over range partitions, without a single-task window
-    ranked = number_within_key(first.withColumn("__all", F.lit(0)), "__all", ["first_seq"], pos_col="ordinal",
-                               total_col=None)
-    return ranked.select("machine_id", "ordinal")
+    return _ordinals(first, "first_seq").select("machine_id", "ordinal")
+
+
+def write_sensor_log(readings: DataFrame, path: str, sensors: dict[str, str]) -> None:
+    """Readings as a log that ``read_sensor_log`` reads: files in (machine, step)
+    order; ``sensors`` maps log columns to columns of the readings, others are 0."""
+    cols = {"unit_number": F.col("machine_id"), "time_in_cycles": F.col("timestep"), **{k: F.col(v) for k, v in sensors.items()}}
+    line = F.concat_ws(" ", *[cols.get(c, F.lit(0.0)).cast("string") for c in LOG_COLUMNS])
+    (readings.repartitionByRange("machine_id", "timestep").sortWithinPartitions("machine_id", "timestep")
+             .select(line.alias("value")).write.text(path))
+
+
+def write_rul_file(truth: DataFrame, path: str) -> None:
+    """(machine_id, rul_at_last) as RUL lines in machine order."""
+    (truth.repartitionByRange("machine_id").sortWithinPartitions("machine_id")
+          .select(F.col("rul_at_last").cast("string").alias("value")).write.text(path))
 
 
 def attach_truth(log: DataFrame, rul: DataFrame) -> DataFrame:
