@@ -10,15 +10,103 @@ from wearline.sources import text_logs as TL
 from wearline.streaming import live as X
 
 
+def closed(spark, batch, events, delay_days=1):
+    """Batch windows whose last reading the final watermark has passed."""
+    import datetime as dt
+    upto = events.agg(F.max("ts")).first()[0] - dt.timedelta(days=delay_days)
+    upto = upto.replace(microsecond=upto.microsecond // 1000 * 1000)  # watermarks are in milliseconds
+    ends = events.where(F.col("timestep").isNotNull()).select("machine_id", F.col("timestep").alias("end_seq"), "ts")
+    return batch.join(ends, ["machine_id", "end_seq"]).where(F.col("ts") <= F.lit(upto))
+
+
 def test_live_windows_stream_equals_batch(spark, tmp_path):
     stream = X.event_stream(spark, SF)
     X.run_available_now(X.live_windows(stream, 10, 5), "x1_out", str(tmp_path / "ck1"))
     got = {(r.machine_id, r.end_seq): list(r["values"]) for r in spark.table("x1_out").collect()}
-    batch = X.live_windows_batch(tables.event_readings(spark, SF), 10, 5).collect()
+    events = tables.event_readings(spark, SF)
+    batch = closed(spark, X.live_windows_batch(events, 10, 5), events).collect()
     want = {(r.machine_id, r.end_seq): list(r["values"]) for r in batch}
     assert got == want and len(got) > 0
 
 
+def put_files(spark, folder, parts):
+    """Parquet files that a stream reads one by one, in the order given."""
+    import glob
+    import os
+    import shutil
+    os.makedirs(folder, exist_ok=True)
+    at = len(os.listdir(folder))
+    for i, df in enumerate(parts):
+        tmp = f"{folder}-tmp-{at + i}"
+        df.coalesce(1).write.parquet(tmp)
+        name = f"{folder}/events_{at + i:04d}.parquet"
+        shutil.copy(glob.glob(f"{tmp}/part-*.parquet")[0], name)
+        os.utime(name, (1_700_000_000 + at + i, 1_700_000_000 + at + i))
+
+
+def test_shuffled_batches_give_the_same_windows(spark, tmp_path):
+    """Rows dealt over seven files within two days of their time: the order of
+    arrival plays no part, and nothing is late."""
+    ev = spark.read.schema(X.EVENTS_SCHEMA).parquet(f"{SF}/events.parquet")
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    slot = F.floor((day + F.pmod(F.xxhash64("event_id"), F.lit(2))) / 5)  # up to a day out of order
+    parts = [ev.where(slot == k).orderBy(F.xxhash64("event_id", F.lit(1))) for k in range(7)]
+    assert sum(p.count() for p in parts) == ev.count()
+    put_files(spark, str(tmp_path / "in"), parts)
+    stream = X.event_stream(spark, str(tmp_path / "in"), max_files=1)
+    q = X.run_available_now(X.live_windows(stream, 10, 5, watermark="3 days"), "x1_shuffled", str(tmp_path / "ck"))
+    rows = spark.table("x1_shuffled").collect()
+    got = {(r.machine_id, r.end_seq): list(r["values"]) for r in rows}
+    events = tables.event_readings(spark, SF)
+    want = closed(spark, X.live_windows_batch(events, 10, 5), events, 3).collect()
+    assert len(rows) == len(got) and X.late_rows(q) == 0 and len({p["batchId"] for p in q.recentProgress}) >= 7
+    assert got == {(r.machine_id, r.end_seq): list(r["values"]) for r in want} and got
+
+
+def days(spark, when, user=1):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=d), user, "x", float(d) if d is not None else None, "") for i, d in enumerate(when)]
+    return spark.createDataFrame(rows, X.EVENTS_SCHEMA)
+
+
+def test_state_is_bounded_and_late_rows_do_not_enter(spark, tmp_path):
+    put_files(spark, str(tmp_path / "in"), [days(spark, range(20)), days(spark, [21, 20]), days(spark, [2, 22.5]), days(spark, [30])])
+    stream = X.event_stream(spark, str(tmp_path / "in"), max_files=1)
+    q = X.run_available_now(X.live_windows(stream, 3, 1), "x1_late", str(tmp_path / "ck"))
+    rows = sorted((r.end_seq, list(r["values"])) for r in spark.table("x1_late").collect())
+    order = [float(d) for d in range(22)] + [22.5]  # 20 and 21 in their places, the second 2 nowhere
+    assert rows == [(i, order[i - 2:i + 1]) for i in range(2, 23)]
+    assert X.late_rows(q) == 1
+    spark.catalog.dropTempView("x1_late")
+
+
+def test_account_outlives_progress_and_restarts(spark, tmp_path):
+    from wearline.streaming import account as A
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    listener = A.StreamAccount(spark, str(tmp_path / "account"))
+    spark.streams.addListener(listener)
+    try:
+        late = -2  # the second batch of all is still judged by the watermark before the first
+        for run in range(2):
+            parts = [days(spark, [100 + 10 * run])] + [days(spark, [1, 2, None if k % 2 else 200][:2] + [110 + run]) for k in range(4)]
+            late += 8
+            put_files(spark, str(tmp_path / "in"), parts)
+            stream = A.observed(X.route_events(X.event_stream(spark, str(tmp_path / "in"), max_files=1), hi=105.0))
+            hist = X.windowed_histogram(stream, [0.0, 1.0, 2.0])
+            query = (hist.writeStream.outputMode("append").format("noop").option("checkpointLocation", str(tmp_path / "ck"))
+                         .trigger(availableNow=True).start())
+            query.awaitTermination()
+            listener.wait_for(query)
+            assert len(query.recentProgress) <= 2
+        got = A.totals(spark, str(tmp_path / "account")).collect()
+        assert len(got) == 1 and got[0].n_runs == 2 and got[0].query_id == str(query.id)
+        assert got[0].rows_read == 26 and got[0].rows_late == late and got[0].n_batches >= 10
+        assert got[0].rows_seen == 26 and got[0].rows_rejected == 9  # 110, 111 and the second 110 lie above the bound
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
 def test_stream_drift_histograms_equal_batch_on_closed_windows(spark, tmp_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     edges = X.training_edges(ev.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp")))
@@ -98,7 +186,9 @@ def test_live_scores_equal_batch_scores(spark, tmp_path):
     train = bw.select("machine_id", F.col("end_seq").alias("end_timestep"), F.col("values").alias("features"),
                       (F.element_at("values", -1) > 50).cast("int").alias("label"))
     fitted = ML.fit_logistic(train)
-    want = {(r.machine_id, r.end_timestep): r.y_score for r in fitted.score(train).collect()}
+    events = tables.event_readings(spark, SF)
+    done = closed(spark, bw, events).select("machine_id", F.col("end_seq").alias("end_timestep"))
+    want = {(r.machine_id, r.end_timestep): r.y_score for r in fitted.score(train).join(done, ["machine_id", "end_timestep"]).collect()}
     X.run_available_now(X.live_scores(X.event_stream(spark, SF), fitted, 10, 5), "x1_scores", str(tmp_path / "ck5"))
     got = {(r.machine_id, r.end_timestep): r.y_score for r in spark.table("x1_scores").collect()}
     assert got.keys() == want.keys()

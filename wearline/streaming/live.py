@@ -2,10 +2,12 @@
 streams; these are its per-request window and drift checks run continuously).
 
 X1  live windows: last T readings per machine kept in state, one window every
-    S readings (``applyInPandasWithState``; the buffer is bounded by T).
+    S readings, in event-time order: rows wait in the state until the watermark
+    has passed them (``applyInPandasWithState`` with event-time timers).
 X2  drift per event-time window: watermark + tumbling window + histogram on
     fixed training edges; PSI per closed window.
-X3  row-quality routing of a stream (stateless P3 projection).
+X3  row-quality routing of a stream (stateless P3 projection); late and rejected
+    rows are kept per epoch by ``account``.
 
 Each has a batch twin (same semantics on a static DataFrame) used by the
 registered queries and by the stream = batch tests.
@@ -48,46 +50,64 @@ WINDOW_OUT = T.StructType([
     T.StructField("machine_id", T.LongType()), T.StructField("end_seq", T.LongType()),
     T.StructField("end_ts", T.TimestampType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
 WINDOW_STATE = T.StructType([
-    T.StructField("seq", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+    T.StructField("seq", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType())),
+    T.StructField("last_us", T.LongType()), T.StructField("wait_us", T.ArrayType(T.LongType())),
+    T.StructField("wait_id", T.ArrayType(T.LongType())), T.StructField("wait_value", T.ArrayType(T.DoubleType()))])
 
 
-def _window_fn(window_size: int, step_size: int, timeout_ms: int | None):
+def _window_fn(window_size: int, step_size: int, idle_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seq, held = -1, np.zeros(0)
+        upto = state.getCurrentWatermarkMs()
+        seq, held, last, us, ids, values = -1, np.zeros(0), -1, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if state.exists:
-            seq, vals = state.get
+            seq, vals, last, *waiting = state.get
             held = np.array(vals, dtype=np.float64)
-        batch = pd.concat([p for p in pdfs if len(p)]).sort_values(["ts", "event_id"])
-        new, ts = batch["value"].to_numpy(dtype=np.float64), batch["ts"].reset_index(drop=True)
-        series = np.concatenate((held, new))
+            us, ids, values = (np.array(w, dtype=t) for w, t in zip(waiting, (np.int64, np.int64, np.float64)))
+        if state.hasTimedOut and not len(us):
+            state.remove()  # silent for longer than a machine may be
+            return
+        for p in () if state.hasTimedOut else pdfs:
+            us = np.concatenate((us, p["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)))
+            ids = np.concatenate((ids, p["event_id"].to_numpy(dtype=np.int64)))
+            values = np.concatenate((values, p["value"].to_numpy(dtype=np.float64)))
+        order = np.lexsort((ids, us))
+        us, ids, values = us[order], ids[order], values[order]
+        # rows up to the watermark are complete: later ones so old are dropped (and counted) by Spark
+        n = int(np.searchsorted(us, upto * 1000, side="right"))
+        ready, at = values[:n], us[:n]
+        series = np.concatenate((held, ready))
         first = seq + 1 - len(held)                      # position of series[0]
-        ends = np.arange(seq + 1, seq + 1 + len(new))
+        ends = np.arange(seq + 1, seq + 1 + n)
         ends = ends[(ends >= window_size - 1) & ((ends - (window_size - 1)) % step_size == 0)]
-        state.update((int(seq + len(new)), series[-window_size:].tolist()))
-        if timeout_ms:
-            state.setTimeoutDuration(timeout_ms)
+        last = int(at[-1]) if n else int(last)
+        state.update((int(seq + n), series[-window_size:].tolist(), last, us[n:].tolist(), ids[n:].tolist(), values[n:].tolist()))
+        if n < len(us):
+            state.setTimeoutTimestamp(max(int(us[n]) // 1000, upto + 1))
+        elif idle_ms:
+            state.setTimeoutTimestamp(max(last // 1000 + idle_ms, upto + 1))
         if len(ends):
             windows = np.lib.stride_tricks.sliding_window_view(series, window_size)[ends - first - (window_size - 1)]
-            yield pd.DataFrame({"machine_id": int(key[0]), "end_seq": ends, "end_ts": ts.iloc[ends - (seq + 1)].to_numpy(),
-                                "values": list(windows)})
+            yield pd.DataFrame({"machine_id": int(key[0]), "end_seq": ends,
+                                "end_ts": pd.to_datetime(at[ends - (seq + 1)], unit="us"), "values": list(windows)})
     return fn
 
 
-def live_windows(events: DataFrame, window_size: int, step_size: int,
-                 idle_timeout_ms: int | None = None) -> DataFrame:
-    """Per machine, a window of the last T values every S readings.
+def live_windows(events: DataFrame, window_size: int, step_size: int, watermark: str = "1 day",
+                 idle_ms: int | None = None) -> DataFrame:
+    """Per machine, a window of the last T values every S readings, in event-time order.
 
-    ``idle_timeout_ms`` drops the buffer of a machine silent that long
-    (processing-time timeout, for long-running queries; an ``availableNow``
-    run must leave it off, or the query keeps running no-data batches).
+    Rows wait in the machine's state until the watermark has passed them, so they
+    take their place by (ts, event_id) however the files or batches arrive; rows
+    behind the watermark are dropped by Spark and counted (``account``). State per
+    machine: T values and the rows of one watermark delay. Rows without user or
+    time have no place in a window; ``route_events`` rejects them, here they are
+    left out. ``idle_ms`` forgets a machine whose last reading lies that far
+    behind the watermark (its positions then start anew).
     """
-    ev = events.select(F.col("user_id").alias("machine_id"), "event_id", "ts", "value")
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return ev.groupBy("machine_id").applyInPandasWithState(
-        _window_fn(window_size, step_size, idle_timeout_ms), WINDOW_OUT, WINDOW_STATE, "append", timeout)
+    ev = events.where("ts IS NOT NULL AND user_id IS NOT NULL").select(
+        F.col("user_id").alias("machine_id"), F.coalesce("event_id", F.lit(-1).cast("long")).alias("event_id"), "ts", "value")
+    return ev.withWatermark("ts", watermark).groupBy("machine_id").applyInPandasWithState(
+        _window_fn(window_size, step_size, idle_ms), WINDOW_OUT, WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_windows_batch(event_readings: DataFrame, window_size: int, step_size: int) -> DataFrame:
@@ -149,7 +169,8 @@ def route_events(events: DataFrame, lo: float = 0.0, hi: float = 100.0) -> DataF
     v = F.col("value")
     reason = (F.when(v.isNull() | F.isnan(v), F.lit("missing:value"))
                .when((v < lo) | (v > hi), F.lit("range:value"))
-               .when(F.col("user_id").isNull(), F.lit("missing:user_id")))
+               .when(F.col("user_id").isNull(), F.lit("missing:user_id"))
+               .when(F.col("ts").isNull(), F.lit("missing:ts")))
     return events.withColumn("reject_reason", reason)
 
 
@@ -162,7 +183,8 @@ def run_available_now(df: DataFrame, sink_name: str, checkpoint: str, mode: str
 
 
 def late_rows(query) -> int:
-    """Rows a finished or running query has dropped behind its watermark."""
+    """Rows dropped behind the watermark in the batches that the session still
+    remembers (the last hundred by default); ``account`` keeps them all."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
@@ -187,13 +209,13 @@ def drift_alerts(events: DataFrame, reference: DataFrame, out_path: str, checkpo
     return w.start()
 
 
-def live_scores(events: DataFrame, fitted, window_size: int, step_size: int,
-                idle_timeout_ms: int | None = None) -> DataFrame:
+def live_scores(events: DataFrame, fitted, window_size: int, step_size: int, watermark: str = "1 day",
+                idle_ms: int | None = None) -> DataFrame:
     """X1 scoring: every S readings a machine's last T values go through a fitted
     window classifier (``operators.models.FittedClassifier``; a JVM transform,
     valid on a streaming DataFrame). Output: model, machine_id, end_timestep,
     end_ts, y_true (0: unknown online), y_score."""
-    w = live_windows(events, window_size, step_size, idle_timeout_ms)
+    w = live_windows(events, window_size, step_size, watermark, idle_ms)
     feats = w.select("machine_id", F.col("end_seq").alias("end_timestep"), "end_ts",
                      F.col("values").alias("features"), F.lit(0).alias("label"))
     return fitted.score(feats, keep=["end_ts"])
