@@ -80,7 +80,7 @@ def test_replicates_equal_brute_force(spark, ties):
     s = np.round(np.clip(.4 * y + .6 * rng.random(n), 0, 1), ties)
     df = preds_df(spark, y, s).repartition(6)
     rows = df.select("model", F.col("y_score").alias("score"), F.col("y_true").alias("y"), F.lit(False).alias("__other"),
-                     *R.draw_key(F.col("machine_id"), seed=1))
+                     F.lit(1).cast("long").alias("__n"), *R.draw_key(F.col("machine_id"), seed=1))
     keys = {r.machine_id: (r["__a"], r["__b"]) for r in df.select("machine_id", *R.draw_key(F.col("machine_id"), seed=1)).collect()}
     w = R.weights(np.array([keys[i][0] for i in range(n)]), np.array([keys[i][1] for i in range(n)]), np.zeros(n, bool), reps, "poisson")
     assert abs(w[:, 1:].mean() - 1) < 0.05 and abs(w[:, 1:].var() - 1) < 0.1
@@ -109,3 +109,34 @@ def test_permutation_of_any_metric(spark):
     assert same.p_value == 1.0 and same.interpretation == I.NONE
     with pytest.raises(ValueError):
         I.permutation_tests(p, metric="nope")
+
+
+def test_sums_of_draws_have_the_right_law():
+    import numpy as np
+    from wearline.operators import resample as R
+    rng = np.random.default_rng(0)
+    u = rng.random((1, 200_000))
+    for c in (1, 2, 7, 300, 40_000):
+        w = R.quantiles(u, np.array([c]), "poisson")
+        assert abs(w.mean() - c) < 5 * (c / 2e5) ** .5 and abs(w.var() / c - 1) < 0.03
+        s = R.quantiles(u, np.array([c]), "swap")
+        assert s.min() >= 0 and s.max() <= c and abs(s.mean() - c / 2) < 5 * (c / 8e5) ** .5 and abs(s.var() / (c / 4) - 1) < 0.03
+
+
+def test_score_counts_agree_with_rows(spark):
+    """Both modes estimate the same sampling law; ties make the counts large."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n = 3000
+    y = rng.integers(0, 2, n)
+    a, b = (np.round(np.clip(.2 * y + .8 * rng.random(n), 0, 1), 1) for _ in range(2))
+    p = _pair(spark, y, a, b)
+    got = {by: {(r.model, r.metric): r for r in I.bootstrap_ci(p, n_samples=400, by=by).collect()} for by in ("rows", "scores")}
+    assert got["rows"].keys() == got["scores"].keys()
+    for k, r in got["rows"].items():
+        s = got["scores"][k]
+        assert abs(r["mean"] - s["mean"]) < 0.3 * r["std"] and abs(r["std"] / s["std"] - 1) < 0.2
+        assert abs(r.lower - s.lower) < 0.6 * r["std"] and abs(r.upper - s.upper) < 0.6 * r["std"]
+    perm = {by: I.permutation_test(p, "a", "b", n_permutations=400, by=by).first() for by in ("rows", "scores")}
+    assert perm["rows"].observed_diff == pytest.approx(perm["scores"].observed_diff)
+    assert abs(perm["rows"].p_value - perm["scores"].p_value) < 0.12

@@ -4,8 +4,8 @@ tests and bootstrap confidence intervals.
 * Paired model comparisons pivot the models of each window into one row
   (``groupBy(window key)``, one shuffle) instead of self-joining all model
   pairs; every pair's b/c counts are columns of one aggregation.
-* Resampling shuffles the rows once, into score order; tasks draw all
-  replicates of their rows and return sums per replicate (``resample``).
+* Resampling collapses equal rows (score and label), shuffles them once, into
+  score order; tasks draw all replicates and return sums per replicate (``resample``).
   Results are distributionally equal to the reference's NumPy draws, not
   draw-equal.
 """
@@ -113,6 +113,11 @@ REPLICATE_METRICS = ("accuracy", "precision", "recall", "f1", "specificity", "ba
                      "roc_auc", "pr_auc")
 
 
+def score_bits(score: str) -> Column:
+    """A score as a whole number (scores from 2^-52 apart differ), the same text in any engine."""
+    return F.floor(F.col(score) * float(1 << 52)).cast("long")
+
+
 def _with_metrics(cells: DataFrame) -> DataFrame:
     m = metrics_from_cells(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
     return cells.select("*", *[v.alias(k) for k, v in m.items()])
@@ -120,21 +125,36 @@ def _with_metrics(cells: DataFrame) -> DataFrame:
 
 def permutation_tests(preds: DataFrame, pairs: list[tuple[str, str]] | None = None, metric: str = "roc_auc",
                       n_permutations: int = 1000, seed: int = 42, threshold: float = 0.5,
-                      model_col: str = "model") -> DataFrame:
+                      model_col: str = "model", by: str = "scores") -> DataFrame:
     """Paired permutation tests of a metric's difference, all pairs in one job.
 
-    Replicate r swaps the two models' scores on a window when the window's draw
-    is below 1/2. p = share of replicates with |diff| >= observed, with its
-    reading (P10).
+    Replicate r swaps the two models' scores on a window with probability 1/2. p =
+    share of replicates with |diff| >= observed, with its reading (P10).
+    ``by="scores"`` draws how many of the windows with equal scores and label are
+    swapped (windows that one model of a pair has not scored are left out);
+    ``by="rows"``, the checked parity mode, draws for every window.
     """
     if metric not in REPLICATE_METRICS:
         raise ValueError(f"Unknown metric: {metric!r}")
     pairs = pairs or list(combinations(model_names(preds, model_col), 2))
     tags = F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b")) for a, b in pairs])).alias("p")
-    rows = preds.select(model_col, *KEY, F.col("y_score").cast("double").alias("score"), F.col("y_true").alias("y"), tags)
-    rows = rows.where(F.col(model_col).isin(F.col("p.model_a"), F.col("p.model_b"))).select(
-        "p.model_a", "p.model_b", "score", "y", (F.col(model_col) == F.col("p.model_b")).alias("__other"),
-        *draw_key(*[F.col(k) for k in KEY], seed=seed))
+    if by == "rows":
+        rows = preds.select(model_col, *KEY, F.col("y_score").cast("double").alias("score"), F.col("y_true").alias("y"), tags)
+        rows = rows.where(F.col(model_col).isin(F.col("p.model_a"), F.col("p.model_b"))).select(
+            "p.model_a", "p.model_b", "score", "y", (F.col(model_col) == F.col("p.model_b")).alias("__other"),
+            *draw_key(*[F.col(k) for k in KEY], seed=seed), F.lit(1).cast("long").alias("__n"))
+    else:
+        names = sorted({m for pair in pairs for m in pair})
+        wide = preds.groupBy(*KEY).agg(F.max("y_true").alias("y"), *[
+            F.max(F.when(F.col(model_col) == m, F.col("y_score").cast("double"))).alias(f"s{i}") for i, m in enumerate(names)])
+        both = F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"s{names.index(a)}").alias("sa"),
+                                            F.col(f"s{names.index(b)}").alias("sb")) for a, b in pairs])).alias("p")
+        cells = wide.select("y", both).where("p.sa IS NOT NULL AND p.sb IS NOT NULL").groupBy("p.model_a", "p.model_b", "p.sa", "p.sb", "y").agg(
+            F.count(F.lit(1)).alias("__n"))
+        sides = F.explode(F.array(F.struct(F.col("sa").alias("score"), F.lit(False).alias("other")),
+                                  F.struct(F.col("sb").alias("score"), F.lit(True).alias("other")))).alias("x")
+        rows = cells.select("model_a", "model_b", "y", "__n", *draw_key(score_bits("sa"), score_bits("sb"), F.col("y"), seed=seed), sides).select(
+            "model_a", "model_b", F.col("x.score").alias("score"), "y", F.col("x.other").alias("__other"), "__a", "__b", "__n")
     reps = _with_metrics(replicate_cells(rows, ["model_a", "model_b"], n_permutations, "swap", threshold))
     g = ["model_a", "model_b"]
     wide = reps.groupBy(*g, "rep").agg(*[F.max(F.when(F.col("side") == s, F.col(metric))).alias(f"metric_{n}")
@@ -150,22 +170,30 @@ def permutation_tests(preds: DataFrame, pairs: list[tuple[str, str]] | None = No
 
 
 def permutation_test(preds: DataFrame, model_a: str, model_b: str, n_permutations: int = 1000,
-                     seed: int = 42, model_col: str = "model", metric: str = "roc_auc") -> DataFrame:
+                     seed: int = 42, model_col: str = "model", metric: str = "roc_auc", by: str = "scores") -> DataFrame:
     """A20 for one pair."""
-    return permutation_tests(preds, [(model_a, model_b)], metric, n_permutations, seed, model_col=model_col)
+    return permutation_tests(preds, [(model_a, model_b)], metric, n_permutations, seed, model_col=model_col, by=by)
 
 
 def bootstrap_ci(preds: DataFrame, n_samples: int = 500, ci: float = 0.95, threshold: float = 0.5,
-                 seed: int = 42, group_cols=("model",)) -> DataFrame:
+                 seed: int = 42, group_cols=("model",), by: str = "scores") -> DataFrame:
     """Poisson(1) bootstrap of every float metric; single-class replicates skipped.
 
+    ``by="scores"`` draws the summed weight of the rows with equal score and label,
+    Poisson(count); ``by="rows"``, the checked parity mode, one weight a row.
     Output per (group, metric): mean, std (ddof 0), lower/upper percentiles
     (linear interpolation, as NumPy; over ``n_samples`` values), n_replicates.
     The threshold is not bootstrapped (it is a parameter, not a metric).
     """
     g = list(group_cols)
-    rows = preds.select(*g, F.col("y_score").cast("double").alias("score"), F.col("y_true").alias("y"), F.lit(False).alias("__other"),
-                        *draw_key(*[F.col(c) for c in g], *[F.col(k) for k in KEY], seed=seed))
+    y, score = F.col("y_true").alias("y"), F.col("y_score").cast("double").alias("score")
+    if by == "rows":
+        rows = preds.select(*g, score, y, F.lit(False).alias("__other"), F.lit(1).cast("long").alias("__n"),
+                            *draw_key(*[F.col(c) for c in g], *[F.col(k) for k in KEY], seed=seed))
+    else:
+        cells = preds.groupBy(*g, score, y).agg(F.count(F.lit(1)).alias("__n"))
+        rows = cells.select(*g, "score", "y", F.lit(False).alias("__other"), "__n",
+                            *draw_key(*[F.col(c) for c in g], score_bits("score"), F.col("y"), seed=seed))
     reps = _with_metrics(replicate_cells(rows, g, n_samples, "poisson", threshold))
     reps = reps.where((F.col("rep") > 0) & (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0))
     long = reps.select(*g, F.explode(F.array(*[

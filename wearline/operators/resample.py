@@ -10,6 +10,10 @@ all replicates of its rows as matrices and returns sums per replicate:
    part's first and last score may go on in the neighbouring part: they are
    returned apart and merged in a table of two rows per part.
 
+A row may stand for many equal ones (same score and label; for a swap the same
+two scores and label): its weight is then one draw of their sum, Poisson(count)
+or Binomial(count, 1/2), so the work follows distinct scores, not rows.
+
 Draws come from one md5 of the row's key: its halves a, b < 2^31 - 1 give
 replicate r the number x = a + r*b, then twice x = x^2 + (a, b) modulo
 2^31 - 1, as a share of the modulus. Any SQL engine can repeat them.
@@ -17,7 +21,9 @@ replicate r the number x = a + r*b, then twice x = x^2 + (a, b) modulo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +55,48 @@ def uniforms(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return x / MODULUS
 
 
-def weights(a: np.ndarray, b: np.ndarray, other: np.ndarray, n: int, kind: str) -> np.ndarray:
-    """Row weights, column 0 observed. ``poisson``: n + 1 columns. ``swap``: n + 1
-    columns of the first model's side, then n + 1 of the second's."""
+@lru_cache(maxsize=4096)
+def _cdf(kind: str, count: int) -> tuple[int, np.ndarray]:
+    """(k0, P(X <= k) for k = k0, k0 + 1, ...) of Poisson(count), or of Binomial(count,
+    1/2), over the stretch that holds all but 1e-30 of the mass."""
+    if count == 1:
+        return 0, np.array(poisson_cdf(1.0) if kind == "poisson" else [0.5, 1.0])
+    mean, sd = (count, count ** 0.5) if kind == "poisson" else (count / 2, count ** 0.5 / 2)
+    lo, hi = max(0, int(mean - 12 * sd - 20)), int(mean + 12 * sd + 20)
+    k = np.arange(lo, (hi if kind == "poisson" else min(hi, count)) + 1)
+    log_factorial = np.array([math.lgamma(i + 1.0) for i in k.tolist()])
+    if kind == "poisson":
+        log_p = -count + k * math.log(count) - log_factorial
+    else:
+        rest = np.array([math.lgamma(count - i + 1.0) for i in k.tolist()])
+        log_p = math.lgamma(count + 1.0) - log_factorial - rest - count * math.log(2.0)
+    return lo, np.cumsum(np.exp(log_p))
+
+
+def quantiles(u: np.ndarray, count: np.ndarray, kind: str) -> np.ndarray:
+    """Least k with P(X <= k) > u for each row's count (rows x draws)."""
+    out = np.empty(u.shape, dtype=np.int32)
+    for c in np.unique(count).tolist():
+        at = np.flatnonzero(count == c)
+        lo, cdf = _cdf(kind, c)
+        top = lo + len(cdf) - (kind == "swap")  # a binomial never exceeds its count
+        out[at] = np.minimum(lo + np.searchsorted(cdf, u[at], side="right"), top)
+    return out
+
+
+def weights(a: np.ndarray, b: np.ndarray, other: np.ndarray, n: int, kind: str, count: np.ndarray | None = None) -> np.ndarray:
+    """Weights of rows that stand for ``count`` equal ones (default 1), column 0
+    observed. ``poisson``: n + 1 columns, the sum of ``count`` Poisson(1) draws.
+    ``swap``: n + 1 columns of the first model's side, then n + 1 of the second's;
+    each of the ``count`` windows changes sides with probability 1/2."""
     u = uniforms(a, b, n)
+    count = np.ones(len(a), dtype=np.int32) if count is None else count.astype(np.int32)
     if kind == "poisson":
-        w = np.searchsorted(np.array(poisson_cdf(1.0)), u, side="right").astype(np.int32)
-        return np.concatenate((np.ones((len(a), 1), dtype=np.int32), w), axis=1)
-    mine = np.concatenate((np.zeros((len(a), 1), dtype=bool), u < 0.5), axis=1) ^ other[:, None]
-    return np.concatenate((~mine, mine), axis=1).astype(np.int32)
+        return np.concatenate((count[:, None], quantiles(u, count, kind)), axis=1)
+    moved = np.concatenate((np.zeros((len(a), 1), dtype=np.int32), count[:, None] - quantiles(u, count, kind)), axis=1)
+    stay = count[:, None] - moved
+    first = np.where(other[:, None], moved, stay)
+    return np.concatenate((first, count[:, None] - first), axis=1)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -72,19 +111,19 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _blocks(piece: pa.RecordBatch, n: int, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(score, y, weights) of blocks of rows with a bounded draw matrix."""
     step = max(1, CELLS_AT_ONCE // ((n + 1) * (2 if kind == "swap" else 1)))
-    score, y, other, a, b = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("score", "y", "__other", "__a", "__b"))
+    score, y, other, a, b, count = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("score", "y", "__other", "__a", "__b", "__n"))
     for i in range(0, len(score), step):
         at = slice(i, i + step)
-        yield score[at], y[at], weights(a[at], b[at], other[at].astype(bool), n, kind)
+        yield score[at], y[at], weights(a[at], b[at], other[at].astype(bool), n, kind, count[at])
 
 
 def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str, threshold: float) -> DataFrame:
     """(group..., rep, side, tp, fp, fn, tn, roc_auc, pr_auc) for replicates 0
     (observed) to n; ``preds`` has score, y, __other (second model of a pair),
-    __a, __b. side is 0, and 1 for the second model of a swap."""
+    __a, __b, and __n, the equal rows that one stands for. side is 0, and 1 for the second model of a swap."""
     g = list(group_cols)
     groups = store(preds.select(*g).distinct().withColumn("__g", F.monotonically_increasing_id()))
-    rows = preds.join(F.broadcast(groups), g).select("__g", "score", "y", "__other", "__a", "__b")  # models or pairs
+    rows = preds.join(F.broadcast(groups), g).select("__g", "score", "y", "__other", "__a", "__b", "__n")  # models or pairs
     width = (n + 1) * (2 if kind == "swap" else 1)
     # tasks are sized by draws, not by bytes
     spread = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() * width // DRAWS_A_TASK)
@@ -97,9 +136,9 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
             for piece in _pieces(batch):
                 key = (piece.column("__g")[0].as_py(), piece.column(PART)[0].as_py())
                 for score, y, w in _blocks(piece, n, kind):
-                    hit = (score >= threshold)[:, None]
-                    pos, neg = w * (y == 1)[:, None], w * (y == 0)[:, None]
-                    held[key] = held.get(key, 0) + np.stack([pos.sum(0), neg.sum(0), (pos * hit).sum(0), (neg * hit).sum(0)])
+                    hit = score >= threshold
+                    tp, fp, fn, tn = (w[(y == v) & h].sum(axis=0, dtype=np.int64) for h in (hit, ~hit) for v in (1, 0))
+                    held[key] = held.get(key, 0) + np.stack([tp + fn, fp + tn, tp, fp])
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in held], pa.int64()), pa.array([p for _, p in held], pa.int64()),
              *[pa.array([v[i].tolist() for v in held.values()], pa.list_(pa.int64())) for i in range(4)]],
@@ -120,9 +159,9 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
     # the last pass needs the rows of a part in order, in one place, after one row with the part's offsets
     nothing = F.lit(None).cast("array<long>")
     lead = parts.select("__g", F.lit(None).cast("double").alias("score"), F.lit(0).alias("y"), F.lit(False).alias("__other"),
-                        *[F.lit(0).cast("long").alias(c) for c in ("__a", "__b")], F.lit(-1).cast("long").alias(MARK), PART,
+                        *[F.lit(0).cast("long").alias(c) for c in ("__a", "__b", "__n")], F.lit(-1).cast("long").alias(MARK), PART,
                         "pos_above", "neg_above")
-    body = laid.select("__g", "score", "y", "__other", "__a", "__b", MARK, PART,
+    body = laid.select("__g", "score", "y", "__other", "__a", "__b", "__n", MARK, PART,
                        nothing.alias("pos_above"), nothing.alias("neg_above"))
     joined = lead.unionByName(body).repartition(max(1, parts.count()), "__g", PART).sortWithinPartitions("__g", PART, MARK)
 
@@ -182,8 +221,9 @@ class _Terms:
 
     def add(self, score: np.ndarray, y: np.ndarray, w: np.ndarray) -> None:
         new = np.concatenate(([0], np.flatnonzero(score[1:] != score[:-1]) + 1))
-        pos = np.add.reduceat(w * (y == 1)[:, None], new, axis=0).astype(np.float64)
-        neg = np.add.reduceat(w * (y == 0)[:, None], new, axis=0).astype(np.float64)
+        w = w.astype(np.float64)
+        pos = np.add.reduceat(w * (y == 1)[:, None], new, axis=0)
+        neg = np.add.reduceat(w, new, axis=0) - pos
         scores = score[new]
         if self.open is not None and self.open[0] == scores[0]:
             pos[0] += self.open[1]

@@ -482,7 +482,7 @@ rk AS (SELECT {keys}, max(P) AS P, max(N) AS N,
 N_BOOT, N_PERM = 500, 1000
 _CDF1 = P_.poisson_cdf(1.0)
 
-register("bootstrap_ci", f"""WITH {base()},
+register("bootstrap_ci_rows", f"""WITH {base()},
 {_draws("model || '-' || machine_id || '-' || end_timestep || '-42'", N_BOOT, 'model, y_true, y_score AS s', 'preds')},
 wt AS (SELECT model, rep, y_true, s, {' + '.join(f'CAST(u >= {c!r} AS INTEGER)' for c in _CDF1)} AS w FROM dr),
 ds AS (SELECT model, rep, s, SUM(w * y_true) AS pos, SUM(w * (1 - y_true)) AS neg FROM wt GROUP BY ALL),
@@ -494,11 +494,35 @@ pm AS (SELECT c.model, c.rep, {_metric_sql(15)}, rk.roc_auc, rk.pr_auc FROM cell
 lg AS (UNPIVOT pm ON {', '.join(I.REPLICATE_METRICS)} INTO NAME metric VALUE value)
 SELECT model, metric, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')}, {r6('quantile_cont(value, 0.025)', 'lower')},
        {r6('quantile_cont(value, 0.975)', 'upper')}, count(*) AS n_replicates FROM lg GROUP BY model, metric""")(
-    lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=N_BOOT)))
+    lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=N_BOOT, by="rows")))
+_BOOT_TAIL = SQL["bootstrap_ci_rows"][SQL["bootstrap_ci_rows"].index("ds AS (SELECT model, rep, s,"):]
 
 
-def _perm_sql(pairs: list[tuple[str, str]]) -> str:
-    """CTEs up to ``pt``: one row per pair with the permutation result."""
+def _bits(score: str) -> str:
+    return f"CAST(floor({score} * 4503599627370496) AS BIGINT)"
+
+
+def _cdf_sql(kind: str, src: str) -> str:
+    """cdf(c, k, p): P(X <= k) of Poisson(c) or Binomial(c, 1/2) for the counts c in ``src``."""
+    mean, sd = ("c", "sqrt(c)") if kind == "poisson" else ("c / 2.0", "sqrt(c) / 2.0")
+    last = "CAST(c + 12 * sqrt(c) + 20 AS BIGINT)" if kind == "poisson" else f"LEAST(c, CAST({mean} + 12 * {sd} + 20 AS BIGINT))"
+    log_p = "-c + k * ln(c) - lgamma(k + 1.0)" if kind == "poisson" else "lgamma(c + 1.0) - lgamma(k + 1.0) - lgamma(c - k + 1.0) - c * ln(2.0)"
+    return f"""kk AS (SELECT c, unnest(range(GREATEST(0, CAST({mean} - 12 * {sd} - 20 AS BIGINT)), {last} + 1)) AS k FROM (SELECT DISTINCT n AS c FROM {src})),
+cdf AS (SELECT c, k, sum(exp({log_p})) OVER (PARTITION BY c ORDER BY k) AS p FROM kk),
+c0 AS (SELECT c, min(k) AS k0, max(k) AS k1 FROM kk GROUP BY c)"""
+
+
+register("bootstrap_ci", f"""WITH {base()},
+cl AS (SELECT model, y_true, y_score AS s, count(*) AS n FROM preds GROUP BY ALL),
+{_cdf_sql('poisson', 'cl')},
+{_draws("model || '-' || " + _bits('s') + " || '-' || y_true || '-42'", N_BOOT, 'model, y_true, s, n', 'cl')},
+wt AS (SELECT dr.model, dr.rep, dr.y_true, dr.s, coalesce(cdf.k + 1, c0.k0) AS w
+       FROM dr JOIN c0 ON c0.c = dr.n ASOF LEFT JOIN cdf ON cdf.c = dr.n AND cdf.p <= dr.u),
+{_BOOT_TAIL}""")(lambda spark, sf: rounded(I.bootstrap_ci(_preds(spark, sf), n_samples=N_BOOT)))
+
+
+def _perm_rows_sql(pairs: list[tuple[str, str]]) -> str:
+    """CTEs up to ``pt``: one row per pair with the permutation result, a draw a window."""
     long = " UNION ALL ".join(
         f"SELECT '{a}' AS model_a, '{b}' AS model_b, machine_id, end_timestep, y_true, model = '{b}' AS other, y_score AS s FROM preds WHERE model IN ('{a}', '{b}')"
         for a, b in pairs)
@@ -516,10 +540,31 @@ pt AS (SELECT ob.model_a, ob.model_b, ob.metric_a, ob.metric_b, ob.observed_diff
        FROM ob JOIN dd ON dd.model_a = ob.model_a AND dd.model_b = ob.model_b WHERE dd.rep > 0 GROUP BY ALL)"""
 
 
+def _perm_sql(pairs: list[tuple[str, str]]) -> str:
+    """The same with one draw for all windows of equal scores and label."""
+    long = " UNION ALL ".join(
+        f"SELECT '{a}' AS model_a, '{b}' AS model_b, p.y_true, p.y_score AS sa, q.y_score AS sb, count(*) AS n FROM preds p JOIN preds q "
+        f"ON q.machine_id = p.machine_id AND q.end_timestep = p.end_timestep WHERE p.model = '{a}' AND q.model = '{b}' GROUP BY ALL" for a, b in pairs)
+    key = f"{_bits('sa')} || '-' || {_bits('sb')} || '-' || y_true || '-42'"
+    tail = _perm_rows_sql(pairs)
+    return f"""cl AS ({long}),
+{_cdf_sql('swap', 'cl')},
+{_draws(key, N_PERM, 'model_a, model_b, y_true, sa, sb, n', 'cl')},
+mv AS (SELECT dr.* EXCLUDE (u), dr.n - LEAST(coalesce(cdf.k + 1, c0.k0), c0.k1) AS moved
+       FROM dr JOIN c0 ON c0.c = dr.n ASOF LEFT JOIN cdf ON cdf.c = dr.n AND cdf.p <= dr.u
+       UNION ALL SELECT model_a, model_b, y_true, sa, sb, n, 0 AS rep, 0 AS moved FROM cl),
+sd AS (SELECT model_a, model_b, rep, y_true, sa AS s, 0 AS side, n - moved AS w FROM mv UNION ALL SELECT model_a, model_b, rep, y_true, sa, 1, moved FROM mv
+       UNION ALL SELECT model_a, model_b, rep, y_true, sb, 1, n - moved FROM mv UNION ALL SELECT model_a, model_b, rep, y_true, sb, 0, moved FROM mv),
+ds AS (SELECT model_a, model_b, rep, side, s, SUM(w * y_true) AS pos, SUM(w * (1 - y_true)) AS neg FROM sd GROUP BY ALL),
+{tail[tail.index("dc AS (SELECT *"):]}"""
+
+
+_PERM_OUT = f"""SELECT model_a, model_b, 'roc_auc' AS metric, {r6('metric_a', 'metric_a')}, {r6('metric_b', 'metric_b')},
+       {r6('observed_diff', 'observed_diff')}, {r6('p_value', 'p_value')}, {N_PERM} AS n_permutations, {_reading('p_value')} AS interpretation FROM pt"""
+register("permutation_test_rows", f"""WITH {base()}, {_perm_rows_sql([('a', 'b')])}
+{_PERM_OUT}""")(lambda spark, sf: rounded(I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=N_PERM, by="rows")))
 register("permutation_test", f"""WITH {base()}, {_perm_sql([('a', 'b')])}
-SELECT model_a, model_b, 'roc_auc' AS metric, {r6('metric_a', 'metric_a')}, {r6('metric_b', 'metric_b')},
-       {r6('observed_diff', 'observed_diff')}, {r6('p_value', 'p_value')}, {N_PERM} AS n_permutations, {_reading('p_value')} AS interpretation FROM pt""")(
-    lambda spark, sf: rounded(I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=N_PERM)))
+{_PERM_OUT}""")(lambda spark, sf: rounded(I.permutation_test(_preds(spark, sf), "a", "b", n_permutations=N_PERM)))
 
 
 # ---------------------------------------------------------------- readings
