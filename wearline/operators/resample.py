@@ -163,7 +163,7 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
                         "pos_above", "neg_above")
     body = laid.select("__g", "score", "y", "__other", "__a", "__b", "__n", MARK, PART,
                        nothing.alias("pos_above"), nothing.alias("neg_above"))
-    joined = lead.unionByName(body).repartition(max(1, parts.count()), "__g", PART).sortWithinPartitions("__g", PART, MARK)
+    joined = lead.unionByName(body).repartition(max(1, 4 * parts.count()), "__g", PART).sortWithinPartitions("__g", PART, MARK)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
@@ -185,8 +185,9 @@ def replicate_cells(preds: DataFrame, group_cols: list[str], n: int, kind: str,
         if now is not None:
             yield done()
 
-    out = joined.mapInArrow(terms, "__g long, score double, auc array<double>, ap array<double>, pos array<double>, "
-                                   "neg array<double>, pos_above array<double>, neg_above array<double>")
+    # read several times below: drawn once and stored (a few rows a part)
+    out = store(joined.mapInArrow(terms, "__g long, score double, auc array<double>, ap array<double>, pos array<double>, "
+                                   "neg array<double>, pos_above array<double>, neg_above array<double>"))
     cols = ("auc", "ap", "pos", "neg", "pos_above", "neg_above")
     out = out.select("__g", "score", F.posexplode(F.arrays_zip(*cols)).alias("col", "s")).select(
         "__g", "score", "col", *[F.col(f"s.{c}").alias(c) for c in cols])
