@@ -64,6 +64,24 @@ def test_all_null_columns(spark):
     assert html_extract.extract_pages(p).first()["text"] == ""
 
 
+def test_pages_and_vectors_row_for_row(spark):
+    """Empty tables, repeated rows and ids, extra columns with clashing names."""
+    page = "<article><p>One, two.</p></article>"
+    rows = [(1, "u", page, "x", 1), (1, "u", page, "x", 1), (1, "v", "", "y", 2), (None, None, None, None, None), (2, "w", "<p>" * 3000, "z", 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()), key=str)
+    assert out == sorted([(1, "u", "One, two.", 9)] * 2 + [(1, "v", "", 0), (None, None, "", 0), (2, "w", "", 0)], key=str)
+    assert html_extract.extract_pages(pages.where("false")).collect() == []
+    vecs = [(1, [1.0, 0.0], 0, 5, "a"), (1, [1.0, 0.0], 0, 5, "a"), (2, [1.0, 0.01], 0, 6, "b"), (3, [0.0, 0.0], 0, 7, None), (None, [1.0, 0.0], 0, 8, "c"),
+            (4, None, 1, None, None), (5, [1.0], 0, 1, "d"), (6, [], 0, 1, "e")]
+    vectors = spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int, node int, component_id string")
+    out = embedding_dedup.embedding_groups(vectors).collect()
+    assert sorted([r.vec_id for r in out], key=str) == sorted([v[0] for v in vecs], key=str)
+    assert {(r.n_links, r.component_id) for r in out if r.vec_id in (1, 2)} == {(3, 1)}
+    assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in out if r.vec_id in (3, 4, 5, 6))
+    assert embedding_dedup.embedding_groups(vectors.where("false")).collect() == []
+
+
 def test_pipeline_edges(spark, odd_docs, no_docs):
     for docs in (odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:

@@ -70,6 +70,43 @@ def test_unseen_elements(page, text):
     assert main_text(page) == text
 
 
+PROSE = "Search algorithms find an item, in a list, by looking at it again and again."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<article><h1>T</h1>{PARA}<h2 id="comments">Comments in C</h2>{PARA}</article>', f"T\n{PARA_TEXT}\nComments in C\n{PARA_TEXT}"),
+    (f'<article>{PARA}<p class="social">Social science</p>{PARA}</article>', f"{PARA_TEXT}\nSocial science\n{PARA_TEXT}"),
+    (f'<article>{PARA}<section id="search"><p>{PROSE}</p></section></article>', f"{PARA_TEXT}\n{PROSE}"),
+    (f'<article>{PARA}<div class="related"><p>{PROSE}</p></div>{PARA}</article>', f"{PARA_TEXT}\n{PROSE}\n{PARA_TEXT}"),
+    (f'<div id=content>{PARA * 3}<div class="search"><p>{PROSE}</p></div>{PARA}</div>', "\n".join([PARA_TEXT] * 3 + [PROSE, PARA_TEXT])),
+    (f'<article>{PARA}<section id="comments-in-c"><h2>Comments in C</h2>{PARA}</section></article>', f"{PARA_TEXT}\nComments in C\n{PARA_TEXT}"),
+    (f'<article>{PARA}<h2>References</h2><ul><li><a href=1>Smith, 2010</a><li><a href=2>Jones</a></ul></article>',
+     f"{PARA_TEXT}\nReferences\nSmith, 2010\nJones"),
+    (f'<article>{PARA}<p>Sources:</p><ul><li><a href=1>Smith</a></ul>{PARA}</article>', f"{PARA_TEXT}\nSources:\nSmith\n{PARA_TEXT}"),
+    (f'<article>{PARA}<ol><li><a href=1>First step</a></ol>{PARA}</article>', f"{PARA_TEXT}\nFirst step\n{PARA_TEXT}"),
+    # what the names still mark
+    (f'<article>{PARA}<section id="comments"><h2>Comments</h2>{PARA}</section></article>', PARA_TEXT),
+    (f'<article>{PARA}<div class=share><a>Tweet</a><a>Post</a></div><div class="related"><ul><li><a>A long title of another text, elsewhere'
+     ' on this site of ours</a></ul></div></article>', PARA_TEXT),
+    (f'<article>{PARA}<div class="newsletter">{PARA}</div><div class="cookie-notice">{PARA}</div></article>', PARA_TEXT),
+    (f'<article><ul><li><a>Home</a><li><a>News</a></ul>{PARA}<div><a>Older</a> <a>Newer</a></div></article>', PARA_TEXT),
+])
+def test_article_text_with_telling_names(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "</p>" * 50_000, "<li><div>" + "<center>" * 20_000 + "<dt><li>" * 20_000,
+                                  "<p>" * 50_000, "<td><b></td></div>" * 20_000])
+def test_bad_nesting_takes_linear_time(page):
+    import time
+    begin = time.process_time()
+    main_text(page)
+    whole = time.process_time() - begin
+    begin = time.process_time()
+    main_text(page[:len(page) // 4])
+    assert whole < 8 * (time.process_time() - begin) + 0.5
+
+
 def test_many_unclosed_elements():
     assert main_text("<p>a" + "<svg>" * 20_000 + "b</p>") == "ab"
 

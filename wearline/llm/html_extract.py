@@ -6,7 +6,13 @@ only. Text runs between block borders are blocks. Each block passes points
 container's points are discounted by its link density. The best container
 and those siblings that score like content are kept, without the parts that
 markup or names mark as menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments, and without lists that consist of links.
+forms or reader comments. Names count on containers only, never on headings,
+paragraphs or list items, and not where an id merely spells its section's
+heading. Names that are topics as well ("search", "related", "social") count
+inside the article only on parts that are mostly links or hold no more than a
+phrase. A list of links goes unless it stands in the flow of the prose: under
+a heading, after a colon, or with prose before and after it. Time is linear in
+the length of the page, however badly it is nested.
 
 Defined results: null or empty html, or html without visible text, gives an
 empty text of length 0; unclosed and stray tags are tolerated; a null url or
@@ -57,12 +63,21 @@ JUNK_STEM = re.compile(r"^(advert|banner|breadcrumb|comment|cookie|disqus|footer
                        r"(adbox|adblock|footer|header|navbar|nav|menu|sidebar|comments?|banner|popup)$")
 #: Names that page wrappers bear as well.
 LAYOUT_NAMES = frozenset("widget widgets side sidebar header social share search related modal overlay login form hidden top".split())
+#: Names that an article's parts bear as topics.
+TOPIC_NAMES = frozenset("""alert alerts discussion form forms header hidden login menu menus modal notice notices overlay promotion recommended
+recommendations register related reply respond search share sharing side skip social top widget widgets""".split())
+#: Elements whose names count.
+NAMED = frozenset("""address article center dd details dialog dir div dl fieldset figure form main menu ol section summary table tbody td
+th tr ul""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 ARTICLE = frozenset(("article", "main"))
 # -----------------------------------------------
 
 LEVELS = 5
 SENTENCE_END = ".!?…"
+#: A part with a topic's name is content above so many characters and below such a share of links.
+PHRASE, LINKED = 60, 0.3
 
 
 class Page:
@@ -71,6 +86,8 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.up, self.kind = ["#"], [-1], [0]  # kind: 1 junk by markup, 2 and 3 junk by name
         self.style = [""]  # class names as written
+        self.soft = [False]  # junk names that are topics as well
+        self.spelled = [""]  # the id's words, where the id alone names junk
         self.texts: list[tuple[int, str, int]] = []  # (element, text, characters in links)
         self._build(source)
 
@@ -78,6 +95,43 @@ class Page:
         stack, links, run, at, end = [0], 0, [], 0, len(source)
         linked: list[tuple[bool, str]] = run
         ends: dict[str, dict[int, int]] = {}
+        opened: dict[str, int] = {}            # open elements by name, in all and since the last scope
+        inner: list[dict[str, int]] = [{}]
+
+        def push(name: str) -> None:
+            stack.append(len(self.tag) - 1)
+            opened[name] = opened.get(name, 0) + 1
+            inner[-1][name] = inner[-1].get(name, 0) + 1
+            if name in SCOPES:
+                inner.append({})
+
+        def pop_to(depth: int) -> None:
+            while len(stack) > depth:
+                name = self.tag[stack.pop()]
+                if name in SCOPES:
+                    inner.pop()
+                opened[name] -= 1
+                inner[-1][name] -= 1
+
+        def close_implied(name: str) -> None:
+            """Implied end tags: a paragraph ends at any block; list items and cells at their next."""
+            top = self.tag[stack[-1]]
+            if top == "p" or top in HEADINGS and name in HEADINGS:
+                pop_to(len(stack) - 1)
+            targets = CLOSES.get(name, ())
+            # a scope itself may be what closes (a cell by the next cell)
+            while len(stack) > 1:
+                if any(inner[-1].get(t) for t in targets):
+                    depth = len(stack) - 1
+                    while self.tag[stack[depth]] not in targets:
+                        depth -= 1
+                    pop_to(depth)
+                elif len(inner) > 1 and inner[-1] is not inner[0] and self.tag[scope()] in targets:
+                    pop_to(len(stack) - 1 - sum(inner[-1].values()))
+                return
+
+        def scope() -> int:
+            return stack[len(stack) - 1 - sum(inner[-1].values())]
 
         def flush() -> None:
             if run:
@@ -119,24 +173,27 @@ class Page:
                     links = 1
                 if name in BLOCKS:
                     flush()
-                    self._close(stack, name)
+                    close_implied(name)
                     links = 0
                     if name not in VOID:
                         self.tag.append(name)
                         self.up.append(stack[-1])
-                        self.kind.append(self._kind(name, m[3]))
+                        kind, soft, spelled = self._kind(name, m[3])
+                        self.kind.append(kind)
+                        self.soft.append(soft)
+                        self.spelled.append(spelled)
                         style = CLASS.search(m[3])
                         self.style.append(style[1] if style else "")
-                        stack.append(len(self.tag) - 1)
+                        push(name)
             elif name == "a":
                 links = 0
-            elif name in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == name:
-                        flush()
-                        del stack[depth:]
-                        links = 0
-                        break
+            elif opened.get(name):
+                flush()
+                depth = len(stack) - 1
+                while self.tag[stack[depth]] != name:
+                    depth -= 1
+                pop_to(depth)
+                links = 0
         flush()
 
     @staticmethod
@@ -152,38 +209,35 @@ class Page:
                 found[opened.pop()] = m.end()
         return found
 
-    def _close(self, stack: list[int], name: str) -> None:
-        """Implied end tags: a paragraph ends at any block; list items and cells at their next."""
-        if self.tag[stack[-1]] == "p" or self.tag[stack[-1]] in ("h1", "h2", "h3", "h4", "h5", "h6") and name[0] == "h":
-            stack.pop()
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] in CLOSES.get(name, ()):
-                del stack[depth:]
-                return
-            if self.tag[stack[depth]] in SCOPES:
-                return
-
     @staticmethod
-    def _kind(name: str, attrs: str) -> int:
+    def _kind(name: str, attrs: str) -> tuple[int, bool, str]:
+        """(kind, soft, spelled id): see ``__init__``."""
         if name in JUNK_TAGS:
-            return 1
+            return 1, False, ""
         if not attrs or name in ("html", "body"):
-            return 0
+            return 0, False, ""
+        by: dict[str, list[str]] = {}
+        spelled_id = ""
         for key, value in ATTR.findall(attrs):
             key, spelled = key.lower(), value.strip("\"'")
             value = spelled.lower()
             if key == "hidden" or key == "aria-hidden" and value == "true":
-                return 1
+                return 1, False, ""
             if key == "role" and value in JUNK_ROLES or key == "style" and re.search(r"display\s*:\s*none", value):
-                return 1
-            if key in ("class", "id"):
+                return 1, False, ""
+            if key in ("class", "id") and name in NAMED:
                 names = NAME_BREAK.sub(" ", spelled).lower().split()
                 if name in ARTICLE:  # an article is junk only as a reader's comment
                     if not COMMENT_NAMES.isdisjoint(names):
-                        return 1
+                        return 1, False, ""
                 elif hits := [x for x in names if x in JUNK_NAMES or JUNK_STEM.search(x)]:
-                    return 2 if LAYOUT_NAMES.issuperset(hits) else 3
-        return 0
+                    by[key] = hits
+                    if key == "id" and len(hits) < len(names):
+                        spelled_id = " ".join(names)
+        hits = [h for hs in by.values() for h in hs]
+        if not hits:
+            return 0, False, ""
+        return 2 if LAYOUT_NAMES.issuperset(hits) else 3, TOPIC_NAMES.issuperset(hits), spelled_id if "class" not in by else ""
 
     def main_text(self) -> str:
         texts, up, tag = self.texts, self.up, self.tag
@@ -193,12 +247,29 @@ class Page:
         for i in range(1, n):
             cut[i] = cut[i] or cut[up[i]]
         size = self._sums([(e, len(t)) for e, t, _ in texts if not cut[e]])
+        linked = self._sums([(e, l) for e, _, l in texts if not cut[e]])
+        # an id that spells its section's heading names no junk
+        heads: dict[int, str] = {}
+        for e, t, _ in texts:
+            if tag[e] in HEADINGS and self.spelled[up[e]]:
+                heads.setdefault(up[e], " ".join(re.sub(r"[^a-z0-9]+", " ", t.lower()).split()))
+        titled = [bool(s) and heads.get(i, "") == s for i, s in enumerate(self.spelled)]
         # a name marks junk, unless the element holds the article or, where no tag names one, most of the page
         articles = self._sums([(i, 1) for i in range(1, n) if tag[i] in ARTICLE and not cut[i]])
         blocks = self._sums([(e, 1) for e, _, _ in texts if not cut[e]])
-        for i in range(1, n):
-            most = not articles[0] and blocks[i] >= 3 and size[i] > (0.6 if self.kind[i] == 2 else 0.9) * size[0]
-            cut[i] = cut[i] or cut[up[i]] or self.kind[i] > 1 and not articles[i] and not most
+        markup, whole = cut, size
+
+        def named(home: int) -> list[bool]:
+            """Junk by markup or name; ``home``: where topics' names need more than the name."""
+            cut, at_home = list(markup), [i == home for i in range(n)]
+            for i in range(1, n):
+                at_home[i] = at_home[i] or at_home[up[i]] or tag[i] in ARTICLE
+                most = not articles[0] and blocks[i] >= 3 and whole[i] > (0.6 if self.kind[i] == 2 else 0.9) * whole[0]
+                topic = at_home[up[i]] and self.soft[i] and whole[i] > PHRASE and linked[i] <= LINKED * whole[i]
+                cut[i] = cut[i] or cut[up[i]] or self.kind[i] > 1 and not articles[i] and not most and not topic and not titled[i]
+            return cut
+
+        cut = named(-1)
         live = [(e, t, l) for e, t, l in texts if not cut[e]]
         if not live:
             return ""
@@ -220,6 +291,11 @@ class Page:
             node = up[node]
         if node > 0:
             best = node  # the article that holds the best container
+        elif best > 0:
+            cut = named(best)
+            live = [(e, t, l) for e, t, l in texts if not cut[e]]
+            size = self._sums([(e, len(t)) for e, t, _ in live])
+            in_links = self._sums([(e, l) for e, _, l in live])
         keep = {best}
         last = {e: t[-1] for e, t, _ in live}
         if best > 0:
@@ -230,11 +306,28 @@ class Page:
                     prose = tag[i] == "p" and (size[i] > 80 or last.get(i, ' ') in SENTENCE_END) or tag[i] in ("h1", "h2", "h3")
                     if tag[i] in ARTICLE or tag[best] not in ARTICLE and (score[i] >= least or alike or prose):
                         keep.add(i)
-        inside = [False] * n
+        inside, lists = [False] * n, [0] * n  # lists: the topmost list of links that holds the element
         for i in range(n):
-            link_list = tag[i] in ("ul", "ol", "dl", "table", "div", "section") and size[i] and in_links[i] > 0.6 * size[i]
-            inside[i] = i in keep or i > 0 and inside[up[i]] and not link_list
-        return "\n".join(t for e, t, _ in live if inside[e])
+            of_links = tag[i] in ("ul", "ol", "dl", "table", "div", "section") and size[i] and in_links[i] > 0.6 * size[i]
+            inside[i] = i in keep or i > 0 and inside[up[i]]
+            if i > 0 and i not in keep and inside[i]:
+                lists[i] = lists[up[i]] or (i if of_links else 0)
+        shown = [(e, t) for e, t, _ in live if inside[e]]
+        return "\n".join(t for (e, t), stays in zip(shown, self._in_flow(shown, lists)) if stays)
+
+    def _in_flow(self, shown: list[tuple[int, str]], lists: list[int]) -> list[bool]:
+        """Whether each block stays: lists of links only under a heading, after a
+        colon, or with prose before and after them."""
+        flow = [not lists[e] and self.tag[e] not in HEADINGS for e, _ in shown]
+        first, last = (flow.index(True), len(flow) - 1 - flow[::-1].index(True)) if any(flow) else (0, -1)
+        stays, kept = [], {}
+        for k, (e, _) in enumerate(shown):
+            if lists[e] and lists[e] not in kept:
+                before = shown[k - 1] if k else None
+                led = before is not None and not lists[before[0]] and (self.tag[before[0]] in HEADINGS or before[1].endswith(":"))
+                kept[lists[e]] = led or first < k < last
+            stays.append(not lists[e] or kept[lists[e]])
+        return stays
 
     def _sums(self, parts: list[tuple[int, int]]) -> list[int]:
         """Totals over whole subtrees."""
