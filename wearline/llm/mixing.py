@@ -2,8 +2,10 @@
 
 Documents are counted into cells (source, language, topic) by tokens. Target
 marginals are tempered shares (tokens ** exponent, normalised) or given
-shares. Raking multiplies the cell weights, marginal by marginal, until they
-meet the targets. A document's probability is its cell's raked weight per
+shares. Raking multiplies the cell weights, marginal by marginal, until the
+largest error of a marginal is below ``TOLERANCE``; targets that no weights meet
+(a wanted category without tokens) end it when the error no longer falls. A
+document's probability is its cell's raked weight per
 token, scaled so that ``rate`` of all tokens is expected and capped at 1 (the
 scale that keeps the expectation is found exactly over the ordered cells); it
 is kept when a hash of its id, spread over [0, 1), falls below it.
@@ -26,6 +28,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wearline.operators.sequence import MARK, PART, lay_out
+
 from .common import stored
 from .quality_rules import words_of
 
@@ -39,7 +43,10 @@ TOPICS = (
 OTHER = "general"
 # -------------------------------------------------------
 DIMS = ("source", "lang", "topic")
-ROUNDS, ROUNDS_A_PLAN = 12, 4
+#: Rounds between two looks at the marginals; the error that counts as met.
+ROUNDS_A_PLAN, TOLERANCE = 8, 1e-10
+#: An error that falls by less than this share between two looks falls no longer.
+STALLED = 1e-6
 MAX_BROADCAST_CELLS = 50_000
 NONE = "<null>"
 
@@ -88,30 +95,48 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]]) -
         # each category's raw share once: its cells carry 1/n of it
         now = now.withColumn(f"__t_{d}", F.col("__raw") / F.sum(F.col("__raw") / F.col("__n")).over(total)).drop("__raw", "__n")
     now = stored(now)
-    for i in range(ROUNDS):
-        for d in DIMS:
-            have = F.sum("weight").over(Window.partitionBy(d))
-            now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"__t_{d}") / have).otherwise(0.0))
-        if (i + 1) % ROUNDS_A_PLAN == 0:
-            now = stored(now)
-    return now.select(*DIMS, "tokens", "weight")
+    error = float("inf")
+    while True:
+        for _ in range(ROUNDS_A_PLAN):
+            for d in DIMS:
+                have = F.sum("weight").over(Window.partitionBy(d))
+                now = now.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"__t_{d}") / have).otherwise(0.0))
+        now = stored(now)
+        last, error = error, marginal_error(now)
+        if error < TOLERANCE or error > (1 - STALLED) * last:
+            return now.select(*DIMS, "tokens", "weight")
+
+
+def marginal_error(cells: DataFrame) -> float:
+    """The largest distance of a marginal share of ``weight`` from its target; one
+    number to the driver (0 for no cells)."""
+    off = [cells.groupBy(d).agg(F.abs(F.sum("weight") - F.max(f"__t_{d}")).alias("e")).select("e") for d in DIMS]
+    return off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("e")).first()[0] or 0.0
 
 
 def probabilities(raked: DataFrame, rate: float) -> DataFrame:
     """(source, lang, topic, probability): ratio of raked to present share, scaled
     to an expected ``rate`` of all tokens with a cap of 1."""
-    total = Window.partitionBy()
-    r = raked.withColumn("__all", F.sum("tokens").over(total)).withColumn("ratio", F.col("weight") * F.col("__all") / F.col("tokens"))
-    order = Window.orderBy(F.desc("ratio"), *DIMS)
-    capped = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum(F.col("tokens") * F.col("ratio")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    r = r.withColumn("__scale", (F.lit(rate) * F.col("__all") - capped) / rest).withColumn("__at", F.row_number().over(order))
+    whole = raked.agg(F.sum("tokens")).first()[0] or 0.0
+    ratio = F.col("weight") * F.lit(whole) / F.col("tokens")
+    # prefix sums over range partitions in falling order of the ratio: a table of parts gives the offsets
+    laid = lay_out(raked.withColumn("ratio", ratio), [], [F.desc("ratio"), *DIMS])
+    scaled = F.col("tokens") * F.col("ratio")
+    parts = laid.groupBy(PART).agg(F.sum("tokens").alias("t"), F.sum(scaled).alias("s"))
+    ahead = Window.orderBy(PART)  # one row a part
+    parts = stored(parts.select(PART, F.coalesce(F.sum("t").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__above"),
+                                F.coalesce(F.sum("s").over(ahead.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("__below")))
+    here = Window.partitionBy(PART).orderBy(MARK)
+    r = laid.join(F.broadcast(parts), PART)
+    capped = F.col("__above") + F.coalesce(F.sum("tokens").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.col("__below") + F.sum(scaled).over(here.rowsBetween(0, Window.unboundedFollowing))
+    r = r.withColumn("__scale", (F.lit(rate * whole) - capped) / rest)
     # cells before the first one whose scaled ratio stays below 1 are capped
-    fits = F.when(F.col("__scale") * F.col("ratio") <= 1, F.struct("__at", "__scale"))
-    r = r.withColumn("__first", F.min(fits).over(total))
-    scale = F.col("__first")["__scale"]
-    p = F.when(F.col("__first").isNull() | (F.col("__at") < F.col("__first")["__at"]), F.lit(1.0)).otherwise(scale * F.col("ratio"))
-    return r.select(*DIMS, p.alias("probability"))
+    first = r.where(F.col("__scale") * F.col("ratio") <= 1).agg(F.min(F.struct(MARK, "__scale")).alias("f")).select("f.*").first()
+    if first is None or first[0] is None:
+        return laid.select(*DIMS, F.lit(1.0).alias("probability"))
+    p = F.when(F.col(MARK) < first[0], F.lit(1.0)).otherwise(F.lit(first[1]) * F.col("ratio"))
+    return laid.select(*DIMS, p.alias("probability"))
 
 
 def sampling_table(df: DataFrame, targets: Mapping[str, float | Mapping[str, float]], rate: float, text_col: str = "text",

@@ -152,6 +152,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Tempering exponents of the production mix, and the share of tokens to keep.
 MIX_TARGETS = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 MIX_RATE = 0.5
+SQL_ROUNDS = 60
 
 
 @register
@@ -161,30 +162,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_sql() -> str:
-    """The raking rounds as a chain of common table expressions."""
+    """Raking by recursion, with rounds to spare."""
     topic = "CASE " + " ".join(
         f"WHEN {' OR '.join(f'contains(text, {sql_text(p)})' for p in ps)} THEN {sql_text(t)}" for t, ps in mixing.TOPICS
     ) + f" ELSE {sql_text(mixing.OTHER)} END"
-    steps, at = [], "c0"
-    for i in range(mixing.ROUNDS):
-        for d in mixing.DIMS:
-            new = f"c{i}_{d}"
-            steps.append(f"{new} AS (SELECT * REPLACE (weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {at})")
-            at = new
+    at = "(SELECT * FROM r)"
+    for d in mixing.DIMS:
+        at = f"(SELECT * REPLACE (weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {at})"
     shares = ", ".join(f"m_{d}.t AS t_{d}" for d in mixing.DIMS)
     joins = " ".join(f"JOIN m_{d} ON m_{d}.{d} = cells.{d}" for d in mixing.DIMS)
     margins = ", ".join(
         f"r_{d} AS (SELECT {d}, pow(sum(tokens) / (SELECT sum(tokens) FROM cells), {MIX_TARGETS[d]}) AS raw FROM cells GROUP BY {d}), "
         f"m_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS t FROM r_{d})" for d in mixing.DIMS)
     return rf"""
-WITH d AS (SELECT doc_id, source AS s0, lang AS l0, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, {topic} AS topic,
+WITH RECURSIVE d AS (SELECT doc_id, source AS s0, lang AS l0, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang, {topic} AS topic,
                   CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens
            FROM documents),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 {margins},
-c0 AS (SELECT cells.*, tokens / sum(tokens) OVER () AS weight, {shares} FROM cells {joins}),
-{", ".join(steps)},
-q AS (SELECT *, sum(tokens) OVER () AS total, weight * sum(tokens) OVER () / tokens AS ratio FROM {at}),
+r AS (SELECT cells.*, tokens / sum(tokens) OVER () AS weight, {shares}, 0 AS round FROM cells {joins}
+      UNION ALL (SELECT * REPLACE (round + 1 AS round) FROM {at} WHERE round < {SQL_ROUNDS})),
+q AS (SELECT *, sum(tokens) OVER () AS total, weight * sum(tokens) OVER () / tokens AS ratio FROM r WHERE round = {SQL_ROUNDS}),
 o AS (SELECT *, row_number() OVER w AS pos,
              ({MIX_RATE} * total - coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(tokens * ratio) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
