@@ -75,8 +75,50 @@ def test_chunks_are_shared():
     own = ChunkCodec(tokenizer_path(WORD_MODEL))
     rng = random.Random(3)
     body = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(2000))
-    a, b = set(own.pieces("first words " + body)), set(own.pieces("another, longer beginning " + body))
-    assert "".join(own.pieces(body)) == body and len(a & b) > 0.9 * len(a)
+    a, b = set(own.chunked("first words " + body)), set(own.chunked("another, longer beginning " + body))
+    assert "".join(own.chunked(body)) == body and len(a & b) > 0.8 * len(a)
+
+
+def test_kept_chunks_give_the_same_ids(monkeypatch):
+    """Chunks met before, in other texts and calls, are reused; a small cache only forgets."""
+    from wearline.llm import bpe_codec
+    lib = ChunkCodec(tokenizer_path(WORD_MODEL)).lib
+    rng = random.Random(5)
+    shared = " ".join("".join(rng.choices("abcdefgh,.", k=rng.randint(1, 9))) for _ in range(900))
+    texts = [f"Text {i} begins. {shared[rng.randint(0, 40):]}\nand ends {i}" for i in range(12)]
+    for limit in (24 << 20, 3000):
+        monkeypatch.setattr(bpe_codec, "CACHE_BYTES", limit)
+        own = ChunkCodec(tokenizer_path(WORD_MODEL))
+        for t in texts:
+            assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert own.reused > (0.5 * own.met if limit > 3000 else 0) and own.held <= limit
+
+
+def test_joins_without_blanks_near_them():
+    """Words longer than several chunks: one join spans them all."""
+    own = ChunkCodec(tokenizer_path(WORD_MODEL))
+    rng = random.Random(6)
+    for text in ("".join(rng.choices("abcdefghij\u0301.,", k=9000)), "a " + "".join(rng.choices("xyz", k=5000)) + " b " + "q" * 3000,
+                 "".join(rng.choices(["a", "b", "cd", " "], weights=[40, 30, 20, 1], k=4000))):
+        assert len(own.chunked(text)) > 1
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_a_window_grows_until_it_agrees():
+    from wearline.llm.bpe_codec import Join
+    own = ChunkCodec(tokenizer_path(WORD_MODEL))
+    join = Join(["one two three fo", "ur five six seven"], 1)
+    ids = lambda t: np.array(own.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert join.window() == "three four five"
+    join.settle(ids("tree four five"), own)  # other ids on the left than the chunk has
+    assert join.ids is None and join.window() == "two three four five six"
+    join.settle(ids(join.window()), own)
+    assert join.ids == ids("four")
+    for _ in range(3):
+        if not join.all:
+            join.grow()
+    with pytest.raises(ValueError):
+        join.settle(b"", own)
 
 
 def repeated_removed(texts, window):
