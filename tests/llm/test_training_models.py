@@ -394,11 +394,52 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in secrets.sampled(df).collect()]
     assert len(got) == len(set(got)) == 50 and {i is None for i, _ in got} == {True, False}
-    seen = []
-    monkeypatch.setattr(secrets.Chain, "fit", lambda chains: seen.extend(chains))
-    secrets.fit(df)
-    assert len(seen) == 50
-    assert secrets.sampled(df.limit(0)).count() == 0
+    assert len(secrets.training_chains(df)) == 50
+    monkeypatch.setattr(secrets, "TRAIN_CHAINS", 20)
+    some = secrets.training_chains(df)
+    assert len(some) == 20 and some == secrets.training_chains(df.repartition(5))
+    assert secrets.sampled(df.limit(0)).count() == 0 and secrets.training_chains(df.limit(0)) == []
+
+
+def test_chains_come_from_whole_texts(spark, monkeypatch):
+    """Regions far into a text, and words far into a region, teach like the first ones."""
+    long = " ".join(f"w{i} = {i}" for i in range(2000)) + " plain text without any mark " * 3
+    apart = " plain words of prose, and more of them ".join(f"token={i:08d}" for i in range(300))
+    df = spark.createDataFrame([(1, long), (2, apart)], "doc_id long, text string")
+    chains = secrets.training_chains(df)
+    regions = sum(-(-len(w) // secrets.REGION) for t in (long, apart) for w in secrets.regions(t)[0])
+    assert len(chains) == regions > 400 and max(len(t) for _, _, t in chains) == secrets.REGION
+    # the sum of slices is the gradient of all
+    feats = [(f, t) for _, f, t in chains[:60]]
+    whole = secrets.Chain.fit(feats)
+    monkeypatch.setattr(secrets, "SLICE", 7)
+    assert np.allclose(secrets.Chain.fit(feats).emit, whole.emit, atol=1e-6)
+
+
+def test_key_words_beside_letters_that_change_length():
+    for text in ("his password hunter was here", "\u0130 his password hunter was here", "\u0130x API_KEY y"):
+        runs, _ = secrets.regions(text)
+        marked = {text[a:b] for run in runs for a, b in run if secrets.is_marked(text[a:b])}
+        assert marked == ({"password"} if "password" in text else {"API_KEY"})
+
+
+def test_secrets_that_no_pattern_knows(spark):
+    """Fitted on base spans, the chain finds secrets without key words, and no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = random.Random(4)
+    found = total = extra = 0
+    for r in docs.collect():
+        words = (r.text or "").split(" ")
+        extra += sum(k == "crf" for k, _, _ in secrets.scan(r.text or "", model))
+        if 30 < len(words) < 2000:
+            secret = rng.choice(["".join(rng.choices("ABCDEFGHabcdefgh0123456789", k=32)), f"{rng.getrandbits(160):040X}",
+                                 "sk-" + "".join(rng.choices("abcdefghijkl0123456789", k=36))])
+            i = rng.randint(1, len(words) - 1)
+            text, at = " ".join(words[:i] + [secret] + words[i:]), len(" ".join(words[:i])) + 1
+            total += 1
+            found += any(a <= at and b >= at + len(secret) for _, a, b in secrets.scan(text, model))
+    assert total > 300 and found > 0.6 * total and extra <= 0.01 * total
 
 
 def test_secret_query(spark):
