@@ -91,6 +91,18 @@ def test_pipeline_edges(spark, odd_docs, no_docs):
             out.count()
 
 
+def test_one_of_rows_that_share_an_id(spark):
+    """Equal ids with other texts, rows equal in all columns, rows that differ in one."""
+    text = "some words that stand in both of the texts here"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (2, text, "c"), (1, "quite another text with other words in it", "d"),
+            (None, "rows without an id stand alone as well", "e"), (None, "rows without an id stand alone as well", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted((str(r.doc_id), r.text, r.source) for r in simhash.keep_one(df).collect())
+    assert len(first) == 3 and {t for _, t, _ in first} == {t for _, t, _ in rows}
+    for k in (2, 5):
+        assert sorted((str(r.doc_id), r.text, r.source) for r in simhash.keep_one(df.repartition(k)).collect()) == first
+
+
 def test_registered():
     names = E.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

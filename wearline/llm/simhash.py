@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, pick, released, slices, stored
+from .common import map_rows, pick, released, stored
 from .components import components
 
 #: Members of one block of a key group.
@@ -55,15 +55,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(">u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, **carried: str) -> DataFrame:
+    """(doc_id, fp long) of every row; ``fp`` holds the 64 bits as a signed long.
+    ``carried`` (role=column) stays beside them."""
 
     def run(cols: dict) -> dict:
         fp = np.array([fingerprint(t, shingle) for t in cols["text"]], dtype=np.uint64).view(np.int64)
-        return {"doc_id": cols["doc_id"], "fp": fp}
+        return {"doc_id": cols["doc_id"], "fp": fp, **{c: cols[c] for c in carried}}
 
-    src = pick(df, doc_id=id_col, text=text_col)
-    return map_rows(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
+    src = pick(df, doc_id=id_col, text=text_col, **carried)
+    more = "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in carried)
+    return map_rows(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long{more}")
 
 
 def distance_table(fp: np.ndarray) -> np.ndarray:
@@ -174,15 +176,15 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return met.mapInArrow(released(verify), "a long, b long")
 
 
-def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, **carried: str) -> DataFrame:
     """(doc_id, fp, root, component_id): root is the least fingerprint of the component."""
-    docs = stored(fingerprints(df, id_col, text_col, shingle))
+    docs = stored(fingerprints(df, id_col, text_col, shingle, **carried))
     classes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, max_bits))
     member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return docs.join(named, "fp").select("doc_id", "fp", "root", "component_id", *carried)
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -193,21 +195,22 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each component with all columns of ``df``: that of the least id
-    (null where the component has no id; of repeated ids the least fingerprint)."""
-    rows = grouped(df, id_col, text_col, shingle, max_bits)
-    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
-        F.min(F.struct("fp", "doc_id")).alias("s")).select(F.col("s.fp").alias("stay_fp"), F.col("s.doc_id").alias("stay_id"))
+    (null where the component has no id; of repeated ids the least fingerprint,
+    then the least hash of the row).
+
+    Survivors are chosen over ids, fingerprints and row hashes; texts are
+    fingerprinted once and travel once, to the join that keeps them. Only rows
+    that are equal in every column need a second step."""
     names = df.columns
     src = df.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])
+    hashed = [f.name for f in src.schema if f.dataType.typeName() not in ("map", "variant")]
+    src = src.withColumn("row", F.xxhash64(*hashed))
     at, key = f"in_{names.index(text_col)}", f"in_{names.index(id_col)}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at, 16 << 20):
-                fp = np.array([fingerprint(t, shingle) for t in part.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
-                yield part.append_column("fp", pa.array(fp))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
-    marked = src.mapInArrow(released(run), f"{fields}, fp long")
-    kept = marked.join(stay, (marked["fp"] == stay["stay_fp"]) & marked[key].eqNullSafe(stay["stay_id"]))
-    return kept.dropDuplicates(["fp", key]).select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])
+    rows = grouped(src, key, at, shingle, max_bits, row="row").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alike = rows.groupBy("root", "fp", "row", "doc_id").agg(F.count("*").alias("n"))
+    stay = stored(alike.groupBy("root").agg(F.min(F.struct("fp", "row", "doc_id", "n")).alias("s")).select(
+        F.col("s.row").alias("stay_row"), F.col("s.doc_id").alias("stay_id"), F.col("s.n").alias("stay_n")))
+    kept = src.join(stay, (src["row"] == stay["stay_row"]) & src[key].eqNullSafe(stay["stay_id"]))
+    if not stay.where("stay_n > 1").isEmpty():
+        kept = kept.where("stay_n = 1").unionByName(kept.where("stay_n > 1").dropDuplicates(["row", key]))
+    return kept.select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])
