@@ -1,5 +1,8 @@
 """Corpus preparation: five stages over ``documents``.
 
+Every stage takes nulls in any column, empty and very long texts, ties, repeated
+rows and tables without rows; what becomes of them stands in its own text.
+
 1. language ID: documents without a recognisable language go;
 2. SimHash near-duplicates: one document of each group stays;
 3. secret scans: secrets are masked;
@@ -33,30 +36,40 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts with no learned language or none of at least ``MIN_SHARE``."""
+    """Rejects texts with no learned language or none of at least ``MIN_SHARE``: null
+    and empty texts and those without a letter go; of languages with equal shares
+    the first by name counts; repeated rows stay or go together; with no labelled
+    row nothing is learned and every document goes; no rows give none."""
     docs = _documents(docs)
     out = language_id.predict(docs, language_id.learn(docs), keep=True)
     return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each SimHash group."""
+    """Keeps the document with the least id of each SimHash group. Null and empty
+    texts form one group; a group without an id keeps one of its rows; of rows that
+    repeat an id the least fingerprint, then the least row hash stays, and one of
+    rows equal in every column; no rows give none."""
     return simhash.keep_one(_documents(docs))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; ``n_chars`` follows the new text where it was known."""
+    """Masks secrets; ``n_chars`` follows the new text where it was known. Every row
+    stays, a null or empty text as it is; repeated rows are masked alike."""
     out = secrets.redact(_documents(docs))
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast("long"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by the raked weights of their cells."""
+    """Samples documents by the raked weights of their cells. Null source and
+    language are categories; a text without words has its cell's probability;
+    rows that repeat an id share their draw, null ids draw alike; no rows give none."""
     return mixing.sample(_documents(docs), MIX_TARGETS, MIX_RATE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the mixed corpus."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the mixed corpus, a row a
+    document; null and empty texts have no ids."""
     out = bpe_codec.encode_decode(_documents(docs), tokenizer_path(WORD_MODEL))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
