@@ -134,3 +134,20 @@ def test_search_tries_the_default_forest():
     size = inspect.signature(ML.fit_random_forest).parameters["num_trees"].default
     tried = [p for name, p in ML.GRID if name == "random_forest"]
     assert {p["num_trees"] for p in tried} == {50, size} and len(ML.GRID) == 7
+
+
+def test_points_fitted_together_are_those_fitted_alone(spark):
+    """Newton steps over stacked models against Spark ML, fold by fold."""
+    import numpy as np
+    from wearline.operators.search import fit_folds, fold_cells
+    train = ML.machine_folds(planted(spark, 240, seed=5))
+    points = [(c, f) for c in (0.01, 1.0) for f in range(3)]
+    models = fit_folds(train, points)
+    cells = fold_cells(train, models, 0.5)
+    for (c, f), m, (tp, fp, fn) in zip(points, models, cells):
+        alone = ML.fit_logistic(train.where(F.col("fold") != f), C=c, max_iter=500)
+        assert np.allclose(m.beta[:-1], alone.model.coefficients.toArray(), atol=2e-4) and abs(m.beta[-1] - alone.model.intercept) < 2e-4
+        assert np.allclose(m.mean, alone.standardizer.mean) and np.allclose(m.std, alone.standardizer.std)
+        got = alone.score(train.where(F.col("fold") == f)).agg(
+            *[F.count_if(F.expr(f"y_true = {y} AND y_score {op} 0.5")) for y, op in ((1, ">="), (0, ">="), (1, "<"))]).first()
+        assert abs(got[0] - tp) <= 1 and abs(got[1] - fp) <= 1 and abs(got[2] - fn) <= 1

@@ -18,10 +18,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import store
 from .curves import prf
 from .isotonic import calibrated, fit_blocks
 from .metrics import brier_and_ece, decision
 from .prepare import uniform_hash, with_balanced_weight
+from .search import MOST_FEATURES, fit_folds, fold_cells, side_by_side
 
 KEY = ["machine_id", "end_timestep"]
 
@@ -211,25 +213,33 @@ GRID = ([("logistic_regression", {"C": c}) for c in (0.01, 0.1, 1.0)]
 
 
 def hyperparameter_search(train: DataFrame, grid=None, k: int = 3, seed: int = 42, threshold: float = 0.5,
-                          label_col: str = "label") -> DataFrame:
+                          label_col: str = "label", parallelism: int = 3) -> DataFrame:
     """Machine-fold cross-validation over ``grid`` (M1 and M2 points), scored by
     F1 of the positive class. Scaler, class weights and model are fitted on the
-    training folds alone. Returns (model, params, fold, f1) per point and fold."""
+    training folds alone. All logistic points of all folds share the passes over
+    the windows; forests are fitted ``parallelism`` at a time (``search``).
+    Returns (model, params, fold, f1) per point and fold."""
+    folded = store(machine_folds(train, k, seed).select("fold", "features", F.col(label_col).alias("label"), *KEY))
+    points = [(name, params, f) for name, params in (grid if grid is not None else GRID) for f in range(k)]
+    width = folded.select(F.size("features").alias("n")).first()
+    together = [p for p in points if p[0] == "logistic_regression" and set(p[1]) <= {"C"} and width and width["n"] <= MOST_FEATURES]
+    cells: dict[int, tuple[int, int, int]] = {}
+    if together:
+        fitted = fit_folds(folded, [(p[1].get("C", 1.0), p[2]) for p in together])
+        cells |= {id(p): c for p, c in zip(together, fold_cells(folded, fitted, threshold))}
     fits = {"logistic_regression": fit_logistic, "random_forest": fit_random_forest}
-    folded = machine_folds(train, k, seed)
-    out = None
-    for name, params in (grid if grid is not None else GRID):
-        text = ",".join(f"{a}={b}" for a, b in params.items())
-        for f in range(k):
-            fitted = fits[name](folded.where(F.col("fold") != f), label_col=label_col, **params)
-            s = fitted.score(folded.where(F.col("fold") == f), label_col)
-            p, y = decision(F.col("y_score"), threshold), F.col("y_true")
-            cells = s.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-                          F.count_if((y == 1) & (p == 0)).alias("fn"))
-            row = cells.select(F.lit(name).alias("model"), F.lit(text).alias("params"), F.lit(f).alias("fold"),
-                               prf(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias("f1"))
-            out = row if out is None else out.unionByName(row)
-    return out
+
+    def one(point) -> tuple[int, int, int]:
+        name, params, f = point
+        s = fits[name](folded.where(F.col("fold") != f), **params).score(folded.where(F.col("fold") == f))
+        p, y = decision(F.col("y_score"), threshold), F.col("y_true")
+        return tuple(s.agg(F.count_if((y == 1) & (p == 1)), F.count_if((y == 0) & (p == 1)), F.count_if((y == 1) & (p == 0))).first())
+
+    alone = [p for p in points if id(p) not in cells]
+    cells |= {id(p): c for p, c in zip(alone, side_by_side(train.sparkSession, one, alone, parallelism))}
+    rows = [(name, ",".join(f"{a}={b}" for a, b in params.items()), f, *cells[id(p)]) for p in points for name, params, f in [p]]
+    table = train.sparkSession.createDataFrame(rows, "model string, params string, fold int, tp long, fp long, fn long")
+    return table.select("model", "params", "fold", prf(F.col("tp"), F.col("fp"), F.col("fn"))[2].alias("f1"))
 
 
 # ---------------------------------------------------------------- batch scoring
