@@ -151,3 +151,14 @@ def test_points_fitted_together_are_those_fitted_alone(spark):
         got = alone.score(train.where(F.col("fold") == f)).agg(
             *[F.count_if(F.expr(f"y_true = {y} AND y_score {op} 0.5")) for y, op in ((1, ">="), (0, ">="), (1, "<"))]).first()
         assert abs(got[0] - tp) <= 1 and abs(got[1] - fp) <= 1 and abs(got[2] - fn) <= 1
+
+
+def test_slopes_agree_with_steps(spark):
+    train, test = planted(spark, seed=1), planted(spark, 150, seed=2)
+    for fitted, eps, near in ((ML.fit_logistic(train, C=0.1), 1e-7, 1e-6), (ML.fit_mlp(train, hidden=(6, 4), max_iter=30), 1e-5, 1e-3)):
+        by = {way: {(r.t, r.sensor): r.sensitivity for r in IMP.sensitivity_map(fitted, test, 6, ["s0", "s1"], eps, way).collect()}
+              for way in ("slopes", "steps")}
+        assert len(by["slopes"]) == 12 and by["slopes"].keys() == by["steps"].keys()
+        assert max(abs(by["slopes"][k] - by["steps"][k]) for k in by["steps"]) < near
+    forest = ML.fit_random_forest(train, num_trees=5, max_depth=3)
+    assert IMP.mean_slopes(forest, test) is None and IMP.sensitivity_map(forest, test, 6, ["s0", "s1"], 0.5).count() == 12

@@ -135,7 +135,7 @@ def permutation_tests(preds: DataFrame, pairs: list[tuple[str, str]] | None = No
     ``by="rows"``, the checked parity mode, draws for every window.
     """
     if metric not in REPLICATE_METRICS:
-        raise ValueError(f"Unknown metric: {metric!r}")
+        raise ValueError(f"no replicate metric {metric!r}")
     pairs = pairs or list(combinations(model_names(preds, model_col), 2))
     tags = F.explode(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b")) for a, b in pairs])).alias("p")
     if by == "rows":
