@@ -236,3 +236,12 @@ def test_alerts_of_a_repeated_batch_are_written_once(spark, tmp_path):
         X.drift_alerts(X.event_stream(spark, SF), ref, str(tmp_path / "alerts"), str(tmp_path / f"ck{i}")).awaitTermination()
         counts.append(spark.read.parquet(str(tmp_path / "alerts")).count())
     assert counts[0] == counts[1] > 0
+
+
+def test_engines_are_ordered_without_sorting_their_rows(spark):
+    """The first line decides, whatever the file, block or row order of the others."""
+    rows = [(7, (0, 0, 5)), (7, (1, 0, 0)), (3, (0, 64, 0)), (3, (2, 0, 1)), (9, (0, 0, 6)), (9, (0, 0, 4)), (5, (0, 64, 2))]
+    log = spark.createDataFrame(rows, "machine_id long, ingest_seq struct<file:int,block:long,row:long>")
+    got = TL.engine_ordinals(log)
+    assert {r.machine_id: r.ordinal for r in got.collect()} == {9: 0, 7: 1, 3: 2, 5: 3}
+    assert got._jdf.queryExecution().executedPlan().toString().count("SortAggregate") == 0
