@@ -149,3 +149,46 @@ def test_the_registered_bootstrap_draws_for_every_window(spark, monkeypatch):
     want = K.rounded(I.bootstrap_ci(p, n_samples=K.N_BOOT, by="rows"))
     assert sorted(K.SPARK["bootstrap_ci"](spark, "").collect()) == sorted(want.collect())
     assert K.SQL["bootstrap_ci"] == K.SQL["bootstrap_ci_rows"] != K.SQL["bootstrap_ci_scores"]
+
+
+def test_auc_permutations_rank_once_and_equal_the_ranked_swaps(spark, monkeypatch):
+    import numpy as np
+    from wearline.operators import resample as R
+    rng = np.random.default_rng(7)
+    n = 500
+    y = rng.integers(0, 2, n)
+    s = {"a": np.round(np.clip(.3 * y + .7 * rng.random(n), 0, 1), 1), "b": np.round(rng.random(n), 2), "c": np.round(rng.random(n), 1)}
+    p = _pair(spark, y, s["a"], s["b"]).unionByName(preds_df(spark, y, s["c"], "c")).repartition(5)
+
+    def ranked(*_, **__):
+        raise AssertionError("a ranking a replicate")
+
+    cells = []
+    real = R.swapped_auc
+    monkeypatch.setattr(I, "replicate_cells", ranked)
+    monkeypatch.setattr(I, "swapped_auc", lambda c, *rest: cells.append((c, real(c, *rest))) or cells[-1][1])
+    got = {(r.model_a, r.model_b): r for r in I.permutation_tests(p, n_permutations=30, seed=5).collect()}
+    diffs = {(r.model_a, r.model_b, r.rep): r["diff"] for r in cells[0][1][1].collect()}
+    rows = cells[0][0].select("*", *R.draw_key(I.score_bits("sa"), I.score_bits("sb"), F.col("y"), seed=5)).collect()
+    assert len(got) == 3 and len(diffs) == 90
+    for (a, b), r in got.items():
+        mine = [x for x in rows if (x.model_a, x.model_b) == (a, b)]
+        col = {k: np.array([x[k] for x in mine for _ in (0, 1)]) for k in ("y", "__a", "__b", "__n")}
+        other = np.array([False, True] * len(mine))
+        score = np.array([x[k] for x in mine for k in ("sa", "sb")])
+        w = R.weights(col["__a"], col["__b"], other, 30, "swap", col["__n"])
+        auc = [brute_auc_ap(col["y"], score, w[:, k])[0] for k in range(62)]
+        assert r.metric_a == pytest.approx(auc[0]) and r.metric_b == pytest.approx(auc[31])
+        want = [abs(auc[k] - auc[31 + k]) for k in range(31)]
+        assert [diffs[a, b, k] for k in range(1, 31)] == pytest.approx(want[1:])
+        assert r.p_value == pytest.approx(np.mean([d >= want[0] - 1e-12 for d in want[1:]]))
+
+
+def test_draws_are_those_of_the_plain_remainders():
+    import numpy as np
+    from wearline.operators import resample as R
+    a = np.array([0, 1, R.MODULUS - 1, 12345, R.MODULUS - 1, 0], dtype=np.int64)
+    b = np.array([0, R.MODULUS - 1, R.MODULUS - 1, 999_999_937, 0, 1], dtype=np.int64)
+    want = [[(lambda x: (x * x + q) % R.MODULUS)(((p + r * q) % R.MODULUS) ** 2 + p) / R.MODULUS for r in range(1, 2001)]
+            for p, q in zip(a.tolist(), b.tolist())]
+    assert (R.uniforms(a, b, 2000) == np.array(want)).all()
