@@ -36,13 +36,23 @@ def test_the_fit_does_not_depend_on_partitions(spark, monkeypatch):
 
 def test_every_row_is_packed_once(spark, monkeypatch):
     monkeypatch.setattr(NW, "BLOCK", 16)
-    got = NW.packed(windows(spark, 100, f=3).repartition(3), 3, [0.0] * 3, [1.0] * 3, "label").collect()
-    x = np.concatenate([np.frombuffer(r.x).reshape(-1, 3) for r in got])
+    got = NW.packed(windows(spark, 100, f=3).repartition(3), 3, "label").collect()
+    x = np.concatenate([NW.unfold(r.x, r.at, 3) for r in got])
     assert all(len(r.y) <= 16 * 8 for r in got) and sum(len(r.y) for r in got) == 800
     want = np.array([r.features for r in windows(spark, 100, f=3).collect()])
     assert sorted(map(tuple, x)) == sorted(map(tuple, want))
 
 
+def test_shared_values_are_kept_once():
+    rng = np.random.default_rng(0)
+    series = [rng.normal(size=(40, 2)) for _ in range(3)] + [np.ones((12, 2)), np.full((9, 2), np.nan)]
+    x = np.array([s[i:i + 8].ravel() for s in series for i in range(0, len(s) - 7, 3)])
+    for rows in (x, x[rng.permutation(len(x))], x[:1], x[-3:]):
+        values, at = NW.fold(rows)
+        assert np.array_equal(NW.unfold(values.tobytes(), at.tobytes(), 16), rows, equal_nan=True)
+    assert len(NW.fold(x[:33])[0]) == 3 * (16 + 10 * 6)
+
+
 def test_a_row_without_label_is_refused(spark):
     train = windows(spark, 40).selectExpr("machine_id", "end_timestep", "nullif(label, 1) AS label", "features")
     with pytest.raises(Exception, match="label of 0 or 1"):
