@@ -163,6 +163,23 @@ def test_substring_removal(spark, monkeypatch, window):
     assert [got[i] for i in range(len(texts))] == repeated_removed(texts, window)
 
 
+def test_chunks_meet_their_answers_one_at_a_time(spark, monkeypatch):
+    """No list of answers is gathered for a partition of chunks, and only what is read twice is stored."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 700)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", (256, 64 << 20))
+    store, kept = substring_dedup.stored, []
+    monkeypatch.setattr(substring_dedup, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    passage = " ".join(f"w{i}" for i in range(40))
+    texts = [f"{i} {passage} {' '.join(f'v{i}x{j}' for j in range(60))}" for i in range(30)] + [None, "few words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = substring_dedup.remove_repeats(df)
+    assert [x.columns[0] for x in kept] == ["chunk_id"] * 2 and kept[1].count() > kept[0].count() > 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ObjectHashAggregate" not in plan
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out.collect()} == \
+        dict(enumerate(repeated_removed(texts, 35)))
+
+
 def brute_groups(fps, max_bits):
     parent = {f: f for f in fps}
 

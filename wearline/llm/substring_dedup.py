@@ -16,7 +16,8 @@ two equal windows share an anchor at the same offset.
 4. Words covered by a repeated window are removed.
 
 Only packed arrays move: no pair of occurrences is ever formed, and texts move
-once per answer, compressed, by chunk.
+once per answer, compressed, by chunk. A chunk meets its answers in a cogroup,
+so a task holds one chunk at a time, however many its partition has.
 
 Defined results: null text has no words (n_words 0, kept text empty); a text
 below ``window`` words is kept whole; a repeated row is a repeat of its twin;
@@ -25,7 +26,7 @@ null ids are kept as they are; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, released, slices, stored
+from .common import pick, release, released, slices, stored
 
 #: Period -> a set whose differences give every residue (perfect difference sets).
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -197,40 +198,56 @@ def exchange(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "chunk_id long, kind int, bucket int, bits binary")
 
 
-def send(chunks: DataFrame, kind: int, window: int, buckets: int) -> DataFrame:
-    """Keys of each chunk by bucket: anchors (kind 0) or windows (kind 1)."""
+SENT = "chunk_id long, kind int, bucket int, high binary, low binary"
+
+
+def messages(chunk_id: int, kind: int, keys: Keys, buckets: int) -> pa.RecordBatch:
+    """The distinct keys of a chunk, a row per bucket: anchors (kind 0) or windows (kind 1)."""
     schema = pa.schema([("chunk_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()),
                         ("high", pa.binary()), ("low", pa.binary())])
-
+    to = ((keys.high >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    edges = np.searchsorted(to, np.arange(buckets + 1))
+    used = np.flatnonzero(edges[1:] > edges[:-1])
+    high, low = keys.high.astype("<u8"), keys.low.astype("<u4")
+    spans = [(int(edges[b]), int(edges[b + 1])) for b in used]
+    return pa.RecordBatch.from_arrays([
+        pa.array([chunk_id] * len(used), pa.int64()), pa.array([kind] * len(used), pa.int32()),
+        pa.array(used, pa.int32()), pa.array([high[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([low[a:b].tobytes() if kind else None for a, b in spans], pa.binary())], schema=schema)
+
+
+def send_anchors(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["n_words"], row["body"])
-                if kind == 0:
-                    _, keys = anchor_keys(chunk, window)
-                else:
-                    _, keys = window_keys(chunk, window, answers_of(row, 0))
-                to = ((keys.high >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                edges = np.searchsorted(to, np.arange(buckets + 1))
-                used = np.flatnonzero(edges[1:] > edges[:-1])
-                high, low = keys.high.astype("<u8"), keys.low.astype("<u4")
-                spans = [(int(edges[b]), int(edges[b + 1])) for b in used]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["chunk_id"]] * len(used), pa.int64()), pa.array([kind] * len(used), pa.int32()),
-                    pa.array(used, pa.int32()), pa.array([high[a:b].tobytes() for a, b in spans], pa.binary()),
-                    pa.array([low[a:b].tobytes() if kind else None for a, b in spans], pa.binary())], schema=schema)
+            for i in range(batch.num_rows):  # one chunk at a time: a batch may hold a whole partition
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield messages(row["chunk_id"], 0, anchor_keys(Chunk(row["n_words"], row["body"]), window)[1], buckets)
+
+    return chunks.mapInArrow(released(run), SENT)
 
-    return chunks.mapInArrow(released(run), "chunk_id long, kind int, bucket int, high binary, low binary")
 
+def send_windows(chunks: DataFrame, anchors: DataFrame, window: int, buckets: int) -> DataFrame:
+    def run(row: dict, answers: tuple[list, list]) -> pa.RecordBatch:
+        _, keys = window_keys(Chunk(row["n_words"], row["body"]), window, answers[0])
+        return messages(row["chunk_id"], 1, keys, buckets)
 
-def answers_of(row: dict, kind: int) -> list[tuple[int, bytes]]:
-    return [(a["bucket"], a["bits"]) for a in row["answers"] or () if a["kind"] == kind]
+    return with_answers(chunks.drop("doc_ids"), anchors, run, SENT)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Chunks with the answers to their own keys (as many bits as keys sent)."""
-    mine = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers"))
-    return chunks.join(mine, "chunk_id", "left")
+def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[dict, tuple[list, list]], pa.RecordBatch],
+                 schema: str) -> DataFrame:
+    """``fn`` of each chunk and the answers to its own keys (as many bits as keys
+    sent), of anchors and of windows; a chunk without any key has none."""
+
+    def run(mine: pa.Table, got: pa.Table) -> pa.Table:
+        lists = ([], [])
+        for kind, bucket, bits in zip(*(got[n].to_pylist() for n in ("kind", "bucket", "bits"))):
+            lists[kind].append((bucket, bits))
+        out = pa.Table.from_batches([fn(row, lists) for row in mine.to_pylist()])
+        release()
+        return out
+
+    return chunks.groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(run, schema)
 
 
 def n_buckets(total_bytes: int) -> int:
@@ -245,33 +262,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chunks = stored(pack(src))
     n_words = chunks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     period, cover, _ = cover_for(window)
-    anchors = stored(exchange(send(chunks, 0, window, n_buckets(n_words * len(cover) * 8 // period))))
-    sent = send(with_answers(chunks, anchors), 1, window, n_buckets(n_words * 12 // 3))
-    windows = stored(exchange(sent))
+    anchors = exchange(send_anchors(chunks, window, n_buckets(n_words * len(cover) * 8 // period)))
+    anchors = stored(anchors.repartition("chunk_id"))  # few bits: as few files as they fill
+    windows = exchange(send_windows(chunks, anchors, window, n_buckets(n_words * 12 // 3)))
     kind = src.schema["doc_id"].dataType.simpleString()
-    final = with_answers(chunks, anchors.unionByName(windows))
     from pyspark.sql.pandas.types import to_arrow_type
     schema = pa.schema([("doc_id", to_arrow_type(src.schema["doc_id"].dataType)), ("n_words", pa.int64()),
                         ("n_removed", pa.int64()), ("kept", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["n_words"], row["body"])
-                starts, keys = window_keys(chunk, window, answers_of(row, 0))
-                starts = starts[keys.repeated(answers_of(row, 1))]
-                step = np.zeros(len(chunk.words) + 1, dtype=np.int64)
-                step[starts] += 1
-                np.add.at(step, starts + window, -1)
-                keep = np.cumsum(step[:-1]) == 0
-                removed, kept, at = [], [], 0
-                for n in row["n_words"]:
-                    mine = keep[at:at + n]
-                    removed.append(n - int(mine.sum()))
-                    kept.append(b" ".join(compress(chunk.words[at:at + n], mine.tolist())).decode())
-                    at += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=f.type) for v, f in zip((row["doc_ids"], row["n_words"], removed, kept), schema)],
-                    schema=schema)
-
-    return final.mapInArrow(released(run), f"doc_id {kind}, n_words long, n_removed long, kept string")
+    def run(row: dict, answers: tuple[list, list]) -> pa.RecordBatch:
+        chunk = Chunk(row["n_words"], row["body"])
+        starts, keys = window_keys(chunk, window, answers[0])
+        starts = starts[keys.repeated(answers[1])]
+        step = np.zeros(len(chunk.words) + 1, dtype=np.int64)
+        step[starts] += 1
+        np.add.at(step, starts + window, -1)
+        keep = np.cumsum(step[:-1]) == 0
+        removed, kept, at = [], [], 0
+        for n in row["n_words"]:
+            mine = keep[at:at + n]
+            removed.append(n - int(mine.sum()))
+            kept.append(b" ".join(compress(chunk.words[at:at + n], mine.tolist())).decode())
+            at += n
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, type=f.type) for v, f in zip((row["doc_ids"], row["n_words"], removed, kept), schema)],
+            schema=schema)
+
+    return with_answers(chunks, anchors.unionByName(windows), run,
+                        f"doc_id {kind}, n_words long, n_removed long, kept string")
