@@ -63,3 +63,51 @@ def test_one_class_gives_a_forest_of_leaves(spark):
     train = windows(spark, 40).withColumn("label", F.lit(0))
     fitted = ML.fit_random_forest(train, num_trees=2, max_depth=3)
     assert {r.y_score for r in fitted.score(train).collect()} == {0.0}
+
+
+def grown(rng, depth, f):
+    """A tree whose every fourth node is a leaf."""
+    feature, cut, left, last = [0], [0], [-1], [0]
+    for _ in range(depth):
+        new = []
+        for n in last:
+            if n and rng.random() < 0.25:
+                continue
+            left[n], feature[n], cut[n] = len(left), int(rng.integers(f)), int(rng.integers(10, 22))
+            new += [len(left), len(left) + 1]
+            left += [-1, -1]
+            feature += [0, 0]
+            cut += [0, 0]
+        last = new
+    a = np.array
+    return FO.Tree(a(feature, np.int32), a(cut, np.int16), a(left, np.int32), np.zeros(len(left)), np.zeros((len(left), 2)), a(last[::2] or [0], np.int32))
+
+
+def test_counts_are_those_of_each_open_node(monkeypatch):
+    rng = np.random.default_rng(2)
+    b, y, drawn = rng.integers(0, 32, size=(900, 7)), rng.integers(0, 2, 900), rng.poisson(1.0, 900).astype(np.uint8)
+    lines = (2 * b + y[:, None]).astype(np.uint8)
+    for depth in (0, 1, 3, 5):
+        tree = grown(rng, depth, 7)
+        subset = np.argsort(rng.random((len(tree.open), 7)), axis=1)[:, :3].astype(np.uint16)
+        want = np.zeros((len(tree.open), 3, 64), dtype=np.uint32)
+        for i in range(900):
+            node = 0
+            while tree.left[node] >= 0:
+                node = tree.left[node] + (b[i, tree.feature[node]] > tree.cut[node])
+            for at in np.flatnonzero(tree.open == node):
+                for j in range(3):
+                    want[at, j, lines[i, subset[at, j]]] += drawn[i]
+        for alone in (1, 40, 10_000):
+            monkeypatch.setattr(FO, "ROWS_ALONE", alone)
+            got = FO._counts(np.ascontiguousarray(lines.T), lines, drawn, tree, subset, depth, 64)
+            assert (got == want).all() and want.any()
+    assert [FO._small(np.array([n], np.uint32)).itemsize for n in (0, 255, 256, 65_535, 65_536)] == [1, 1, 2, 2, 4]
+
+
+def test_rows_go_down_once_and_few_bytes_travel(spark, monkeypatch):
+    """Rows of large nodes are read from their feature's column; a forest is the same either way."""
+    train = windows(spark, 900)
+    a = ML.fit_random_forest(train, num_trees=4, max_depth=6)
+    monkeypatch.setattr(FO, "ROWS_ALONE", 5)
+    assert nodes(ML.fit_random_forest(train.repartition(3), num_trees=4, max_depth=6)) == nodes(a)
