@@ -111,3 +111,17 @@ def test_rows_go_down_once_and_few_bytes_travel(spark, monkeypatch):
     a = ML.fit_random_forest(train, num_trees=4, max_depth=6)
     monkeypatch.setattr(FO, "ROWS_ALONE", 5)
     assert nodes(ML.fit_random_forest(train.repartition(3), num_trees=4, max_depth=6)) == nodes(a)
+
+
+def test_forests_of_many_sizes_are_those_grown_alone(spark, monkeypatch):
+    train, scans = windows(spark, 500), []
+    level = FO._level
+    monkeypatch.setattr(FO, "_level", lambda *a: scans.append(a[3]) or level(*a))
+    sizes = [(2, 3), (2, 6), (5, 3), (4, 0), (5, 5)]
+    together = ML.fit_random_forests(train, sizes)
+    assert scans == list(range(6))                  # one scan a level for all of them
+    for (num_trees, max_depth), got in zip(sizes, together):
+        want = ML.fit_random_forest(train, num_trees=num_trees, max_depth=max_depth)
+        assert nodes(got) == nodes(want) and got.model.getNumTrees == num_trees
+        assert got.model.featureImportances == want.model.featureImportances
+        assert max(t.depth for t in got.model.trees) <= max_depth
