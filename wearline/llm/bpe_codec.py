@@ -165,6 +165,8 @@ class ChunkCodec:
             h = hash(c)
             if h in self.seen:  # met in another slice: worth keeping
                 size = 4 * len(c) + len(one[0]) + 200
+                if size > CACHE_BYTES:  # larger than the whole cache
+                    continue
                 if self.held + size > CACHE_BYTES:
                     self.chunks.clear()
                     self.held = 0
